@@ -10,21 +10,39 @@ from pyspark.sql import functions as F
 from glimmer.llm.common import cut, table
 from glimmer.llm.minhash import near_duplicates
 from glimmer.llm.packing import pack
+from glimmer.llm.quality import THRESHOLD as GOOD
+from glimmer.llm.quality import quality_scores
+from glimmer.llm.toxicity import THRESHOLD as TOXIC
+from glimmer.llm.toxicity import toxicity_scores
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
+def _kept(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """The documents with one of these ids; only ids cross the join's other side."""
+    return docs.join(ids.select(F.col("doc_id").alias("kept_id")), F.col("doc_id").eqNullSafe(F.col("kept_id")), "left_semi")
+
+
+def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Without the documents that the quality classifier rejects."""
+    return _kept(docs, quality_scores(docs, table(spark, sf_dir, "labels")).where(F.col("score") >= GOOD))
+
+
+def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Without the documents that the toxicity classifier rejects."""
+    return _kept(docs, toxicity_scores(docs, table(spark, sf_dir, "labels")).where(F.col("score") < TOXIC))
+
+
 def dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates: the one with the smallest doc_id."""
-    kept = near_duplicates(docs).where("kept").select(F.col("doc_id").alias("kept_id"))
-    return docs.join(kept, F.col("doc_id") == F.col("kept_id"), "left_semi")
+    return _kept(docs, near_duplicates(docs).where("kept"))
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return pack(docs).drop("ids")
 
 
-STAGES: list[tuple[str, Stage]] = [("minhash", dedup_stage), ("packing", packing_stage)]
+STAGES: list[tuple[str, Stage]] = [("quality", quality_stage), ("toxicity", toxicity_stage), ("minhash", dedup_stage), ("packing", packing_stage)]
 
 #: Learned scores have no SQL; the tests hold the stages against brute force.
 ORACLE_SQL: str | None = None
