@@ -27,16 +27,36 @@ VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 
 
 #: Slots of the table of known neighbours, and pairs that are remembered beside it.
-_SLOTS, _PAIRS = 1 << 19, 500_000
+_SLOTS, _PAIRS = 1 << 19, 200_000
 _SPACE = regex.compile(r"\s")
 
 
-class Encoder:
-    def __init__(self, path: str, pattern: str) -> None:
+class Vocabulary:
+    """Tokens and ranks, and the way back from ids to bytes."""
+
+    def __init__(self, path: str) -> None:
         with open(path, "rb") as f:
             self.ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in f if line.strip())}
-        self.pattern = regex.compile(pattern)
         self.bytes_of = {r: t for t, r in self.ranks.items()}
+        width = max(self.bytes_of) + 1
+        self.sizes = np.zeros(width, np.int64)
+        for r, t in self.bytes_of.items():
+            self.sizes[r] = len(t)
+        self.starts = np.concatenate([[0], np.cumsum(self.sizes)])
+        self.spelled = np.frombuffer(b"".join(self.bytes_of.get(r, b"") for r in range(width)), np.uint8)
+
+    def spell(self, ids: np.ndarray) -> bytes:
+        """The bytes of ids, gathered at once."""
+        sizes = self.sizes[ids]
+        ends = np.cumsum(sizes)
+        total = int(ends[-1]) if len(ends) else 0
+        return self.spelled[np.repeat(self.starts[ids] - (ends - sizes), sizes) + np.arange(total)].tobytes()
+
+
+class Encoder(Vocabulary):
+    def __init__(self, path: str, pattern: str) -> None:
+        super().__init__(path)
+        self.pattern = regex.compile(pattern)
         self.parts = {r: self._last_merge(t) for t, r in self.ranks.items()}
         self.pairs = {p: r for r, p in self.parts.items() if p is not None and p[0] != -1}
         self.automaton = ahocorasick.Automaton()
@@ -46,16 +66,11 @@ class Encoder:
         self.automaton.make_automaton()
         self.beside: dict[int, bool] = {}
         self.slot_keys, self.slot_fits = np.full(_SLOTS, -1, np.int64), np.zeros(_SLOTS, bool)
-        self.spaced = Memo(self.after_space)
-        width = max(self.bytes_of) + 1
-        self.sizes = np.zeros(width, np.int64)
-        for r, t in self.bytes_of.items():
-            self.sizes[r] = len(t)
+        self.spaced = Memo(self.after_space, 300_000)
+        width = len(self.sizes)
         self.shorter = np.full(width, -1, np.int64)
         for t, r in reached.items():
             self.shorter[r] = next((reached[t[:k]] for k in range(len(t) - 1, 0, -1) if t[:k] in reached), -1)
-        self.starts = np.concatenate([[0], np.cumsum(self.sizes)])
-        self.spelled = np.frombuffer(b"".join(self.bytes_of.get(r, b"") for r in range(width)), np.uint8)
 
     def _last_merge(self, token: bytes) -> tuple[int, int] | None:
         """The two tokens that merging joins last to make ``token``; None for a byte, (-1, -1) if merging never makes it."""
@@ -191,21 +206,14 @@ class Encoder:
         cuts = self.cut([column[k].as_py() if k in whole else h for k, h in enumerate(heads)])
         return joined([*(v or b"" for v in values), *cuts, b""], codes, first)
 
-    def spell(self, ids: np.ndarray) -> bytes:
-        """The bytes of ids, gathered at once."""
-        sizes = self.sizes[ids]
-        ends = np.cumsum(sizes)
-        total = int(ends[-1]) if len(ends) else 0
-        return self.spelled[np.repeat(self.starts[ids] - (ends - sizes), sizes) + np.arange(total)].tobytes()
 
+_LOADED: dict[tuple[str, str], Vocabulary] = {}
 
-_LOADED: dict[tuple[str, str], Encoder] = {}
 
-
-def encoder(path: str, pattern: str) -> Encoder:
-    """One encoder for each vocabulary and Python worker."""
+def encoder(path: str, pattern: str = "") -> Vocabulary:
+    """One encoder (without a pattern, only the vocabulary) for each Python worker."""
     if (path, pattern) not in _LOADED:
-        _LOADED[path, pattern] = Encoder(path, pattern)
+        _LOADED[path, pattern] = Encoder(path, pattern) if pattern else Vocabulary(path)
     return _LOADED[path, pattern]
 
 
@@ -219,18 +227,18 @@ def encode(docs: DataFrame, path: str | None = None, pattern: str = public_token
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = encoder(path, pattern)
-        for batch in sliced(batches, "text", 6 << 20):
+        for batch in sliced(batches, "text", 4 << 20):
             yield pa.RecordBatch.from_arrays([batch.column(0), bpe.texts(batch.column(1))], names=["doc_id", "ids"])
 
     return without(docs, "doc_id", "text").withColumn("doc_id", F.col("doc_id").cast("long")).mapInArrow(run, "doc_id long, ids binary")
 
 
-def decode(encoded: DataFrame, path: str | None = None, pattern: str = public_tokenizers.PATTERN) -> DataFrame:
+def decode(encoded: DataFrame, path: str | None = None) -> DataFrame:
     """doc_id, ids and the decoded bytes of what :func:`encode` made; null ids: no bytes."""
     path = path or public_tokenizers.path(VOCABULARY)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = encoder(path, pattern)
+        bpe = encoder(path)
         for batch in sliced(batches, "ids", 4 << 20):
             out = [bpe.spell(np.frombuffer(x or b"", "<u4")) for x in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.binary())], names=["doc_id", "ids", "decoded"])
