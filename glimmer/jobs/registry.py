@@ -1,15 +1,495 @@
-"""Queries over the given tables, by name, with their DuckDB twins."""
+"""Queries over the given tables, by name, with their DuckDB twins.
+
+Doubles are rounded on both sides, as sums depend on the order of their terms; whole numbers are 64-bit on both sides.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+from glimmer.operators import columns, events, frames, groups, hmm, segments, spatial
+from glimmer.sources import views
+
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
 ORACLE_SQL: dict[str, str] = {}
 
+TRAJ = """traj AS (SELECT *, CAST(0.5 * slice AS DOUBLE) AS seconds FROM (SELECT user_id AS trajectory, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS slice, value AS "Intensity", CASE WHEN event_type IN ('click', 'purchase') THEN 1 ELSE 0 END AS fit FROM events))"""
+RUNS = TRAJ + """, marked AS (SELECT *, CASE WHEN lag(fit) OVER w IS NOT DISTINCT FROM fit THEN 0 ELSE 1 END AS changed FROM traj WINDOW w AS (PARTITION BY trajectory ORDER BY slice)),
+numbered AS (SELECT *, sum(changed) OVER (PARTITION BY trajectory ORDER BY slice) AS run_id FROM marked),
+runs AS (SELECT trajectory, run_id, min(fit) AS state, min(slice) AS s, max(slice) + 1 AS e, count(*) AS len, avg("Intensity") AS mean, stddev_samp("Intensity") AS sd, min(seconds) AS beg, max(run_id) OVER (PARTITION BY trajectory) AS last_id FROM numbered GROUP BY trajectory, run_id)"""
+PULSES = RUNS + """, means AS (SELECT trajectory, avg("Intensity") FILTER (fit = 1) AS m1, avg("Intensity") FILTER (fit = 0) AS m0 FROM traj GROUP BY trajectory),
+sides AS (SELECT trajectory, CASE WHEN m1 IS NULL OR m0 >= m1 THEN 0 ELSE 1 END AS on_state, CASE WHEN m0 IS NULL THEN 1 WHEN m1 IS NULL OR m0 <= m1 THEN 0 ELSE 1 END AS off_state FROM means),
+pulses AS (SELECT trajectory, 'on' AS state, CAST(len AS DOUBLE) AS dur, mean, sd, s, e FROM runs JOIN sides USING (trajectory) WHERE run_id < last_id AND state = on_state
+UNION ALL SELECT trajectory, 'off', CAST(len AS DOUBLE), mean, sd, s, e FROM runs JOIN sides USING (trajectory) WHERE run_id < last_id AND state = off_state)"""
+DWELLS = RUNS + """, nexts AS (SELECT trajectory, run_id, lead(beg) OVER w - beg AS dwell, lead(state) OVER w AS nxt FROM runs WINDOW w AS (PARTITION BY trajectory ORDER BY run_id)),
+dwells AS (SELECT trajectory, CASE WHEN nxt = 0 THEN 'on' ELSE 'off' END AS kind, run_id, dwell FROM nexts WHERE nxt IN (0, 1))"""
+PX = """sums AS (SELECT l_orderkey % 10 AS t, l_partkey % 32 AS y, (l_suppkey * 7 + l_linenumber) % 32 AS x, sum(l_quantity) AS value FROM lineitem GROUP BY 1, 2, 3),
+px AS (SELECT g.t, g.y, g.x, coalesce(s.value, 0.0) AS value FROM (SELECT t.t, y.y, x.x FROM range(10) AS t(t), range(32) AS y(y), range(32) AS x(x)) AS g LEFT JOIN sums AS s ON g.t = s.t AND g.y = s.y AND g.x = s.x)"""
+PK = """pk AS (SELECT CAST(label % 3 AS VARCHAR) AS channel, vec_id AS peak_id, (CAST(embedding[1] AS DOUBLE) + 0.5) * 512 AS x, (CAST(embedding[2] AS DOUBLE) + 0.5) * 512 AS y FROM embeddings)"""
+RADIUS = 8.0
+PAIRS = PK + f""", pairs AS (SELECT a.peak_id AS a_id, a.x AS ax, a.y AS ay, b.peak_id AS b_id, b.x AS bx, b.y AS byy, sqrt(pow(a.x - b.x, 2) + pow(a.y - b.y, 2)) AS d FROM pk AS a, pk AS b WHERE a.channel = '0' AND b.channel = '1' AND sqrt(pow(a.x - b.x, 2) + pow(a.y - b.y, 2)) < {RADIUS}),
+na AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY a_id ORDER BY d, b_id) AS k FROM pairs) WHERE k = 1),
+nb AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY b_id ORDER BY d, a_id) AS k FROM pairs) WHERE k = 1)"""
+GRID = dict(threshold=4.0, precision=4.0, max_x=12.0, max_y=12.0)
+DRIFT = """, steps AS (SELECT i * 4.0 - 12.0 AS g FROM range(7) AS r(i)),
+hits AS (SELECT gx.g AS gx, gy.g AS gy, count(DISTINCT b.peak_id) AS n FROM pk AS a, pk AS b, steps AS gx, steps AS gy WHERE a.channel = '0' AND b.channel = '{other}' AND sqrt(pow(a.x - (b.x + gx.g), 2) + pow(a.y - (b.y + gy.g), 2)) < 4.0 GROUP BY 1, 2)"""
+
+
+def matches_sql(other: str) -> str:
+    """CTEs h, best, moved, pairs, na, nb, out of one other channel, named by it."""
+    k = other
+    return DRIFT.format(other=k).replace("steps AS (", f"steps{k} AS (").replace("hits AS (", f"hits{k} AS (").replace("steps AS g", f"steps{k} AS g") + f""",
+best{k} AS (SELECT gx, gy FROM hits{k} ORDER BY n DESC, gx, gy LIMIT 1),
+pairs{k} AS (SELECT a.peak_id AS a_id, a.x AS ax, a.y AS ay, b.peak_id AS b_id, b.x AS bx, b.y AS byy, sqrt(pow(a.x - (b.x + gx), 2) + pow(a.y - (b.y + gy), 2)) AS d FROM pk AS a, pk AS b, best{k} WHERE a.channel = '0' AND b.channel = '{k}' AND sqrt(pow(a.x - (b.x + gx), 2) + pow(a.y - (b.y + gy), 2)) < 4.0),
+na{k} AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY a_id ORDER BY d, b_id) AS k FROM pairs{k}) WHERE k = 1),
+nb{k} AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY b_id ORDER BY d, a_id) AS k FROM pairs{k}) WHERE k = 1),
+out{k} AS (SELECT na{k}.a_id, na{k}.ax, na{k}.ay, na{k}.b_id, na{k}.bx, na{k}.byy FROM nb{k} JOIN na{k} ON nb{k}.a_id = na{k}.a_id)"""
+
+
+def query(sql: str | None = None) -> Callable[[Query], Query]:
+    def add(f: Query) -> Query:
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def r(name: str, digits: int = 6):
+    return F.round(F.col(name).cast("double"), digits).alias(name)
+
+
+def long(*names: str):
+    return [F.col(n).cast("long").alias(n) for n in names]
 
+
+ROWS = 'SELECT trajectory, CAST(slice AS BIGINT) AS slice, "Intensity", CAST(fit AS BIGINT) AS fit'
+
+
+def rows(df: DataFrame) -> DataFrame:
+    return df.select(*long("trajectory", "slice"), "Intensity", *long("fit"))
+
+
+def kept(condition: str) -> str:
+    """Rows of the trajectories that a grouped condition keeps."""
+    return f"WITH {TRAJ} {ROWS} FROM traj WHERE trajectory IN (SELECT trajectory FROM traj GROUP BY trajectory HAVING {condition})"
+
+
+# --- trajectories: group filters
+
+@query(f"""WITH {PULSES}, m AS (SELECT trajectory, max("Intensity") AS top, avg("Intensity") AS mean FROM traj GROUP BY 1),
+ok AS (SELECT trajectory FROM m WHERE top < (SELECT 1.0 * stddev_samp(top) + avg(top) FROM m) AND mean > 0)
+SELECT trajectory, CAST(count(*) FILTER (state = 'on') AS BIGINT) AS n_on, CAST(count(*) FILTER (state = 'off') AS BIGINT) AS n_off, round(avg(dur) FILTER (state = 'on'), 6) AS mean_on, round(avg(dur) FILTER (state = 'off'), 6) AS mean_off FROM pulses WHERE trajectory IN (SELECT trajectory FROM ok) GROUP BY trajectory""")
 def flagship_kinetics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/events.parquet").groupBy("user_id").agg(F.count("*").alias("n"))
+    """Clean trajectories, cut them into pulses, and give each one's mean on and off durations."""
+    clean = groups.filter_garbage(views.trajectories(spark, sf_dir), threshold=1.0)
+    on, off = (F.when(F.col("state") == s, F.col("dur")) for s in ("on", "off"))
+    out = events.pulses(clean).groupBy("trajectory").agg(F.count(on).alias("n_on"), F.count(off).alias("n_off"), F.avg(on).alias("mean_on"), F.avg(off).alias("mean_off"))
+    return out.select(*long("trajectory", "n_on", "n_off"), r("mean_on"), r("mean_off"))
+
+
+@query(f"""WITH {TRAJ}, m AS (SELECT trajectory, max("Intensity") AS top, avg("Intensity") AS mean FROM traj GROUP BY 1)
+{ROWS} FROM traj WHERE trajectory IN (SELECT trajectory FROM m WHERE top < (SELECT 1.0 * stddev_samp(top) + avg(top) FROM m) AND mean > 0)""")
+def filter_garbage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rows(groups.filter_garbage(views.trajectories(spark, sf_dir), threshold=1.0))
+
+
+@query(kept('stddev_samp("Intensity") > 55'))
+def filter_std(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rows(groups.filter_std(views.trajectories(spark, sf_dir), 55.0))
+
+
+@query(f'WITH {TRAJ}, low AS (SELECT trajectory, slice, "Intensity" - 50 AS "Intensity", fit FROM traj) {ROWS} FROM low WHERE trajectory IN (SELECT trajectory FROM low GROUP BY 1 HAVING avg("Intensity") > 0)')
+def filter_negative(spark: SparkSession, sf_dir: str) -> DataFrame:
+    low = views.trajectories(spark, sf_dir).withColumn("Intensity", F.col("Intensity") - 50)
+    return rows(groups.filter_negative(low))
+
+
+COHEN = TRAJ + """, st AS (SELECT trajectory, count(*) FILTER (fit = 1) AS n1, count(*) FILTER (fit = 0) AS n0, avg("Intensity") FILTER (fit = 1) AS m1, avg("Intensity") FILTER (fit = 0) AS m0, var_samp("Intensity") FILTER (fit = 1) AS v1, var_samp("Intensity") FILTER (fit = 0) AS v0 FROM traj GROUP BY 1),
+cohen AS (SELECT trajectory, CASE WHEN n1 > 1 AND n0 > 1 THEN (m1 - m0) / nullif(sqrt(((n1 - 1) * v1 + (n0 - 1) * v0) / (n1 + n0 - 2)), 0) END AS d FROM st)"""
+
+
+@query(f"WITH {COHEN} SELECT trajectory, round(d, 6) AS d FROM cohen")
+def cohens_d(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return groups.cohens_d(views.trajectories(spark, sf_dir)).select(*long("trajectory"), r("d"))
+
+
+@query(f"WITH {COHEN} {ROWS} FROM traj WHERE trajectory IN (SELECT trajectory FROM cohen WHERE abs(d) > 0.2)")
+def filter_snr(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rows(groups.filter_snr(views.trajectories(spark, sf_dir), 0.2))
+
+
+@query(f"WITH {COHEN} {ROWS} FROM traj WHERE trajectory IN (SELECT trajectory FROM cohen WHERE abs(d) <= 0.2)")
+def filter_snr_bad(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rows(groups.filter_snr(views.trajectories(spark, sf_dir), 0.2, bad=True))
+
+
+EVENTS = TRAJ + """, nx AS (SELECT trajectory, CASE WHEN lead(fit, 1, 0) OVER (PARTITION BY trajectory ORDER BY slice) <> fit THEN 1 ELSE 0 END AS ch FROM traj), ev AS (SELECT trajectory, sum(ch) / 2.0 AS events FROM nx GROUP BY 1)"""
+
+
+@query(f"WITH {EVENTS} SELECT trajectory, CAST(events AS DOUBLE) AS events FROM ev")
+def event_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return events.event_counts(views.trajectories(spark, sf_dir)).select(*long("trajectory"), r("events"))
+
+
+@query(f"WITH {EVENTS} {ROWS} FROM traj WHERE trajectory IN (SELECT trajectory FROM ev WHERE events >= 16)")
+def filter_inactive(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rows(groups.filter_inactive(views.trajectories(spark, sf_dir), 16.0))
+
+
+@query(f"WITH {EVENTS} {ROWS} FROM traj WHERE trajectory IN (SELECT trajectory FROM ev WHERE events <= 16)")
+def inactive_complement(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rows(groups.filter_inactive(views.trajectories(spark, sf_dir), 16.0, inactive=True, legacy=True))
+
+
+@query(f"WITH {RUNS} SELECT trajectory, CAST(max(len) AS BIGINT) AS longest FROM runs WHERE run_id % 2 = 0 GROUP BY 1")
+def longest_even_run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return events.longest_even_run(views.trajectories(spark, sf_dir)).select(*long("trajectory", "longest"))
+
+
+@query(f"WITH {RUNS} {ROWS} FROM traj WHERE trajectory NOT IN (SELECT trajectory FROM runs WHERE state = 1 AND len > 6)")
+def filter_long_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rows(events.filter_long_runs(views.trajectories(spark, sf_dir), 6))
+
+
+@query(f"WITH {TRAJ} {ROWS} FROM traj WHERE trajectory IN (1, 2, 3, 5, 8)")
+def select_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rows(groups.select_events(views.trajectories(spark, sf_dir), [1, 2, 3, 5, 8]))
+
+
+@query(f'WITH {TRAJ} {ROWS} FROM traj WHERE trajectory IN (1, 2, 3, 5, 8) AND fit <> 0 AND "Intensity" <> 0 AND seconds <> 0')
+def select_events_legacy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rows(groups.select_events(views.trajectories(spark, sf_dir), [1, 2, 3, 5, 8], legacy=True))
+
+
+@query(kept("count(*) >= 66"))
+def filter_min_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rows(groups.filter_min_rows(views.trajectories(spark, sf_dir), 66))
+
+
+PULSE_ROWS = "SELECT trajectory, state, dur, round(mean, 6) AS mean, round(sd, 6) AS std, CAST(s AS BIGINT) AS start_frame, CAST(e AS BIGINT) AS end_frame FROM pulses"
+
+
+def pulse_rows(df: DataFrame) -> DataFrame:
+    return df.withColumnRenamed("Intensity", "mean").select(*long("trajectory"), "state", r("dur"), r("mean"), r("std"), *long("start_frame", "end_frame"))
+
+
+@query(f"WITH {PULSES} {PULSE_ROWS} WHERE trajectory NOT IN (SELECT trajectory FROM pulses GROUP BY 1 HAVING max(dur) > (SELECT avg(dur) + 5.0 * stddev_samp(dur) FROM pulses))")
+def filter_by_length(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pulse_rows(groups.filter_by_length(events.pulses(views.trajectories(spark, sf_dir))))
+
+
+@query(f"WITH {PULSES} SELECT trajectory, max(dur) AS dur FROM pulses GROUP BY 1 HAVING max(dur) > 7")
+def max_length(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return groups.max_length(events.pulses(views.trajectories(spark, sf_dir)), 7).select(*long("trajectory"), r("dur"))
+
+
+# --- trajectories: column transforms
+
+@query(f"WITH {TRAJ} SELECT trajectory, CAST(slice AS BIGINT) AS slice, CAST(row_number() OVER (PARTITION BY trajectory ORDER BY slice) - 1 AS BIGINT) AS time FROM traj")
+def add_time(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return columns.add_time(views.trajectories(spark, sf_dir), key="trajectory").select(*long("trajectory", "slice", "time"))
+
+
+@query(f'WITH {TRAJ} SELECT trajectory, CAST(slice AS BIGINT) AS slice, round("Intensity" / nullif(max("Intensity") OVER (PARTITION BY trajectory), 0), 6) AS norm FROM traj')
+def normalize(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return columns.normalize(views.trajectories(spark, sf_dir)).withColumnRenamed("norm_Intensity", "norm").select(*long("trajectory", "slice"), r("norm"))
+
+
+@query(f"WITH {TRAJ} SELECT trajectory, CAST(slice AS BIGINT) AS slice, round(CAST(slice * 0.25 AS DOUBLE), 6) AS secs FROM traj")
+def calibrate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return columns.calibrate(views.trajectories(spark, sf_dir), 0.25).select(*long("trajectory", "slice"), r("seconds").alias("secs"))
+
+
+@query(f'WITH {TRAJ} SELECT trajectory, CAST(slice AS BIGINT) AS slice, round(CASE WHEN count(*) OVER w = 5 THEN avg("Intensity") OVER w END, 6) AS smooth FROM traj WINDOW w AS (PARTITION BY trajectory ORDER BY slice ROWS BETWEEN 4 PRECEDING AND CURRENT ROW)')
+def smooth_window(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return columns.smooth(views.trajectories(spark, sf_dir), width=5).withColumnRenamed("smooth_Intensity", "smooth").select(*long("trajectory", "slice"), r("smooth"))
+
+
+@query(f"""WITH {TRAJ}, s AS (SELECT trajectory, slice, (-3 * lag("Intensity", 2) OVER w + 12 * lag("Intensity", 1) OVER w + 17 * "Intensity" + 12 * lead("Intensity", 1) OVER w - 3 * lead("Intensity", 2) OVER w) / 35.0 AS v FROM traj WINDOW w AS (PARTITION BY trajectory ORDER BY slice))
+SELECT trajectory, CAST(slice AS BIGINT) AS slice, round(v, 6) AS smooth FROM s WHERE v IS NOT NULL""")
+def savgol_interior(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = columns.smooth(views.trajectories(spark, sf_dir), width=5, method="savgol", polyorder=2)
+    last = df.groupBy("trajectory").agg(F.max("slice").alias("last"))
+    inner = df.join(last, "trajectory").where("slice >= 2 and slice <= last - 2").withColumnRenamed("smooth_Intensity", "smooth")
+    return inner.select(*long("trajectory", "slice"), r("smooth"))
+
+
+@query(f'WITH {RUNS} SELECT trajectory, CAST(slice AS BIGINT) AS slice, CAST(fit - lag(fit) OVER (PARTITION BY trajectory ORDER BY slice) AS BIGINT) AS diff, CAST(run_id AS BIGINT) AS runs FROM numbered')
+def diff_cumsum_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return columns.diff_and_runs(views.trajectories(spark, sf_dir), "fit").select(*long("trajectory", "slice", "diff", "runs"))
+
+
+@query(f"WITH {TRAJ} SELECT trajectory, CAST(slice AS BIGINT) AS slice, CASE fit WHEN 0 THEN 10.5 WHEN 1 THEN 60.25 END::DOUBLE AS mapped FROM traj")
+def map_states(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return columns.map_states(views.trajectories(spark, sf_dir), [10.5, 60.25], name="mapped").select(*long("trajectory", "slice"), r("mapped"))
+
+
+# --- events
+
+@query(f"WITH {RUNS} SELECT trajectory, CAST(run_id AS BIGINT) AS run_id, CASE WHEN run_id % 2 = 0 THEN 'on' ELSE 'off' END AS kind, CAST(len AS BIGINT) AS dwell FROM runs")
+def rle_dwelltimes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return events.rle_dwelltimes(views.trajectories(spark, sf_dir)).select(*long("trajectory", "run_id"), "kind", *long("dwell"))
+
+
+@query(f"WITH {DWELLS} SELECT trajectory, kind, CAST(run_id AS BIGINT) AS run_id, round(dwell, 6)::DOUBLE AS dwell FROM dwells")
+def dwell_on_off(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return events.dwell_times(views.trajectories(spark, sf_dir)).select(*long("trajectory"), "kind", *long("run_id"), r("dwell"))
+
+
+def summary_sql(f: str) -> str:
+    return f"WITH {DWELLS} SELECT trajectory, round({f}(dwell) FILTER (kind = 'on'), 6)::DOUBLE AS on_dwells, round({f}(dwell) FILTER (kind = 'off'), 6)::DOUBLE AS off_dwells, CAST(count(*) FILTER (kind = 'on') AS BIGINT) AS n FROM dwells GROUP BY 1 HAVING count(*) FILTER (kind = 'on') > 0"
+
+
+def summary(spark: SparkSession, sf_dir: str, method: str) -> DataFrame:
+    return events.dwell_summary(events.dwell_times(views.trajectories(spark, sf_dir)), method).select(*long("trajectory"), r("on_dwells"), r("off_dwells"), F.col("N").cast("long").alias("n"))
+
+
+@query(summary_sql("avg"))
+def dwell_summary_mean(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return summary(spark, sf_dir, "mean")
+
+
+@query(summary_sql("median"))
+def dwell_summary_median(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return summary(spark, sf_dir, "median")
+
+
+@query(f"""WITH {DWELLS}, k AS (SELECT *, row_number() OVER (PARTITION BY kind ORDER BY trajectory, run_id) AS rn FROM dwells)
+SELECT CAST(a.rn AS BIGINT) AS pair, a.dwell::DOUBLE AS on_dwells, b.dwell::DOUBLE AS off_dwells, a.trajectory FROM k AS a JOIN k AS b ON a.rn = b.rn WHERE a.kind = 'on' AND b.kind = 'off'""")
+def dwell_pairs_legacy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return events.dwell_pairs_legacy(events.dwell_times(views.trajectories(spark, sf_dir))).select(F.col("rank").cast("long").alias("pair"), r("on_dwells"), r("off_dwells"), *long("trajectory"))
+
+
+@query(f"WITH {PULSES} {PULSE_ROWS} WHERE state = 'on'")
+def pulses_on(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pulse_rows(events.pulses(views.trajectories(spark, sf_dir)).where("state = 'on'"))
+
+
+@query(f"WITH {PULSES} {PULSE_ROWS} WHERE state = 'off'")
+def pulses_off(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pulse_rows(events.pulses(views.trajectories(spark, sf_dir)).where("state = 'off'"))
+
+
+PER = PULSES + ", per AS (SELECT state, trajectory, avg(dur) AS m FROM pulses GROUP BY 1, 2)"
+
+
+@query(f"WITH {PER} SELECT state, round(avg(m), 6) AS mean, round(stddev_samp(m) / sqrt(count(m)), 6) AS sem FROM per GROUP BY 1")
+def dwell_sem(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return events.dwell_sem(events.pulses(views.trajectories(spark, sf_dir))).select("state", r("mean"), r("sem"))
+
+
+@query(f"WITH {PER} SELECT state, round(2.0 * (quantile_cont(m, 0.75) - quantile_cont(m, 0.25)) / pow(count(m), 1.0 / 3), 5) AS width FROM per GROUP BY 1")
+def fd_bin_width(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return events.fd_bin_width(events.pulses(views.trajectories(spark, sf_dir))).select("state", r("width", 5))
+
+
+@query(f"""WITH {TRAJ}, b AS (SELECT min("Intensity") AS lo, max("Intensity") AS hi, count("Intensity") AS total FROM traj)
+SELECT CAST(least(floor(("Intensity" - lo) / ((hi - lo) / 100)), 99) AS BIGINT) AS bin, count(*) AS n, round(count(*) / (total * ((hi - lo) / 100)), 6) AS density FROM traj, b WHERE "Intensity" IS NOT NULL GROUP BY 1, total, lo, hi""")
+def histogram_100(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return events.histogram(views.trajectories(spark, sf_dir)).select(*long("bin", "n"), r("density"))
+
+
+# --- models evaluated on the tables
+
+@query(f"""WITH {TRAJ} SELECT trajectory, CAST(slice AS BIGINT) AS slice, round(0.6 * exp(-pow(("Intensity" - 20) / 10.0, 2) / 2) / (10.0 * sqrt(2 * pi())) + 0.4 * exp(-pow(("Intensity" - 70) / 15.0, 2) / 2) / (15.0 * sqrt(2 * pi())), 8) AS pdf FROM traj""")
+def gauss_mixture_pdf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pdf = hmm.normal_density(F.col("Intensity"), 20, 10, 0.6) + hmm.normal_density(F.col("Intensity"), 70, 15, 0.4)
+    return views.trajectories(spark, sf_dir).withColumn("pdf", pdf).select(*long("trajectory", "slice"), r("pdf", 8))
+
+
+@query(f"""WITH {PX}, p AS (SELECT t, y, x, y - 15.5 AS u, x - 14.0 AS v, cos(0.3) AS c, sin(0.3) AS s FROM px)
+SELECT t, y, x, round(3.0 + 100.0 * exp(-((c * c / 18.0 + s * s / 50.0) * u * u + 2 * (sin(0.6) / 100.0 - sin(0.6) / 36.0) * u * v + (s * s / 18.0 + c * c / 50.0) * v * v)), 6) AS g FROM p""")
+def gauss2d_eval(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return views.pixels(spark, sf_dir).withColumn("g", frames.gaussian_2d("y", "x", 100, 15.5, 14, 3, 5, 0.3, 3)).select(*long("t", "y", "x"), r("g"))
+
+
+# --- peaks
+
+def channel(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return views.peaks(spark, sf_dir).where(F.col("channel") == name)
+
+
+@query(f"""WITH {PK}, b AS (SELECT peak_id, x - 2 AS r0, y - 2 AS c0, x + 2 AS r1, y + 2 AS c1 FROM pk)
+SELECT peak_id, CAST(0 AS BIGINT) AS corner, round(r0, 6) AS r, round(c0, 6) AS c FROM b UNION ALL SELECT peak_id, 1, round(r1, 6), round(c0, 6) FROM b UNION ALL SELECT peak_id, 2, round(r1, 6), round(c1, 6) FROM b UNION ALL SELECT peak_id, 3, round(r0, 6), round(c1, 6) FROM b""")
+def bbox_corners(spark: SparkSession, sf_dir: str) -> DataFrame:
+    boxes = views.peaks(spark, sf_dir).select("peak_id", (F.col("x") - 2).alias("minr"), (F.col("y") - 2).alias("minc"), (F.col("x") + 2).alias("maxr"), (F.col("y") + 2).alias("maxc"))
+    return spatial.bbox_corners(boxes).select(*long("peak_id", "corner"), r("r"), r("c"))
+
+
+@query(f"WITH {PAIRS} SELECT a_id AS peak_id, b_id AS near_id, round(d, 6) AS d FROM na")
+def nn_threshold_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spatial.nn_threshold_join(channel(spark, sf_dir, "0"), channel(spark, sf_dir, "1"), RADIUS).select(*long("peak_id", "near_id"), r("d"))
+
+
+@query(f"WITH {PAIRS} SELECT na.a_id, na.b_id, round(na.ax, 6) AS ax, round(na.ay, 6) AS ay, round(na.bx, 6) AS bx, round(na.byy, 6) AS by_ FROM nb JOIN na ON nb.a_id = na.a_id")
+def coloc_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = spatial.coloc_pairs(channel(spark, sf_dir, "0"), channel(spark, sf_dir, "1"), RADIUS).withColumnRenamed("by", "by_")
+    return out.select(*long("a_id", "b_id"), r("ax"), r("ay"), r("bx"), r("by_"))
+
+
+@query(f"WITH {PK}{DRIFT.format(other='1')} SELECT gx::DOUBLE AS gx, gy::DOUBLE AS gy, CAST(n AS BIGINT) AS n FROM hits")
+def drift_grid_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spatial.drift_grid(channel(spark, sf_dir, "0"), channel(spark, sf_dir, "1"), **GRID).select(r("gx"), r("gy"), *long("n"))
+
+
+@query(f"WITH {PK}{matches_sql('1')} SELECT a_id, b_id, round(ax, 6) AS ax, round(ay, 6) AS ay, round(bx, 6) AS bx, round(byy, 6) AS by_ FROM out1")
+def drift_undo(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = spatial.drift_matches(channel(spark, sf_dir, "0"), channel(spark, sf_dir, "1"), **GRID).withColumnRenamed("by", "by_")
+    return out.select(*long("a_id", "b_id"), r("ax"), r("ay"), r("bx"), r("by_"))
+
+
+@query(f"WITH {PK}{matches_sql('1')}{matches_sql('2')} SELECT p.a_id AS id0, p.b_id AS id1, q.b_id AS id2 FROM out1 AS p JOIN out2 AS q ON p.a_id = q.a_id")
+def coloc_n_channels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = spatial.coloc_n_channels([channel(spark, sf_dir, k) for k in "012"], **GRID)
+    return out.select(F.col("0_id").alias("id0"), F.col("1_id").alias("id1"), F.col("2_id").alias("id2"))
+
+
+@query(f"WITH {PK} SELECT peak_id, channel, round(x, 6) AS x, round(y, 6) AS y FROM pk AS a WHERE NOT EXISTS (SELECT 1 FROM pk AS b WHERE sqrt(pow(a.x - b.x, 2) + pow(a.y - b.y, 2)) > 0 AND sqrt(pow(a.x - b.x, 2) + pow(a.y - b.y, 2)) < 10)")
+def isolation_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spatial.isolated(views.peaks(spark, sf_dir), 10.0).select(*long("peak_id"), "channel", r("x"), r("y"))
+
+
+@query(f"WITH {PK} SELECT peak_id, channel, round(x, 6) AS x, round(y, 6) AS y FROM pk WHERE x > 200 AND x < 320 AND y > 200 AND y < 320")
+def roi_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spatial.roi_filter(views.peaks(spark, sf_dir), (200, 200, 320, 320)).select(*long("peak_id"), "channel", r("x"), r("y"))
+
+
+# --- pixels
+
+def projection(method: str, sql: str) -> None:
+    def f(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return frames.project(views.pixels(spark, sf_dir), method).select(*long("y", "x"), r("value"))
+
+    f.__name__ = f"project_{method}"
+    query(f"WITH {PX} SELECT y, x, round(CAST({sql} AS DOUBLE), 6) AS value FROM px GROUP BY y, x")(f)
+
+
+for _method, _sql in (("mean", "avg(value)"), ("std", "stddev_pop(value)"), ("var", "var_pop(value)"), ("max", "max(value)"), ("min", "min(value)"), ("sum", "sum(value)"), ("argmax", "arg_max(t, [value, -t])")):
+    projection(_method, _sql)
+
+
+@query(f"""WITH {PX} SELECT a.t, a.y, a.x, round(coalesce(b.value, 0.0), 6) AS value FROM px AS a LEFT JOIN px AS b ON a.t = b.t AND b.y = a.y + (a.t % 4 - 1) AND b.x = a.x + (a.t % 3 - 1)""")
+def integer_shift(spark: SparkSession, sf_dir: str) -> DataFrame:
+    px = views.pixels(spark, sf_dir)
+    shifts = px.select("t").distinct().select("t", (F.col("t") % 4 - 1).alias("dr"), (F.col("t") % 3 - 1).alias("dc"))
+    return frames.integer_shift(px, shifts, views.HEIGHT, views.WIDTH).select(*long("t", "y", "x"), r("value"))
+
+
+def integrate_sql(dx: int, dy: int) -> str:
+    return f"""WITH {PX}, {PK}, p AS (SELECT peak_id, CAST(trunc(x) AS BIGINT) % 32 AS x, CAST(trunc(y) AS BIGINT) % 32 AS y FROM pk WHERE channel = '0'),
+s AS (SELECT peak_id, p.x, p.y, t, sum(CASE WHEN abs(px.y - p.x - {dx}) <= 1 AND abs(px.x - p.y - {dy}) <= 1 THEN value ELSE 0.0 END) AS own, sum(value) AS every FROM p JOIN px ON px.y BETWEEN p.x + {dx} - 3 AND p.x + {dx} + 3 AND px.x BETWEEN p.y + {dy} - 3 AND p.y + {dy} + 3 GROUP BY 1, 2, 3, 4)
+SELECT peak_id AS trajectory, CAST(t AS BIGINT) AS slice, round(own - (every - own) / 40 * 9, 5) AS intensity, round((every - own) / 40, 5) AS bg, x, y FROM s"""
+
+
+def integrate(spark: SparkSession, sf_dir: str, dx: int, dy: int) -> DataFrame:
+    place = lambda c: (F.col(c).cast("long") % 32).cast("double").alias(c)
+    peaks = channel(spark, sf_dir, "0").select("peak_id", place("x"), place("y"))
+    out = frames.roi_integrate(views.pixels(spark, sf_dir), peaks, 1, 2, dx, dy).withColumnRenamed("Intensity", "intensity")
+    return out.select(*long("trajectory", "slice"), r("intensity", 5), r("bg", 5), *long("x", "y"))
+
+
+@query(integrate_sql(0, 0))
+def roi_integrate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return integrate(spark, sf_dir, 0, 0)
+
+
+@query(integrate_sql(2, -1))
+def roi_integrate_drift(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return integrate(spark, sf_dir, 2, -1)
+
+
+# --- segments
+
+SEGMENTS = TRAJ + ', seg AS (SELECT trajectory, slice, slice // 7 AS segment, "Intensity" AS v FROM traj)'
+
+
+@query(f"WITH {SEGMENTS} SELECT trajectory, CAST(slice AS BIGINT) AS slice, CAST(segment AS BIGINT) AS segment, round(avg(v) OVER (PARTITION BY trajectory, segment), 6) AS seg FROM seg")
+def piecewise_constant(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = views.trajectories(spark, sf_dir)
+    return segments.build_segments(df, segments.fixed_change_points(df, 7)).select(*long("trajectory", "slice", "segment"), r("seg"))
+
+
+@query(f"WITH {SEGMENTS} SELECT trajectory, CAST(slice AS BIGINT) AS slice, CAST(segment AS BIGINT) AS segment, round(CASE WHEN count(*) OVER w > 1 THEN regr_slope(v, slice) OVER w * slice + regr_intercept(v, slice) OVER w ELSE v END, 5) AS seg FROM seg WINDOW w AS (PARTITION BY trajectory, segment)")
+def piecewise_linear(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = views.trajectories(spark, sf_dir)
+    return segments.build_segments(df, segments.fixed_change_points(df, 7), "piecew_l").select(*long("trajectory", "slice", "segment"), r("seg", 5))
+
+
+@query()
+def changepoints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return segments.change_points(views.trajectories(spark, sf_dir), penalty=1.0)
+
+
+# --- hidden Markov models
+
+MODEL = hmm.Hmm(np.array([0.5, 0.5]), np.array([[0.8, 0.2], [0.3, 0.7]]), np.array([30.0, 90.0]), np.array([400.0, 900.0]))
+
+
+@query()
+def hmm_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hmm.decode(views.trajectories(spark, sf_dir), MODEL)
+
+
+@query()
+def hmm_train(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The parameters after training, a row for each state."""
+    df = views.trajectories(spark, sf_dir)
+    m, logl = hmm.train_hmm(df, MODEL, rounds=5)
+    here = df.agg(F.count(F.lit(1)).alias("rows"))
+    table = F.array(*[F.struct(F.lit(k).alias("state"), F.lit(float(m.start[k])).alias("start"), F.lit(float(m.means[k])).alias("mean"), F.lit(float(m.variances[k])).alias("variance"), F.lit(float(m.move[k, k])).alias("stay"), F.lit(logl).alias("logl")) for k in range(2)])
+    return here.select("rows", F.inline(table))
+
+
+# --- images
+
+@query()
+def flat_field(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return frames.flat_field(views.frames(spark, sf_dir), sigma=4.0)
+
+
+@query()
+def xcorr_shift(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return frames.frame_shifts(views.frames(spark, sf_dir))
+
+
+@query()
+def drift_correct(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return frames.drift_correct(views.frames(spark, sf_dir))
+
+
+@query()
+def blob_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return frames.find_blobs(views.frames(spark, sf_dir), max_sigma=5, num_sigma=5, threshold=5.0)
+
+
+@query()
+def peak_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    movie = views.frames(spark, sf_dir)
+    first = movie.where("t = 0")
+    blobs = frames.find_blobs(first, max_sigma=5, num_sigma=5, threshold=5.0)
+    return frames.fit_spots(first, blobs, 3)
+
+
+# --- what plots need
+
+@query(f"WITH {TRAJ} SELECT DISTINCT trajectory FROM traj")
+def distinct_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return views.trajectories(spark, sf_dir).select("trajectory").distinct()
+
+
+@query(f'WITH {TRAJ} SELECT trajectory, "Intensity" AS first_intensity, CAST(fit AS BIGINT) AS first_fit FROM traj WHERE slice = 0')
+def first_xy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = segments.first_place(views.trajectories(spark, sf_dir), ["Intensity", "fit"])
+    return out.select(*long("trajectory"), F.col("Intensity").alias("first_intensity"), F.col("fit").cast("long").alias("first_fit"))
+
+
+@query("SELECT user_id AS trajectory, CAST((dense_rank() OVER (ORDER BY user_id) - 1) // 9 AS BIGINT) AS page FROM events GROUP BY user_id")
+def page_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spatial.page_ids(views.read(spark, sf_dir, "events").select(F.col("user_id").alias("trajectory")), "trajectory", 9)
