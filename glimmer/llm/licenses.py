@@ -105,3 +105,20 @@ def notices(spark: SparkSession) -> DataFrame:
 
 def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan(table(spark, sf_dir, "documents"), notices(spark))
+
+
+_SPLIT = "list_filter(string_split_regex(lower(coalesce(text, '')), '[^a-z0-9]+'), lambda w: w <> '')"
+_SHINGLED = "CASE WHEN len(w) >= 5 THEN list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) ELSE [] END"
+#: The same result by brute force: every window that holds a shingle of a template, without MinHash.
+ORACLE_SQL = f"""WITH tpl(license, text) AS (VALUES {", ".join("('{}', '{}')".format(n, t.replace("'", "''")) for n, t in NOTICES)}),
+t AS (SELECT license, sh, len(sh) AS t, list_distinct(sh) AS own FROM (SELECT license, {_SHINGLED} AS sh FROM (SELECT license, {_SPLIT} AS w FROM tpl))),
+d AS (SELECT doc_id, {_SHINGLED} AS sh FROM (SELECT doc_id, {_SPLIT} AS w FROM documents)),
+e AS (SELECT doc_id, unnest(sh) AS shingle, generate_subscripts(sh, 1) - 1 AS place FROM d),
+sizes AS (SELECT DISTINCT t, unnest(own) AS shingle FROM t),
+h AS (SELECT doc_id, place, t, greatest(1, t // 8) AS step FROM e JOIN sizes USING (shingle)),
+s AS (SELECT DISTINCT doc_id, t, unnest(range(CAST(ceil(greatest(0, place - t + 1) / step) AS BIGINT), place // step + 1)) * step AS start FROM h),
+b AS (SELECT doc_id, t, start, greatest(0, start - CAST(ceil(t / 4) AS BIGINT)) AS low, start + t + CAST(ceil(t / 4) AS BIGINT) AS high FROM s),
+m AS (SELECT doc_id, license, low, len(own) AS shingles, list_filter(list_transform(own, lambda x: list_position(d.sh[low + 1:high], x)), lambda p: p > 0) AS places FROM b JOIN d USING (doc_id) JOIN t USING (t)),
+k AS (SELECT doc_id, license, len(places) AS matched, shingles, low + list_min(places) - 1 AS first_word FROM m WHERE 100 * len(places) >= {PERCENT} * shingles),
+r AS (SELECT *, row_number() OVER (PARTITION BY doc_id, license ORDER BY matched DESC, first_word) AS n FROM k)
+SELECT doc_id, license, CAST(matched AS BIGINT) AS matched, CAST(shingles AS BIGINT) AS shingles, CAST(first_word AS BIGINT) AS first_word FROM r WHERE n = 1"""

@@ -10,6 +10,7 @@ from glimmer.llm.bpe import op2_bpe
 from glimmer.llm.chat import op1_chat_format
 from glimmer.llm.chunks import op7_fingerprints
 from glimmer.llm.embed import op9_embedding_dedup
+from glimmer.llm.licenses import ORACLE_SQL as LICENSES_SQL
 from glimmer.llm.licenses import op10_licenses
 from glimmer.llm.lm import op3_lm_scores
 from glimmer.llm.minhash import op6_minhash
@@ -19,4 +20,4 @@ from glimmer.llm.toxicity import op5_toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_chat_format, op2_bpe, op3_lm_scores, op4_quality, op5_toxicity, op6_minhash, op7_fingerprints, op8_packing, op9_embedding_dedup, op10_licenses)}
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op10_licenses": LICENSES_SQL}
