@@ -204,6 +204,8 @@ def segment_costs(x: np.ndarray, cost: str) -> Callable[[int, int], float]:
 
 def binary_segmentation(x: np.ndarray, penalty: float, cost: str = "rbf", jump: int = 5, least: int = 2) -> list[int]:
     """Ends (exclusive) of the segments: the best split of any segment, again and again, while it gains more than the penalty."""
+    if not len(x):
+        return []
     of, ends = segment_costs(np.asarray(x, float), cost), [0, len(x)]
 
     def best(a: int, b: int) -> tuple[float, int]:
@@ -212,7 +214,7 @@ def binary_segmentation(x: np.ndarray, penalty: float, cost: str = "rbf", jump:
         gain, k = max(gains, default=(0.0, 0))
         return gain, -k
 
-    splits = {(0, len(x)): best(0, len(x))} if len(x) else {}
+    splits = {(0, len(x)): best(0, len(x))}
     while splits:
         (a, b), (gain, k) = max(splits.items(), key=lambda s: (s[1][0], -s[0][0]))
         if gain <= penalty:

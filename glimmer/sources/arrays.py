@@ -1,0 +1,34 @@
+"""A reader for movies kept as ``.npy`` files (T, C, Z, Y, X): one row a frame."""
+
+from __future__ import annotations
+
+import io
+from collections.abc import Iterator
+
+import numpy as np
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from glimmer.schemas import FRAMES
+
+
+def array_frames(spark: SparkSession, paths: str | list[str], dtype: str = "float32") -> DataFrame:
+    """Frames of ``.npy`` files; image_id numbers the files by path. Files come through Spark's reader, from any store it knows.
+
+    Arrays of fewer dimensions are taken as (Y, X), (T, Y, X) or (T, C, Y, X). A file must fit in a worker's memory.
+    """
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.npy").load(paths).select("path", "content")
+    names = sorted(r["path"] for r in files.select("path").collect())  # one short row a file
+
+    def run(parts: Iterator) -> Iterator:
+        import pandas as pd
+
+        for part in parts:
+            for path, content in zip(part["path"], part["content"], strict=True):
+                movie = np.load(io.BytesIO(content), allow_pickle=False).astype(dtype)
+                shape = {2: (1, 1, 1), 3: (movie.shape[0], 1, 1), 4: (*movie.shape[:2], 1), 5: movie.shape[:3]}[movie.ndim]
+                movie = movie.reshape(*shape, *movie.shape[-2:])
+                for t in range(shape[0]):
+                    yield pd.DataFrame([(names.index(path), t, c, z, *movie.shape[-2:], movie[t, c, z].ravel().astype(np.float32)) for c in range(shape[1]) for z in range(shape[2])], columns=["image_id", "t", "c", "z", "height", "width", "pixels"])
+
+    return files.repartition(max(1, len(names)), F.col("path")).mapInPandas(run, FRAMES)
