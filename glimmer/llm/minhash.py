@@ -3,9 +3,12 @@
 A text's set holds its distinct shingles. One hash deals the shingles to bins and gives each bin its least value; an
 empty bin takes that of another one, chosen by a fixed random order of its own. Bands of bins make bucket keys. Texts of
 equal sets are one node from here on. In every bucket each member is compared with one pivot, so candidates grow with
-the members, not with their pairs. A pivot has then met all of its bucket and leaves it; buckets whose members are not
-all linked by then get more pivots, round after round, until none has two unlinked members that have not met. So no
-link between members of a bucket is lost. Pairs are confirmed on their full sets.
+the members, not with their pairs, and pairs are confirmed on their full sets. Buckets whose members are not all
+connected by then may still hide links. Their members get new, sharper buckets, one for each shingle of a prefix: in an
+order by rarity, two sets of similarity s share a shingle among the first (1 - s) n + 1 of the larger and the first
+(1 - 2 s / (1 + s)) n + 1 of the smaller one, so no link is lost, while what many texts have in common stands last.
+There, the smaller ones are pivots for the larger, some each round, until no bucket has an unused pivot and two
+unconnected members.
 """
 
 from __future__ import annotations
@@ -88,6 +91,29 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.where(F.lit(100) * F.col("common") >= F.lit(percent) * (F.col("na") + F.col("nb") - F.col("common"))).select("a", "b")
 
 
+def _prefixes(open_rows: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The open nodes again, in a bucket for each shingle of their prefixes; buckets of one node or one component are left out.
+
+    Shingles that one node has alone come first and make no pairs: they only use up the prefix.
+    """
+    nodes = open_rows.groupBy("node").agg(F.min("label").alias("label"))
+    held = sets.join(nodes.select(F.col("node").alias("id")), "id", "left_semi").select("id", F.xxhash64("members").alias("which"), F.size("members").alias("size"), F.explode("members").alias("key"))
+    often = held.groupBy("key").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
+    common = held.join(often, "key").groupBy("id", "which", "size").agg(F.sort_array(F.collect_list(F.struct("df", "key"))).alias("rest"))
+    alone = F.col("size") - F.size("rest")
+    room = F.col("size") - F.ceil(F.col("size") * percent / 100).cast("int") + 1 - alone
+    first = F.col("size") - F.ceil(F.col("size") * (2 * percent) / (100 + percent)).cast("int") + 1 - alone
+    keys = common.where(room > 0).select(F.col("id").alias("node"), F.col("size").alias("n"), first.alias("first"), F.posexplode(F.slice("rest", F.lit(1), room)).alias("at", "r"))
+    placed = keys.groupBy("node", "n", F.col("r.key").alias("key")).agg(F.max(F.col("at") < F.col("first")).alias("pivot"))
+    return _still_open(cut(placed.join(nodes, "node").withColumn("least", F.col("n"))))
+
+
+def _still_open(rows: DataFrame) -> DataFrame:
+    """The rows of the buckets that have an unused pivot and members that aren't all connected."""
+    apart = rows.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.max("pivot").alias("any")).where("low <> high and any").select("key")
+    return cut(rows.join(apart, "key").select("key", "node", "n", "least", "label", "pivot"))
+
+
 def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """doc_id, n_shingles, component_id (smallest doc_id reachable by links), kept (doc_id = component_id), one row for each row.
 
@@ -103,37 +129,38 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT,
     firsts = members.where("doc_id = node").select("node")
     placed = sized.join(firsts, sized.doc_id == firsts.node).select(F.explode("keys").alias("key"), "node", F.col("n_shingles").alias("n"))
     shared = placed.groupBy("key").agg(F.count(F.lit(1)).alias("many")).where("many > 1").select("key")
-    open_rows = cut(placed.join(shared, "key").groupBy("key", "node").agg(F.max("n").alias("n"), F.min("n").alias("least")))
+    rows_of = placed.join(shared, "key").groupBy("key", "node").agg(F.max("n").alias("n"), F.min("n").alias("least"))
+    open_rows = cut(rows_of.withColumn("label", F.col("node")).withColumn("pivot", F.lit(True)))
     wanted = open_rows.groupBy("node").agg(F.lit(1).alias("one")).select(F.col("node").alias("doc_id"))
     sets = cut(docs.join(wanted, "doc_id", "left_semi").mapInArrow(_sets(words), "id long, members array<long>"))
-    same = members.where("doc_id <> node").select(F.col("doc_id").alias("a"), F.col("node").alias("b"))
-    links, labels, pivots = same.limit(0), None, 1
+    # a doc_id with several texts ties their nodes
+    several = members.groupBy("doc_id").agg(F.min("node").alias("a"), F.max("node").alias("z"), F.count(F.lit(1)).alias("many")).where("many > 1")
+    links = members.join(several.select("doc_id", "a"), "doc_id").select("a", F.col("node").alias("b"))
+    pivots, graph, sharp = 1, None, False
     while open_rows.limit(1).count():
-        if labels is None:
-            rows_ = open_rows.withColumn("label", F.col("node"))
-        else:
-            to = labels.select(F.col("id").alias("node"), "label")
-            rows_ = open_rows.join(to, "node", "left").withColumn("label", F.coalesce("label", "node"))
-            apart = rows_.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("key")
-            rows_ = cut(rows_.join(apart, "key"))
-        chosen = rows_.groupBy("key", F.pmod(F.xxhash64("node", F.lit(pivots)), F.lit(pivots)).alias("part")).agg(F.min(F.struct("node", "label", "n", "least")).alias("p"))
+        part = F.pmod(F.xxhash64("node", F.lit(pivots)), F.lit(pivots)).alias("part")
+        chosen = open_rows.where("pivot").groupBy("key", part).agg(F.min(F.struct("node", "label", "n", "least")).alias("p"))
         chosen = cut(chosen.select("key", *[F.col(f"p.{c}").alias(f"p_{c}") for c in ("node", "label", "n", "least")]))
-        met = rows_.join(chosen, "key").where((F.col("node") != F.col("p_node")) & (F.col("label") != F.col("p_label")))
+        met = open_rows.join(chosen, "key").where((F.col("node") != F.col("p_node")) & (F.col("label") != F.col("p_label")))
+        if sharp:
+            met = met.where(F.struct("p_n", "p_node") < F.struct("n", "node"))
         # sets whose sizes differ by more can't reach the similarity
         met = met.where((F.col("n") * 100 >= F.col("p_least") * percent) & (F.col("p_n") * 100 >= F.col("least") * percent))
         pairs = met.groupBy(F.least("node", "p_node").alias("a"), F.greatest("node", "p_node").alias("b")).agg(F.lit(1).alias("one")).select("a", "b")
         links = cut(links.unionByName(_confirmed(pairs, sets, percent)))
-        labels = components(links)
-        left = rows_.select("key", "node", "n", "least").join(chosen.select("key", F.col("p_node").alias("node")), ["key", "node"], "left_anti")
-        to = labels.select(F.col("id").alias("node"), "label")
-        left = left.join(to, "node", "left").withColumn("label", F.coalesce("label", "node"))
-        left = cut(left)
-        apart = left.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("key")
-        open_rows = cut(left.join(apart, "key").select("key", "node", "n", "least"))
-        pivots *= 4
-    graph = components(links.unionByName(same)) if labels is not None else components(same)
-    of = graph.select(F.col("id").alias("doc_id"), F.col("label").alias("found"))
-    out = known.select("doc_id", "n_shingles").join(of, "doc_id", "left").withColumn("component_id", F.coalesce("found", "doc_id"))
+        graph = components(links)
+        of = graph.select(F.col("id").alias("node"), F.col("label").alias("found"))
+        used = chosen.select("key", F.col("p_node").alias("node"), F.col("p_n").alias("n"), F.lit(True).alias("used"))
+        left = open_rows.join(used, ["key", "node", "n"], "left").join(of, "node", "left")
+        left = cut(left.select("key", "node", "n", "least", F.coalesce("found", "label").alias("label"), (F.col("pivot") & F.col("used").isNull()).alias("pivot")))
+        open_rows = _still_open(left)
+        if sharp:
+            pivots *= 8
+        elif open_rows.limit(1).count():
+            open_rows, sharp = _prefixes(open_rows, sets, percent), True
+    found = (graph or components(links)).select(F.col("id").alias("node"), F.col("label").alias("found"))
+    of = members.groupBy("doc_id").agg(F.min("node").alias("node")).join(found, "node", "left").select("doc_id", F.coalesce("found", "node").alias("component"))
+    out = known.select("doc_id", "n_shingles").join(of, "doc_id", "left").withColumn("component_id", F.coalesce("component", "doc_id"))
     return out.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
 
 
