@@ -103,15 +103,20 @@ def _prefixes(open_rows: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     alone = F.col("size") - F.size("rest")
     room = F.col("size") - F.ceil(F.col("size") * percent / 100).cast("int") + 1 - alone
     first = F.col("size") - F.ceil(F.col("size") * (2 * percent) / (100 + percent)).cast("int") + 1 - alone
-    keys = common.where(room > 0).select(F.col("id").alias("node"), F.col("size").alias("n"), first.alias("first"), F.posexplode(F.slice("rest", F.lit(1), room)).alias("at", "r"))
-    placed = keys.groupBy("node", "n", F.col("r.key").alias("key")).agg(F.max(F.col("at") < F.col("first")).alias("pivot"))
-    return _still_open(cut(placed.join(nodes, "node").withColumn("least", F.col("n"))))
+    prefix = F.transform(F.slice("rest", F.lit(1), F.greatest(room, F.lit(0))), lambda r: r["key"])
+    kept = common.where(room > 0).select(F.col("id").alias("node"), "which", F.col("size").alias("n"), F.col("size").alias("least"), alone.alias("alone"), prefix.alias("prefix"), first.alias("first"))
+    placed = kept.select("*", F.posexplode("prefix").alias("at", "key")).withColumn("pivot", F.col("at") < F.col("first")).withColumn("first", F.greatest("first", F.lit(0)))
+    return _still_open(cut(placed.join(nodes, "node").select(*_OPEN)))
+
+
+#: A row of a bucket: a node's set, its component so far, whether it is yet to be a pivot, and what it has of the prefix order.
+_OPEN = ["key", "node", "which", "n", "least", "label", "pivot", "alone", "prefix", "first"]
 
 
 def _still_open(rows: DataFrame) -> DataFrame:
     """The rows of the buckets that have an unused pivot and members that aren't all connected."""
     apart = rows.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.max("pivot").alias("any")).where("low <> high and any").select("key")
-    return cut(rows.join(apart, "key").select("key", "node", "n", "least", "label", "pivot"))
+    return cut(rows.join(apart, "key").select(*_OPEN))
 
 
 def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
@@ -130,7 +135,7 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT,
     placed = sized.join(firsts, sized.doc_id == firsts.node).select(F.explode("keys").alias("key"), "node", F.col("n_shingles").alias("n"))
     shared = placed.groupBy("key").agg(F.count(F.lit(1)).alias("many")).where("many > 1").select("key")
     rows_of = placed.join(shared, "key").groupBy("key", "node").agg(F.max("n").alias("n"), F.min("n").alias("least"))
-    open_rows = cut(rows_of.withColumn("label", F.col("node")).withColumn("pivot", F.lit(True)))
+    open_rows = cut(rows_of.withColumn("label", F.col("node")).select("*", F.lit(0).cast("long").alias("which"), F.lit(True).alias("pivot"), F.lit(0).alias("alone"), F.array().cast("array<long>").alias("prefix"), F.lit(0).alias("first")).select(*_OPEN))
     wanted = open_rows.groupBy("node").agg(F.lit(1).alias("one")).select(F.col("node").alias("doc_id"))
     sets = cut(docs.join(wanted, "doc_id", "left_semi").mapInArrow(_sets(words), "id long, members array<long>"))
     # a doc_id with several texts ties their nodes
@@ -139,21 +144,25 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT,
     pivots, graph, sharp = 1, None, False
     while open_rows.limit(1).count():
         part = F.pmod(F.xxhash64("node", F.lit(pivots)), F.lit(pivots)).alias("part")
-        chosen = open_rows.where("pivot").groupBy("key", part).agg(F.min(F.struct("node", "label", "n", "least")).alias("p"))
-        chosen = cut(chosen.select("key", *[F.col(f"p.{c}").alias(f"p_{c}") for c in ("node", "label", "n", "least")]))
+        told = ["node", "label", "n", "least", "alone", "which"]
+        chosen = open_rows.where("pivot").groupBy("key", part).agg(F.min(F.struct(*told, F.slice("prefix", F.lit(1), F.col("first")).alias("prefix"))).alias("p"))
+        chosen = cut(chosen.select("key", *[F.col(f"p.{c}").alias(f"p_{c}") for c in (*told, "prefix")]))
         met = open_rows.join(chosen, "key").where((F.col("node") != F.col("p_node")) & (F.col("label") != F.col("p_label")))
         if sharp:
-            met = met.where(F.struct("p_n", "p_node") < F.struct("n", "node"))
+            # what a node has alone isn't shared: at most the rest of either set is
+            rest = F.least(F.col("n") - F.col("alone"), F.col("p_n") - F.col("p_alone"))
+            # and a pair counts in the bucket of the first shingle that its prefixes share
+            met = met.where((F.struct("p_n", "p_node") < F.struct("n", "node")) & (F.get(F.array_intersect("p_prefix", "prefix"), F.lit(0)) == F.col("key")) & (rest * (100 + percent) >= (F.col("n") + F.col("p_n")) * percent))
         # sets whose sizes differ by more can't reach the similarity
         met = met.where((F.col("n") * 100 >= F.col("p_least") * percent) & (F.col("p_n") * 100 >= F.col("least") * percent))
         pairs = met.groupBy(F.least("node", "p_node").alias("a"), F.greatest("node", "p_node").alias("b")).agg(F.lit(1).alias("one")).select("a", "b")
         links = cut(links.unionByName(_confirmed(pairs, sets, percent)))
         graph = components(links)
         of = graph.select(F.col("id").alias("node"), F.col("label").alias("found"))
-        used = chosen.select("key", F.col("p_node").alias("node"), F.col("p_n").alias("n"), F.lit(True).alias("used"))
-        left = open_rows.join(used, ["key", "node", "n"], "left").join(of, "node", "left")
-        left = cut(left.select("key", "node", "n", "least", F.coalesce("found", "label").alias("label"), (F.col("pivot") & F.col("used").isNull()).alias("pivot")))
-        open_rows = _still_open(left)
+        used = chosen.select("key", F.col("p_node").alias("node"), F.col("p_which").alias("which"), F.lit(True).alias("used"))
+        left = open_rows.join(used, ["key", "node", "which"], "left").join(of, "node", "left")
+        left = left.withColumn("label", F.coalesce("found", "label")).withColumn("pivot", F.col("pivot") & F.col("used").isNull())
+        open_rows = _still_open(cut(left.select(*_OPEN)))
         if sharp:
             pivots *= 8
         elif open_rows.limit(1).count():
