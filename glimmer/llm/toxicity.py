@@ -29,6 +29,8 @@ from glimmer.llm.quality import labels_of
 SAMPLE = (4000, 12000)
 #: By how much (in nats) a word's hold on the toxic class must pass what chance gives the best of as many words.
 SURE = 3.0
+#: How many times more often a toxic document has the word than another does, at least: an odds ratio, so the sample's toxic share does not enter.
+ODDS = 6.0
 #: Toxic words, those of them with characters inserted too, other words a round, landmarks, rounds, at most.
 SEEDS, INSERTED, OTHERS, LANDMARKS, ROUNDS = 800, 100, 2000, 400, 4
 REACH, DECAY, COST = 7, 0.5, 4.0
@@ -213,7 +215,10 @@ def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def train(docs: DataFrame, labels: DataFrame) -> tuple[np.ndarray, float] | None:
-    """Learns from a bounded sample of labelled documents, SAMPLE of them; SEEDS words and ROUNDS times OTHERS words reach the driver."""
+    """Learns from a bounded sample of labelled documents, SAMPLE of them; SEEDS words and ROUNDS times OTHERS words reach the driver.
+
+    None where a class is missing or too few rows are toxic for any word to be sure; raises where they would do and no word tells.
+    """
     ids = labels.where("y = 1").orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE[0]).unionByName(labels.where("y = 0").orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE[1]))
     sample = cut(docs.join(F.broadcast(cut(ids)), "doc_id").select("y", "text"))  # sum(SAMPLE) ids at most
     sizes = {r["y"]: r["n"] for r in sample.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
@@ -225,11 +230,15 @@ def train(docs: DataFrame, labels: DataFrame) -> tuple[np.ndarray, float] | None
     often = counts.where("bad >= 3")
     tried = often.count()
     sure = F.col("bad") * F.log(F.col("bad") / (F.col("bad") + F.col("good")) / usual)
-    telling = often.withColumn("sure", sure).where(F.col("sure") > SURE + float(np.log(max(1, tried)))).where(F.col("bad") > 4 * usual * (F.col("bad") + F.col("good")))
+    least = SURE + float(np.log(max(1, tried)))
+    telling = often.withColumn("sure", sure).where(F.col("sure") > least).where(F.col("bad") * sizes[0] > ODDS * sizes[1] * F.col("good"))
     seeds = [r["word"] for r in telling.orderBy(F.desc("sure"), "word").limit(SEEDS).select("word").collect()]
     others = counts.where("good > 0")
     good = [r["word"] for r in others.orderBy(F.xxhash64("word"), "word").limit(OTHERS).select("word").collect()]
     if not seeds or not good:
+        # a word of all toxic documents and no other would be this sure
+        if -sizes[1] * float(np.log(usual)) > least:
+            raise ValueError(f"no word tells {sizes[1]} toxic documents from {sizes[0]} others")
         return None
     hard, told = [], set(seeds)
     for turn in range(ROUNDS):
@@ -253,7 +262,8 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, modulus: int = 5, held:
 
     Labels of ids whose crc32 modulo ``modulus`` is ``held`` are not learnt from. Null and empty texts are scored as a
     window of white space; repeated rows get equal scores; a null doc_id is scored and never held out. Where the
-    labelled rows lack a class or telling words, every score is the labels' smoothed share. Extra columns are ignored.
+    labelled rows lack a class or are too few for any word to tell, every score is the labels' smoothed share; where they
+    are enough and still no word tells, a ValueError is raised. Extra columns are ignored.
     """
     docs = without(docs, "doc_id", "text").withColumn("doc_id", F.col("doc_id").cast("long"))
     labels = labels_of(labels, "toxic").where(crc_remainder(F.col("doc_id"), modulus) != held)
