@@ -8,8 +8,10 @@ behind it cover the whole corpus.
 Model. The vectors of the last CONTEXT units, each weighted elementwise by its place, and the mean of the WINDOW before
 them, weighted likewise, predict a vector; its products with the units' vectors plus biases are logits. Units stand in classes of equal
 size, so the probability of a unit is that of its class times that within the class: two small softmaxes, worked out by
-batched matrix products. Both are trained with noise-contrastive estimation, noise drawn from the unigram counts, on a
-bounded sample of training texts.
+batched matrix products. Both are trained with noise-contrastive estimation, noise drawn from the unigram counts. A bounded
+sample gives the start; then all training texts are learnt from, in TURNS parts: in each, tasks go on from the shared model
+over their own texts, and the means of their parameters, weighted by tokens, are the next shared model. The classes come
+from the company that units keep in all training texts.
 
 Counts of all words are too many to broadcast. Tasks hold the model and the counts of the COUNTED most frequent words,
 which also are the ones that a join would heap up; the counts of the others come by a join on the word.
@@ -18,6 +20,7 @@ which also are the ones that a join would heap up; the counts of the others come
 from __future__ import annotations
 
 from collections.abc import Iterator
+from copy import deepcopy
 from dataclasses import dataclass
 
 import numpy as np
@@ -35,8 +38,12 @@ HEAD, TAILS, CLASSES = 3000, 512, 60
 COUNTED = 150_000
 #: Vector size, places of context, length of the older context, noise samples, epochs, tokens that are scored at once.
 SIZE, CONTEXT, WINDOW, NOISE, EPOCHS, CHUNK = 32, 2, 24, 24, 2, 16384
-#: Training texts, those of the least hashed ids, and their tokens, at most: a bound on the sample the model is fitted to.
-SAMPLE, SAMPLE_TOKENS = 4000, 500_000
+#: Training texts, those of the least hashed ids, their tokens, and tokens of one text, at most: a bound on the sample that training starts with.
+SAMPLE, SAMPLE_TOKENS, SAMPLE_WINDOW = 4000, 500_000, 2000
+#: Parts that all training texts are learnt from in, the learning rate there, tokens of a step.
+TURNS, TURN_RATE, STEP_TOKENS = 2, 0.05, 6000
+#: Frequent units whose company tells classes apart; blocks and groups of tasks that tables of numbers are added up in.
+COMPANY, BLOCKS, GROUPS = 256, 64, 64
 
 
 def tokens(column: pa.Array) -> tuple[pa.Array, np.ndarray]:
@@ -127,15 +134,82 @@ def log10_units(model: Model, units: np.ndarray, first: np.ndarray) -> np.ndarra
     return out / np.log(10)
 
 
-def train(head: list[tuple[str, int]], tails: np.ndarray, end: int, texts: list[np.ndarray], seed: int = 11) -> Model:
-    """From counts of head words, tail units and ends, and sample texts as arrays of units."""
+_LEARNT = ("vectors", "places", "class_out", "class_bias", "unit_out", "unit_bias")
+
+
+@dataclass
+class Fit:
+    """A model, its sums of squared gradients, and the noise: classes, and units within them by their places."""
+
+    model: Model
+    past: dict[str, np.ndarray]
+    class_p: np.ndarray
+    inner_p: np.ndarray
+    inner_noise: np.ndarray  # cumulative, class c from c to c + 1
+
+    def step(self, name: str, at, gradient: np.ndarray, rate: float) -> None:
+        """AdaGrad on some rows (``at``: their numbers, repeated ones added up) or all."""
+        target, past = getattr(self.model, name), self.past[name]
+        if at is not None:
+            by = np.argsort(at, kind="stable")
+            starts = np.flatnonzero(np.diff(at[by], prepend=-1))
+            rows, summed = at[by][starts], np.add.reduceat(gradient[by], starts, axis=0)
+            past[rows] += summed**2
+            target[rows] += rate * summed / np.sqrt(past[rows])
+        else:
+            past += gradient**2
+            target += rate * gradient / np.sqrt(past)
+
+    def learn(self, units: np.ndarray, first: np.ndarray, rate: float, rng: np.random.Generator) -> None:
+        """One step over texts (units, ``first`` their bounds)."""
+        model, class_p, width = self.model, self.class_p, self.model.width
+        h = contexts(model, units, first)
+        place = model.order[units]
+        own = place // width
+        # against noise: the logit of data is the model's minus log(NOISE * noise probability)
+        noise = np.searchsorted(np.cumsum(class_p), rng.random(NOISE) * class_p.sum()).clip(max=len(class_p) - 1)
+        back, rows, grads = _contrast(h, own, noise, model.class_out, model.class_bias, np.log(NOISE * class_p))
+        self.step("class_out", rows, grads[0], rate)
+        self.step("class_bias", rows, grads[1], rate)
+        # within classes the noise comes from the token's own class
+        drawn = np.searchsorted(self.inner_noise, own[:, None] + rng.random((len(own), NOISE // 4)), "right").clip(own[:, None] * width, own[:, None] * width + width - 1)
+        cells = np.concatenate([place[:, None], drawn], axis=1)
+        out = model.unit_out[cells]
+        s = np.einsum("nd,nkd->nk", h, out) + model.unit_bias[cells] - np.log(NOISE // 4 * np.maximum(self.inner_p[cells], 1e-12))
+        err = -1 / (1 + np.exp(-np.clip(s, -30, 30)))
+        err[:, 0] += 1
+        err = err.astype(np.float32)
+        back += np.einsum("nk,nkd->nd", err, out)
+        self.step("unit_out", cells.ravel(), (err[:, :, None] * h[:, None, :]).reshape(-1, SIZE), rate)
+        self.step("unit_bias", cells.ravel(), err.ravel(), rate)
+        _descend(model, self.step, units, first, back, rate)
+
+    def packed(self) -> np.ndarray:
+        return np.concatenate([v.ravel() for k in _LEARNT for v in (getattr(self.model, k), self.past[k])])
+
+    def unpack(self, flat: np.ndarray) -> None:
+        at = 0
+        for k in _LEARNT:
+            for v in (getattr(self.model, k), self.past[k]):
+                v[...] = flat[at : at + v.size].reshape(v.shape)
+                at += v.size
+
+
+def unit_counts(head: list[tuple[str, int]], tails: np.ndarray, end: int) -> np.ndarray:
+    return np.concatenate([[max(end, 1)], [c for _, c in head], tails + 0.5]).astype(float)
+
+
+def begin(head: list[tuple[str, int]], tails: np.ndarray, end: int, texts: list[np.ndarray], seen: np.ndarray | None = None, seed: int = 11) -> Fit:
+    """A fit to sample texts (arrays of units), from counts of head words, tail units and ends; ``seen``: the units' company, else that in the sample."""
     rng = np.random.default_rng(seed)
-    counts = np.concatenate([[max(end, 1)], [c for _, c in head], tails + 0.5]).astype(float)
+    counts = unit_counts(head, tails, end)
     n = len(counts)
     width = -(-n // CLASSES)
+    if seen is None:
+        seen = company(texts, counts)
     # classes of neighbours by frequency would make the classes useless; units of one class share their usual neighbours' language
     order = np.empty(n, np.int64)
-    order[_grouped(n, texts, counts)] = np.arange(n)
+    order[_grouped(seen, counts)] = np.arange(n)
     slots = CLASSES * width
     alive = np.zeros(slots, bool)
     alive[order] = True
@@ -149,64 +223,42 @@ def train(head: list[tuple[str, int]], tails: np.ndarray, end: int, texts: list[
     with np.errstate(divide="ignore"):
         unit_bias = np.where(alive, np.log(np.maximum(inner_p.ravel(), 1e-12)), -1e9).astype(np.float32)
     model = Model({w: k + 1 for k, (w, _) in enumerate(head)}, order, rng.normal(0, 0.1, (n, SIZE)).astype(np.float32), np.ones((CONTEXT + 1, SIZE), np.float32), np.zeros((CLASSES, SIZE), np.float32), np.log(class_p).astype(np.float32), np.zeros((slots, SIZE), np.float32), unit_bias, alive)
+    inner_noise = np.minimum(np.cumsum(inner_p, axis=1), 1.0)
+    inner_noise[:, -1] = 1.0
+    fit = Fit(model, {k: np.full_like(getattr(model, k), 1e-6) for k in _LEARNT}, class_p, inner_p.ravel(), (inner_noise + np.arange(CLASSES)[:, None]).ravel())
     if not texts:
-        return model
-    state = {k: np.full_like(getattr(model, k), 1e-6) for k in ("vectors", "places", "class_out", "class_bias", "unit_out", "unit_bias")}
-    class_noise, inner_noise = np.cumsum(class_p), np.cumsum(inner_p, axis=1)
-
-    def step(name: str, at, gradient: np.ndarray, rate: float) -> None:
-        """AdaGrad on some rows (``at``: their numbers, repeated ones added up) or all."""
-        target, past = getattr(model, name), state[name]
-        if at is not None:
-            by = np.argsort(at, kind="stable")
-            starts = np.flatnonzero(np.diff(at[by], prepend=-1))
-            rows, summed = at[by][starts], np.add.reduceat(gradient[by], starts, axis=0)
-            past[rows] += summed**2
-            target[rows] += rate * summed / np.sqrt(past[rows])
-        else:
-            past += gradient**2
-            target += rate * gradient / np.sqrt(past)
-
-    batches = np.array_split(rng.permutation(len(texts)), max(1, sum(map(len, texts)) // 6000))
+        return fit
+    batches = np.array_split(rng.permutation(len(texts)), max(1, sum(map(len, texts)) // STEP_TOKENS))
     for epoch in range(EPOCHS):
-        rate = 0.1 / (1 + epoch)
         for batch in batches:
-            units = np.concatenate([texts[k] for k in batch])
             first = np.concatenate([[0], np.cumsum([len(texts[k]) for k in batch])])
-            h = contexts(model, units, first)
-            place = model.order[units]
-            own = place // width
-            # against noise: the logit of data is the model's minus log(NOISE * noise probability)
-            noise = np.searchsorted(class_noise, rng.random(NOISE) * class_noise[-1])
-            back, rows, grads = _contrast(h, own, noise, model.class_out, model.class_bias, np.log(NOISE * class_p))
-            step("class_out", rows, grads[0], rate)
-            step("class_bias", rows, grads[1], rate)
-            # within classes the noise comes from the token's own class
-            drawn = (inner_noise[own][:, None, :] < rng.random((len(own), NOISE // 4, 1))).sum(axis=2).clip(max=width - 1) + own[:, None] * width
-            cells = np.concatenate([place[:, None], drawn], axis=1)
-            s = np.einsum("nd,nkd->nk", h, model.unit_out[cells]) + model.unit_bias[cells] - np.log(NOISE // 4 * np.maximum(inner_p.ravel()[cells], 1e-12))
-            err = -1 / (1 + np.exp(-np.clip(s, -30, 30)))
-            err[:, 0] += 1
-            err = err.astype(np.float32)
-            back += np.einsum("nk,nkd->nd", err, model.unit_out[cells])
-            step("unit_out", cells.ravel(), (err[:, :, None] * h[:, None, :]).reshape(-1, SIZE), rate)
-            step("unit_bias", cells.ravel(), err.ravel(), rate)
-            _descend(model, step, units, first, back, rate)
-    return model
-
-
-def _grouped(n: int, texts: list[np.ndarray], counts: np.ndarray) -> np.ndarray:
-    """Units in an order in which neighbours keep like company: by the leading direction of their co-occurrence in texts, the frequent ones dealt out evenly first."""
-    if not texts:
-        return np.arange(n)
-    most = np.argsort(-counts)[:256]
-    column = np.full(n, -1)
+            fit.learn(np.concatenate([texts[k] for k in batch]), first, 0.1 / (1 + epoch), rng)
+    return fit
+
+
+def train(head: list[tuple[str, int]], tails: np.ndarray, end: int, texts: list[np.ndarray], seed: int = 11) -> Model:
+    """From counts of head words, tail units and ends, and texts as arrays of units."""
+    return begin(head, tails, end, texts, seed=seed).model
+
+
+def company(texts: Iterator[np.ndarray] | list[np.ndarray], counts: np.ndarray) -> np.ndarray:
+    """For each unit, the shares of the COMPANY most frequent ones in its texts, added up over its tokens."""
+    most = np.argsort(-counts, kind="stable")[:COMPANY]
+    column = np.full(len(counts), -1)
     column[most] = np.arange(len(most))
-    seen = np.zeros((n, len(most)), np.float32)
-    for t in texts[:2000]:
+    seen = np.zeros((len(counts), len(most)))
+    for t in texts:
         c = column[t]
-        profile = np.bincount(c[c >= 0], minlength=len(most)).astype(np.float32)
-        np.add.at(seen, t, profile / max(1.0, profile.sum()))
+        profile = np.bincount(c[c >= 0], minlength=len(most))
+        units, times = np.unique(t, return_counts=True)
+        seen[units] += times[:, None] * (profile / max(1.0, profile.sum()))
+    return seen
+
+
+def _grouped(seen: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """Units in an order in which neighbours keep like company: by the leading direction of their co-occurrence in texts, the frequent ones dealt out evenly first."""
+    if not seen.any():
+        return np.arange(len(counts))
     seen = np.sqrt(seen / np.maximum(seen.sum(axis=1, keepdims=True), 1e-6))
     seen -= seen.mean(axis=0)
     _, vectors = np.linalg.eigh(seen.T @ seen)
@@ -216,6 +268,48 @@ def _grouped(n: int, texts: list[np.ndarray], counts: np.ndarray) -> np.ndarray:
     return np.lexsort((-counts, bits))
 
 
+def _lists(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+    """The units of all texts of a batch, and the texts' bounds."""
+    column = batch.column(0)
+    first = np.asarray(column.offsets).astype(np.int64)
+    return np.asarray(column.flatten()).astype(np.int64), first - first[0]
+
+
+def pieces(units: np.ndarray, first: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """All units in steps of STEP_TOKENS at most, a longer text in several pieces: units and bounds of each step."""
+    long = np.flatnonzero(np.diff(first) > STEP_TOKENS)
+    bounds = np.unique(np.concatenate([first, *(np.arange(first[k], first[k + 1], STEP_TOKENS) for k in long)]))
+    at = 0
+    while at < len(bounds) - 1:
+        to = max(at + 1, int(np.searchsorted(bounds, bounds[at] + STEP_TOKENS, "right")) - 1)
+        yield units[bounds[at] : bounds[to]], bounds[at : to + 1] - bounds[at]
+        at = to
+
+
+_SUMS = "part long, block int, weight double, v binary"
+
+
+def _blocks(weight: float, flat: np.ndarray) -> pa.RecordBatch:
+    """A task's table of numbers, in BLOCKS rows."""
+    v = [x.astype(np.float32).tobytes() for x in np.array_split(flat, BLOCKS)]
+    part = TaskContext.get().partitionId()
+    return pa.RecordBatch.from_arrays([pa.array([part] * BLOCKS, pa.int64()), pa.array(range(BLOCKS), pa.int32()), pa.array([weight] * BLOCKS, pa.float64()), pa.array(v, pa.binary())], names=["part", "block", "weight", "v"])
+
+
+def summed(tables: DataFrame) -> tuple[float, np.ndarray]:
+    """The tasks' tables added up, GROUPS of tasks first; BLOCKS rows, one table, reach the driver."""
+
+    def add(rows: pa.Table) -> pa.Table:
+        rows = rows.sort_by("part")
+        total = np.sum([np.frombuffer(v, np.float32) for v in rows.column("v").to_pylist()], axis=0, dtype=np.float64)
+        part, block = rows.column("part")[0].as_py() % GROUPS, rows.column("block")[0].as_py()
+        return pa.table([pa.array([part], pa.int64()), pa.array([block], pa.int32()), pa.array([pc.sum(rows.column("weight")).as_py()], pa.float64()), pa.array([total.astype(np.float32).tobytes()], pa.binary())], names=["part", "block", "weight", "v"])
+
+    some = tables.groupBy("block", F.pmod("part", F.lit(GROUPS))).applyInArrow(add, _SUMS)
+    got = sorted(some.groupBy("block").applyInArrow(add, _SUMS).collect(), key=lambda r: r["block"])
+    return (got[0]["weight"], np.concatenate([np.frombuffer(r["v"], np.float32) for r in got])) if got else (0.0, np.zeros(0, np.float32))
+
+
 def _contrast(h, own, noise, out, bias, log_noise):
     """Noise-contrastive gradients of the class softmax, the noise shared by a batch: of the vectors, and of rows of the table."""
     s = np.einsum("nd,nd->n", h, out[own]) + bias[own] - log_noise[own]
@@ -253,6 +347,38 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([got.field("values"), got.field("counts").cast(pa.int64())], names=["word", "c"])
 
 
+def fitted(encoded: DataFrame, head: list[tuple[str, int]], tails: np.ndarray, end: int, texts: list[np.ndarray], seed: int = 11) -> Fit:
+    """A fit to all texts of ``encoded`` (doc_id, units), started by ``texts``."""
+    counts = unit_counts(head, tails, end)
+
+    def _company(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        each = (units[a:b] for units, first in map(_lists, batches) for a, b in zip(first[:-1], first[1:], strict=True))
+        seen = company(each, counts)
+        if seen.any():
+            yield _blocks(1.0, seen.ravel())
+
+    _, seen = summed(encoded.select("units").mapInArrow(_company, _SUMS))
+    fit = begin(head, tails, end, texts, seen.astype(float).reshape(len(counts), -1) if len(seen) else None, seed)
+    for turn in range(TURNS):
+        shared = encoded.sparkSession.sparkContext.broadcast(fit)  # HEAD + TAILS vectors and outputs, and their past gradients
+
+        def _learn(batches: Iterator[pa.RecordBatch], turn: int = turn, shared=shared) -> Iterator[pa.RecordBatch]:
+            own, n = deepcopy(shared.value), 0
+            rng = np.random.default_rng([seed, turn, TaskContext.get().partitionId()])
+            for batch in batches:
+                for units, first in pieces(*_lists(batch)):
+                    own.learn(units, first, TURN_RATE / (1 + turn), rng)
+                    n += len(units)
+            if n:
+                yield _blocks(float(n), own.packed() * n)
+
+        n, total = summed(encoded.where(F.pmod(F.xxhash64("doc_id"), F.lit(TURNS)) == turn).select("units").mapInArrow(_learn, _SUMS))
+        if n:
+            fit = deepcopy(fit)
+            fit.unpack(total / n)
+    return fit
+
+
 def lm_scores(docs: DataFrame, modulus: int = 5, held: int = 1) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, one row for each row.
 
@@ -304,19 +430,22 @@ def lm_scores(docs: DataFrame, modulus: int = 5, held: int = 1) -> DataFrame:
         units[to], code[to] = unit[codes], codes
         return units, bounds, code, names, unit
 
-    def _sample(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def _units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sliced(batches, "text"):
-            units, bounds, *_ = _encode(batch.column(0))
-            yield pa.RecordBatch.from_arrays([pa.array([units[a:b].astype(np.int32).tolist() for a, b in zip(bounds[:-1], bounds[1:], strict=True)], pa.list_(pa.int32()))], names=["units"])
+            units, bounds, *_ = _encode(batch.column(1))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(units.astype(np.int32)))], names=["doc_id", "units"])
 
+    encoded = cut(learnt.select("doc_id", "text").mapInArrow(_units, "doc_id long, units array<int>"))
     chosen = learnt.select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE)
-    rows = learnt.join(F.broadcast(cut(chosen).distinct()), "doc_id", "left_semi").select("text").mapInArrow(_sample, "units array<int>")
+    # a window of a long text, wherever it falls
+    start = F.pmod(F.xxhash64("doc_id", F.size("units")), F.greatest(F.size("units") - SAMPLE_WINDOW, F.lit(0)) + 1).cast("int") + 1
+    rows = encoded.join(F.broadcast(cut(chosen).distinct()), "doc_id", "left_semi").select(F.slice("units", start, F.lit(SAMPLE_WINDOW)).alias("units"))
     texts, n = [], 0
     for (units,) in rows.orderBy(F.xxhash64("units")).limit(SAMPLE).toLocalIterator():
         if n < SAMPLE_TOKENS:
             texts.append(np.array(units[: SAMPLE_TOKENS - n], np.int64))
             n += len(texts[-1])
-    model = train(head, tails[0], ends, texts)
+    model = fitted(encoded, head, tails[0], ends, texts).model
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(model)  # HEAD + TAILS vectors
     frequent = spark.sparkContext.broadcast(counted)  # COUNTED words
