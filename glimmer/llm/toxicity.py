@@ -179,13 +179,16 @@ def highest(column: pa.Array, weights: np.ndarray, bias: float) -> np.ndarray:
     top = np.maximum.reduceat(np.append(score[codes], -np.inf), first[:-1])
     top[np.diff(first) == 0] = -np.inf
     top = np.maximum(top, decisions([b""], weights, bias)[0])
-    # letters that stand alone
-    single = np.fromiter((len(w) == 1 for w in windows), bool, len(windows))[codes]
-    change = np.flatnonzero(np.diff(np.concatenate([[0], single.astype(np.int8), [0]])))
-    runs = [(a, b) for a, b in zip(change[::2].tolist(), change[1::2].tolist(), strict=True) if b - a >= ALONE]
+    # letters that stand alone, of any number of bytes; marks between them are passed over, and a run ends with its text
+    letters = np.fromiter((len(w.decode()) for w in windows), np.int64, len(windows))[codes]
+    told = np.flatnonzero(letters > 0)
+    text = np.repeat(np.arange(len(first) - 1), np.diff(first))[told]
+    run = np.where(letters[told] == 1, text, -1)
+    edges = np.concatenate([[0], np.flatnonzero(np.diff(run)) + 1, [len(run)]])
+    runs = [(a, b) for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True) if b - a >= ALONE and run[a] >= 0]
     if runs:
-        extra = decisions([b"".join(windows[k] for k in codes[a:b]) for a, b in runs], weights, bias)
-        np.maximum.at(top, np.searchsorted(first, [a for a, _ in runs], "right") - 1, extra)
+        extra = decisions([b"".join(windows[k] for k in codes[told[a:b]]) for a, b in runs], weights, bias)
+        np.maximum.at(top, run[[a for a, _ in runs]], extra)
     return top
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pytest
 
 from glimmer.llm import toxicity
@@ -35,3 +36,15 @@ def test_no_silent_constant(spark):
     docs["text"] = "the same words everywhere"
     with pytest.raises(ValueError, match="no word tells"):
         toxicity.toxicity_scores(spark.createDataFrame(docs), spark.createDataFrame(labels))
+
+
+def test_spaced_out_insults():
+    rng = np.random.default_rng(4)
+    good = ["".join(rng.choice(PARTS, 3)) for _ in range(200)]
+    weights, bias = toxicity.learn(["débile", "crétin", "stupid", "idiot"], good, [])
+    top = lambda *texts: toxicity.highest(pa.array(texts), weights, bias)
+    for spaced, word in (("d é b i l e", "débile"), ("c r é t i n", "crétin"), ("s - t - u - p - i - d", "stupid"), ("i d i o t", "idiot")):
+        assert np.allclose(top(f"eran {spaced} thinou", "eranth"), top(f"eran {word} thinou", "eranth")), spaced
+    # a run does not go on into the next text
+    assert top("eran s t u", "p i d eran").max() < top("stupid")[0]
+    assert len(toxicity.highest(pa.array(["", None, " - "]), weights, bias)) == 3
