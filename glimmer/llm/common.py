@@ -28,10 +28,12 @@ def crc_remainder(doc_id, modulus: int = 5):
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """A new folder under the cluster's checkpoint folder; a temporary one only where none is set."""
+    """A new folder under the cluster's checkpoint folder; a temporary one only where none is set and all runs on this machine."""
     sc = spark.sparkContext
     base = sc.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
     if base is None:
+        if not sc.master.startswith("local[") and sc.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = tempfile.mkdtemp(prefix="glimmer-")
         weakref.finalize(sc, shutil.rmtree, base, ignore_errors=True)
         sc.setCheckpointDir(f"file://{base}")
@@ -46,6 +48,15 @@ def cut(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def dropped(*tables: DataFrame) -> None:
+    """Delete tables that ``cut`` wrote and nothing will read again."""
+    for df in tables:
+        jvm = df.sparkSession._jvm
+        for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles() if "/table-" in f}:
+            path = jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def without(df: DataFrame, *keep: str) -> DataFrame:
     """Only the named columns, so that extra columns can't clash with those an operator makes."""
     return df.select(*[F.col(f"`{c}`") for c in keep])

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from glimmer.llm.common import cut
+from glimmer.llm.common import cut, dropped
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -22,6 +22,8 @@ def components(links: DataFrame) -> DataFrame:
         spread = labels.join(near, labels.id == near.a, "left").select("id", F.col("label").alias("old"), F.least("label", F.coalesce("least", "label")).alias("label"))
         jump = labels.select(F.col("id").alias("to"), F.col("label").alias("further"))
         new = cut(spread.join(jump, spread.label == jump["to"], "left").select("id", "old", F.least("label", F.coalesce("further", "label")).alias("label")))
+        dropped(labels)
+        labels = new.select("id", "label")
         if not new.where("old <> label").limit(1).count():
+            dropped(both)
             return labels
-        labels = new.select("id", "label")

@@ -7,21 +7,22 @@ the members, not with their pairs, and pairs are confirmed on their full sets. B
 connected by then may still hide links. Their members get new, sharper buckets, one for each shingle of a prefix: in an
 order by rarity, two sets of similarity s share a shingle among the first (1 - s) n + 1 of the larger and the first
 (1 - 2 s / (1 + s)) n + 1 of the smaller one, so no link is lost, while what many texts have in common stands last.
-There, the smaller ones are pivots for the larger, some each round, until no bucket has an unused pivot and two
-unconnected members.
+There, the smaller ones are pivots for the larger, some each round, until no bucket has an unused pivot and, beside what
+it has met, two unconnected members. A bucket of two is settled by its star, so few texts come so far.
 """
 
 from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from glimmer.llm.common import cut, flat, lists, mix, shingle_sets, sliced, table, without
+from glimmer.llm.common import cut, dropped, flat, lists, mix, shingle_sets, sliced, table, without
 from glimmer.llm.graph import components
 
 #: A pair at the least similarity shares no bucket with probability (1 - 0.75**5)**40, about 2 in 100,000.
@@ -88,35 +89,74 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     left, right = sets.select(F.col("id").alias("a"), F.col("members").alias("ma")), sets.select(F.col("id").alias("b"), F.col("members").alias("mb"))
     # b, the member, comes first: many members meet one pivot, so that side is the one that may be uneven
     both = pairs.join(right, "b").join(left, "a").select("a", "b", F.size("ma").alias("na"), F.size("mb").alias("nb"), F.size(F.array_intersect("ma", "mb")).alias("common"))
-    return both.where(F.lit(100) * F.col("common") >= F.lit(percent) * (F.col("na") + F.col("nb") - F.col("common"))).select("a", "b")
+    return both.where(F.lit(100) * F.col("common") >= F.lit(percent) * (F.col("na") + F.col("nb") - F.col("common"))).select("a", "b").distinct()
 
 
-def _prefixes(open_rows: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The open nodes again, in a bucket for each shingle of their prefixes; buckets of one node or one component are left out.
+def _distinct(met: DataFrame) -> DataFrame:
+    """Each pair of a member and a pivot once: a, the pivot, and b."""
+    return cut(met.select(F.col("p_node").alias("a"), F.col("node").alias("b")).distinct())
 
-    Shingles that one node has alone come first and make no pairs: they only use up the prefix.
+
+#: A row of a sharp bucket: a node's set, its component so far, its place in the bucket's prefix order, and whether it is yet to be a pivot.
+_ROW = ["key", "node", "which", "n", "label", "alone", "at", "pivot"]
+
+
+def _prefixes(nodes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The open nodes (node, label) in a bucket for each shingle of their prefixes.
+
+    Shingles that one node has alone come first and make no pairs: they only use up the prefix. A row holds its place,
+    not the prefix, so rows stay as small for long texts as for short ones.
     """
-    nodes = open_rows.groupBy("node").agg(F.min("label").alias("label"))
-    held = sets.join(nodes.select(F.col("node").alias("id")), "id", "left_semi").select("id", F.xxhash64("members").alias("which"), F.size("members").alias("size"), F.explode("members").alias("key"))
+    held = sets.join(nodes, sets.id == nodes.node).select("node", "label", F.xxhash64("members").alias("which"), F.size("members").alias("n"), F.explode("members").alias("key"))
     often = held.groupBy("key").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
-    common = held.join(often, "key").groupBy("id", "which", "size").agg(F.sort_array(F.collect_list(F.struct("df", "key"))).alias("rest"))
-    alone = F.col("size") - F.size("rest")
-    room = F.col("size") - F.ceil(F.col("size") * percent / 100).cast("int") + 1 - alone
-    first = F.col("size") - F.ceil(F.col("size") * (2 * percent) / (100 + percent)).cast("int") + 1 - alone
-    prefix = F.transform(F.slice("rest", F.lit(1), F.greatest(room, F.lit(0))), lambda r: r["key"])
-    kept = common.where(room > 0).select(F.col("id").alias("node"), "which", F.col("size").alias("n"), F.col("size").alias("least"), alone.alias("alone"), prefix.alias("prefix"), first.alias("first"))
-    placed = kept.select("*", F.posexplode("prefix").alias("at", "key")).withColumn("pivot", F.col("at") < F.col("first")).withColumn("first", F.greatest("first", F.lit(0)))
-    return _still_open(cut(placed.join(nodes, "node").select(*_OPEN)))
+    common = held.join(often, "key").groupBy("node", "label", "which", "n").agg(F.sort_array(F.collect_list(F.struct("df", "key"))).alias("rest"))
+    alone = F.col("n") - F.size("rest")
+    room = F.col("n") - F.ceil(F.col("n") * percent / 100).cast("int") + 1 - alone
+    first = F.col("n") - F.ceil(F.col("n") * (2 * percent) / (100 + percent)).cast("int") + 1 - alone
+    kept = common.where(room > 0).select("node", "label", "which", "n", alone.alias("alone"), first.alias("first"), F.posexplode(F.slice("rest", F.lit(1), room)).alias("at", "shingle"))
+    return kept.select("*", F.col("shingle.key").alias("key"), (F.col("at") < F.col("first")).alias("pivot")).select(*_ROW)
 
 
-#: A row of a bucket: a node's set, its component so far, whether it is yet to be a pivot, and what it has of the prefix order.
-_OPEN = ["key", "node", "which", "n", "least", "label", "pivot", "alone", "prefix", "first"]
+def _still_open(rows: DataFrame) -> DataFrame:
+    """The rows that may hide links: in buckets with an unused pivot, it and all larger members, where they aren't all connected."""
+    low = rows.where("pivot").groupBy("key").agg(F.min(F.struct("n", "node")).alias("low"))
+    later = rows.join(low, "key").where(F.struct("n", "node") >= F.col("low")).select(*_ROW)
+    apart = later.groupBy("key").agg(F.min("label").alias("least"), F.max("label").alias("most")).where("least <> most").select("key")
+    return later.join(apart, "key").select(*_ROW)
 
 
-def _still_open(rows: DataFrame) -> DataFrame:
-    """The rows of the buckets that have an unused pivot and members that aren't all connected."""
-    apart = rows.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.max("pivot").alias("any")).where("low <> high and any").select("key")
-    return cut(rows.join(apart, "key").select(*_OPEN))
+def _sharp_links(nodes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links between open nodes (node, label) of different components, enough to connect all that are linked.
+
+    In a bucket the smallest unused pivots, some each round, meet the larger members of other components.
+    """
+    rows, pivots, links = cut(_still_open(cut(_prefixes(nodes, sets, percent)))), 1, []
+    while rows.limit(1).count():
+        part = F.pmod(F.xxhash64("node", F.lit(pivots)), F.lit(pivots)).alias("part")
+        told = ["n", "node", "label", "alone", "at", "which"]
+        chosen = rows.where("pivot").groupBy("key", part).agg(F.min(F.struct(*told)).alias("p"))
+        chosen = cut(chosen.select("key", *[F.col(f"p.{c}").alias(f"p_{c}") for c in told]))
+        # if this bucket's shingle is the first that both prefixes have, what they share stands from here on in either order
+        rest = F.least(F.col("n") - F.col("alone") - F.col("at"), F.col("p_n") - F.col("p_alone") - F.col("p_at"))
+        met = rows.join(chosen, "key").where((F.col("label") != F.col("p_label")) & (F.struct("p_n", "p_node") < F.struct("n", "node")))
+        met = met.where((rest * (100 + percent) >= (F.col("n") + F.col("p_n")) * percent) & (F.col("p_n") * 100 >= F.col("n") * percent))
+        pairs = _distinct(met)
+        new = cut(_confirmed(pairs, sets, percent))
+        links.append(new)
+        moved = components(_labelled(new, rows.select("node", "label").distinct())).select(F.col("id").alias("label"), F.col("label").alias("found"))
+        used = chosen.select("key", F.col("p_node").alias("node"), F.col("p_which").alias("which"), F.lit(True).alias("used"))
+        left = rows.join(used, ["key", "node", "which"], "left").join(moved, "label", "left")
+        left = left.withColumn("label", F.coalesce("found", "label")).withColumn("pivot", F.col("pivot") & F.col("used").isNull())
+        now = cut(_still_open(cut(left.select(*_ROW))))
+        dropped(rows, chosen, pairs)
+        rows, pivots = now, pivots * 8
+    return reduce(DataFrame.unionByName, links) if links else None
+
+
+def _labelled(links: DataFrame, labels: DataFrame) -> DataFrame:
+    """Links of nodes as links of their components."""
+    of = lambda c: labels.select(F.col("node").alias(c), F.col("label").alias(f"{c}_label"))
+    return links.join(of("a"), "a").join(of("b"), "b").select(F.col("a_label").alias("a"), F.col("b_label").alias("b")).distinct()
 
 
 def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
@@ -130,44 +170,31 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT,
     known = cut(docs.mapInArrow(_describe(words, bands, rows), "doc_id long, n_shingles long, set_hash binary, keys array<long>"))
     sized = known.where("n_shingles > 0 and doc_id is not null")
     classes = sized.groupBy("set_hash").agg(F.min("doc_id").alias("node"))
-    members = cut(sized.select("doc_id", "set_hash").join(classes, "set_hash").select("doc_id", "node").groupBy("doc_id", "node").agg(F.lit(1).alias("one")).select("doc_id", "node"))
+    members = cut(sized.select("doc_id", "set_hash").join(classes, "set_hash").select("doc_id", "node").distinct())
     firsts = members.where("doc_id = node").select("node")
     placed = sized.join(firsts, sized.doc_id == firsts.node).select(F.explode("keys").alias("key"), "node", F.col("n_shingles").alias("n"))
-    shared = placed.groupBy("key").agg(F.count(F.lit(1)).alias("many")).where("many > 1").select("key")
-    rows_of = placed.join(shared, "key").groupBy("key", "node").agg(F.max("n").alias("n"), F.min("n").alias("least"))
-    open_rows = cut(rows_of.withColumn("label", F.col("node")).select("*", F.lit(0).cast("long").alias("which"), F.lit(True).alias("pivot"), F.lit(0).alias("alone"), F.array().cast("array<long>").alias("prefix"), F.lit(0).alias("first")).select(*_OPEN))
-    wanted = open_rows.groupBy("node").agg(F.lit(1).alias("one")).select(F.col("node").alias("doc_id"))
+    stars = placed.groupBy("key").agg(F.count(F.lit(1)).alias("many"), F.min(F.struct("n", "node")).alias("p")).where("many > 1")
+    stars = cut(stars.select("key", F.col("p.node").alias("p_node"), F.col("p.n").alias("p_n")))
+    met = cut(placed.join(stars, "key").where("node <> p_node or n <> p_n"))
+    # sets whose sizes differ by more can't reach the similarity; the pivot is the smallest
+    pairs = _distinct(met.where((F.col("p_n") * 100 >= F.col("n") * percent) & (F.col("node") != F.col("p_node"))))
+    wanted = met.select(F.col("node").alias("doc_id")).union(pairs.select("a")).distinct()
     sets = cut(docs.join(wanted, "doc_id", "left_semi").mapInArrow(_sets(words), "id long, members array<long>"))
+    links = cut(_confirmed(pairs, sets, percent))
     # a doc_id with several texts ties their nodes
-    several = members.groupBy("doc_id").agg(F.min("node").alias("a"), F.max("node").alias("z"), F.count(F.lit(1)).alias("many")).where("many > 1")
-    links = members.join(several.select("doc_id", "a"), "doc_id").select("a", F.col("node").alias("b"))
-    pivots, graph, sharp = 1, None, False
-    while open_rows.limit(1).count():
-        part = F.pmod(F.xxhash64("node", F.lit(pivots)), F.lit(pivots)).alias("part")
-        told = ["node", "label", "n", "least", "alone", "which"]
-        chosen = open_rows.where("pivot").groupBy("key", part).agg(F.min(F.struct(*told, F.slice("prefix", F.lit(1), F.col("first")).alias("prefix"))).alias("p"))
-        chosen = cut(chosen.select("key", *[F.col(f"p.{c}").alias(f"p_{c}") for c in (*told, "prefix")]))
-        met = open_rows.join(chosen, "key").where((F.col("node") != F.col("p_node")) & (F.col("label") != F.col("p_label")))
-        if sharp:
-            # what a node has alone isn't shared: at most the rest of either set is
-            rest = F.least(F.col("n") - F.col("alone"), F.col("p_n") - F.col("p_alone"))
-            # and a pair counts in the bucket of the first shingle that its prefixes share
-            met = met.where((F.struct("p_n", "p_node") < F.struct("n", "node")) & (F.get(F.array_intersect("p_prefix", "prefix"), F.lit(0)) == F.col("key")) & (rest * (100 + percent) >= (F.col("n") + F.col("p_n")) * percent))
-        # sets whose sizes differ by more can't reach the similarity
-        met = met.where((F.col("n") * 100 >= F.col("p_least") * percent) & (F.col("p_n") * 100 >= F.col("least") * percent))
-        pairs = met.groupBy(F.least("node", "p_node").alias("a"), F.greatest("node", "p_node").alias("b")).agg(F.lit(1).alias("one")).select("a", "b")
-        links = cut(links.unionByName(_confirmed(pairs, sets, percent)))
-        graph = components(links)
-        of = graph.select(F.col("id").alias("node"), F.col("label").alias("found"))
-        used = chosen.select("key", F.col("p_node").alias("node"), F.col("p_which").alias("which"), F.lit(True).alias("used"))
-        left = open_rows.join(used, ["key", "node", "which"], "left").join(of, "node", "left")
-        left = left.withColumn("label", F.coalesce("found", "label")).withColumn("pivot", F.col("pivot") & F.col("used").isNull())
-        open_rows = _still_open(cut(left.select(*_OPEN)))
-        if sharp:
-            pivots *= 8
-        elif open_rows.limit(1).count():
-            open_rows, sharp = _prefixes(open_rows, sets, percent), True
-    found = (graph or components(links)).select(F.col("id").alias("node"), F.col("label").alias("found"))
+    several = members.groupBy("doc_id").agg(F.min("node").alias("a"), F.max("node").alias("z")).where("a <> z")
+    links = links.unionByName(members.join(several.select("doc_id", "a"), "doc_id").select("a", F.col("node").alias("b")))
+    graph = components(links)
+    # the pivots have met all; what else is in a bucket is open where it isn't all connected
+    rest = met.select("key", "node").join(graph.withColumnRenamed("id", "node"), "node", "left").select("key", "node", F.coalesce("label", "node").alias("label"))
+    apart = rest.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("key")
+    nodes = cut(rest.join(apart, "key").select("node", "label").distinct())
+    dropped(stars, met, pairs)
+    more = _sharp_links(nodes, sets, percent)
+    if more is not None:
+        graph = components(links.unionByName(more))
+    dropped(sets, nodes)
+    found = graph.select(F.col("id").alias("node"), F.col("label").alias("found"))
     of = members.groupBy("doc_id").agg(F.min("node").alias("node")).join(found, "node", "left").select("doc_id", F.coalesce("found", "node").alias("component"))
     out = known.select("doc_id", "n_shingles").join(of, "doc_id", "left").withColumn("component_id", F.coalesce("component", "doc_id"))
     return out.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
