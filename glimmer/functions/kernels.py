@@ -151,37 +151,85 @@ def _logsum(x: np.ndarray, axis: int) -> np.ndarray:
     return np.log(np.exp(x - top).sum(axis=axis)) + np.squeeze(top, axis)
 
 
-def forward_backward(x: np.ndarray, start: np.ndarray, move: np.ndarray, means: np.ndarray, variances: np.ndarray) -> tuple[np.ndarray, np.ndarray, float]:
-    """Posterior of each state at each row, expected moves, log-likelihood."""
-    n, k = len(x), len(means)
+def padded(x: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sequences side by side (a row each, 0 beyond its end), and where they stand: row and column of each element."""
+    sizes = np.diff(first)
+    row = np.repeat(np.arange(len(sizes)), sizes)
+    column = np.arange(len(x)) - np.repeat(first[:-1], sizes)
+    out = np.zeros((len(sizes), int(sizes.max(initial=0))))
+    out[row, column] = x
+    return out, np.stack([row, column])
+
+
+def by_length(first: np.ndarray, cells: int = 500_000) -> list[np.ndarray]:
+    """Numbers of sequences of like lengths, so that those side by side have about ``cells`` places together."""
+    sizes = np.diff(first)
+    order, out, at = np.argsort(-sizes, kind="stable"), [], 0
+    while at < len(order):
+        n = max(1, cells // max(1, int(sizes[order[at]])))
+        out.append(np.sort(order[at : at + n]))
+        at += n
+    return out
+
+
+def forward_backward(x: np.ndarray, first: np.ndarray, start: np.ndarray, move: np.ndarray, means: np.ndarray, variances: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of sequences one after the other: the posterior of each state at each row, expected moves and log-likelihood of each sequence.
+
+    Time is the only loop: sequences of like lengths take each step together.
+    """
+    k = len(means)
     with np.errstate(divide="ignore"):
         ls, lm = np.log(start), np.log(move)
-    b = log_normal(x, means, variances)
-    f, r = np.empty((n, k)), np.zeros((n, k))
-    f[0] = ls + b[0]
-    for t in range(1, n):
-        f[t] = _logsum(f[t - 1][:, None] + lm, 0) + b[t]
-    for t in range(n - 2, -1, -1):
-        r[t] = _logsum(lm + (b[t + 1] + r[t + 1])[None, :], 1)
-    total = float(_logsum(f[-1], 0))
-    moves = np.exp(f[:-1, :, None] + lm[None] + (b[1:] + r[1:])[:, None, :] - total).sum(axis=0) if n > 1 else np.zeros((k, k))
-    return np.exp(f + r - total), moves, total
-
-
-def viterbi(x: np.ndarray, start: np.ndarray, move: np.ndarray, means: np.ndarray, variances: np.ndarray) -> tuple[np.ndarray, float]:
-    """The likeliest states (ties: the lower state) and their log-probability."""
+    posterior, moves, totals = np.zeros((len(x), k)), np.zeros((len(first) - 1, k, k)), np.zeros(len(first) - 1)
+    for chosen in by_length(first):
+        sizes, rows, sub = _chosen(first, chosen)
+        v, (row, column) = padded(x[rows], sub)
+        b = log_normal(v.ravel(), means, variances).reshape(*v.shape, k)
+        f, r, last = np.empty_like(b), np.zeros_like(b), v.shape[1]
+        f[:, 0] = ls + b[:, 0]
+        for t in range(1, last):
+            f[:, t] = _logsum(f[:, t - 1, :, None] + lm, 1) + b[:, t]
+        for t in range(last - 2, -1, -1):
+            step = _logsum(lm + (b[:, t + 1] + r[:, t + 1])[:, None, :], 2)
+            r[:, t] = np.where((t + 1 < sizes)[:, None], step, 0.0)
+        totals[chosen] = _logsum(f[np.arange(len(sizes)), sizes - 1], 1)
+        posterior[rows] = np.exp(f[row, column] + r[row, column] - totals[chosen][row][:, None])
+        follows = np.flatnonzero(column > 0)
+        i, t = row[follows], column[follows]
+        each = np.exp(f[i, t - 1][:, :, None] + lm + (b[i, t] + r[i, t])[:, None, :] - totals[chosen][i][:, None, None])
+        np.add.at(moves, chosen[i], each)
+    return posterior, moves, totals
+
+
+def viterbi(x: np.ndarray, first: np.ndarray, start: np.ndarray, move: np.ndarray, means: np.ndarray, variances: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of sequences one after the other: the likeliest states (ties: the lower state), and each sequence's log-probability."""
     with np.errstate(divide="ignore"):
         ls, lm = np.log(start), np.log(move)
-    b = log_normal(x, means, variances)
-    best, came = ls + b[0], np.zeros((len(x), len(means)), int)
-    for t in range(1, len(x)):
-        each = best[:, None] + lm
-        came[t] = each.argmax(axis=0)
-        best = each.max(axis=0) + b[t]
-    path = [int(best.argmax())]
-    for t in range(len(x) - 1, 0, -1):
-        path.append(int(came[t][path[-1]]))
-    return np.array(path[::-1]), float(best.max())
+    path, totals = np.zeros(len(x), int), np.zeros(len(first) - 1)
+    for chosen in by_length(first):
+        sizes, rows, sub = _chosen(first, chosen)
+        v, (row, column) = padded(x[rows], sub)
+        b = log_normal(v.ravel(), means, variances).reshape(*v.shape, len(means))
+        best, came = ls + b[:, 0], np.zeros(b.shape, np.int8)
+        for t in range(1, v.shape[1]):
+            each = best[:, :, None] + lm
+            came[:, t] = each.argmax(axis=1)
+            best = np.where((t < sizes)[:, None], each.max(axis=1) + b[:, t], best)
+        states, at = np.zeros(v.shape, int), np.arange(len(sizes))
+        now = best.argmax(axis=1)
+        totals[chosen] = best.max(axis=1)
+        for t in range(v.shape[1] - 1, -1, -1):
+            states[:, t] = now
+            now = np.where((0 < t) & (t < sizes), came[at, t, now], now)
+        path[rows] = states[row, column]
+    return path, totals
+
+
+def _chosen(first: np.ndarray, chosen: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of some of the sequences: sizes, the numbers of their rows, and their bounds among these."""
+    sizes = np.diff(first)[chosen]
+    sub = np.concatenate([[0], np.cumsum(sizes)])
+    return sizes, np.repeat(first[chosen] - sub[:-1], sizes) + np.arange(sub[-1]), sub
 
 
 def segment_costs(x: np.ndarray, cost: str) -> Callable[[int, int], float]:

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from glimmer.operators import columns, events, frames, groups, hmm, segments, spatial
 from glimmer.sources import views
+from glimmer.sources.shared import written
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -28,8 +29,8 @@ pulses AS (SELECT trajectory, 'on' AS state, CAST(len AS DOUBLE) AS dur, mean, s
 UNION ALL SELECT trajectory, 'off', CAST(len AS DOUBLE), mean, sd, s, e FROM runs JOIN sides USING (trajectory) WHERE run_id < last_id AND state = off_state)"""
 DWELLS = RUNS + """, nexts AS (SELECT trajectory, run_id, lead(beg) OVER w - beg AS dwell, lead(state) OVER w AS nxt FROM runs WINDOW w AS (PARTITION BY trajectory ORDER BY run_id)),
 dwells AS (SELECT trajectory, CASE WHEN nxt = 0 THEN 'on' ELSE 'off' END AS kind, run_id, dwell FROM nexts WHERE nxt IN (0, 1))"""
-PX = """sums AS (SELECT l_orderkey % 10 AS t, l_partkey % 32 AS y, (l_suppkey * 7 + l_linenumber) % 32 AS x, sum(l_quantity) AS value FROM lineitem GROUP BY 1, 2, 3),
-px AS (SELECT g.t, g.y, g.x, coalesce(s.value, 0.0) AS value FROM (SELECT t.t, y.y, x.x FROM range(10) AS t(t), range(32) AS y(y), range(32) AS x(x)) AS g LEFT JOIN sums AS s ON g.t = s.t AND g.y = s.y AND g.x = s.x)"""
+PX = """sums AS (SELECT l_suppkey // 50 AS image_id, l_orderkey // 1000 AS t, l_partkey % 32 AS y, (l_suppkey * 7 + l_linenumber) % 32 AS x, sum(l_quantity) AS value FROM lineitem GROUP BY 1, 2, 3, 4),
+px AS (SELECT g.image_id, g.t, g.y, g.x, coalesce(s.value, 0.0) AS value FROM (SELECT f.image_id, f.t, y.y, x.x FROM (SELECT DISTINCT image_id, t FROM sums) AS f, range(32) AS y(y), range(32) AS x(x)) AS g LEFT JOIN sums AS s ON g.image_id = s.image_id AND g.t = s.t AND g.y = s.y AND g.x = s.x)"""
 PK = """pk AS (SELECT CAST(label % 3 AS VARCHAR) AS channel, vec_id AS peak_id, (CAST(embedding[1] AS DOUBLE) + 0.5) * 512 AS x, (CAST(embedding[2] AS DOUBLE) + 0.5) * 512 AS y FROM embeddings)"""
 RADIUS = 8.0
 PAIRS = PK + f""", pairs AS (SELECT a.peak_id AS a_id, a.x AS ax, a.y AS ay, b.peak_id AS b_id, b.x AS bx, b.y AS byy, sqrt(pow(a.x - b.x, 2) + pow(a.y - b.y, 2)) AS d FROM pk AS a, pk AS b WHERE a.channel = '0' AND b.channel = '1' AND sqrt(pow(a.x - b.x, 2) + pow(a.y - b.y, 2)) < {RADIUS}),
@@ -221,6 +222,24 @@ def savgol_interior(spark: SparkSession, sf_dir: str) -> DataFrame:
     return inner.select(*long("trajectory", "slice"), r("smooth"))
 
 
+#: The ends as well: at row k of the first (last) five, the quadratic fitted to them.
+ENDS = [(31, 9, -3, -5, 3), (9, 13, 12, 6, -5)]
+
+
+def ends_sql() -> str:
+    lag = lambda k: '"Intensity"' if k == 0 else f'{"lead" if k > 0 else "lag"}("Intensity", {abs(k)}) OVER w'
+    fit = lambda weights, at, sign: "(" + " + ".join(f"{c} * {lag(sign * (j - at))}" for j, c in enumerate(weights)) + ") / 35.0"
+    whens = " ".join(f"WHEN slice = {k} THEN {fit(ENDS[k], k, 1)} WHEN n - 1 - slice = {k} THEN {fit(ENDS[k], k, -1)}" for k in (0, 1))
+    return f"""WITH {TRAJ}, sized AS (SELECT *, count(*) OVER (PARTITION BY trajectory) AS n FROM traj)
+SELECT trajectory, CAST(slice AS BIGINT) AS slice, round(CASE {whens} ELSE {fit((-3, 12, 17, 12, -3), 2, 1)} END, 6) AS smooth FROM sized WINDOW w AS (PARTITION BY trajectory ORDER BY slice)"""
+
+
+@query(ends_sql())
+def savgol(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = columns.smooth(views.trajectories(spark, sf_dir), width=5, method="savgol", polyorder=2).withColumnRenamed("smooth_Intensity", "smooth")
+    return df.select(*long("trajectory", "slice"), r("smooth"))
+
+
 @query(f'WITH {RUNS} SELECT trajectory, CAST(slice AS BIGINT) AS slice, CAST(fit - lag(fit) OVER (PARTITION BY trajectory ORDER BY slice) AS BIGINT) AS diff, CAST(run_id AS BIGINT) AS runs FROM numbered')
 def diff_cumsum_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return columns.diff_and_runs(views.trajectories(spark, sf_dir), "fit").select(*long("trajectory", "slice", "diff", "runs"))
@@ -296,6 +315,23 @@ def histogram_100(spark: SparkSession, sf_dir: str) -> DataFrame:
     return events.histogram(views.trajectories(spark, sf_dir)).select(*long("bin", "n"), r("density"))
 
 
+@query(f"""WITH {PER}, q AS (SELECT state, min(m) AS lo, max(m) AS hi, count(*) AS total, 2.0 * (quantile_cont(m, 0.75) - quantile_cont(m, 0.25)) / pow(count(m), 1.0 / 3) AS w FROM per GROUP BY 1),
+b AS (SELECT *, CASE WHEN w > 0 AND hi > lo THEN ceil((hi - lo) / w) ELSE 1 END AS bins FROM q)
+SELECT b.state, CAST(coalesce(least(floor((m - lo) / nullif((hi - lo) / bins, 0)), bins - 1), 0) AS BIGINT) AS bin, count(*) AS n, round(count(*) / nullif(total * ((hi - lo) / bins), 0), 6) AS density FROM per JOIN b ON per.state = b.state GROUP BY 1, 2, total, hi, lo, bins""")
+def dwell_histogram_fd(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return events.dwell_histogram(events.pulses(views.trajectories(spark, sf_dir))).select("state", *long("bin", "n"), r("density"))
+
+
+@query(f"""WITH {TRAJ}, m AS (SELECT trajectory, max("Intensity") AS top, avg("Intensity") AS mean FROM traj GROUP BY 1),
+ok AS (SELECT * FROM m WHERE top < (SELECT 1.0 * stddev_samp(top) + avg(top) FROM m) AND mean > 0),
+sides AS (SELECT 'before' AS side, top FROM m UNION ALL SELECT 'after', top FROM ok),
+b AS (SELECT side, min(top) AS lo, max(top) AS hi, greatest(floor(sqrt(count(*))), 1) AS bins FROM sides GROUP BY 1)
+SELECT b.side, CAST(coalesce(least(floor((top - lo) / nullif((hi - lo) / bins, 0)), bins - 1), 0) AS BIGINT) AS bin, count(*) AS n FROM sides JOIN b ON sides.side = b.side GROUP BY 1, 2""")
+def tops_before_and_after(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = views.trajectories(spark, sf_dir)
+    return events.tops_before_and_after(df, groups.filter_garbage(df, 1.0)).select("side", *long("bin", "n"))
+
+
 # --- models evaluated on the tables
 
 @query(f"""WITH {TRAJ} SELECT trajectory, CAST(slice AS BIGINT) AS slice, round(0.6 * exp(-pow(("Intensity" - 20) / 10.0, 2) / 2) / (10.0 * sqrt(2 * pi())) + 0.4 * exp(-pow(("Intensity" - 70) / 15.0, 2) / 2) / (15.0 * sqrt(2 * pi())), 8) AS pdf FROM traj""")
@@ -304,10 +340,10 @@ def gauss_mixture_pdf(spark: SparkSession, sf_dir: str) -> DataFrame:
     return views.trajectories(spark, sf_dir).withColumn("pdf", pdf).select(*long("trajectory", "slice"), r("pdf", 8))
 
 
-@query(f"""WITH {PX}, p AS (SELECT t, y, x, y - 15.5 AS u, x - 14.0 AS v, cos(0.3) AS c, sin(0.3) AS s FROM px)
-SELECT t, y, x, round(3.0 + 100.0 * exp(-((c * c / 18.0 + s * s / 50.0) * u * u + 2 * (sin(0.6) / 100.0 - sin(0.6) / 36.0) * u * v + (s * s / 18.0 + c * c / 50.0) * v * v)), 6) AS g FROM p""")
+@query(f"""WITH {PX}, p AS (SELECT image_id, t, y, x, y - 15.5 AS u, x - 14.0 AS v, cos(0.3) AS c, sin(0.3) AS s FROM px)
+SELECT CAST(image_id AS BIGINT) AS image_id, t, y, x, round(3.0 + 100.0 * exp(-((c * c / 18.0 + s * s / 50.0) * u * u + 2 * (sin(0.6) / 100.0 - sin(0.6) / 36.0) * u * v + (s * s / 18.0 + c * c / 50.0) * v * v)), 6) AS g FROM p""")
 def gauss2d_eval(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return views.pixels(spark, sf_dir).withColumn("g", frames.gaussian_2d("y", "x", 100, 15.5, 14, 3, 5, 0.3, 3)).select(*long("t", "y", "x"), r("g"))
+    return views.pixels(spark, sf_dir).withColumn("g", frames.gaussian_2d("y", "x", 100, 15.5, 14, 3, 5, 0.3, 3)).select(*long("image_id", "t", "y", "x"), r("g"))
 
 
 # --- peaks
@@ -353,7 +389,41 @@ def coloc_n_channels(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {PK} SELECT peak_id, channel, round(x, 6) AS x, round(y, 6) AS y FROM pk AS a WHERE NOT EXISTS (SELECT 1 FROM pk AS b WHERE sqrt(pow(a.x - b.x, 2) + pow(a.y - b.y, 2)) > 0 AND sqrt(pow(a.x - b.x, 2) + pow(a.y - b.y, 2)) < 10)")
 def isolation_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spatial.isolated(views.peaks(spark, sf_dir), 10.0).select(*long("peak_id"), "channel", r("x"), r("y"))
+    return spatial.isolated(views.peaks(spark, sf_dir), 10.0, by=[]).select(*long("peak_id"), "channel", r("x"), r("y"))
+
+
+def imaged(spark: SparkSession, sf_dir: str, name: str | None = None) -> DataFrame:
+    """The peaks dealt over three images."""
+    peaks = views.peaks(spark, sf_dir) if name is None else channel(spark, sf_dir, name)
+    return peaks.withColumn("image_id", F.col("peak_id") % 3)
+
+
+IMAGED = """pk AS (SELECT vec_id % 3 AS image_id, CAST(label % 3 AS VARCHAR) AS channel, vec_id AS peak_id, (CAST(embedding[1] AS DOUBLE) + 0.5) * 512 AS x, (CAST(embedding[2] AS DOUBLE) + 0.5) * 512 AS y FROM embeddings)"""
+IMAGED_PAIRS = IMAGED + """, pairs AS (SELECT a.image_id, a.peak_id AS a_id, b.peak_id AS b_id, sqrt(pow(a.x - b.x, 2) + pow(a.y - b.y, 2)) AS d FROM pk AS a JOIN pk AS b ON a.image_id = b.image_id WHERE a.channel = '0' AND b.channel = '1' AND sqrt(pow(a.x - b.x, 2) + pow(a.y - b.y, 2)) < 16.0),
+na AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY image_id, a_id ORDER BY d, b_id) AS k FROM pairs) WHERE k = 1),
+nb AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY image_id, b_id ORDER BY d, a_id) AS k FROM pairs) WHERE k = 1)"""
+
+
+@query(f"WITH {IMAGED_PAIRS} SELECT image_id, a_id AS peak_id, b_id AS near_id, round(d, 6) AS d FROM na")
+def nn_threshold_join_images(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spatial.nn_threshold_join(imaged(spark, sf_dir, "0"), imaged(spark, sf_dir, "1"), 16.0).select(*long("image_id", "peak_id", "near_id"), r("d"))
+
+
+@query(f"WITH {IMAGED_PAIRS} SELECT na.image_id, na.a_id, na.b_id FROM nb JOIN na ON nb.image_id = na.image_id AND nb.a_id = na.a_id")
+def coloc_pairs_images(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spatial.coloc_pairs(imaged(spark, sf_dir, "0"), imaged(spark, sf_dir, "1"), 16.0).select(*long("image_id", "a_id", "b_id"))
+
+
+@query(f"""WITH {IMAGED}, steps AS (SELECT i * 4.0 - 12.0 AS g FROM range(7) AS r(i)),
+hits AS (SELECT a.image_id, gx.g AS gx, gy.g AS gy, count(DISTINCT b.peak_id) AS n FROM pk AS a JOIN pk AS b ON a.image_id = b.image_id, steps AS gx, steps AS gy WHERE a.channel = '0' AND b.channel = '1' AND sqrt(pow(a.x - (b.x + gx.g), 2) + pow(a.y - (b.y + gy.g), 2)) < 4.0 GROUP BY 1, 2, 3)
+SELECT image_id, gx::DOUBLE AS gx, gy::DOUBLE AS gy, CAST(n AS BIGINT) AS n FROM (SELECT *, row_number() OVER (PARTITION BY image_id ORDER BY n DESC, gx, gy) AS k FROM hits) WHERE k = 1""")
+def best_drift_images(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spatial.best_drift(imaged(spark, sf_dir, "0"), imaged(spark, sf_dir, "1"), **GRID).select(*long("image_id"), r("gx"), r("gy"), *long("n"))
+
+
+@query(f"WITH {IMAGED} SELECT image_id, channel, peak_id FROM pk AS a WHERE NOT EXISTS (SELECT 1 FROM pk AS b WHERE a.image_id = b.image_id AND a.channel = b.channel AND sqrt(pow(a.x - b.x, 2) + pow(a.y - b.y, 2)) > 0 AND sqrt(pow(a.x - b.x, 2) + pow(a.y - b.y, 2)) < 20)")
+def isolation_images(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spatial.isolated(imaged(spark, sf_dir), 20.0).select(*long("image_id"), "channel", *long("peak_id"))
 
 
 @query(f"WITH {PK} SELECT peak_id, channel, round(x, 6) AS x, round(y, 6) AS y FROM pk WHERE x > 200 AND x < 320 AND y > 200 AND y < 320")
@@ -365,34 +435,35 @@ def roi_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def projection(method: str, sql: str) -> None:
     def f(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return frames.project(views.pixels(spark, sf_dir), method).select(*long("y", "x"), r("value"))
+        return frames.project(views.pixels(spark, sf_dir), method).select(*long("image_id", "y", "x"), r("value"))
 
     f.__name__ = f"project_{method}"
-    query(f"WITH {PX} SELECT y, x, round(CAST({sql} AS DOUBLE), 6) AS value FROM px GROUP BY y, x")(f)
+    query(f"WITH {PX} SELECT CAST(image_id AS BIGINT) AS image_id, y, x, round(CAST({sql} AS DOUBLE), 6) AS value FROM px GROUP BY image_id, y, x")(f)
 
 
 for _method, _sql in (("mean", "avg(value)"), ("std", "stddev_pop(value)"), ("var", "var_pop(value)"), ("max", "max(value)"), ("min", "min(value)"), ("sum", "sum(value)"), ("argmax", "arg_max(t, [value, -t])")):
     projection(_method, _sql)
 
 
-@query(f"""WITH {PX} SELECT a.t, a.y, a.x, round(coalesce(b.value, 0.0), 6) AS value FROM px AS a LEFT JOIN px AS b ON a.t = b.t AND b.y = a.y + (a.t % 4 - 1) AND b.x = a.x + (a.t % 3 - 1)""")
+@query(f"""WITH {PX} SELECT CAST(a.image_id AS BIGINT) AS image_id, a.t, a.y, a.x, round(coalesce(b.value, 0.0), 6) AS value FROM px AS a LEFT JOIN px AS b ON a.image_id = b.image_id AND a.t = b.t AND b.y = a.y + ((a.t + a.image_id) % 4 - 1) AND b.x = a.x + (a.t % 3 - 1)""")
 def integer_shift(spark: SparkSession, sf_dir: str) -> DataFrame:
     px = views.pixels(spark, sf_dir)
-    shifts = px.select("t").distinct().select("t", (F.col("t") % 4 - 1).alias("dr"), (F.col("t") % 3 - 1).alias("dc"))
-    return frames.integer_shift(px, shifts, views.HEIGHT, views.WIDTH).select(*long("t", "y", "x"), r("value"))
+    shifts = px.select("image_id", "t").distinct().select("image_id", "t", ((F.col("t") + F.col("image_id")) % 4 - 1).alias("dr"), (F.col("t") % 3 - 1).alias("dc"))
+    return frames.integer_shift(px, shifts, views.HEIGHT, views.WIDTH).select(*long("image_id", "t", "y", "x"), r("value"))
 
 
-def integrate_sql(dx: int, dy: int) -> str:
-    return f"""WITH {PX}, {PK}, p AS (SELECT peak_id, CAST(trunc(x) AS BIGINT) % 32 AS x, CAST(trunc(y) AS BIGINT) % 32 AS y FROM pk WHERE channel = '0'),
-s AS (SELECT peak_id, p.x, p.y, t, sum(CASE WHEN abs(px.y - p.x - {dx}) <= 1 AND abs(px.x - p.y - {dy}) <= 1 THEN value ELSE 0.0 END) AS own, sum(value) AS every FROM p JOIN px ON px.y BETWEEN p.x + {dx} - 3 AND p.x + {dx} + 3 AND px.x BETWEEN p.y + {dy} - 3 AND p.y + {dy} + 3 GROUP BY 1, 2, 3, 4)
-SELECT peak_id AS trajectory, CAST(t AS BIGINT) AS slice, round(own - (every - own) / 40 * 9, 5) AS intensity, round((every - own) / 40, 5) AS bg, x, y FROM s"""
+def integrate_sql(dx: int, dy: int, legacy: bool = False) -> str:
+    row, column = (f"p.x + {dx}", f"p.y + {dy}") if not legacy else (f"p.y + {dy}", f"p.x + {dx}")
+    return f"""WITH {PX}, {PK}, p AS (SELECT peak_id % 3 AS image_id, peak_id, CAST(trunc(x) AS BIGINT) % 32 AS x, CAST(trunc(y) AS BIGINT) % 32 AS y FROM pk WHERE channel = '0'),
+s AS (SELECT p.image_id, peak_id, p.x, p.y, t, sum(CASE WHEN abs(px.y - ({row})) <= 1 AND abs(px.x - ({column})) <= 1 THEN value ELSE 0.0 END) AS own, sum(value) AS every FROM p JOIN px ON p.image_id = px.image_id AND px.y BETWEEN {row} - 3 AND {row} + 3 AND px.x BETWEEN {column} - 3 AND {column} + 3 GROUP BY 1, 2, 3, 4, 5)
+SELECT CAST(image_id AS BIGINT) AS image_id, peak_id AS trajectory, CAST(t AS BIGINT) AS slice, round(own - (every - own) / 40 * 9, 5) AS intensity, round((every - own) / 40, 5) AS bg, x, y FROM s"""
 
 
-def integrate(spark: SparkSession, sf_dir: str, dx: int, dy: int) -> DataFrame:
+def integrate(spark: SparkSession, sf_dir: str, dx: int, dy: int, legacy: bool = False) -> DataFrame:
     place = lambda c: (F.col(c).cast("long") % 32).cast("double").alias(c)
-    peaks = channel(spark, sf_dir, "0").select("peak_id", place("x"), place("y"))
-    out = frames.roi_integrate(views.pixels(spark, sf_dir), peaks, 1, 2, dx, dy).withColumnRenamed("Intensity", "intensity")
-    return out.select(*long("trajectory", "slice"), r("intensity", 5), r("bg", 5), *long("x", "y"))
+    peaks = channel(spark, sf_dir, "0").select((F.col("peak_id") % 3).cast("int").alias("image_id"), "peak_id", place("x"), place("y"))
+    out = frames.roi_integrate(views.pixels(spark, sf_dir), peaks, 1, 2, dx, dy, legacy_axes=legacy).withColumnRenamed("Intensity", "intensity")
+    return out.select(*long("image_id", "trajectory", "slice"), r("intensity", 5), r("bg", 5), *long("x", "y"))
 
 
 @query(integrate_sql(0, 0))
@@ -405,6 +476,11 @@ def roi_integrate_drift(spark: SparkSession, sf_dir: str) -> DataFrame:
     return integrate(spark, sf_dir, 2, -1)
 
 
+@query(integrate_sql(1, 0, legacy=True))
+def roi_integrate_legacy_axes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return integrate(spark, sf_dir, 1, 0, legacy=True)
+
+
 # --- segments
 
 SEGMENTS = TRAJ + ', seg AS (SELECT trajectory, slice, slice // 7 AS segment, "Intensity" AS v FROM traj)'
@@ -432,21 +508,103 @@ def changepoints(spark: SparkSession, sf_dir: str) -> DataFrame:
 MODEL = hmm.Hmm(np.array([0.5, 0.5]), np.array([[0.8, 0.2], [0.3, 0.7]]), np.array([30.0, 90.0]), np.array([400.0, 900.0]))
 
 
-@query()
+def lse(a: str, b: str) -> str:
+    return f"(greatest({a}, {b}) + ln(1 + exp(-abs(({a}) - ({b})))))"
+
+
+def hmm_sql(source: str) -> str:
+    """Recursive CTEs src, dens, fwd (forward sums and best paths), bwd (backward sums and the path) of MODEL over ``source`` (trajectory, slice, "Intensity")."""
+    (s0, s1), l = np.log(MODEL.start), np.log(MODEL.move)
+    b = [f"-0.5 * (ln(2 * pi() * {v}) + pow(x - {m}, 2) / {v})" for m, v in zip(MODEL.means, MODEL.variances, strict=True)]
+    return f"""src AS (SELECT trajectory, slice AS t, "Intensity" AS x, count(*) OVER (PARTITION BY trajectory) AS n FROM {source}),
+dens AS (SELECT trajectory, t, n, x, {b[0]} AS b0, {b[1]} AS b1 FROM src),
+fwd AS (SELECT trajectory, t, n, x, b0, b1, {s0} + b0 AS f0, {s1} + b1 AS f1, {s0} + b0 AS v0, {s1} + b1 AS v1, 0 AS c0, 0 AS c1 FROM dens WHERE t = 0
+UNION ALL SELECT d.trajectory, d.t, d.n, d.x, d.b0, d.b1, {lse(f"f.f0 + {l[0, 0]}", f"f.f1 + {l[1, 0]}")} + d.b0, {lse(f"f.f0 + {l[0, 1]}", f"f.f1 + {l[1, 1]}")} + d.b1, greatest(f.v0 + {l[0, 0]}, f.v1 + {l[1, 0]}) + d.b0, greatest(f.v0 + {l[0, 1]}, f.v1 + {l[1, 1]}) + d.b1, CASE WHEN f.v1 + {l[1, 0]} > f.v0 + {l[0, 0]} THEN 1 ELSE 0 END, CASE WHEN f.v1 + {l[1, 1]} > f.v0 + {l[0, 1]} THEN 1 ELSE 0 END FROM fwd AS f JOIN dens AS d ON d.trajectory = f.trajectory AND d.t = f.t + 1),
+bwd AS (SELECT trajectory, t, CAST(0 AS DOUBLE) AS r0, CAST(0 AS DOUBLE) AS r1, CASE WHEN v1 > v0 THEN 1 ELSE 0 END AS s, greatest(v0, v1) AS score, {lse("f0", "f1")} AS total FROM fwd WHERE t = n - 1
+UNION ALL SELECT b.trajectory, b.t - 1, {lse(f"{l[0, 0]} + d.b0 + b.r0", f"{l[0, 1]} + d.b1 + b.r1")}, {lse(f"{l[1, 0]} + d.b0 + b.r0", f"{l[1, 1]} + d.b1 + b.r1")}, CASE WHEN b.s = 0 THEN d.c0 ELSE d.c1 END, b.score, b.total FROM bwd AS b JOIN fwd AS d ON d.trajectory = b.trajectory AND d.t = b.t WHERE b.t > 0),
+decoded AS (SELECT f.trajectory, f.t AS slice, f.x AS "Intensity", b.s AS fit, b.score, b.total, exp(f.f0 + b.r0 - b.total) AS g0, exp(f.f1 + b.r1 - b.total) AS g1, f.f0, f.f1, f.b0, f.b1, b.r0, b.r1 FROM fwd AS f JOIN bwd AS b ON f.trajectory = b.trajectory AND f.t = b.t)"""
+
+
+@query(f"WITH RECURSIVE {TRAJ}, {hmm_sql('traj')} SELECT trajectory, CAST(slice AS BIGINT) AS slice, CAST(fit AS BIGINT) AS fit, round(score, 5) AS fit_score, round(g1, 5) AS posterior FROM decoded")
 def hmm_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return hmm.decode(views.trajectories(spark, sf_dir), MODEL)
+    return hmm.decode(views.trajectories(spark, sf_dir), MODEL).select(*long("trajectory", "slice", "fit"), r("fit_score", 5), r("fit_posterior", 5).alias("posterior"))
+
+
+def moves_sql() -> str:
+    l = np.log(MODEL.move)
+    each = ", ".join(f"sum(exp(p.f{i} + {l[i, j]} + d.b{j} + d.r{j} - d.total)) AS m{i}{j}" for i in (0, 1) for j in (0, 1))
+    names = [f"SELECT 'move' AS name, {i} AS i, {j} AS j, m{i}{j} AS v FROM moves" for i in (0, 1) for j in (0, 1)]
+    for name, v in (("w", "g{i}"), ("x", 'g{i} * "Intensity"'), ("xx", 'g{i} * "Intensity" * "Intensity"'), ("start", "CASE WHEN slice = 0 THEN g{i} ELSE 0 END")):
+        names += [f"SELECT '{name}', {i}, 0, sum({v.format(i=i)}) FROM decoded" for i in (0, 1)]
+    names.append("SELECT 'logl', 0, 0, sum(total) FROM decoded WHERE slice = 0")
+    return f"WITH RECURSIVE {TRAJ}, {hmm_sql('traj')}, moves AS (SELECT {each} FROM decoded AS p JOIN decoded AS d ON p.trajectory = d.trajectory AND d.slice = p.slice + 1), sums AS ({' UNION ALL '.join(names)}) SELECT name, CAST(i AS BIGINT) AS i, CAST(j AS BIGINT) AS j, round(v, 2) AS v FROM sums"
+
+
+@query(moves_sql())
+def hmm_expectations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The sums of one training round."""
+    return hmm.expectations(views.trajectories(spark, sf_dir), MODEL).select("name", *long("i", "j"), r("v", 2))
+
+
+#: Garbage out, decode, keep clear and active trajectories, cut into pulses, drop overlong ones, mean durations.
+CHAIN_SQL = f"""WITH RECURSIVE {TRAJ}, tops AS (SELECT trajectory, max("Intensity") AS top, avg("Intensity") AS mean FROM traj GROUP BY 1),
+clean AS (SELECT * FROM traj WHERE trajectory IN (SELECT trajectory FROM tops WHERE top < (SELECT 1.0 * stddev_samp(top) + avg(top) FROM tops) AND mean > 0)),
+{hmm_sql('clean')}, fitted AS (SELECT trajectory, slice, "Intensity", fit, 0.0 AS seconds FROM decoded),
+""" + COHEN.removeprefix(TRAJ + ", ").replace("FROM traj", "FROM fitted") + """,
+clear AS (SELECT * FROM fitted WHERE trajectory IN (SELECT trajectory FROM cohen WHERE abs(d) > 2.2)),
+""" + EVENTS.removeprefix(TRAJ + ", ").replace("FROM traj", "FROM clear") + """,
+active AS (SELECT * FROM clear WHERE trajectory IN (SELECT trajectory FROM ev WHERE events >= 3)),
+""" + PULSES.removeprefix(TRAJ + ", ").replace("FROM traj", "FROM active") + """,
+short AS (SELECT * FROM pulses WHERE trajectory NOT IN (SELECT trajectory FROM pulses GROUP BY 1 HAVING max(dur) > (SELECT avg(dur) + 3.0 * stddev_samp(dur) FROM pulses)))
+SELECT trajectory, state, count(*) AS n, round(avg(dur), 6) AS dur, round(avg(mean), 6) AS mean FROM short GROUP BY 1, 2"""
+
+
+def chain_pulses(df: DataFrame) -> DataFrame:
+    """The chain up to its pulses: one plan, in which the rows are read, decoded and dealt once."""
+    clean = groups.filter_garbage(df, threshold=1.0, windowed=True)
+    clear = groups.filter_snr(hmm.decode(clean, MODEL), 2.2, windowed=True)
+    return events.pulses(groups.filter_inactive(clear, 3.0, windowed=True))
+
+
+@query(CHAIN_SQL)
+def chain_kinetics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole workflow; pulses are written once, as the cutoff over all of them needs them twice."""
+    short = groups.filter_by_length(written(chain_pulses(views.trajectories(spark, sf_dir))), 3.0)
+    out = short.groupBy("trajectory", "state").agg(F.count(F.lit(1)).alias("n"), F.avg("dur").alias("dur"), F.avg("Intensity").alias("mean"))
+    return out.select(*long("trajectory"), "state", *long("n"), r("dur"), r("mean"))
 
 
 @query()
 def hmm_train(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The parameters after training, a row for each state."""
+    """The parameters after training from a first guess until it settles (1000 rounds at most), a row for each state."""
     df = views.trajectories(spark, sf_dir)
-    m, logl = hmm.train_hmm(df, MODEL, rounds=5)
+    guess, _ = hmm.initial_guess(df, (20, 90, 20, 30, 0.5, 0.5))
+    m, logl = hmm.train_hmm(df, hmm.init_hmm(guess), rounds=1000)
     here = df.agg(F.count(F.lit(1)).alias("rows"))
-    table = F.array(*[F.struct(F.lit(k).alias("state"), F.lit(float(m.start[k])).alias("start"), F.lit(float(m.means[k])).alias("mean"), F.lit(float(m.variances[k])).alias("variance"), F.lit(float(m.move[k, k])).alias("stay"), F.lit(logl).alias("logl")) for k in range(2)])
+    table = F.array(*[F.struct(F.lit(k).alias("state"), F.lit(float(m.start[k])).alias("start"), F.lit(float(m.means[k])).alias("mean"), F.lit(float(m.variances[k])).alias("variance"), F.lit(float(m.move[k, k])).alias("stay"), F.lit(float(hmm.stationary(m)[k])).alias("stationary"), F.lit(hmm.signal_to_noise(m)).alias("snr"), F.lit(logl).alias("logl")) for k in range(2)])
     return here.select("rows", F.inline(table))
 
 
+@query()
+def hmm_initial_guess(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two normals fitted to the histogram of all values, and their signal-to-noise ratio."""
+    df = views.trajectories(spark, sf_dir)
+    guess, snr = hmm.initial_guess(df, (20, 90, 20, 30, 0.5, 0.5))
+    names = ("mean_0", "mean_1", "sigma_0", "sigma_1", "weight_0", "weight_1")
+    return df.agg(F.count(F.lit(1)).alias("rows")).select("rows", *[F.lit(float(v)).alias(n) for n, v in zip(names, guess, strict=True)], F.lit(snr).alias("snr"))
+
+
+def mixture_sql() -> str:
+    each = [f"{w} * exp(-pow((x - {m}) / {v**0.5}, 2) / 2) / ({v**0.5} * sqrt(2 * pi()))" for m, v, w in zip(MODEL.means, MODEL.variances, np.round(hmm.stationary(MODEL), 3), strict=True)]
+    return f"""WITH {TRAJ}, span AS (SELECT min("Intensity") - 1 AS lo, max("Intensity") + 1 AS hi FROM traj), places AS (SELECT k, lo + (hi - lo) * k / 999 AS x FROM span, range(1000) AS g(k))
+SELECT CAST(k AS BIGINT) AS k, CAST(0 AS BIGINT) AS state, round(x, 6) AS x, round({each[0]}, 9) AS density FROM places UNION ALL SELECT k, 1, round(x, 6), round({each[1]}, 9) FROM places"""
+
+
+@query(mixture_sql())
+def hmm_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hmm.mixture(views.trajectories(spark, sf_dir), MODEL).select(*long("k", "state"), r("x"), r("density", 9))
+
+
 # --- images
 
 @query()
@@ -471,14 +629,27 @@ def blob_log(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def peak_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Spots of each image's first frame."""
     movie = views.frames(spark, sf_dir)
-    first = movie.where("t = 0")
+    first = movie.join(movie.groupBy("image_id").agg(F.min("t").alias("t")), ["image_id", "t"])
     blobs = frames.find_blobs(first, max_sigma=5, num_sigma=5, threshold=5.0)
     return frames.fit_spots(first, blobs, 3)
 
 
+@query(f"WITH {PX} SELECT CAST(image_id AS BIGINT) AS image_id, CAST(1 AS BIGINT) AS n_channels, CAST(CASE WHEN count(DISTINCT t) > 1 THEN 1 ELSE 0 END AS BIGINT) AS n_long FROM sums GROUP BY 1")
+def count_channels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return frames.count_channels(views.frames(spark, sf_dir)).select(*long("image_id", "n_channels", "n_long"))
+
+
 # --- what plots need
 
+@query()
+def sample_n_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rows of five trajectories: a sampling operator."""
+    return rows(hmm.sample_n_groups(views.trajectories(spark, sf_dir), 5))
+
+
+
 @query(f"WITH {TRAJ} SELECT DISTINCT trajectory FROM traj")
 def distinct_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     return views.trajectories(spark, sf_dir).select("trajectory").distinct()

@@ -20,9 +20,9 @@ def add_time(df: DataFrame, key: str = "aperture_index", order: str = ORDER) ->
 
 
 def normalize(df: DataFrame, key: str = KEY, value: str = VALUE) -> DataFrame:
-    """``norm_<value>``: the share of the group's maximum; null where that is 0."""
-    top = df.groupBy(key).agg(F.max(value).alias("_top"))
-    return df.join(top, key).withColumn(f"norm_{value}", F.try_divide(value, "_top")).drop("_top")
+    """``norm_<value>``: the share of the group's maximum; null where that is 0, and for rows without a key, which stay."""
+    top = df.groupBy(key).agg(F.max(value).alias("_top")).where(F.col(key).isNotNull())
+    return df.join(top, key, "left").withColumn(f"norm_{value}", F.try_divide(value, "_top")).drop("_top")
 
 
 def calibrate(df: DataFrame, conversion: float, time: str = ORDER) -> DataFrame:

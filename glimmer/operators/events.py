@@ -2,18 +2,21 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from glimmer.operators.columns import in_order
 from glimmer.operators.groups import KEY, ORDER, STATE, VALUE
 
 
+def half_change(key: str = KEY, state: str = STATE, order: str = ORDER) -> Column:
+    """1 where the state changes after the row, with a change to 0 after the last one: half an event."""
+    return (F.lead(state, 1, 0).over(in_order(key, order)) != F.col(state)).cast("int")
+
+
 def event_counts(df: DataFrame, key: str = KEY, state: str = STATE, order: str = ORDER) -> DataFrame:
     """key and events: half the changes of state, with a change to 0 after the last row; so a leading event counts half."""
-    w = in_order(key, order)
-    changed = df.where(F.col(key).isNotNull()).withColumn("_changed", (F.lead(state, 1, 0).over(w) != F.col(state)).cast("int"))
-    return changed.groupBy(key).agg((F.sum("_changed") / 2.0).alias("events"))
+    return df.where(F.col(key).isNotNull()).withColumn("_half", half_change(key, state, order)).groupBy(key).agg((F.sum("_half") / 2.0).alias("events"))
 
 
 def with_runs(df: DataFrame, key: str = KEY, state: str = STATE, order: str = ORDER) -> DataFrame:
@@ -93,16 +96,18 @@ def dwell_pairs_legacy(dwells: DataFrame, key: str = KEY) -> DataFrame:
 def pulses(df: DataFrame, conversion: float = 1.0, key: str = KEY, value: str = VALUE, state: str = STATE, order: str = ORDER) -> DataFrame:
     """key, state ('on' or 'off'), dur, value, std, start_frame, end_frame (exclusive) of all runs but each group's last.
 
-    On is the state, 0 or 1, with the larger mean; equal means make state 0 both; a group without one of them has the other.
+    The input is planned once. On is the state, 0 or 1, with the larger mean; equal means make state 0 both; a group without one of them has the other.
     """
-    m1, m0 = (F.avg(F.when(F.col(state) == k, F.col(value))) for k in (1, 0))
-    means = df.groupBy(key).agg(m1.alias("m1"), m0.alias("m0"))
+    w = Window.partitionBy(key)
+    m1, m0 = (F.avg(F.when(F.col(state) == k, F.col(value))).over(w) for k in (1, 0))
+    marked = with_runs(df.where(F.col(key).isNotNull()), key, state, order).withColumn("m1", m1).withColumn("m0", m0)
+    each = marked.groupBy(key, "run_id").agg(F.min(state).alias("r_state"), F.min("pos").alias("start_frame"), (F.max("pos") + 1).alias("end_frame"), F.count(F.lit(1)).alias("len"), F.avg(value).alias("mean"), F.stddev_samp(value).alias("std"), F.max("m1").alias("m1"), F.max("m0").alias("m0"))
     on = F.when(F.col("m1").isNull() | (F.col("m0") >= F.col("m1")), 0).otherwise(1)
     off = F.when(F.col("m1").isNull() | (F.col("m0") <= F.col("m1")), 0).otherwise(1)
     off = F.when(F.col("m0").isNull(), 1).otherwise(off)
-    sides = F.filter(F.array(F.when(F.col("r_state") == F.col("on"), "on"), F.when(F.col("r_state") == F.col("off"), "off")), lambda s: s.isNotNull())
-    done = runs(df, key, value, state, order).where("not is_last").withColumnRenamed("state", "r_state").join(means.select(key, on.alias("on"), off.alias("off")), key)
-    return done.withColumn("state", F.explode(sides)).select(key, "state", (F.col("len") * conversion).alias("dur"), F.col("mean").alias(value), F.col("sd").alias("std"), F.col("start").alias("start_frame"), F.col("end").alias("end_frame"))
+    sides = F.filter(F.array(F.when(F.col("r_state") == on, "on"), F.when(F.col("r_state") == off, "off")), lambda s: s.isNotNull())
+    done = each.withColumn("is_last", F.col("run_id") == F.max("run_id").over(w)).where("not is_last").withColumn("side", F.explode(sides))
+    return done.select(key, F.col("side").alias("state"), (F.col("len") * conversion).alias("dur"), F.col("mean").alias(value), "std", "start_frame", "end_frame")
 
 
 def dwell_sem(pulses_: DataFrame, key: str = KEY) -> DataFrame:
@@ -110,16 +115,47 @@ def dwell_sem(pulses_: DataFrame, key: str = KEY) -> DataFrame:
     return pulses_.groupBy("state", key).agg(F.avg("dur").alias("m")).groupBy("state").agg(F.avg("m").alias("mean"), (F.stddev_samp("m") / F.sqrt(F.count("m"))).alias("sem"))
 
 
+def _quartiles(value: str, n: str) -> list[Column]:
+    """Quartiles from counts by value, so equal values are added up before they meet."""
+    return [F.percentile(value, q, F.col(n)) for q in (0.25, 0.75)]
+
+
 def fd_bin_width(pulses_: DataFrame, key: str = KEY) -> DataFrame:
     """state and the Freedman-Diaconis bin width of the groups' mean durations."""
-    each = pulses_.groupBy("state", key).agg(F.avg("dur").alias("m"))
-    return each.groupBy("state").agg((F.lit(2.0) * (F.percentile("m", 0.75) - F.percentile("m", 0.25)) / F.pow(F.count("m").cast("double"), F.lit(1.0 / 3))).alias("width"))
+    each = pulses_.groupBy("state", key).agg(F.avg("dur").alias("m")).groupBy("state", "m").agg(F.count(F.lit(1)).alias("n"))
+    low, high = _quartiles("m", "n")
+    return each.groupBy("state").agg((F.lit(2.0) * (high - low) / F.pow(F.sum("n").cast("double"), F.lit(1.0 / 3))).alias("width"))
+
 
+def histogram(df: DataFrame, value: str = VALUE, bins: int | str = 100, by: list[str] | None = None) -> DataFrame:
+    """bin (0, 1, ...), left (its lower end), n, density over equal bins from least to largest, of all rows or by group; the last bin is closed.
 
-def histogram(df: DataFrame, value: str = VALUE, bins: int = 100) -> DataFrame:
-    """bin (0, 1, ...), n, density over equal bins from least to largest; the last bin is closed."""
-    span = df.agg(F.min(value).alias("low"), F.max(value).alias("high"), F.count(value).alias("total"))
-    width = (F.col("high") - F.col("low")) / bins
-    bin_ = F.least(F.floor(F.try_divide(F.col(value) - F.col("low"), width)), F.lit(bins - 1))
-    counted = df.where(F.col(value).isNotNull()).join(F.broadcast(span)).groupBy(F.coalesce(bin_, F.lit(0)).cast("long").alias("bin"), "low", "high", "total").agg(F.count(F.lit(1)).alias("n"))
-    return counted.select("bin", "n", F.try_divide("n", F.col("total") * width).alias("density"))
+    ``bins``: a number, 'sqrt' (the root of the number of values) or 'fd' (as many as reach over the range at the
+    Freedman-Diaconis width); one where that is none. Null values are left out.
+    """
+    by = by or []
+    counts = df.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count(F.lit(1)).alias("_n"))
+    span = [F.min(value).alias("low"), F.max(value).alias("high"), F.sum("_n").alias("total")]
+    reach = F.col("high") - F.col("low")
+    if bins == "fd":
+        span += [q.alias(a) for q, a in zip(_quartiles(value, "_n"), ("_q1", "_q3"), strict=True)]
+        wanted = F.ceil(F.try_divide(reach, F.lit(2.0) * (F.col("_q3") - F.col("_q1")) / F.pow(F.col("total").cast("double"), F.lit(1.0 / 3))))
+    else:
+        wanted = F.floor(F.sqrt("total")) if bins == "sqrt" else F.lit(int(bins))
+    spans = counts.groupBy(*by).agg(*span).select(*by, "low", "high", "total", F.greatest(F.coalesce(wanted, F.lit(1)), F.lit(1)).cast("long").alias("bins"))
+    placed = counts.join(spans, by) if by else counts.join(F.broadcast(spans))  # without groups it is one row
+    width = reach / F.col("bins")
+    bin_ = F.coalesce(F.least(F.floor(F.try_divide(F.col(value) - F.col("low"), width)), F.col("bins") - 1), F.lit(0)).cast("long")
+    counted = placed.groupBy(*by, bin_.alias("bin"), "low", "high", "total", "bins").agg(F.sum("_n").alias("n"))
+    return counted.select(*by, "bin", (F.col("low") + F.col("bin") * width).alias("left"), "n", F.try_divide("n", F.col("total") * width).alias("density"))
+
+
+def dwell_histogram(pulses_: DataFrame, bins: int | str = "fd", key: str = KEY) -> DataFrame:
+    """state, bin, left, n, density of the groups' mean durations."""
+    return histogram(pulses_.groupBy("state", key).agg(F.avg("dur").alias("m")), "m", bins, ["state"])
+
+
+def tops_before_and_after(before: DataFrame, after: DataFrame, key: str = KEY, value: str = VALUE) -> DataFrame:
+    """side ('before', 'after'), bin, left, n, density of the groups' largest values on either side of a filter, by the root rule."""
+    tops = lambda df, side: df.where(F.col(key).isNotNull()).groupBy(key).agg(F.max(value).alias("top")).select(F.lit(side).alias("side"), "top")
+    return histogram(tops(before, "before").unionByName(tops(after, "after")), "top", "sqrt", ["side"])

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from glimmer.functions import kernels
+from glimmer.operators.spatial import IMAGE, shared
 from glimmer.schemas import FRAMES
 
 PROJECTIONS = {"mean": F.avg, "std": F.stddev_pop, "var": F.var_pop, "max": F.max, "min": F.min, "sum": F.sum, "prod": F.product, "argmax": lambda c: F.max_by("t", F.struct(F.col(c), -F.col("t")))}
@@ -27,31 +28,44 @@ def project(pixels: DataFrame, method: str = "mean", over: str = "t", value: str
     return pixels.groupBy(*[c for c in pixels.columns if c not in (over, value)]).agg(PROJECTIONS[method](value).alias(value))
 
 
+#: What tells frames apart.
+FRAME = ("image_id", "t", "c", "z")
+
+
 def integer_shift(pixels: DataFrame, shifts: DataFrame, height: int, width: int) -> DataFrame:
-    """Every frame moved by its (t, dr, dc), with 0 where nothing comes from; frames without a shift stay."""
-    moved = pixels.join(F.broadcast(shifts), "t", "left").withColumn("y", F.col("y") - F.coalesce("dr", F.lit(0))).withColumn("x", F.col("x") - F.coalesce("dc", F.lit(0))).drop("dr", "dc")
+    """Every frame moved by its (dr, dc), with 0 where nothing comes from; frames without a shift stay.
+
+    Shifts belong to frames by those of FRAME's columns that both tables have.
+    """
+    own = shared(FRAME, None, pixels, shifts)
+    moved = pixels.join(shifts.select(*own, "dr", "dc"), own, "left").withColumn("y", F.col("y") - F.coalesce("dr", F.lit(0))).withColumn("x", F.col("x") - F.coalesce("dc", F.lit(0))).drop("dr", "dc")
     rest = [c for c in pixels.columns if c not in ("y", "x", "value")]
     inside = moved.where(F.col("y").between(0, height - 1) & F.col("x").between(0, width - 1))
     grid = pixels.select(*rest).distinct().withColumn("y", F.explode(F.sequence(F.lit(0), F.lit(height - 1)))).withColumn("x", F.explode(F.sequence(F.lit(0), F.lit(width - 1))))
     return grid.join(inside, [*rest, "y", "x"], "left").withColumn("value", F.coalesce("value", F.lit(0.0)))
 
 
-def roi_integrate(pixels: DataFrame, peaks: DataFrame, inner: int, outer: int, dx: int = 0, dy: int = 0) -> DataFrame:
-    """trajectory (peak_id), slice (t), Intensity, bg, x, y: the inner square's sum less the background of the frame around it.
+def roi_integrate(pixels: DataFrame, peaks: DataFrame, inner: int, outer: int, dx: int = 0, dy: int = 0, by: list[str] | None = None, legacy_axes: bool = False) -> DataFrame:
+    """The frame but for t, trajectory (peak_id), slice (t), Intensity, bg, x, y: the inner square's sum less the background of the frame around it.
 
-    Peaks (x is the row) become their offsets, at most (2 (inner + outer) + 1)**2 each, and meet the pixels by place.
-    ``dx`` and ``dy`` move the squares, not the reported place. Squares over the border keep their nominal area.
+    Peaks (x is the row) become their offsets, at most (2 (inner + outer) + 1)**2 each, and meet the pixels by image and
+    place. ``by`` tells images apart, by default image_id where both tables have it: a peak is integrated in all
+    channels of its image. ``dx`` and ``dy`` move the squares, not the reported place; ``legacy_axes`` takes x for the
+    column instead. Squares over the border keep their nominal area.
     """
+    by = shared(IMAGE, by, pixels, peaks)
     reach = inner + outer
     inner_area = (2 * inner + 1) ** 2
     outer_area = (2 * reach + 1) ** 2 - inner_area
-    centre = peaks.select(F.col("peak_id").alias("trajectory"), F.col("x").cast("long").alias("px"), F.col("y").cast("long").alias("py"))
+    centre = peaks.select(*by, F.col("peak_id").alias("trajectory"), F.col("x").cast("long").alias("px"), F.col("y").cast("long").alias("py"))
     offsets = F.sequence(F.lit(-reach), F.lit(reach))
     spread = centre.withColumn("ox", F.explode(offsets)).withColumn("oy", F.explode(offsets))
-    spread = spread.select("trajectory", "px", "py", (F.col("px") + dx + F.col("ox")).alias("y"), (F.col("py") + dy + F.col("oy")).alias("x"), ((F.abs("ox") <= inner) & (F.abs("oy") <= inner)).alias("inside"))
-    sums = pixels.join(spread, ["y", "x"]).groupBy("trajectory", "px", "py", F.col("t").alias("slice")).agg(F.sum(F.when(F.col("inside"), F.col("value")).otherwise(0.0)).alias("own"), F.sum("value").alias("all"))
+    row, column = (F.col("px") + dx + F.col("ox"), F.col("py") + dy + F.col("oy")) if not legacy_axes else (F.col("py") + dy + F.col("oy"), F.col("px") + dx + F.col("ox"))
+    spread = spread.select(*by, "trajectory", "px", "py", row.alias("y"), column.alias("x"), ((F.abs("ox") <= inner) & (F.abs("oy") <= inner)).alias("inside"))
+    rest = [c for c in FRAME if c in pixels.columns and c != "t" and c not in by]
+    sums = pixels.join(spread, [*by, "y", "x"]).groupBy(*by, *rest, "trajectory", "px", "py", F.col("t").alias("slice")).agg(F.sum(F.when(F.col("inside"), F.col("value")).otherwise(0.0)).alias("own"), F.sum("value").alias("all"))
     bg = (F.col("all") - F.col("own")) / outer_area
-    return sums.select("trajectory", (F.col("own") - bg * inner_area).alias("Intensity"), bg.alias("bg"), F.col("px").alias("x"), F.col("py").alias("y"), "slice")
+    return sums.select(*by, *rest, "trajectory", (F.col("own") - bg * inner_area).alias("Intensity"), bg.alias("bg"), F.col("px").alias("x"), F.col("py").alias("y"), "slice")
 
 
 def gaussian_2d(x: str, y: str, amplitude, xo, yo, sx, sy, theta, offset):
@@ -82,7 +96,7 @@ def flat_field(frames: DataFrame, sigma: float = 20.0, offset: float = 0.0) -> D
     """Each frame less ``offset``, over its blur scaled to a largest value of 1 in the whole movie; 0/0 gives 0."""
     blurred = _per_frame(frames, lambda i, r: kernels.gaussian_blur(i - offset, sigma)).select("image_id", "t", "c", "z", F.col("pixels").alias("blur"))
     top = blurred.groupBy("image_id").agg(F.max(F.array_max("blur")).alias("top"))
-    both = frames.join(blurred, ["image_id", "t", "c", "z"]).join(F.broadcast(top), "image_id")
+    both = frames.join(blurred, ["image_id", "t", "c", "z"]).join(top, "image_id")
     largest = 3.4028234663852886e38
     ratio = F.zip_with("pixels", "blur", lambda p, b: F.when((b == 0) & (p != offset), F.signum(p - offset) * F.lit(largest)).otherwise(F.coalesce(F.try_divide((p - offset) * F.col("top"), b), F.lit(0.0))).cast("float"))
     return both.select("image_id", "t", "c", "z", "height", "width", ratio.alias("pixels"))
@@ -127,16 +141,27 @@ def find_blobs(frames: DataFrame, **how) -> DataFrame:
 
 
 def fit_spots(frames: DataFrame, peaks: DataFrame, radius: int = 4, legacy_grid: bool = False) -> DataFrame:
-    """A Gaussian fitted about each peak (image_id, peak_id, x, y) of each image's frame; status 'ok', 'clipped' or 'failed'."""
+    """A Gaussian fitted about each peak of each frame; the frame, peak_id, the parameters, status 'ok', 'clipped' or 'failed'.
+
+    Peaks belong to frames by those of FRAME's columns that both tables have: peaks of an image without t are fitted in
+    each of its frames.
+    """
     names = ["amplitude", "xo", "yo", "sigma_x", "sigma_y", "theta", "offset"]
+    own = shared(FRAME, None, frames, peaks)
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
             rows = []
             for r in part.itertuples():
                 p, status = kernels.fit_spot(_image(r), int(r.x), int(r.y), radius, legacy_grid=legacy_grid)
-                rows.append([r.image_id, r.peak_id, *(p if p is not None else [None] * 7), status])
-            yield pd.DataFrame(rows, columns=["image_id", "peak_id", *names, "status"])
+                rows.append([r.image_id, r.t, r.c, r.z, r.peak_id, *(p if p is not None else [None] * 7), status])
+            yield pd.DataFrame(rows, columns=[*FRAME, "peak_id", *names, "status"])
+
+    both = peaks.select(*own, "peak_id", "x", "y").join(frames, own)
+    return both.mapInPandas(run, ", ".join(f"{n} int" for n in (*FRAME, "peak_id")) + ", " + ", ".join(f"{n} double" for n in names) + ", status string")
+
 
-    both = peaks.select("image_id", "peak_id", "x", "y").join(frames, "image_id")
-    return both.mapInPandas(run, "image_id int, peak_id int, " + ", ".join(f"{n} double" for n in names) + ", status string")
+def count_channels(frames: DataFrame) -> DataFrame:
+    """image_id, n_channels, n_long: the channels of each image, and how many of its dimensions t, c and z are longer than 1."""
+    sizes = frames.groupBy("image_id").agg(*[F.count_distinct(d).alias(d) for d in ("t", "c", "z")])
+    return sizes.select("image_id", F.col("c").alias("n_channels"), sum((F.col(d) > 1).cast("int") for d in ("t", "c", "z")).alias("n_long"))

@@ -1,40 +1,61 @@
 """Filters that keep or drop whole trajectories.
 
 Statistics are aggregated by key, with partial sums before the shuffle, and joined back by key, so that a trajectory with
-very many rows is never gathered in one task. Rows with a null key belong to no group and are dropped.
+very many rows is never gathered in one task. This plans the input twice. ``windowed`` takes them by windows over the
+trajectory instead, which plans it once: for chains of filters, and where trajectories are dealt to tasks anyway, as for
+decoding; a chain of such filters shares one shuffle and one sort. Rows with a null key belong to no group and are dropped.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 KEY, VALUE, STATE, ORDER = "trajectory", "Intensity", "fit", "slice"
 
 
-def keep_groups(df: DataFrame, stats: DataFrame, condition: Column, key: str = KEY) -> DataFrame:
-    """The rows of the groups whose statistics meet the condition."""
-    return df.join(stats.where(condition).select(key), key, "left_semi")
+def keep_groups(df: DataFrame, stats: dict[str, Column], condition: Column, key: str = KEY, windowed: bool = False) -> DataFrame:
+    """The rows of the groups whose statistics (aggregates by name) meet the condition."""
+    df = df.where(F.col(key).isNotNull())
+    if not windowed:
+        return df.join(df.groupBy(key).agg(*[c.alias(n) for n, c in stats.items()]).where(condition).select(key), key, "left_semi")
+    over = Window.partitionBy(key)
+    return df.select("*", *[c.over(over).alias(n) for n, c in stats.items()]).where(condition).drop(*stats)
 
 
-def filter_garbage(df: DataFrame, threshold: float = 2.0, lower: float = 0.0, key: str = KEY, value: str = VALUE) -> DataFrame:
+def filter_garbage(df: DataFrame, threshold: float = 2.0, lower: float = 0.0, key: str = KEY, value: str = VALUE, windowed: bool = False) -> DataFrame:
     """Groups whose values all lie under mean + threshold * sd of the groups' maxima, and whose mean is over ``lower``.
 
     The standard deviation is that of a sample: a single group has none and is dropped. So are groups with a null value.
+    The cutoff, one row over all groups, is planned apart and broadcast.
     """
-    stats = df.where(F.col(key).isNotNull()).groupBy(key).agg(F.max(value).alias("top"), F.avg(value).alias("mean"), (F.count(F.lit(1)) - F.count(value)).alias("missing"))
-    cutoff = stats.agg((F.lit(threshold) * F.stddev_samp("top") + F.avg("top")).alias("cutoff"))
-    return keep_groups(df, stats.join(F.broadcast(cutoff)), (F.col("top") < F.col("cutoff")) & (F.col("mean") > lower) & (F.col("missing") == 0), key)
+    tops = df.where(F.col(key).isNotNull()).groupBy(key).agg(F.max(value).alias("_top"))
+    cutoff = tops.agg((F.lit(threshold) * F.stddev_samp("_top") + F.avg("_top")).alias("_cutoff"))
+    stats = {"_highest": F.max(value), "_mean": F.avg(value), "_missing": F.count_if(F.col(value).isNull()), "_limit": F.max("_cutoff")}
+    both = df.join(F.broadcast(cutoff))
+    return keep_groups(both, stats, (F.col("_highest") < F.col("_limit")) & (F.col("_mean") > lower) & (F.col("_missing") == 0), key, windowed).drop("_cutoff")
 
 
-def filter_std(df: DataFrame, threshold: float = 2.0, key: str = KEY, value: str = VALUE) -> DataFrame:
+def filter_std(df: DataFrame, threshold: float = 2.0, key: str = KEY, value: str = VALUE, windowed: bool = False) -> DataFrame:
     """Groups whose sample standard deviation is over ``threshold`` (in the value's unit)."""
-    return keep_groups(df, df.groupBy(key).agg(F.stddev_samp(value).alias("sd")), F.col("sd") > threshold, key)
+    return keep_groups(df, {"_sd": F.stddev_samp(value)}, F.col("_sd") > threshold, key, windowed)
 
 
-def filter_negative(df: DataFrame, key: str = KEY, value: str = VALUE) -> DataFrame:
+def filter_negative(df: DataFrame, key: str = KEY, value: str = VALUE, windowed: bool = False) -> DataFrame:
     """Groups whose mean is positive."""
-    return keep_groups(df, df.groupBy(key).agg(F.avg(value).alias("mean")), F.col("mean") > 0, key)
+    return keep_groups(df, {"_mean": F.avg(value)}, F.col("_mean") > 0, key, windowed)
+
+
+def _moments(value: str, state: str) -> dict[str, Column]:
+    on, off = (F.when(F.col(state) == k, F.col(value)) for k in (1, 0))
+    return {"_n1": F.count(on), "_n0": F.count(off), "_m1": F.avg(on), "_m0": F.avg(off), "_v1": F.var_samp(on), "_v0": F.var_samp(off)}
+
+
+def _effect() -> Column:
+    pooled = F.sqrt(F.try_divide((F.col("_n1") - 1) * F.col("_v1") + (F.col("_n0") - 1) * F.col("_v0"), F.col("_n1") + F.col("_n0") - 2))
+    diff = F.col("_m1") - F.col("_m0")
+    d = F.when((pooled == 0) & (diff != 0), F.signum(diff) * F.lit(float("inf"))).otherwise(F.try_divide(diff, pooled))
+    return F.when((F.col("_n1") > 1) & (F.col("_n0") > 1), d)
 
 
 def cohens_d(df: DataFrame, key: str = KEY, value: str = VALUE, state: str = STATE) -> DataFrame:
@@ -42,27 +63,24 @@ def cohens_d(df: DataFrame, key: str = KEY, value: str = VALUE, state: str = STA
 
     Null where a state has fewer than two rows; where both variances are 0, infinite for different means, else null.
     """
-    on, off = (F.when(F.col(state) == k, F.col(value)) for k in (1, 0))
-    stats = df.where(F.col(key).isNotNull()).groupBy(key).agg(F.count(on).alias("n1"), F.count(off).alias("n0"), F.avg(on).alias("m1"), F.avg(off).alias("m0"), F.var_samp(on).alias("v1"), F.var_samp(off).alias("v0"))
-    pooled = F.sqrt(F.try_divide((F.col("n1") - 1) * F.col("v1") + (F.col("n0") - 1) * F.col("v0"), F.col("n1") + F.col("n0") - 2))
-    diff = F.col("m1") - F.col("m0")
-    d = F.when((pooled == 0) & (diff != 0), F.signum(diff) * F.lit(float("inf"))).otherwise(F.try_divide(diff, pooled))
-    return stats.select(key, F.when((F.col("n1") > 1) & (F.col("n0") > 1), d).alias("d"))
+    stats = df.where(F.col(key).isNotNull()).groupBy(key).agg(*[c.alias(n) for n, c in _moments(value, state).items()])
+    return stats.select(key, _effect().alias("d"))
 
 
-def filter_snr(df: DataFrame, threshold: float = 2.0, bad: bool = False, key: str = KEY, value: str = VALUE, state: str = STATE) -> DataFrame:
+def filter_snr(df: DataFrame, threshold: float = 2.0, bad: bool = False, key: str = KEY, value: str = VALUE, state: str = STATE, windowed: bool = False) -> DataFrame:
     """Groups whose absolute effect size is over ``threshold`` (``bad``: is not). A group without one is in neither."""
-    size = F.abs(F.col("d"))
-    return keep_groups(df, cohens_d(df, key, value, state), size <= threshold if bad else size > threshold, key)
+    size = F.abs(_effect())
+    return keep_groups(df, _moments(value, state), size <= threshold if bad else size > threshold, key, windowed)
 
 
-def filter_inactive(df: DataFrame, threshold: float = 5.0, inactive: bool = False, legacy: bool = False, key: str = KEY, state: str = STATE, order: str = ORDER) -> DataFrame:
+def filter_inactive(df: DataFrame, threshold: float = 5.0, inactive: bool = False, legacy: bool = False, key: str = KEY, state: str = STATE, order: str = ORDER, windowed: bool = False) -> DataFrame:
     """Groups of at least ``threshold`` events; ``inactive``: the others (``legacy``: those at the threshold too)."""
-    from glimmer.operators.events import event_counts
+    from glimmer.operators.events import half_change
 
-    n = F.col("events")
+    n = F.col("_halves") / 2.0
     condition = n >= threshold if not inactive else n <= threshold if legacy else n < threshold
-    return keep_groups(df, event_counts(df, key, state, order), condition, key)
+    marked = df.withColumn("_half", half_change(key, state, order))
+    return keep_groups(marked, {"_halves": F.sum("_half")}, condition, key, windowed).drop("_half")
 
 
 def select_events(df: DataFrame, wanted: list, legacy: bool = False, key: str = KEY, order: str = ORDER) -> DataFrame:
@@ -75,9 +93,9 @@ def select_events(df: DataFrame, wanted: list, legacy: bool = False, key: str =
     return kept
 
 
-def filter_min_rows(df: DataFrame, least: int = 200, key: str = KEY) -> DataFrame:
+def filter_min_rows(df: DataFrame, least: int = 200, key: str = KEY, windowed: bool = False) -> DataFrame:
     """Groups of at least ``least`` rows."""
-    return keep_groups(df, df.groupBy(key).agg(F.count(F.lit(1)).alias("n")), F.col("n") >= least, key)
+    return keep_groups(df, {"_n": F.count(F.lit(1))}, F.col("_n") >= least, key, windowed)
 
 
 def max_length(pulses: DataFrame, longest: float, key: str = KEY) -> DataFrame:

@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+from collections import Counter
+from collections.abc import Iterator
 from dataclasses import dataclass, replace
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, IntegerType, StructField, StructType
 
 from glimmer.functions.kernels import forward_backward, least_squares, viterbi
+from glimmer.functions.whole import POSITION, placed, trajectories
 from glimmer.operators.events import histogram
 from glimmer.operators.groups import KEY, ORDER, VALUE
 
@@ -62,28 +66,46 @@ def sample_groups(df: DataFrame, fraction: float, seed: int = 0, key: str = KEY)
     return df.where(F.pmod(F.xxhash64(key, F.lit(seed)), F.lit(1_000_000)) < int(fraction * 1_000_000))
 
 
+def sample_n_groups(df: DataFrame, n: int, seed: int = 42, key: str = KEY) -> DataFrame:
+    """The rows of ``n`` trajectories (all, if there are fewer): those of the least hashes of the key, the same ones at any partitioning."""
+    keys = df.select(key).where(F.col(key).isNotNull()).distinct().orderBy(F.xxhash64(key, F.lit(seed)), key).limit(n)
+    return df.join(F.broadcast(keys), key, "left_semi")  # n keys
+
+
 def expectations(df: DataFrame, model: Hmm, key: str = KEY, value: str = VALUE, order: str = ORDER) -> DataFrame:
     """Sufficient statistics over all trajectories: name, i, j, v (sums of a row set of fixed size)."""
     k = len(model.means)
 
-    def run(part: pd.DataFrame) -> pd.DataFrame:
-        x = part.sort_values(order)[value].to_numpy(float)
-        gamma, moves, total = forward_backward(x, model.start, model.move, model.means, model.variances)
-        rows = [("logl", 0, 0, total)] + [("start", i, 0, gamma[0, i]) for i in range(k)] + [("w", i, 0, gamma[:, i].sum()) for i in range(k)]
-        rows += [("x", i, 0, (gamma[:, i] * x).sum()) for i in range(k)] + [("xx", i, 0, (gamma[:, i] * x * x).sum()) for i in range(k)]
-        rows += [("move", i, j, moves[i, j]) for i in range(k) for j in range(k)]
-        return pd.DataFrame(rows, columns=["name", "i", "j", "v"])
-
-    each = df.where(F.col(key).isNotNull() & F.col(value).isNotNull()).select(key, order, value).groupBy(key).applyInPandas(run, "name string, i int, j int, v double")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: Counter = Counter()
+        for rows, first in trajectories(batches):
+            x = rows.column(value).to_numpy().astype(float)
+            gamma, moves, total = forward_backward(x, first, model.start, model.move, model.means, model.variances)
+            sums["logl", 0, 0] += total.sum()
+            for i in range(k):
+                for name, v in (("start", gamma[first[:-1], i]), ("w", gamma[:, i]), ("x", gamma[:, i] * x), ("xx", gamma[:, i] * x * x)):
+                    sums[name, i, 0] += v.sum()
+                for j in range(k):
+                    sums["move", i, j] += moves[:, i, j].sum()
+        if sums:
+            name, i, j = zip(*sums, strict=True)
+            yield pa.RecordBatch.from_arrays([pa.array(name), pa.array(i, pa.int32()), pa.array(j, pa.int32()), pa.array([float(v) for v in sums.values()])], names=["name", "i", "j", "v"])
+
+    each = prepared(df, key, value, order).mapInArrow(run, "name string, i int, j int, v double")
     return each.groupBy("name", "i", "j").agg(F.sum("v").alias("v"))
 
 
+def prepared(df: DataFrame, key: str = KEY, value: str = VALUE, order: str = ORDER) -> DataFrame:
+    """The rows of trajectories with a key and a value, dealt by trajectory and in order."""
+    return df if POSITION in df.columns else placed(df.where(F.col(key).isNotNull() & F.col(value).isNotNull()), key, order)
+
+
 def train_hmm(df: DataFrame, model: Hmm, rounds: int = 50, tolerance: float = 1e-2, update: str = "stmc", least: float = 1e-6, key: str = KEY, value: str = VALUE, order: str = ORDER) -> tuple[Hmm, float]:
     """Expectation maximisation: the sums of a round reach the driver, never the rows. ``update``: of start, moves (t), means, covariances.
 
     Trajectories are sequences of their own. Ends when the log-likelihood gains less than ``tolerance``.
     """
-    df = df.select(key, order, value).cache()
+    df = prepared(df.select(key, order, value), key, value, order).cache()
     k, last = len(model.means), -np.inf
     try:
         for _ in range(rounds):
@@ -106,27 +128,27 @@ def train_hmm(df: DataFrame, model: Hmm, rounds: int = 50, tolerance: float = 1e
 
 
 def decode(df: DataFrame, model: Hmm, key: str = KEY, value: str = VALUE, order: str = ORDER) -> DataFrame:
-    """``fit`` (likeliest path), ``fit_score`` (its log-probability), ``posterior_0``, ``posterior_1``, ..., ``fit_posterior`` (that of state 1), in one pass over each trajectory."""
+    """``fit`` (likeliest path), ``fit_score`` (its log-probability), ``posterior_0``, ``posterior_1``, ..., ``fit_posterior`` (that of state 1).
+
+    All columns of a row pass through, in one pass over its trajectory, so rows of equal order stay as many as they are;
+    their order among themselves is open. Rows without a key or value are left out.
+    """
     k = len(model.means)
     names = [f"posterior_{i}" for i in range(k)]
 
-    def run(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values(order)
-        x = part[value].to_numpy(float)
-        path, score = viterbi(x, model.start, model.move, model.means, model.variances)
-        gamma, _, _ = forward_backward(x, model.start, model.move, model.means, model.variances)
-        out = part[[key, order]].copy()
-        out["fit"], out["fit_score"] = path.astype("int32"), score
-        for i, n in enumerate(names):
-            out[n] = gamma[:, i]
-        out["fit_posterior"] = gamma[:, min(1, k - 1)]
-        return out
-
-    kinds = dict(df.dtypes)
-    schema = f"{key} {kinds[key]}, {order} {kinds[order]}, fit int, fit_score double, " + ", ".join(f"{n} double" for n in names) + ", fit_posterior double"
-    drop = [c for c in ("fit", "fit_score", *names, "fit_posterior") if c in df.columns]
-    decoded = df.where(F.col(key).isNotNull() & F.col(value).isNotNull()).select(key, order, value).groupBy(key).applyInPandas(run, schema)
-    return df.drop(*drop).join(decoded, [key, order])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows, first in trajectories(batches):
+            x = rows.column(value).to_numpy().astype(float)
+            path, score = viterbi(x, first, model.start, model.move, model.means, model.variances)
+            gamma, _, _ = forward_backward(x, first, model.start, model.move, model.means, model.variances)
+            more = [path.astype(np.int32), np.repeat(score, np.diff(first)), *gamma.T, gamma[:, min(1, k - 1)]]
+            for name, v in zip(["fit", "fit_score", *names, "fit_posterior"], more, strict=True):
+                rows = rows.append_column(name, pa.array(np.ascontiguousarray(v)))
+            yield from rows.to_batches()
+
+    rest = df.drop("fit", "fit_score", *names, "fit_posterior")
+    schema = StructType([*rest.schema.fields, StructField("fit", IntegerType()), *(StructField(n, DoubleType()) for n in ("fit_score", *names, "fit_posterior"))])
+    return prepared(rest, key, value, order).mapInArrow(run, schema)
 
 
 def stationary(model: Hmm) -> np.ndarray:
@@ -138,3 +160,13 @@ def stationary(model: Hmm) -> np.ndarray:
 def signal_to_noise(model: Hmm) -> float:
     s = np.sqrt(model.variances)
     return float(abs(model.means[1] - model.means[0]) / (0.5 * (s[0] + s[1])))
+
+
+def mixture(df: DataFrame, model: Hmm, value: str = VALUE, places: int = 1000) -> DataFrame:
+    """state, x, density: each state's density by its stationary weight (rounded to thousandths), at places over the range of the values."""
+    weights = np.round(stationary(model), 3)
+    span = df.agg((F.min(value) - 1).alias("low"), (F.max(value) + 1).alias("high"))
+    x = F.col("low") + (F.col("high") - F.col("low")) * F.col("k") / (places - 1)
+    at = span.select("low", "high", F.explode(F.sequence(F.lit(0), F.lit(places - 1))).alias("k")).select("k", x.alias("x"))
+    each = F.array(*[F.struct(F.lit(i).alias("state"), normal_density(F.col("x"), m, v**0.5, w).alias("density")) for i, (m, v, w) in enumerate(zip(model.means, model.variances, weights, strict=True))])
+    return at.select("k", "x", F.inline(each))

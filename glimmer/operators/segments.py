@@ -26,9 +26,12 @@ def change_points(df: DataFrame, penalty: float = 1.0, cost: str = "rbf", key: s
 
 
 def build_segments(df: DataFrame, bkps: DataFrame, method: str = "piecew_c", key: str = KEY, value: str = VALUE, order: str = ORDER) -> DataFrame:
-    """``segment`` and ``seg``: each row's segment and its model, the mean ('piecew_c') or the least-squares line ('piecew_l')."""
-    placed = df.withColumn("_pos", F.row_number().over(in_order(key, order)) - 1).join(bkps, key)
-    placed = placed.withColumn("segment", F.size(F.filter("bkps", lambda b: b <= F.col("_pos"))))
+    """``segment`` and ``seg``: each row's segment and its model, the mean ('piecew_c') or the least-squares line ('piecew_l').
+
+    A trajectory without break points is one segment.
+    """
+    placed = df.where(F.col(key).isNotNull()).withColumn("_pos", F.row_number().over(in_order(key, order)) - 1).join(bkps, key, "left")
+    placed = placed.withColumn("segment", F.coalesce(F.size(F.filter("bkps", lambda b: b <= F.col("_pos"))), F.lit(0)))
     if method == "piecew_c":
         model = placed.groupBy(key, "segment").agg(F.avg(value).alias("seg"))
         return placed.join(model, [key, "segment"]).drop("_pos", "bkps")

@@ -1,7 +1,9 @@
 """Spatial joins of peaks: near neighbours within a radius, colocalisation, drift search, isolation.
 
 A radius join goes by grid cells as wide as the radius: one side's points go to their cell and its eight neighbours, the
-other's to their own, so the join is an equi-join on cells and every pair within the radius meets exactly once.
+other's to their own, so the join is an equi-join on cells and every pair within the radius meets exactly once. All images
+of a table are worked on in one plan: ``by`` names the columns that tell images (for isolation: frames) apart, by default
+those of IMAGE (FRAME) that the tables have; peaks meet only peaks of the same image, and ids need only differ there.
 """
 
 from __future__ import annotations
@@ -11,6 +13,14 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+IMAGE = ("image_id",)
+FRAME = ("image_id", "t", "c", "z", "channel")
+
+
+def shared(names: tuple[str, ...], by: list[str] | None, *tables: DataFrame) -> list[str]:
+    """``by``, or those of the names that all tables have."""
+    return list(by) if by is not None else [n for n in names if all(n in t.columns for t in tables)]
+
 
 def distance(ax, ay, bx, by) -> Column:
     return F.sqrt(F.pow(F.col(ax) - F.col(bx), 2) + F.pow(F.col(ay) - F.col(by), 2))
@@ -26,73 +36,100 @@ def within(a: DataFrame, b: DataFrame, radius: float, extra: list[str] | None =
     return left.join(right, [*extra, "cx", "cy"]).drop("cx", "cy").withColumn("d", distance("ax", "ay", "bx", "by")).where(F.col("d") < radius)
 
 
-def points(peaks: DataFrame, side: str) -> DataFrame:
-    return peaks.select(F.col("peak_id").alias(f"{side}_id"), F.col("x").alias(f"{side}x"), F.col("y").alias(f"{side}y"))
+def points(peaks: DataFrame, side: str, by: list[str] | None = None) -> DataFrame:
+    return peaks.select(*(by or []), F.col("peak_id").alias(f"{side}_id"), F.col("x").alias(f"{side}x"), F.col("y").alias(f"{side}y"))
 
 
 def nearest(pairs: DataFrame, of: str, other: str, extra: list[str] | None = None) -> DataFrame:
-    """For each ``of`` point its nearest ``other`` one; ties go to the lowest id."""
-    return pairs.groupBy(*(extra or []), f"{of}_id").agg(F.min_by(F.struct(f"{other}_id", f"{other}x", f"{other}y", "d"), F.struct("d", f"{other}_id")).alias("n"))
+    """For each ``of`` point its nearest ``other`` one, n, with all that the pair has; ties go to the lowest id."""
+    extra = extra or []
+    told = F.struct(*[c for c in pairs.columns if c not in extra])
+    return pairs.groupBy(*extra, f"{of}_id").agg(F.min_by(told, F.struct("d", f"{other}_id")).alias("n"))
 
 
-def nn_threshold_join(p1: DataFrame, p2: DataFrame, threshold: float) -> DataFrame:
-    """For each p1 peak whose nearest p2 peak is closer than ``threshold``: peak_id, near_id, d."""
-    found = nearest(within(points(p1, "a"), points(p2, "b"), threshold), "a", "b")
-    return found.select(F.col("a_id").alias("peak_id"), F.col("n.b_id").alias("near_id"), F.col("n.d").alias("d"))
+def nn_threshold_join(p1: DataFrame, p2: DataFrame, threshold: float, by: list[str] | None = None) -> DataFrame:
+    """For each p1 peak whose nearest p2 peak of its image is closer than ``threshold``: the image, peak_id, near_id, d."""
+    by = shared(IMAGE, by, p1, p2)
+    found = nearest(within(points(p1, "a", by), points(p2, "b", by), threshold, by), "a", "b", by)
+    return found.select(*by, F.col("a_id").alias("peak_id"), F.col("n.b_id").alias("near_id"), F.col("n.d").alias("d"))
 
 
 def matched(pairs: DataFrame, extra: list[str] | None = None) -> DataFrame:
-    """From pairs within the threshold: for every b peak its nearest a peak, and that one's nearest b peak."""
+    """From pairs within the threshold: for every b peak its nearest a peak, and that one's nearest b peak, with its columns."""
     extra = extra or []
-    back = nearest(pairs, "b", "a", extra).select(*extra, F.col("b_id").alias("q_id"), F.col("n.a_id").alias("a_id"), F.col("n.ax").alias("ax"), F.col("n.ay").alias("ay"))
-    on = nearest(pairs, "a", "b", extra).select(*extra, "a_id", F.col("n.b_id").alias("b_id"), F.col("n.bx").alias("bx"), F.col("n.by").alias("by"))
+    theirs = [c for c in pairs.columns if c not in (*extra, "a_id", "ax", "ay", "d")]
+    back = nearest(pairs, "b", "a", extra).select(*extra, F.col("n.a_id").alias("a_id"), F.col("n.ax").alias("ax"), F.col("n.ay").alias("ay"))
+    on = nearest(pairs, "a", "b", extra).select(*extra, "a_id", *[F.col(f"n.{c}").alias(c) for c in theirs])
     return back.join(on, [*extra, "a_id"])
 
 
-def coloc_pairs(p1: DataFrame, p2: DataFrame, threshold: float, mutual: bool = False) -> DataFrame:
-    """a_id, ax, ay, b_id, bx, by: one row for each p2 peak that has a p1 peak within the threshold; several of them can share a pair. ``mutual``: every pair once."""
-    out = matched(within(points(p1, "a"), points(p2, "b"), threshold)).select("a_id", "ax", "ay", "b_id", "bx", "by")
+def coloc_pairs(p1: DataFrame, p2: DataFrame, threshold: float, mutual: bool = False, by: list[str] | None = None) -> DataFrame:
+    """The image, a_id, ax, ay, b_id, bx, by: one row for each p2 peak that has a p1 peak within the threshold; several of them can share a pair. ``mutual``: every pair once."""
+    by = shared(IMAGE, by, p1, p2)
+    out = matched(within(points(p1, "a", by), points(p2, "b", by), threshold, by), by).select(*by, "a_id", "ax", "ay", "b_id", "bx", "by")
     return out.distinct() if mutual else out
 
 
-def drift_grid(p1: DataFrame, p2: DataFrame, threshold: float = 1.0, precision: float = 1.0, max_x: float = 7.0, max_y: float = 7.0) -> DataFrame:
-    """gx, gy, n: matches when p2 is moved by each translation of the grid, of those with matches; one join for all translations."""
-    steps = lambda most: F.sequence(F.lit(0), F.lit(int((2 * most + 1) / precision - 1e-9)))
-    moved = points(p2, "b").withColumn("i", F.explode(steps(max_x))).withColumn("j", F.explode(steps(max_y)))
-    moved = moved.withColumn("gx", F.col("i") * precision - max_x).withColumn("gy", F.col("j") * precision - max_y)
-    moved = moved.select("b_id", (F.col("bx") + F.col("gx")).alias("bx"), (F.col("by") + F.col("gy")).alias("by"), "gx", "gy")
-    # the same p1 peaks meet every translation, so the matches are counted by translation
-    return within(points(p1, "a"), moved, threshold).groupBy("gx", "gy").agg(F.count_distinct("b_id").alias("n"))
+def drift_grid(p1: DataFrame, p2: DataFrame, threshold: float = 1.0, precision: float = 1.0, max_x: float = 7.0, max_y: float = 7.0, by: list[str] | None = None) -> DataFrame:
+    """The image, gx, gy, n: matches when p2 is moved by each translation of the grid, of those with matches.
+
+    Peaks meet once, as far apart as any translation can bridge; a pair then counts for the few translations that bring
+    it within the threshold.
+    """
+    by = shared(IMAGE, by, p1, p2)
+    last = lambda most: int((2 * most + 1) / precision - 1e-9)
+    far = max(max_x + 1, max_y + 1) * 2**0.5 + threshold
+    pairs = within(points(p1, "a", by), points(p2, "b", by), far, by)
+
+    def steps(a: str, b: str, most: float) -> Column:
+        off = F.col(a) - F.col(b) + most
+        low = F.greatest(F.lit(0), F.floor((off - threshold) / precision)).cast("int")
+        high = F.least(F.lit(last(most)), F.ceil((off + threshold) / precision)).cast("int")
+        return F.explode(F.filter(F.sequence(low, F.greatest(low, high)), lambda k: k <= high))
+
+    tried = pairs.withColumn("i", steps("ax", "bx", max_x)).withColumn("j", steps("ay", "by", max_y))
+    tried = tried.withColumn("gx", F.col("i") * precision - max_x).withColumn("gy", F.col("j") * precision - max_y)
+    close = F.sqrt(F.pow(F.col("ax") - (F.col("bx") + F.col("gx")), 2) + F.pow(F.col("ay") - (F.col("by") + F.col("gy")), 2)) < threshold
+    return tried.where(close).groupBy(*by, "gx", "gy").agg(F.count_distinct("b_id").alias("n"))
+
 
+def best_drift(p1: DataFrame, p2: DataFrame, by: list[str] | None = None, **grid) -> DataFrame:
+    """For each image the one translation with most matches; ties go to the smallest gx, then gy."""
+    by = shared(IMAGE, by, p1, p2)
+    best = F.min_by(F.struct("gx", "gy", "n"), F.struct(-F.col("n"), "gx", "gy")).alias("best")
+    return drift_grid(p1, p2, by=by, **grid).groupBy(*by).agg(best).where("best is not null").select(*by, "best.*")
 
-def best_drift(p1: DataFrame, p2: DataFrame, **grid) -> DataFrame:
-    """The one translation with most matches; ties go to the smallest gx, then gy."""
-    return drift_grid(p1, p2, **grid).orderBy(F.desc("n"), "gx", "gy").limit(1)
 
+def drift_matches(p1: DataFrame, p2: DataFrame, threshold: float = 1.0, by: list[str] | None = None, **grid) -> DataFrame:
+    """The pairs of each image's best translation, p2 where it stood before; no rows without matches.
 
-def drift_matches(p1: DataFrame, p2: DataFrame, threshold: float = 1.0, **grid) -> DataFrame:
-    """The pairs of the best translation, p2 where it stood before; no rows without matches."""
-    drift = best_drift(p1, p2, threshold=threshold, **grid).select("gx", "gy")
-    moved = points(p2, "b").join(F.broadcast(drift)).select("b_id", (F.col("bx") + F.col("gx")).alias("bx"), (F.col("by") + F.col("gy")).alias("by"))
-    pairs = matched(within(points(p1, "a"), moved, threshold)).select("a_id", "ax", "ay", "b_id", "bx", "by")
-    return pairs.join(F.broadcast(drift)).select("a_id", "ax", "ay", "b_id", (F.col("bx") - F.col("gx")).alias("bx"), (F.col("by") - F.col("gy")).alias("by"))
+    The places before the move travel along, so the search is planned once.
+    """
+    by = shared(IMAGE, by, p1, p2)
+    drift = best_drift(p1, p2, by=by, threshold=threshold, **grid).select(*by, "gx", "gy")
+    theirs = points(p2, "b", by)
+    moved = theirs.join(drift, by) if by else theirs.join(F.broadcast(drift))  # without images it is one row
+    moved = moved.select(*by, "b_id", (F.col("bx") + F.col("gx")).alias("bx"), (F.col("by") + F.col("gy")).alias("by"), F.col("bx").alias("old_x"), F.col("by").alias("old_y"))
+    pairs = matched(within(points(p1, "a", by), moved, threshold, by), by)
+    return pairs.select(*by, "a_id", "ax", "ay", "b_id", F.col("old_x").alias("bx"), F.col("old_y").alias("by"))
 
 
-def coloc_n_channels(channels: list[DataFrame], names: list[str] | None = None, threshold: float = 1.0, **grid) -> DataFrame:
-    """<name>_id, <name>_x, <name>_y of the first channel's peaks that match one in every other, each after its drift."""
-    names = names or [str(k) for k in range(len(channels))]
+def coloc_n_channels(channels: list[DataFrame], names: list[str] | None = None, threshold: float = 1.0, by: list[str] | None = None, **grid) -> DataFrame:
+    """The image, <name>_id, <name>_x, <name>_y of the first channel's peaks that match one in every other, each after its drift."""
+    names, by = names or [str(k) for k in range(len(channels))], shared(IMAGE, by, *channels)
     tables = []
     for k in range(1, len(channels)):
-        t = drift_matches(channels[0], channels[k], threshold, **grid)
+        t = drift_matches(channels[0], channels[k], threshold, by, **grid)
         first = [F.col("a_id").alias(f"{names[0]}_id")] + ([F.col("ax").alias(f"{names[0]}_x"), F.col("ay").alias(f"{names[0]}_y")] if k == 1 else [])
-        tables.append(t.select(*first, F.col("b_id").alias(f"{names[k]}_id"), F.col("bx").alias(f"{names[k]}_x"), F.col("by").alias(f"{names[k]}_y")))
-    return reduce(lambda a, b: a.join(b, f"{names[0]}_id"), tables)
+        tables.append(t.select(*by, *first, F.col("b_id").alias(f"{names[k]}_id"), F.col("bx").alias(f"{names[k]}_x"), F.col("by").alias(f"{names[k]}_y")))
+    return reduce(lambda a, b: a.join(b, [*by, f"{names[0]}_id"]), tables)
 
 
-def isolated(peaks: DataFrame, min_dist: float) -> DataFrame:
-    """Peaks without another at 0 < distance < ``min_dist``; close peaks drop each other, equal places don't count."""
-    close = within(points(peaks, "a"), points(peaks, "b"), min_dist).where("d > 0").select(F.col("a_id").alias("peak_id")).distinct()
-    return peaks.join(close, "peak_id", "left_anti")
+def isolated(peaks: DataFrame, min_dist: float, by: list[str] | None = None) -> DataFrame:
+    """Peaks without another of their frame at 0 < distance < ``min_dist``; close peaks drop each other, equal places don't count."""
+    by = shared(FRAME, by, peaks)
+    close = within(points(peaks, "a", by), points(peaks, "b", by), min_dist, by).where("d > 0").select(*by, F.col("a_id").alias("peak_id")).distinct()
+    return peaks.join(close, [*by, "peak_id"], "left_anti")
 
 
 def roi_filter(peaks: DataFrame, roi: tuple[float, float, float, float] = (0, 0, 512, 512)) -> DataFrame:

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from glimmer.schemas import nulls_for_nans
 
-STEPS, HEIGHT, WIDTH = 10, 32, 32
+#: Suppliers of an image, orders of a frame, and the frames' size: images and frames grow with the table.
+SUPPLIERS, ORDERS, HEIGHT, WIDTH = 50, 1000, 32, 32
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -23,17 +24,19 @@ def trajectories(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """t, y, x, value: a dense movie of 10 frames of 32 by 32, summed quantities."""
-    items = read(spark, sf_dir, "lineitem").select((F.col("l_orderkey") % STEPS).cast("int").alias("t"), (F.col("l_partkey") % HEIGHT).cast("int").alias("y"), ((F.col("l_suppkey") * 7 + F.col("l_linenumber")) % WIDTH).cast("int").alias("x"), "l_quantity")
-    sums = items.groupBy("t", "y", "x").agg(F.sum("l_quantity").alias("value"))
-    grid = spark.range(STEPS * HEIGHT * WIDTH).select(F.floor(F.col("id") / (HEIGHT * WIDTH)).cast("int").alias("t"), F.floor(F.col("id") / WIDTH % HEIGHT).cast("int").alias("y"), (F.col("id") % WIDTH).cast("int").alias("x"))
-    return grid.join(sums, ["t", "y", "x"], "left").withColumn("value", F.coalesce("value", F.lit(0.0)))
+    """image_id, t, y, x, value: dense movies of frames of 32 by 32, summed quantities."""
+    items = read(spark, sf_dir, "lineitem").select(F.floor(F.col("l_suppkey") / SUPPLIERS).cast("int").alias("image_id"), F.floor(F.col("l_orderkey") / ORDERS).cast("int").alias("t"), (F.col("l_partkey") % HEIGHT).cast("int").alias("y"), ((F.col("l_suppkey") * 7 + F.col("l_linenumber")) % WIDTH).cast("int").alias("x"), "l_quantity")
+    cells = items.groupBy("image_id", "t", "y", "x").agg(F.sum("l_quantity").alias("value"))
+    # a frame is an array of all its places, so no grid has to be joined
+    held = cells.groupBy("image_id", "t").agg(F.map_from_entries(F.collect_list(F.struct((F.col("y") * WIDTH + F.col("x")).alias("at"), "value"))).alias("held"))
+    every = held.select("image_id", "t", "held", F.explode(F.sequence(F.lit(0), F.lit(HEIGHT * WIDTH - 1))).alias("at"))
+    return every.select("image_id", "t", F.floor(F.col("at") / WIDTH).cast("int").alias("y"), (F.col("at") % WIDTH).cast("int").alias("x"), F.coalesce(F.try_element_at("held", "at"), F.lit(0.0)).alias("value"))
 
 
 def frames(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The same movie as frames."""
-    rows = pixels(spark, sf_dir).groupBy("t").agg(F.sort_array(F.collect_list(F.struct("y", "x", "value"))).alias("p"))
-    return rows.select(F.lit(0).alias("image_id"), "t", F.lit(0).alias("c"), F.lit(0).alias("z"), F.lit(HEIGHT).alias("height"), F.lit(WIDTH).alias("width"), F.transform("p", lambda s: s["value"].cast("float")).alias("pixels"))
+    """The same movies as frames."""
+    rows = pixels(spark, sf_dir).groupBy("image_id", "t").agg(F.sort_array(F.collect_list(F.struct("y", "x", "value"))).alias("p"))
+    return rows.select("image_id", "t", F.lit(0).alias("c"), F.lit(0).alias("z"), F.lit(HEIGHT).alias("height"), F.lit(WIDTH).alias("width"), F.transform("p", lambda s: s["value"].cast("float")).alias("pixels"))
 
 
 def peaks(spark: SparkSession, sf_dir: str) -> DataFrame:

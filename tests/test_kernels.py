@@ -50,12 +50,16 @@ def test_viterbi_and_posterior_against_all_paths():
     x = RNG.normal(1, 1.2, 7)
     b = k.log_normal(x, means, variances)
     score = {p: np.log(start[p[0]]) + sum(np.log(move[i, j]) for i, j in itertools.pairwise(p)) + sum(b[t, s] for t, s in enumerate(p)) for p in itertools.product((0, 1), repeat=7)}
-    path, logp = k.viterbi(x, start, move, means, variances)
-    assert tuple(path) == max(score, key=score.get) and np.isclose(logp, max(score.values()))
+    # beside sequences of other lengths
+    whole, first = np.concatenate([RNG.normal(1, 1, 3), x, [0.5]]), np.array([0, 3, 10, 11])
+    path, logp = k.viterbi(whole, first, start, move, means, variances)
+    assert tuple(path[3:10]) == max(score, key=score.get) and np.isclose(logp[1], max(score.values()))
     total = np.log(sum(np.exp(v) for v in score.values()))
-    gamma, moves, logl = k.forward_backward(x, start, move, means, variances)
-    assert np.isclose(logl, total) and np.isclose(moves.sum(), 6)
-    assert np.allclose(gamma[:, 1], [sum(np.exp(v - total) for p, v in score.items() if p[t]) for t in range(7)])
+    gamma, moves, logl = k.forward_backward(whole, first, start, move, means, variances)
+    assert np.isclose(logl[1], total) and np.isclose(moves[1].sum(), 6) and np.isclose(moves[0].sum(), 2) and not moves[2].any()
+    assert np.allclose(gamma[3:10, 1], [sum(np.exp(v - total) for p, v in score.items() if p[t]) for t in range(7)])
+    assert np.allclose(gamma.sum(axis=1), 1)
+    assert [len(c) for c in k.by_length(first, 8)] == [1, 2]
 
 
 def test_segmentation_costs():

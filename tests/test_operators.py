@@ -4,10 +4,16 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from glimmer.operators import columns, events, frames, groups, segments, spatial
+from glimmer.functions import whole
+from glimmer.jobs import registry
+from glimmer.operators import columns, events, frames, groups, hmm, segments, spatial
+from glimmer.sources import views
+from tests.conftest import SMALL
 
 FIT = [0, 0, 1, 1, 1, 0, 1, 1]
 VALUES = [1.0, 1.0, 10.0, 12.0, 11.0, 2.0, 9.0, 9.0]
@@ -152,3 +158,83 @@ def test_partitions_do_not_matter(one, n):
 def test_page_ids(spark):
     got = {r["trajectory"]: r["page"] for r in spatial.page_ids(spark.range(25).select(F.col("id").alias("trajectory")), "trajectory", 9).collect()}
     assert got == {k: k // 9 for k in range(25)}
+
+
+def scans(df) -> tuple[int, int]:
+    """Table scans and Python nodes of a plan."""
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    return plan.count("Relation ["), plan.count("MapInArrow")
+
+
+def test_the_chain_is_planned_once(spark):
+    df = views.trajectories(spark, SMALL)
+    # the cutoff of the first filter looks over all groups, so it reads the table too
+    assert scans(registry.chain_pulses(df)) == (2, 1)
+    kept = groups.filter_min_rows(groups.filter_std(groups.filter_negative(df, windowed=True), 1.0, windowed=True), 3, windowed=True)
+    assert scans(kept) == (1, 0)
+    shuffles = kept._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning")
+    assert shuffles <= 2
+
+
+@pytest.mark.parametrize("windowed", [False, True])
+def test_windows_keep_the_same_groups(spark, windowed):
+    df = views.trajectories(spark, SMALL)
+    for f in (lambda d, **k: groups.filter_garbage(d, 1.0, **k), lambda d, **k: groups.filter_snr(d, 0.2, **k), lambda d, **k: groups.filter_inactive(d, 16.0, **k), lambda d, **k: groups.filter_std(d, 55.0, **k)):
+        got, want = f(df, windowed=windowed), f(df)
+        assert got.columns == df.columns
+        assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+
+
+def test_decode_keeps_ties_and_columns(spark):
+    rows = [(1, 0, 30.0, "a"), (1, 0, 30.0, "b"), (1, 1, 90.0, "c"), (2, 0, 31.0, "d"), (None, 0, 1.0, "e"), (2, 1, None, "f")]
+    df = spark.createDataFrame(rows, "trajectory int, slice int, Intensity double, note string").repartition(2)
+    got = hmm.decode(df, registry.MODEL).collect()
+    assert sorted((r["note"], r["fit"]) for r in got) == [("a", 0), ("b", 0), ("c", 1), ("d", 0)]
+    assert hmm.decode(df.limit(0), registry.MODEL).count() == 0
+
+
+def test_trajectories_across_batches(spark):
+    """However rows fall into batches, a trajectory comes whole."""
+    sizes = [3, 1, 7, 2, 5]
+    place = np.concatenate([np.arange(1, n + 1) for n in sizes])
+    table = pa.table({"id": np.repeat(np.arange(5), sizes), whole.POSITION: place})
+    for most in (1, 4, 100):
+        for step in (1, 2, 5, 18):
+            parts = list(whole.trajectories(iter(table.to_batches(step)), most))
+            assert np.concatenate([t.column("id").to_numpy() for t, _ in parts]).tolist() == table.column("id").to_pylist()
+            assert [n for _, first in parts for n in np.diff(first).tolist()] == sizes
+
+
+def test_images_do_not_meet(spark):
+    rows = [(i, c, 0, y, x, float(1 + c + 2 * i)) for i in range(2) for c in range(2) for y in range(9) for x in range(9)]
+    pixels = spark.createDataFrame(rows, "image_id int, c int, t int, y int, x int, value double")
+    at = spark.createDataFrame([(0, 0, 4.0, 4.0), (1, 0, 4.0, 4.0)], "image_id int, peak_id int, x double, y double")
+    got = sorted((r["image_id"], r["c"], r["bg"], r["Intensity"]) for r in frames.roi_integrate(pixels, at, 1, 1).collect())
+    assert got == [(0, 0, 1.0, 0.0), (0, 1, 2.0, 0.0), (1, 0, 3.0, 0.0), (1, 1, 4.0, 0.0)]
+    moved = frames.integer_shift(pixels, spark.createDataFrame([(0, 0, 1, 0), (1, 0, 0, 0)], "image_id int, t int, dr int, dc int"), 9, 9)
+    assert moved.count() == pixels.count()
+    assert moved.where("value = 0").select("image_id", "y").distinct().collect() == [(0, 8)]
+    # ids count from 0 in each image, and the same places in two images are no neighbours
+    near = spark.createDataFrame([(0, 0, 0.0, 0.0), (0, 1, 3.0, 0.0), (1, 0, 0.0, 0.0), (1, 1, 50.0, 0.0)], "image_id int, peak_id int, x double, y double")
+    assert sorted((r["image_id"], r["peak_id"]) for r in spatial.isolated(near, 10).collect()) == [(1, 0), (1, 1)]
+    other = near.withColumn("x", F.col("x") + 2)
+    assert spatial.nn_threshold_join(near, other, 2.5).where("image_id = 1").count() == 2
+    both = spatial.drift_matches(near, near.withColumn("x", F.col("x") + F.when(F.col("image_id") == 0, 3).otherwise(-2)), threshold=0.5)
+    assert sorted((r["image_id"], r["a_id"], r["b_id"]) for r in both.collect()) == [(0, 0, 0), (0, 1, 1), (1, 0, 0), (1, 1, 1)]
+
+
+def test_sample_and_channels(spark, one):
+    df = views.trajectories(spark, SMALL)
+    got = hmm.sample_n_groups(df, 4)
+    assert got.select("trajectory").distinct().count() == 4 and hmm.sample_n_groups(one, 4).count() == 8
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, hmm.sample_n_groups(df.repartition(7), 4).collect()))
+    movie = spark.createDataFrame([(0, t, c, 0, 1, 1, [1.0]) for t in range(3) for c in range(2)], "image_id int, t int, c int, z int, height int, width int, pixels array<float>")
+    assert [tuple(r) for r in frames.count_channels(movie).collect()] == [(0, 2, 2)]
+
+
+def test_null_keys_and_missing_break_points(spark):
+    df = spark.createDataFrame([(1, 0, 2.0), (1, 1, 4.0), (None, 0, 8.0)], "trajectory int, slice int, Intensity double")
+    got = {(r["trajectory"], r["slice"]): r["norm_Intensity"] for r in columns.normalize(df).collect()}
+    assert got == {(1, 0): 0.5, (1, 1): 1.0, (None, 0): None}
+    none = spark.createDataFrame([], "trajectory int, bkps array<int>")
+    assert [(r["segment"], r["seg"]) for r in segments.build_segments(df, none).collect()] == [(0, 3.0), (0, 3.0)]
