@@ -556,7 +556,7 @@ clear AS (SELECT * FROM fitted WHERE trajectory IN (SELECT trajectory FROM cohen
 active AS (SELECT * FROM clear WHERE trajectory IN (SELECT trajectory FROM ev WHERE events >= 3)),
 """ + PULSES.removeprefix(TRAJ + ", ").replace("FROM traj", "FROM active") + """,
 short AS (SELECT * FROM pulses WHERE trajectory NOT IN (SELECT trajectory FROM pulses GROUP BY 1 HAVING max(dur) > (SELECT avg(dur) + 3.0 * stddev_samp(dur) FROM pulses)))
-SELECT trajectory, state, count(*) AS n, round(avg(dur), 6) AS dur, round(avg(mean), 6) AS mean FROM short GROUP BY 1, 2"""
+SELECT trajectory, state, count(*) AS n, round(avg(dur), 6) AS dur, round(avg(mean), 4) AS mean FROM short GROUP BY 1, 2"""
 
 
 def chain_pulses(df: DataFrame) -> DataFrame:
@@ -571,7 +571,7 @@ def chain_kinetics(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The whole workflow; pulses are written once, as the cutoff over all of them needs them twice."""
     short = groups.filter_by_length(written(chain_pulses(views.trajectories(spark, sf_dir))), 3.0)
     out = short.groupBy("trajectory", "state").agg(F.count(F.lit(1)).alias("n"), F.avg("dur").alias("dur"), F.avg("Intensity").alias("mean"))
-    return out.select(*long("trajectory"), "state", *long("n"), r("dur"), r("mean"))
+    return out.select(*long("trajectory"), "state", *long("n"), r("dur"), r("mean", 4))
 
 
 @query()
