@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import shutil
 import tempfile
 import uuid
@@ -38,7 +39,7 @@ def shared_folder(spark: SparkSession) -> str:
         weakref.finalize(sc, shutil.rmtree, base, ignore_errors=True)
         sc.setCheckpointDir(f"file://{base}")
         base = sc.getCheckpointDir()
-    return f"{base}/table-{uuid.uuid4().hex}"
+    return f"{base}/glimmer-{uuid.uuid4().hex}"
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -52,7 +53,7 @@ def dropped(*tables: DataFrame) -> None:
     """Delete tables that ``cut`` wrote and nothing will read again."""
     for df in tables:
         jvm = df.sparkSession._jvm
-        for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles() if "/table-" in f}:
+        for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles() if re.search(r"/glimmer-[0-9a-f]{32}/[^/]*$", f)}:
             path = jvm.org.apache.hadoop.fs.Path(folder)
             path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
@@ -62,6 +63,24 @@ def without(df: DataFrame, *keep: str) -> DataFrame:
     return df.select(*[F.col(f"`{c}`") for c in keep])
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """``name``, or with underscores before it where the table has a column of that name."""
+    while name.lower() in [c.lower() for c in df.columns]:
+        name = f"_{name}"
+    return name
+
+
+def rows_where(docs: DataFrame, keep: Callable[[pa.Array], np.ndarray]) -> DataFrame:
+    """The rows whose text ``keep`` accepts, with all their columns, in one pass: each row is judged on its own, whatever its doc_id."""
+    at = docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in sliced(batches, at, SLICE_BYTES // 2):
+            yield batch.filter(pa.array(keep(batch.column(at))))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def flat(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     """The UTF-8 bytes of a string column in a row, and where each text starts (and the last one ends); null: empty."""
     if isinstance(column, pa.ChunkedArray):
@@ -77,10 +96,10 @@ def flat(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     return raw[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
-def sliced(batches: Iterator[pa.RecordBatch], column: str, most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+def sliced(batches: Iterator[pa.RecordBatch], column: str | int, most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """The batches in slices of about ``most`` bytes of ``column`` at most, one row at least."""
     for batch in batches:
-        _, offs = flat(batch.column(batch.schema.get_field_index(column)))
+        _, offs = flat(batch.column(batch.schema.get_field_index(column) if isinstance(column, str) else column))
         at = 0
         while at < batch.num_rows:
             end = max(at + 1, int(np.searchsorted(offs, offs[at] + most, "right")) - 1)

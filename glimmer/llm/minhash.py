@@ -21,6 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import MapType
 
 from glimmer.llm.common import cut, dropped, flat, lists, mix, shingle_sets, sliced, table, without
 from glimmer.llm.graph import components
@@ -200,5 +201,20 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT,
     return out.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
 
 
+def one_of_each(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
+    """One row of each group of near-duplicates, with all columns: a row of its smallest doc_id.
+
+    Of several rows of that doc_id the one of the least hash stays. Rows with a null doc_id and texts without words all
+    stay, but a doc_id still has one row.
+    """
+    ids = cut(near_duplicates(docs, words, percent).where("doc_id is not null").groupBy("doc_id").agg(F.max("kept").alias("kept"), F.count(F.lit(1)).alias("many")).where("kept").select(F.col("doc_id").alias("kept_id"), "many"))
+    of = F.col("doc_id").cast("long")
+    single = docs.join(ids.where("many = 1"), of == F.col("kept_id"), "left_semi")
+    several = docs.join(ids.where("many > 1"), of == F.col("kept_id"), "left_semi")
+    first = F.min_by(F.struct(*[F.col(f"`{c}`") for c in docs.columns]), F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns if not isinstance(docs.schema[c].dataType, MapType)]))
+    one = several.groupBy(of.alias("of")).agg(first.alias("row")).select("row.*")
+    return single.unionByName(one).unionByName(docs.where(of.isNull()))
+
+
 def op6_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from glimmer.llm.common import crc_remainder, cut, flat, sliced, span_hashes, table, without, words
+from glimmer.llm.common import crc_remainder, cut, dropped, flat, rows_where, sliced, span_hashes, table, without, words
 
 #: Score from which a document counts as good, shrinkage of the covariances, least variance.
 THRESHOLD, SHRINKAGE, FLOOR = 0.3, 0.1, 0.1
@@ -170,6 +170,22 @@ def score(described: DataFrame, model: Discriminant) -> DataFrame:
     return described.mapInArrow(run, "doc_id long, score double")
 
 
+def _described(docs: DataFrame) -> DataFrame:
+    return cut(without(docs, "doc_id", "text").withColumn("doc_id", F.col("doc_id").cast("long")).mapInArrow(_describe, "doc_id long, x array<double>"))
+
+
+def _learnt(described: DataFrame, labels: DataFrame, modulus: int, held: int) -> Discriminant:
+    return train(described, labels_of(labels, "quality").where(crc_remainder(F.col("doc_id"), modulus) != held))
+
+
+def good_documents(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, modulus: int = 5, held: int = 0) -> DataFrame:
+    """The rows of ``docs`` that score ``threshold`` or more, with all columns; each row is judged by its own text, a null one as empty."""
+    described = _described(docs)
+    model = _learnt(described, labels, modulus, held)
+    dropped(described)
+    return rows_where(docs, lambda text: model.score(statistics(*flat(text))) >= threshold)
+
+
 def quality_scores(docs: DataFrame, labels: DataFrame, modulus: int = 5, held: int = 0) -> DataFrame:
     """doc_id, held_out, score (0 to 1, that the quality label is 1), one row for each row.
 
@@ -177,9 +193,8 @@ def quality_scores(docs: DataFrame, labels: DataFrame, modulus: int = 5, held: i
     statistics of no words; repeated rows get equal scores; a null doc_id is scored and never held out. Without rows of
     both classes the score is the labels' smoothed share. Extra columns are ignored.
     """
-    docs = without(docs, "doc_id", "text").withColumn("doc_id", F.col("doc_id").cast("long"))
-    described = cut(docs.mapInArrow(_describe, "doc_id long, x array<double>"))
-    model = train(described, labels_of(labels, "quality").where(crc_remainder(F.col("doc_id"), modulus) != held))
+    described = _described(docs)
+    model = _learnt(described, labels, modulus, held)
     held_out = F.coalesce(crc_remainder(F.col("doc_id"), modulus) == held, F.lit(False))
     return score(described, model).select("doc_id", held_out.alias("held_out"), "score")
 

@@ -2,12 +2,15 @@
 
 The kernel of two windows (a word of a sentence with its borders, or letters that stand alone side by side) counts common
 subsequences of four symbols, up to REACH symbols from first to last and weighted by DECAY for every symbol skipped, so
-inserted characters cost likeness but don't hide a word; it is normalised by the windows' lengths. The machine learns from
-windows of labelled sentences: words that toxic documents have and others don't, as they stand and with characters
-inserted, against words of other documents, of which those that score high join in further rounds. Landmarks (some of
-those windows) map a window to a few hundred numbers. As the decision is linear in a window's subsequences, the
-landmarks' weights fold into one table of a weight per subsequence, so every window of a whole text is scored by table
-look-ups. A document's score is the logistic of its highest window, fitted to the labels.
+inserted characters cost likeness but don't hide a word; it is normalised by the windows' lengths.
+
+The machine learns from the sentences of labelled documents. A label says of a toxic document only that one of its
+windows is toxic, and of another one that none is, so learning takes turns: every toxic document names its most telling
+window (at first by how much more often sentences of toxic documents have it, then by the machine itself), and the
+machine is fitted to those, each as often as it is named, against windows of other documents, among them those it
+scored highest before. Landmarks (some of these windows) map a window to a few hundred numbers. As the decision is linear
+in a window's subsequences, the landmarks' weights fold into one table of a weight per subsequence, so every window of a
+whole text is scored by table look-ups. A document's score is the logistic of its highest window, fitted to the labels.
 """
 
 from __future__ import annotations
@@ -22,17 +25,15 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from glimmer.llm.common import crc_remainder, cut, sliced, table, without
+from glimmer.llm.common import crc_remainder, cut, dropped, rows_where, sliced, table, without
 from glimmer.llm.quality import labels_of
 
-#: Labelled documents, toxic and other, that words are learnt from: those of the least hashed ids.
+#: Labelled documents, toxic and other, that are learnt from, at most: those of the least hashed ids.
 SAMPLE = (4000, 12000)
-#: By how much (in nats) a word's hold on the toxic class must pass what chance gives the best of as many words.
-SURE = 3.0
-#: How many times more often a toxic document has the word than another does, at least: an odds ratio, so the sample's toxic share does not enter.
-ODDS = 6.0
-#: Toxic words, those of them with characters inserted too, other words a round, landmarks, rounds, at most.
-SEEDS, INSERTED, OTHERS, LANDMARKS, ROUNDS = 800, 100, 2000, 400, 4
+#: How many times more often sentences of toxic documents must have a window than others have, for a toxic document to name it, and so many sentences of the usual mix that each window is thought to have besides its own.
+ODDS, USUAL = 4.0, 5.0
+#: Named windows that are learnt from with characters inserted too, other windows a round, landmarks, rounds, at most.
+INSERTED, OTHERS, LANDMARKS, ROUNDS = 100, 2000, 400, 4
 REACH, DECAY, COST = 7, 0.5, 4.0
 #: Letters alone side by side, from so many on, are one window.
 ALONE = 4
@@ -46,14 +47,19 @@ _FOLD[65:91] = np.arange(1, 27)
 _FOLD[97:123] = np.arange(1, 27)
 _FOLD[48:58] = 27
 _FOLD[128:192] = 28 + (np.arange(64) & 31) % 4
-_WORD = re.compile(r"[^\W\d_]+")
+_SENTENCE = re.compile(r"[.!?]+\s|\n")
 #: Distances from the last symbol of a subsequence back to the three before it.
 _GAPS = [(a, b, c) for c in range(3, REACH) for b in range(2, c) for a in range(1, b)]
 
 
 #: By the number of symbols; a shorter window than LEAST counts as one of LEAST, else few subsequences would weigh too much.
 LEAST = 9
-_NORMS = np.array([sum(max(0, max(n, LEAST) - g[2]) * DECAY ** (2 * (g[2] - 3)) for g in _GAPS) ** 0.5 for n in range(4096)])
+_EACH, _LOST = (sum(w * DECAY ** (2 * (g[2] - 3)) for w, g in pairs) for pairs in ([(1, g) for g in _GAPS], [(g[2], g) for g in _GAPS]))
+
+
+def norms(sizes: np.ndarray) -> np.ndarray:
+    """The length of a window's subsequence weights, if they were all different, by its number of symbols."""
+    return np.sqrt(_EACH * np.maximum(sizes, LEAST) - _LOST)
 
 
 def symbols(windows: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -85,14 +91,14 @@ def subsequences(windows: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarr
     """Window, code and normalised weight of every subsequence."""
     c, place, first = symbols(windows)
     of = np.repeat(np.arange(len(windows)), np.diff(first))
-    norms = _NORMS[np.minimum(np.diff(first), len(_NORMS) - 1)]
+    scale = norms(np.diff(first))
     rows, codes, weights = [], [], []
     for gaps in _GAPS:
         if len(c) > gaps[2]:
             ok = place[gaps[2] :] >= gaps[2]
             rows.append(of[gaps[2] :][ok])
             codes.append(codes_at(c, gaps)[ok])
-            weights.append(DECAY ** (gaps[2] - 3) / norms[rows[-1]])
+            weights.append(DECAY ** (gaps[2] - 3) / scale[rows[-1]])
     return np.concatenate(rows), np.concatenate(codes), np.concatenate(weights)
 
 
@@ -105,7 +111,7 @@ def decisions(windows: list[bytes], weights: np.ndarray, bias: float) -> np.ndar
     for gaps in _GAPS:
         if len(c) > gaps[2]:
             each[gaps[2] :] += np.float32(DECAY ** (gaps[2] - 3)) * weights[codes_at(c, gaps)] * (place[gaps[2] :] >= gaps[2])
-    return np.add.reduceat(each, first[:-1], dtype=np.float64) / _NORMS[np.minimum(np.diff(first), len(_NORMS) - 1)] + bias
+    return np.add.reduceat(each, first[:-1], dtype=np.float64) / norms(np.diff(first)) + bias
 
 
 def landmarks_map(marks: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -131,11 +137,11 @@ def mapped(windows: list[bytes], known: np.ndarray, phi: np.ndarray, root: np.nd
     return out
 
 
-def svm(x: np.ndarray, y: np.ndarray, cost: float = COST, rounds: int = 20) -> np.ndarray:
-    """Weights and bias of a linear support vector machine (hinge loss), by coordinate descent on the dual."""
+def svm(x: np.ndarray, y: np.ndarray, times: np.ndarray, cost: float = COST, rounds: int = 20) -> np.ndarray:
+    """Weights and bias of a linear support vector machine (hinge loss), by coordinate descent on the dual; row k counts ``times[k]``, the classes alike."""
     x = np.column_stack([x, np.ones(len(x))])
     w, alpha, norms = np.zeros(x.shape[1]), np.zeros(len(x)), (x * x).sum(axis=1)
-    top = cost * np.where(y > 0, len(y) / (2 * (y > 0).sum()), len(y) / (2 * (y < 0).sum()))
+    top = cost * len(y) / 2 * times / np.where(y > 0, times[y > 0].sum(), times[y < 0].sum())
     order = np.random.default_rng(7)
     for _ in range(rounds):
         for k in order.permutation(len(x)).tolist():
@@ -153,13 +159,16 @@ def inserted(word: bytes) -> list[bytes]:
     return [b".".join(letters), b" ".join(letters), b"".join(letters[:half]) + b"*" + b"".join(letters[half:]), b"".join(letters[:half]) + b"-x" + b"".join(letters[half:])]
 
 
-def learn(seeds: list[str], good: list[str], hard: list[list[str]]) -> tuple[np.ndarray, float]:
-    """A weight for each subsequence, and the bias; ``hard`` has, for each earlier round, the good words that scored highest."""
-    bad = [s.encode() for s in seeds] + [v for s in seeds[:INSERTED] for v in inserted(s.encode())]
-    marks = [s.encode() for s in [*seeds[: LANDMARKS // 2], *(w for words in hard for w in words[: LANDMARKS // 8]), *good]][:LANDMARKS]
-    known, phi, root = landmarks_map(list(dict.fromkeys(marks)))
+def learn(named: dict[str, float], good: list[str], hard: list[list[str]]) -> tuple[np.ndarray, float]:
+    """A weight for each subsequence, and the bias, from named windows and how often they are; ``hard`` has, for each earlier round, the good windows that scored highest."""
+    often = sorted(named, key=lambda w: (-named[w], w))
+    varied = [(v, named[s] / 4) for s in often[:INSERTED] for v in inserted(s.encode())]
+    bad = [s.encode() for s in often] + [v for v, _ in varied]
+    marks = [s.encode() for s in [*often[: LANDMARKS // 2], *(w for words in hard for w in words[: LANDMARKS // 8]), *good]]
+    known, phi, root = landmarks_map(list(dict.fromkeys(marks))[:LANDMARKS])
     clean = [g.encode() for g in dict.fromkeys([*good, *(w for words in hard for w in words)])]
-    w = svm(mapped(bad + clean, known, phi, root), np.array([1.0] * len(bad) + [-1.0] * len(clean)))
+    times = np.array([named[s] for s in often] + [t for _, t in varied] + [1.0] * len(clean))
+    w = svm(mapped(bad + clean, known, phi, root), np.array([1.0] * len(bad) + [-1.0] * len(clean)), times)
     weights = np.zeros(_SYMBOLS**4, np.float32)
     weights[known] = (root @ w[:-1]) @ phi
     return weights, float(w[-1])
@@ -175,10 +184,9 @@ def highest(column: pa.Array, weights: np.ndarray, bias: float) -> np.ndarray:
     coded, first = parts.flatten().dictionary_encode(), first - first[0]
     codes = np.asarray(coded.indices).astype(np.int64)
     windows = pc.utf8_trim(coded.dictionary, characters=_EDGES).cast(pa.binary()).to_pylist()
-    score = decisions(windows, weights, bias)
+    score = np.where([len(w) > 0 for w in windows], decisions(windows, weights, bias), -np.inf)
     top = np.maximum.reduceat(np.append(score[codes], -np.inf), first[:-1])
     top[np.diff(first) == 0] = -np.inf
-    top = np.maximum(top, decisions([b""], weights, bias)[0])
     # letters that stand alone, of any number of bytes; marks between them are passed over, and a run ends with its text
     letters = np.fromiter((len(w.decode()) for w in windows), np.int64, len(windows))[codes]
     told = np.flatnonzero(letters > 0)
@@ -189,7 +197,7 @@ def highest(column: pa.Array, weights: np.ndarray, bias: float) -> np.ndarray:
     if runs:
         extra = decisions([b"".join(windows[k] for k in codes[told[a:b]]) for a, b in runs], weights, bias)
         np.maximum.at(top, run[[a for a, _ in runs]], extra)
-    return top
+    return np.where(np.isfinite(top), top, decisions([b""], weights, bias)[0])
 
 
 def logistic(x: np.ndarray, y: np.ndarray, n: np.ndarray) -> tuple[float, float]:
@@ -208,81 +216,127 @@ def logistic(x: np.ndarray, y: np.ndarray, n: np.ndarray) -> tuple[float, float]
     return max(a, 0.0), b
 
 
-def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    counts: tuple[Counter, Counter] = (Counter(), Counter())
+def sentence_windows(text: str) -> list[set[str]]:
+    """The windows of each sentence of a text, in lower case; letters that stand alone side by side are one."""
+    out = []
+    for sentence in _SENTENCE.split(text.lower()):
+        found, run = set(), []
+        for w in [*(p.strip(_EDGES) for p in sentence.split()), "  "]:
+            if len(w) == 1:
+                run.append(w)
+            elif w:
+                if len(run) >= ALONE:
+                    found.add("".join(run))
+                run = []
+                found.add(w)
+        out.append(found - {"  "})
+    return [f for f in out if f]
+
+
+def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each window of a document and how many of its sentences have it; of other than toxic documents, a batch's in one. The window "" counts the sentences."""
     for batch in sliced(batches, "text"):
-        for y, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            counts[y].update({w for w in _WORD.findall((text or "").lower()) if len(w) <= 40})
-    for y in (0, 1):
-        yield pa.RecordBatch.from_arrays([pa.array(list(counts[y]), pa.string()), pa.array([y] * len(counts[y]), pa.int64()), pa.array(list(counts[y].values()), pa.int64())], names=["word", "y", "n"])
+        others, rows = Counter(), []
+        for y, bag, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            own = Counter() if y else others
+            for found in sentence_windows(text or ""):
+                own.update(found)
+                own[""] += 1
+            if y:
+                rows += [(1, bag, w, n) for w, n in own.items()]
+        rows += [(0, 0, w, n) for w, n in others.items()]
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), _TYPES, strict=True)] if rows else [pa.array([], t) for t in _TYPES], names=["y", "bag", "word", "n"])
+
+
+_TYPES = [pa.int64(), pa.int64(), pa.string(), pa.int64()]
 
 
 def train(docs: DataFrame, labels: DataFrame) -> tuple[np.ndarray, float] | None:
-    """Learns from a bounded sample of labelled documents, SAMPLE of them; SEEDS words and ROUNDS times OTHERS words reach the driver.
+    """Learns from the sentences of a bounded sample of labelled documents, SAMPLE of them; a window a toxic one and ROUNDS times OTHERS windows reach the driver.
 
-    None where a class is missing or too few rows are toxic for any word to be sure; raises where they would do and no word tells.
+    None where a class is missing, or has no window.
     """
     ids = labels.where("y = 1").orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE[0]).unionByName(labels.where("y = 0").orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE[1]))
-    sample = cut(docs.join(F.broadcast(cut(ids)), "doc_id").select("y", "text"))  # sum(SAMPLE) ids at most
-    sizes = {r["y"]: r["n"] for r in sample.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
-    if len(sizes) < 2:
+    ids = cut(ids)  # sum(SAMPLE) ids at most
+    sample = docs.join(F.broadcast(ids), "doc_id").select("y", F.col("doc_id").alias("bag"), "text")
+    windows = cut(sample.mapInArrow(_windows, "y long, bag long, word string, n long"))
+    counts = cut(windows.groupBy("word").agg(F.sum(F.when(F.col("y") == 1, F.col("n")).otherwise(0)).alias("bad"), F.sum(F.when(F.col("y") == 0, F.col("n")).otherwise(0)).alias("good")))
+    sizes = {k: v for r in counts.where("word = ''").collect() for k, v in r.asDict().items()}
+    words, others = counts.where("word <> ''"), counts.where("word <> '' and good > 0")
+    if not sizes or not sizes["bad"] or not sizes["good"]:
         return None
-    counts = cut(sample.mapInArrow(_word_counts, "word string, y long, n long").groupBy("word").agg(F.sum(F.when(F.col("y") == 1, F.col("n")).otherwise(0)).alias("bad"), F.sum(F.when(F.col("y") == 0, F.col("n")).otherwise(0)).alias("good")))
-    # a word of three toxic documents or more tells if its documents are toxic more often than their share explains
-    usual = sizes[1] / (sizes[0] + sizes[1])
-    often = counts.where("bad >= 3")
-    tried = often.count()
-    sure = F.col("bad") * F.log(F.col("bad") / (F.col("bad") + F.col("good")) / usual)
-    least = SURE + float(np.log(max(1, tried)))
-    telling = often.withColumn("sure", sure).where(F.col("sure") > least).where(F.col("bad") * sizes[0] > ODDS * sizes[1] * F.col("good"))
-    seeds = [r["word"] for r in telling.orderBy(F.desc("sure"), "word").limit(SEEDS).select("word").collect()]
-    others = counts.where("good > 0")
+    bags = windows.where("y = 1 and word <> ''").select("bag", "word")
     good = [r["word"] for r in others.orderBy(F.xxhash64("word"), "word").limit(OTHERS).select("word").collect()]
-    if not seeds or not good:
-        # a word of all toxic documents and no other would be this sure
-        if -sizes[1] * float(np.log(usual)) > least:
-            raise ValueError(f"no word tells {sizes[1]} toxic documents from {sizes[0]} others")
-        return None
-    hard, told = [], set(seeds)
+    share = sizes["bad"] / (sizes["bad"] + sizes["good"])
+    told = F.log((F.col("bad") + USUAL * share) / sizes["bad"]) - F.log((F.col("good") + USUAL * (1 - share)) / sizes["good"])
+    words = cut(words.withColumn("score", told))
+    # what others have as often can't be what makes a document toxic; where nothing tells, anything may
+    telling = words.where(F.col("score") > float(np.log(ODDS))).select("word")
+    if telling.limit(1).count():
+        bags = cut(bags.join(telling, "word"))
+    scored, hard = words, []
     for turn in range(ROUNDS):
-        weights, bias = learn(seeds, good, hard)
+        own = bags.join(scored, "word").groupBy("bag").agg(F.max_by("word", F.struct("score", "word")).alias("word"))
+        named = {r["word"]: float(r["count"]) for r in own.groupBy("word").count().collect()}  # a window a toxic document of the sample at most
+        weights, bias = learn(named, good, hard)
         if turn + 1 < ROUNDS:
-            scored = others.select("word").mapInArrow(_scored(weights, bias), "word string, score double").where("score > -1")
-            hard.append([r["word"] for r in scored.orderBy(F.desc("score"), "word").limit(OTHERS).collect() if r["word"] not in told])
+            now = cut(words.select("word", "good").mapInArrow(_scored(weights, bias), "word string, good long, score double"))
+            if turn:
+                dropped(scored)
+            scored = now
+            hard.append([r["word"] for r in scored.where("good > 0 and score > -1").orderBy(F.desc("score"), "word").limit(OTHERS).collect()])
+    dropped(ids, windows, counts, words, scored, bags)
     return weights, bias
 
 
 def _scored(weights: np.ndarray, bias: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(decisions([w.encode() for w in batch.column(0).to_pylist()], weights, bias))], names=["word", "score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(decisions([w.encode() for w in batch.column(0).to_pylist()], weights, bias))], names=["word", "good", "score"])
 
     return run
 
 
-def toxicity_scores(docs: DataFrame, labels: DataFrame, modulus: int = 5, held: int = 0) -> DataFrame:
-    """doc_id, held_out, score (0 to 1, that the toxic label is 1), one row for each row.
+def _tops(docs: DataFrame, weights, bias: float) -> DataFrame:
+    """doc_id and the decision on the highest window of each row's text."""
 
-    Labels of ids whose crc32 modulo ``modulus`` is ``held`` are not learnt from. Null and empty texts are scored as a
-    window of white space; repeated rows get equal scores; a null doc_id is scored and never held out. Where the
-    labelled rows lack a class or are too few for any word to tell, every score is the labels' smoothed share; where they
-    are enough and still no word tells, a ValueError is raised. Extra columns are ignored.
-    """
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in sliced(batches, "text"):
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(highest(batch.column(1), weights.value, bias))], names=["doc_id", "top"])
+
+    return cut(docs.mapInArrow(run, "doc_id long, top double"))
+
+
+def _learnt(docs: DataFrame, labels: DataFrame, modulus: int, held: int):
+    """The shared weights and the bias, the logistic's slope and intercept, and all rows' highest windows."""
     docs = without(docs, "doc_id", "text").withColumn("doc_id", F.col("doc_id").cast("long"))
     labels = labels_of(labels, "toxic").where(crc_remainder(F.col("doc_id"), modulus) != held)
     model = train(docs, labels)
     weights, bias = model if model else (np.zeros(_SYMBOLS**4, np.float32), 0.0)
     shared = docs.sparkSession.sparkContext.broadcast(weights)  # one number for each subsequence, 4 MB
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in sliced(batches, "text"):
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(highest(batch.column(1), shared.value, bias))], names=["doc_id", "top"])
-
-    tops = cut(docs.mapInArrow(run, "doc_id long, top double"))
+    tops = _tops(docs, shared, bias)
     step = F.round(F.least(F.greatest("top", F.lit(-float(SPAN))), F.lit(float(SPAN))) * STEPS).cast("long")
     counted = tops.join(labels, "doc_id").groupBy(step.alias("step")).agg(F.count(F.lit(1)).alias("n"), F.sum("y").alias("bad")).collect()  # 2 * SPAN * STEPS + 1 rows at most
     x, n, bad = (np.array([r[k] for r in counted], float) for k in ("step", "n", "bad"))
     a, b = logistic(x / STEPS, bad / n, n) if len(counted) and model else (0.0, float(np.log((bad.sum() + 1) / (n.sum() - bad.sum() + 1))))
+    return shared, bias, a, b, tops
+
+
+def clean_documents(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, modulus: int = 5, held: int = 0) -> DataFrame:
+    """The rows of ``docs`` that score below ``threshold``, with all columns; each row is judged by its own text, a null one as empty."""
+    weights, bias, a, b, tops = _learnt(docs, labels, modulus, held)
+    dropped(tops)
+    return rows_where(docs, lambda text: 1 / (1 + np.exp(-np.clip(a * highest(text, weights.value, bias) + b, -700, 700))) < threshold)
+
+
+def toxicity_scores(docs: DataFrame, labels: DataFrame, modulus: int = 5, held: int = 0) -> DataFrame:
+    """doc_id, held_out, score (0 to 1, that the toxic label is 1), one row for each row.
+
+    Labels of ids whose crc32 modulo ``modulus`` is ``held`` are not learnt from. Null and empty texts are scored as a
+    window of white space; repeated rows get equal scores; a null doc_id is scored and never held out. Where the
+    labelled rows lack a class, or a class has no word, every score is the labels' smoothed share. Extra columns are ignored.
+    """
+    _, _, a, b, tops = _learnt(docs, labels, modulus, held)
     held_out = F.coalesce(crc_remainder(F.col("doc_id"), modulus) == held, F.lit(False))
     return tops.select("doc_id", held_out.alias("held_out"), (F.lit(1.0) / (F.lit(1.0) + F.exp(-(F.lit(a) * F.col("top") + F.lit(b))))).alias("score"))
 
