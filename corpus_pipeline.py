@@ -5,40 +5,45 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from glimmer.llm.common import cut, table
-from glimmer.llm.minhash import near_duplicates
+from glimmer.llm.common import cut, dropped, table
+from glimmer.llm.minhash import one_of_each
 from glimmer.llm.packing import pack
-from glimmer.llm.quality import THRESHOLD as GOOD
-from glimmer.llm.quality import quality_scores
-from glimmer.llm.toxicity import THRESHOLD as TOXIC
-from glimmer.llm.toxicity import toxicity_scores
+from glimmer.llm.quality import good_documents
+from glimmer.llm.toxicity import clean_documents
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
-def _kept(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """The documents with one of these ids; only ids cross the join's other side."""
-    return docs.join(ids.select(F.col("doc_id").alias("kept_id")), F.col("doc_id").eqNullSafe(F.col("kept_id")), "left_semi")
-
-
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Without the documents that the quality classifier rejects."""
-    return _kept(docs, quality_scores(docs, table(spark, sf_dir, "labels")).where(F.col("score") >= GOOD))
+    """Without the documents that the quality classifier rejects.
+
+    Each row is judged by its own text, in the pass that scores it: rows with a null or repeated doc_id too. Null and
+    empty texts are scored as texts of no words. Extra columns stay; an empty table gives none.
+    """
+    return good_documents(docs, table(spark, sf_dir, "labels"))
 
 
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Without the documents that the toxicity classifier rejects."""
-    return _kept(docs, toxicity_scores(docs, table(spark, sf_dir, "labels")).where(F.col("score") < TOXIC))
+    """Without the documents that the toxicity classifier rejects.
+
+    Each row is judged by its own text, in the pass that scores it: rows with a null or repeated doc_id too. Null and
+    empty texts are scored as white space. Extra columns stay; an empty table gives none.
+    """
+    return clean_documents(docs, table(spark, sf_dir, "labels"))
 
 
 def dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates: the one with the smallest doc_id."""
-    return _kept(docs, near_duplicates(docs).where("kept"))
+    """One document of each group of near-duplicates: the one with the smallest doc_id, one row of it.
+
+    Rows with a null doc_id, and texts that are null or without words, link with nothing and stay; repeated rows of one
+    doc_id become one. Extra columns stay; an empty table gives none.
+    """
+    return one_of_each(docs)
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of all documents, packed into sequences; each row is a document, whatever its doc_id, a null text an empty one."""
     return pack(docs).drop("ids")
 
 
@@ -49,7 +54,11 @@ ORACLE_SQL: str | None = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    """The pieces that come out of all stages over ``documents``; a stage's table is deleted once the next one's is written."""
+    docs, last = table(spark, sf_dir, "documents"), None
     for _, stage in STAGES[:-1]:
         docs = cut(stage(spark, docs, sf_dir))
+        if last is not None:
+            dropped(last)
+        last = docs
     return STAGES[-1][1](spark, docs, sf_dir)
