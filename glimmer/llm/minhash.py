@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import MapType
 
-from glimmer.llm.common import cut, dropped, flat, lists, mix, shingle_sets, sliced, table, without
+from glimmer.llm.common import cut, dropped, flat, free_name, lists, mix, shingle_sets, sliced, table, without
 from glimmer.llm.graph import components
 
 #: A pair at the least similarity shares no bucket with probability (1 - 0.75**5)**40, about 2 in 100,000.
@@ -207,10 +207,10 @@ def one_of_each(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) ->
     Of several rows of that doc_id the one of the least hash stays. Rows with a null doc_id and texts without words all
     stay, but a doc_id still has one row.
     """
-    ids = cut(near_duplicates(docs, words, percent).where("doc_id is not null").groupBy("doc_id").agg(F.max("kept").alias("kept"), F.count(F.lit(1)).alias("many")).where("kept").select(F.col("doc_id").alias("kept_id"), "many"))
-    of = F.col("doc_id").cast("long")
-    single = docs.join(ids.where("many = 1"), of == F.col("kept_id"), "left_semi")
-    several = docs.join(ids.where("many > 1"), of == F.col("kept_id"), "left_semi")
+    ids = cut(near_duplicates(docs, words, percent).where("doc_id is not null").groupBy("doc_id").agg(F.max("kept").alias("kept"), F.count(F.lit(1)).alias("many")).where("kept").select("doc_id", "many"))
+    of, name = F.col("doc_id").cast("long"), free_name(docs, "kept_id")
+    within = lambda condition: docs.join(ids.where(condition).select(F.col("doc_id").alias(name)), of == F.col(name), "left_semi")
+    single, several = within("many = 1"), within("many > 1")
     first = F.min_by(F.struct(*[F.col(f"`{c}`") for c in docs.columns]), F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns if not isinstance(docs.schema[c].dataType, MapType)]))
     one = several.groupBy(of.alias("of")).agg(first.alias("row")).select("row.*")
     return single.unionByName(one).unionByName(docs.where(of.isNull()))
