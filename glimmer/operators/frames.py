@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -165,3 +166,9 @@ def count_channels(frames: DataFrame) -> DataFrame:
     """image_id, n_channels, n_long: the channels of each image, and how many of its dimensions t, c and z are longer than 1."""
     sizes = frames.groupBy("image_id").agg(*[F.count_distinct(d).alias(d) for d in ("t", "c", "z")])
     return sizes.select("image_id", F.col("c").alias("n_channels"), sum((F.col(d) > 1).cast("int") for d in ("t", "c", "z")).alias("n_long"))
+
+
+def stack_trajectories(*tables: DataFrame) -> DataFrame:
+    """The trajectories of several tables as one, each table's ids moved beyond those before it by its number in the upper half of 64 bits."""
+    moved = [t.withColumn("trajectory", F.col("trajectory").cast("long") + F.lit(k << 32)) for k, t in enumerate(tables)]
+    return reduce(DataFrame.unionByName, moved)

@@ -228,6 +228,8 @@ def test_sample_and_channels(spark, one):
     got = hmm.sample_n_groups(df, 4)
     assert got.select("trajectory").distinct().count() == 4 and hmm.sample_n_groups(one, 4).count() == 8
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, hmm.sample_n_groups(df.repartition(7), 4).collect()))
+    both = frames.stack_trajectories(one, one)
+    assert both.count() == 16 and both.select("trajectory").distinct().count() == 2
     movie = spark.createDataFrame([(0, t, c, 0, 1, 1, [1.0]) for t in range(3) for c in range(2)], "image_id int, t int, c int, z int, height int, width int, pixels array<float>")
     assert [tuple(r) for r in frames.count_channels(movie).collect()] == [(0, 2, 2)]
 

@@ -1,12 +1,16 @@
-"""Array files and live trajectories."""
+"""Movie files and live trajectories."""
 
 from __future__ import annotations
 
+import os
+import struct
+
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from glimmer.operators import events, frames
-from glimmer.sources.arrays import array_frames
+from glimmer.sources.movies import Reader, movie_frames, save_tiff
 from glimmer.sources.views import trajectories
 from glimmer.streaming.pulses import live_pulses
 from tests.conftest import SMALL
@@ -16,7 +20,7 @@ def test_array_files(spark, tmp_path):
     movie = np.arange(2 * 1 * 1 * 3 * 4, dtype=np.float32).reshape(2, 1, 1, 3, 4)
     np.save(tmp_path / "a.npy", movie)
     np.save(tmp_path / "b.npy", movie[0, 0, 0])
-    df = array_frames(spark, str(tmp_path))
+    df = movie_frames(spark, str(tmp_path))
     assert sorted((r["image_id"], r["t"]) for r in df.collect()) == [(0, 0), (0, 1), (1, 0)]
     px = {(r["t"], r["y"], r["x"]): r["value"] for r in frames.to_pixels(df.where("image_id = 0")).collect()}
     assert px[1, 2, 3] == 23 and len(px) == 24
@@ -33,3 +37,54 @@ def test_live_pulses_equal_runs(spark, tmp_path):
     got = sorted((r["trajectory"], r["state"], r["dur"], r["start_frame"], r["end_frame"]) for r in spark.table("pulses").collect())
     want = sorted((r["trajectory"], r["state"], float(r["len"]), r["start"], r["end"]) for r in events.runs(rows).where("not is_last").collect())
     assert len(want) > 100 and got == want
+
+
+def test_movies_come_in_ranges_of_frames(spark, tmp_path):
+    rng = np.random.default_rng(2)
+    shapes = {"a.npy": (5, 2, 1, 4, 6), "b.npy": (3, 4, 6), "c.npy": (4, 6)}
+    movies = {}
+    for name, shape in shapes.items():
+        movies[name] = rng.integers(0, 1000, shape).astype(np.uint16)
+        np.save(tmp_path / name, movies[name])
+    got = movie_frames(spark, str(tmp_path), frames_a_task=3)
+    assert got.rdd.getNumPartitions() == 4 + 1 + 1
+    rows = {(r["image_id"], r["t"], r["c"]): np.reshape(r["pixels"], (r["height"], r["width"])) for r in got.collect()}
+    assert len(rows) == 10 + 3 + 1
+    assert all(np.array_equal(rows[0, t, c], movies["a.npy"][t, c, 0]) for t in range(5) for c in range(2))
+    assert np.array_equal(rows[1, 2, 0], movies["b.npy"][2]) and np.array_equal(rows[2, 0, 0], movies["c.npy"])
+    # written as TIFF and read back, a movie is the same
+    save_tiff(got, f"{tmp_path}/out", frames_a_file=2)
+    assert sum(f.endswith(".tif") for f in os.listdir(tmp_path / "out")) == 3 + 2 + 1 == len(os.listdir(tmp_path / "out"))
+    again = movie_frames(spark, f"{tmp_path}/out", frames_a_task=2)
+    assert sorted(map(tuple, again.collect())) == sorted(map(tuple, got.collect()))
+    save_tiff(got.limit(0), f"{tmp_path}/none")
+
+
+@pytest.mark.parametrize("order", ["<", ">"])
+def test_classic_tiff(tmp_path, order):
+    """A file laid out by hand: two pages of 16-bit numbers, the second in two strips."""
+    pages = [np.arange(6, dtype=np.uint16).reshape(2, 3), np.arange(10, 16, dtype=np.uint16).reshape(2, 3)]
+    raw = bytearray((b"II" if order == "<" else b"MM") + struct.pack(order + "HI", 42, 0))
+    last = 4
+    for k, page in enumerate(pages):
+        data = len(raw)
+        raw += page.astype(order + "u2").tobytes()
+        extra = len(raw)
+        raw += struct.pack(order + "4I", data, data + 6, 6, 6)
+        tags = [(256, 3, 1, 3), (257, 3, 1, 2), (258, 3, 1, 16), (259, 3, 1, 1)]
+        tags += [(273, 4, 1, data), (279, 4, 1, 12)] if k == 0 else [(273, 4, 2, extra), (279, 4, 2, extra + 8)]
+        raw[last : last + 4] = struct.pack(order + "I", len(raw))
+        raw += struct.pack(order + "H", len(tags))
+        for tag, kind, n, v in tags:
+            raw += struct.pack(order + "HHI", tag, kind, n) + (struct.pack(order + "HH", v, 0) if kind == 3 else struct.pack(order + "I", v))
+        last = len(raw)
+        raw += struct.pack(order + "I", 0)
+    with open(tmp_path / "x.tif", "wb") as f:
+        f.write(raw)
+    reader = Reader([str(tmp_path / "x.tif")], 1)
+    got = [b.column("pixels")[0].as_py() for part in reader.partitions() for b in reader.read(part)]
+    assert got == [p.ravel().tolist() for p in pages]
+    with open(tmp_path / "y.tif", "wb") as f:
+        f.write(b"no picture")
+    with pytest.raises(ValueError):
+        Reader([str(tmp_path / "y.tif")], 1).partitions()
