@@ -232,22 +232,64 @@ def _chosen(first: np.ndarray, chosen: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return sizes, np.repeat(first[chosen] - sub[:-1], sizes) + np.arange(sub[-1]), sub
 
 
-def segment_costs(x: np.ndarray, cost: str) -> Callable[[int, int], float]:
-    """The cost of a segment [a, b): 'l2' about its mean, 'l1' about its median, 'normal' likelihood, 'rbf' kernel."""
-    if cost == "l2":
-        s, q = np.concatenate([[0], np.cumsum(x)]), np.concatenate([[0], np.cumsum(x * x)])
-        return lambda a, b: float(q[b] - q[a] - (s[b] - s[a]) ** 2 / (b - a))
+def kth_gap(x: np.ndarray, k: int) -> float:
+    """The k-th smallest (from 0) distance of two of the sorted numbers, by bisection over the numbers a double can be: no table of pairs."""
+    n, low, high = len(x), 0, int(np.float64(x[-1] - x[0]).view(np.int64))
+    while low < high:
+        middle = (low + high) // 2
+        v = np.int64(middle).view(np.float64)
+        if (np.searchsorted(x, x + v, "right") - np.arange(n) - 1).sum() > k:
+            high = middle
+        else:
+            low = middle + 1
+    return float(np.int64(low).view(np.float64))
+
+
+def _sums(x: np.ndarray) -> np.ndarray:
+    return np.concatenate([[0.0], np.cumsum(x)])
+
+
+def segment_costs(x: np.ndarray, cost: str, cells: int = 1 << 20) -> Callable[[int, int], tuple[np.ndarray, np.ndarray]]:
+    """Of a segment [a, b): the costs of [a, k) and of [k, b) for k from a to b, those of nothing 0.
+
+    'l2' about the mean, 'l1' about the median, 'normal' likelihood, or 'rbf' kernel. The kernel's sums are added up by
+    rows of ``cells`` numbers at once, so memory grows with the segment, not with its square.
+    """
+    if cost in ("l2", "normal"):
+        s, q = _sums(x), _sums(x * x)
+
+        def moments(a: int, b: int) -> tuple[np.ndarray, np.ndarray]:
+            k = np.arange(a, b + 1)
+
+            def of(low, high):
+                n = np.maximum(high - low, 1)
+                about = np.maximum(q[high] - q[low] - (s[high] - s[low]) ** 2 / n, 0.0)
+                return about if cost == "l2" else np.where(high > low, n * np.log(about / n + 1e-6), 0.0)
+
+            return of(a, k), of(k, b)
+
+        return moments
     if cost == "l1":
-        return lambda a, b: float(np.abs(x[a:b] - np.median(x[a:b])).sum())
-    if cost == "normal":
-        return lambda a, b: float((b - a) * np.log(x[a:b].var() + 1e-6))
+        away = lambda part: float(np.abs(part - np.median(part)).sum()) if len(part) else 0.0
+        return lambda a, b: (np.array([away(x[a:k]) for k in range(a, b + 1)]), np.array([away(x[k:b]) for k in range(a, b + 1)]))
     if cost != "rbf":
         raise ValueError(f"no cost {cost!r}: l1, l2, normal or rbf")
-    d = (x[:, None] - x[None, :]) ** 2
-    middle = np.median(d[np.triu_indices(len(x), 1)]) if len(x) > 1 else 1.0
-    table = np.zeros((len(x) + 1, len(x) + 1))
-    table[1:, 1:] = np.exp(-d / (middle or 1.0)).cumsum(axis=0).cumsum(axis=1)
-    return lambda a, b: float(b - a - (table[b, b] - table[a, b] - table[b, a] + table[a, a]) / (b - a))
+    ordered, pairs = np.sort(x), len(x) * (len(x) - 1) // 2
+    middle = (kth_gap(ordered, (pairs - 1) // 2) ** 2 + kth_gap(ordered, pairs // 2) ** 2) / 2 if pairs else 1.0
+
+    def kernel(a: int, b: int) -> tuple[np.ndarray, np.ndarray]:
+        own, n = x[a:b], b - a
+        before, every = np.zeros(n), np.zeros(n)
+        for low in range(0, n, max(1, cells // n)):
+            rows = slice(low, min(n, low + max(1, cells // n)))
+            table = np.exp(-((own[rows, None] - own[None, :]) ** 2) / (middle or 1.0))
+            every[rows] = table.sum(axis=1)
+            before[rows] = np.where(np.arange(n)[None, :] < np.arange(n)[rows, None], table, 0.0).sum(axis=1)
+        left, right = _sums(2 * before + 1), _sums((2 * (every - before - 1) + 1)[::-1])[::-1]
+        k = np.arange(n + 1)
+        return k - left / np.maximum(k, 1), (n - k) - right / np.maximum(n - k, 1)
+
+    return kernel
 
 
 def binary_segmentation(x: np.ndarray, penalty: float, cost: str = "rbf", jump: int = 5, least: int = 2) -> list[int]:
@@ -257,10 +299,13 @@ def binary_segmentation(x: np.ndarray, penalty: float, cost: str = "rbf", jump:
     of, ends = segment_costs(np.asarray(x, float), cost), [0, len(x)]
 
     def best(a: int, b: int) -> tuple[float, int]:
-        places = [k for k in range(-(-(a + least) // jump) * jump, b - least + 1, jump)]
-        gains = [(of(a, b) - of(a, k) - of(k, b), -k) for k in places]
-        gain, k = max(gains, default=(0.0, 0))
-        return gain, -k
+        places = np.arange(-(-(a + least) // jump) * jump, b - least + 1, jump)
+        if not len(places):
+            return 0.0, 0
+        left, right = of(a, b)
+        gains = left[-1] - left[places - a] - right[places - a]
+        k = int(gains.argmax())
+        return float(gains[k]), int(places[k])
 
     splits = {(0, len(x)): best(0, len(x))}
     while splits:

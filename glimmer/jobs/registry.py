@@ -503,6 +503,14 @@ def changepoints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return segments.change_points(views.trajectories(spark, sf_dir), penalty=1.0)
 
 
+@query()
+def piecewise_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Means of the segments between change points that the search finds."""
+    df = views.trajectories(spark, sf_dir)
+    found = segments.change_points(df, penalty=20_000.0, cost="l2")
+    return segments.build_segments(df, found).select(*long("trajectory", "slice", "segment"), r("seg"))
+
+
 # --- hidden Markov models
 
 MODEL = hmm.Hmm(np.array([0.5, 0.5]), np.array([[0.8, 0.2], [0.3, 0.7]]), np.array([30.0, 90.0]), np.array([400.0, 900.0]))

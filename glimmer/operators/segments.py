@@ -14,7 +14,7 @@ from glimmer.operators.groups import KEY, ORDER, VALUE
 def change_points(df: DataFrame, penalty: float = 1.0, cost: str = "rbf", key: str = KEY, value: str = VALUE, order: str = ORDER) -> DataFrame:
     """key and bkps: the ends (exclusive, the last is the length) of the segments of each trajectory.
 
-    The search looks at a whole trajectory at once; the rbf cost holds a square table of its rows.
+    The search looks at a whole trajectory at once, in memory that grows with its rows; the rbf cost takes time by their square.
     """
 
     def run(part: pd.DataFrame) -> pd.DataFrame:

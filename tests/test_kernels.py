@@ -5,6 +5,7 @@ from __future__ import annotations
 import itertools
 
 import numpy as np
+import pytest
 
 from glimmer.functions import kernels as k
 from glimmer.operators import frames, hmm
@@ -69,6 +70,28 @@ def test_segmentation_costs():
     assert k.binary_segmentation(np.zeros(3), 1) == [3] and k.binary_segmentation(np.zeros(0), 1) == []
 
 
+@pytest.mark.parametrize("cost", ["l2", "l1", "normal", "rbf"])
+def test_costs_against_their_definitions(cost):
+    x = RNG.normal(size=23)
+    gaps = np.array([abs(a - b) for a, b in itertools.combinations(x, 2)])
+    assert all(np.isclose(k.kth_gap(np.sort(x), j), np.sort(gaps)[j]) for j in (0, 100, len(gaps) - 1))
+    gram = np.exp(-((x[:, None] - x[None, :]) ** 2) / np.median(gaps**2))
+
+    def slow(a, b):
+        part = x[a:b]
+        if a == b:
+            return 0.0
+        return {"l2": lambda: ((part - part.mean()) ** 2).sum(), "l1": lambda: np.abs(part - np.median(part)).sum(), "normal": lambda: len(part) * np.log(part.var() + 1e-6), "rbf": lambda: len(part) - gram[a:b, a:b].sum() / len(part)}[cost]()
+
+    left, right = k.segment_costs(x, cost, cells=40)(3, 20)
+    assert np.allclose(left, [slow(3, j) for j in range(3, 21)]) and np.allclose(right, [slow(j, 20) for j in range(3, 21)])
+
+
+def test_a_long_trajectory_needs_no_square():
+    x = np.r_[np.zeros(6000), np.ones(6000) * 4] + RNG.normal(0, 0.1, 12_000)
+    assert k.binary_segmentation(x, 100, "rbf", jump=1000) == [6000, 12_000]
+
+
 def test_training_finds_the_states(spark):
     rows = []
     for t in range(6):

@@ -9,7 +9,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from glimmer.functions import whole
+from glimmer.functions import kernels, whole
 from glimmer.jobs import registry
 from glimmer.operators import columns, events, frames, groups, hmm, segments, spatial
 from glimmer.sources import views
@@ -240,3 +240,18 @@ def test_null_keys_and_missing_break_points(spark):
     assert got == {(1, 0): 0.5, (1, 1): 1.0, (None, 0): None}
     none = spark.createDataFrame([], "trajectory int, bkps array<int>")
     assert [(r["segment"], r["seg"]) for r in segments.build_segments(df, none).collect()] == [(0, 3.0), (0, 3.0)]
+
+
+def test_found_segments_equal_the_search(spark):
+    df = views.trajectories(spark, SMALL)
+    values = {}
+    for r in df.orderBy("trajectory", "slice").collect():
+        values.setdefault(r["trajectory"], []).append(r["Intensity"])
+    got = {(r["trajectory"], r["slice"]): (r["segment"], r["seg"]) for r in registry.QUERIES["piecewise_found"](spark, SMALL).collect()}
+    cut = 0
+    for t, x in values.items():
+        ends = kernels.binary_segmentation(np.array(x), 20_000.0, "l2")
+        cut += len(ends) > 1
+        for k, (a, b) in enumerate(zip([0, *ends[:-1]], ends, strict=True)):
+            assert all(got[t, j] == (k, round(float(np.mean(x[a:b])), 6)) or math.isclose(got[t, j][1], np.mean(x[a:b]), abs_tol=2e-6) and got[t, j][0] == k for j in range(a, b))
+    assert cut
