@@ -649,8 +649,25 @@ def count_channels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return frames.count_channels(views.frames(spark, sf_dir)).select(*long("image_id", "n_channels", "n_long"))
 
 
+@query(f"WITH {PX} SELECT CAST(image_id AS BIGINT) AS image_id, t, y, x, round(value, 6) AS value FROM px WHERE t IN (0, 2) AND image_id = 0")
+def choose_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two frames of one image."""
+    return frames.choose(views.pixels(spark, sf_dir), t=[0, 2], image_id=0).select(*long("image_id", "t", "y", "x"), r("value"))
+
+
 # --- what plots need
 
+@query(f"WITH {TRAJ} {ROWS} FROM traj WHERE trajectory = 3")
+def one_trajectory(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rows(groups.select_events(views.trajectories(spark, sf_dir), [3]))
+
+
+@query(f"WITH {TRAJ} {ROWS} FROM traj WHERE slice = 12")
+def at_frame(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rows(groups.at_frame(views.trajectories(spark, sf_dir), 12))
+
+
+
 @query()
 def sample_n_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The rows of five trajectories: a sampling operator."""

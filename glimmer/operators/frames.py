@@ -22,6 +22,13 @@ def to_pixels(frames: DataFrame) -> DataFrame:
     return frames.select("image_id", "t", "c", "z", "width", F.posexplode("pixels").alias("at", "value")).select("image_id", "t", "c", "z", F.floor(F.col("at") / F.col("width")).cast("int").alias("y"), (F.col("at") % F.col("width")).cast("int").alias("x"), "value")
 
 
+def choose(frames: DataFrame, **at: int | list[int]) -> DataFrame:
+    """The frames (or pixels) at some places of t, c or z, each a number or several."""
+    for dimension, places in at.items():
+        frames = frames.where(F.col(dimension).isin(places if isinstance(places, list) else [places]))
+    return frames
+
+
 def project(pixels: DataFrame, method: str = "mean", over: str = "t", value: str = "value") -> DataFrame:
     """A statistic of each pixel over one dimension; std and var are those of a population."""
     if method not in PROJECTIONS:

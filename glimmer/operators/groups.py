@@ -93,6 +93,12 @@ def select_events(df: DataFrame, wanted: list, legacy: bool = False, key: str =
     return kept
 
 
+def at_frame(df: DataFrame, frame: int, keys: list | None = None, key: str = KEY, order: str = ORDER) -> DataFrame:
+    """Where trajectories (all, or the listed ones) stand at a frame."""
+    rows = df.where(F.col(order) == frame)
+    return rows if keys is None else rows.where(F.col(key).isin(keys))
+
+
 def filter_min_rows(df: DataFrame, least: int = 200, key: str = KEY, windowed: bool = False) -> DataFrame:
     """Groups of at least ``least`` rows."""
     return keep_groups(df, {"_n": F.count(F.lit(1))}, F.col("_n") >= least, key, windowed)
