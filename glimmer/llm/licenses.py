@@ -3,8 +3,9 @@
 Texts and templates become words (runs of a-z and 0-9, lower-cased) and shingles of five words. For each template of t
 shingles, windows of t shingles that begin at multiples of t/8 cover every text. A window gets BANDS band keys of ROWS
 MinHash values each; equal keys retrieve the template. A place that holds a copy with ``percent`` of the shingles left has
-a window whose Jaccard similarity with the template is 0.52 or more, and its neighbours' 0.39, so the bands miss it with a
-probability under one in a million. A band key can be equal only if its values come from shingles that both sides have:
+a window whose Jaccard similarity with the template is 0.52 or more, which the bands miss with a probability of 5e-4, and
+neighbours of 0.39 (0.02 each; they overlap, so the chances aren't independent). Over all tables here the result equals
+the SQL, which tries every window. A band key can be equal only if its values come from shingles that both sides have:
 so only windows around shingles of some template need keys, and the broadcast table of those shingles finds them.
 """
 
@@ -71,7 +72,7 @@ def scan(docs: DataFrame, templates: DataFrame, words: int = WORDS, percent: int
     ``templates`` has license and text; a place counts if ``percent`` in 100 of the template's distinct shingles stand in
     the stretch of its length there and a quarter more on either side. first_word is the earliest such stretch's first
     matched word among the best places. Null, empty and short texts match nothing; templates of fewer than ``words``
-    words are left out; rows of equal doc_id count as one document; a null doc_id is kept as a document of its own.
+    words are left out; rows of equal doc_id count as one document whose texts are searched one by one, rows without a doc_id likewise.
     Extra columns are ignored.
     """
     known = _shingled(without(templates, "license", "text"), words, "license").where(F.size("shingles") > 0)
@@ -82,15 +83,17 @@ def scan(docs: DataFrame, templates: DataFrame, words: int = WORDS, percent: int
     sizes = F.broadcast(known.select("t", F.explode("own").alias("shingle")).distinct())
     keyed = F.broadcast(known.select("license", "t", "own", F.explode(band_keys(F.col("own"), bands, rows)).alias("key")))
     texts = _shingled(without(docs, "doc_id", "text").withColumn("doc_id", F.col("doc_id").cast("long")), words, "doc_id")
-    hits = texts.select("doc_id", "shingles", F.posexplode("shingles").alias("place", "shingle")).join(sizes, "shingle").select("doc_id", "shingles", "place", "t")
+    # of several texts of one doc_id, or of none, each has windows of its own
+    texts = texts.withColumn("row", F.xxhash64("shingles"))
+    hits = texts.select("doc_id", "row", "shingles", F.posexplode("shingles").alias("place", "shingle")).join(sizes, "shingle").select("doc_id", "row", "shingles", "place", "t")
     step = F.greatest(F.lit(1), F.floor(F.col("t") / 8).cast("int"))
     # starts of the windows of t shingles that hold the place: multiples of the step, and the last one a text has room for
     lowest = F.greatest(F.lit(0), F.ceil((F.col("place") - F.col("t") + 1) / step).cast("int"))
     starts = F.transform(F.sequence(lowest, F.greatest(lowest, F.floor(F.col("place") / step).cast("int"))), lambda k: k * step)
     at = hits.select("*", F.explode(starts).alias("start")).withColumn("slack", F.ceil(F.col("t") / 4).cast("int"))
     low = F.greatest(F.lit(0), F.col("start") - F.col("slack"))
-    near = at.select("doc_id", "t", "start", low.alias("low"), F.slice("shingles", F.col("start") + 1, F.col("t")).alias("window"), F.slice("shingles", low + 1, F.col("start") + F.col("t") + F.col("slack") - low).alias("stretch"))
-    near = near.groupBy("doc_id", "t", "start", "low").agg(F.first("window").alias("window"), F.first("stretch").alias("stretch"))
+    near = at.select("doc_id", "row", "t", "start", low.alias("low"), F.slice("shingles", F.col("start") + 1, F.col("t")).alias("window"), F.slice("shingles", low + 1, F.col("start") + F.col("t") + F.col("slack") - low).alias("stretch"))
+    near = near.groupBy("doc_id", "row", "t", "start", "low").agg(F.first("window").alias("window"), F.first("stretch").alias("stretch"))
     found = near.select("doc_id", "t", "low", "stretch", F.explode(band_keys(F.col("window"), bands, rows)).alias("key")).join(keyed, ["t", "key"])
     places = F.filter(F.transform("own", lambda s: F.array_position("stretch", s)), lambda p: p > 0)
     sure = found.select("doc_id", "license", F.size("own").alias("shingles"), "low", places.alias("places")).withColumn("matched", F.size("places"))
