@@ -2,8 +2,8 @@
 
 A document's tokens are its ids and one end id. The stream is cut into windows of at most ``size`` tokens by dynamic
 programming over the places where a document or a sentence ends (and, within longer sentences, places ``size`` apart).
-A window of length n costs its padding, none if n is a power of two, and where it ends inside a document a penalty for
-the truncation. With ``size - n`` as padding the best start of a window that ends at p minimises cost(start) + start
+A window of length n costs its padding, none if n is a power of two, a little for being a sequence at all (or texts would
+be broken into crumbs of such lengths), and where it ends inside a document a penalty for the truncation. With ``size - n`` as padding the best start of a window that ends at p minimises cost(start) + start
 over the last ``size`` tokens, so a monotone queue gives it in constant time; windows of the few lengths without padding
 are looked up beside it.
 """
@@ -29,6 +29,8 @@ VOCABULARY = "word_bpe_49k.json"
 SIZE, END = 2048, 1
 #: Padding tokens that a cut inside a document is worth: at a sentence's end, and inside a sentence.
 SENTENCE, INSIDE = 4, 64
+#: Padding tokens that a sequence more is worth.
+EACH = 8
 #: Tokens that are cut into windows at once in a task; only the last window of such a run can be short for want of text.
 RUN = 1 << 21
 _MARK = "<|endoftext|>"
@@ -93,8 +95,8 @@ def tokens_of(path: str) -> WordTokens:
     return _LOADED[path]
 
 
-def windows(stops: np.ndarray, penalty: np.ndarray, size: int = SIZE) -> np.ndarray:
-    """The best ends of windows over a stream: ``stops`` are the places where it may be cut (rising, the last is its end, no two over ``size`` apart), with the penalty of each."""
+def windows(stops: np.ndarray, penalty: np.ndarray, size: int = SIZE, each: int = EACH) -> np.ndarray:
+    """The best ends of windows over a stream: ``stops`` are the places where it may be cut (rising, the last is its end, no two over ``size`` apart), with the penalty of each; a window costs ``each`` besides."""
     places, fines = [0, *stops.tolist()], [0, *penalty.tolist()]
     free = [1 << k for k in range(size.bit_length()) if 1 << k < size]
     index = dict(zip(places, range(len(places)), strict=True))
@@ -113,7 +115,7 @@ def windows(stops: np.ndarray, penalty: np.ndarray, size: int = SIZE) -> np.ndar
         for step in free:
             if (j := index.get(p - step)) is not None and cost[j] < least:
                 best, least = j, cost[j]
-        cost[k], came[k] = least + fines[k], best
+        cost[k], came[k] = least + fines[k] + each, best
     out, k = [], len(places) - 1
     while k:
         out.append(places[k])
