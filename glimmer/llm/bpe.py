@@ -227,7 +227,7 @@ def encode(docs: DataFrame, path: str | None = None, pattern: str = public_token
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = encoder(path, pattern)
-        for batch in sliced(batches, "text", 4 << 20):
+        for batch in sliced(batches, "text"):
             yield pa.RecordBatch.from_arrays([batch.column(0), bpe.texts(batch.column(1))], names=["doc_id", "ids"])
 
     return without(docs, "doc_id", "text").withColumn("doc_id", F.col("doc_id").cast("long")).mapInArrow(run, "doc_id long, ids binary")
@@ -239,7 +239,7 @@ def decode(encoded: DataFrame, path: str | None = None) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = encoder(path)
-        for batch in sliced(batches, "ids", 4 << 20):
+        for batch in sliced(batches, "ids"):
             out = [bpe.spell(np.frombuffer(x or b"", "<u4")) for x in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.binary())], names=["doc_id", "ids", "decoded"])
 
