@@ -4,25 +4,30 @@ A table projects unit vectors at random to BLOCKS times eight numbers and takes,
 of the two cosets that make up the E8 lattice: the home cell and its neighbour, whichever is nearer. A vector enters the
 cells of all combinations, so two vectors share a cell of a table if either's cell is among the other's. Cosines in double
 precision verify what shares a cell. Cells are compared in blocks of BLOCK vectors, a large cell as pairs of its blocks in
-different tasks; a comparison yields one row a vector, never one a pair. Links found so give components; the links
-of a vector are then counted exactly within its component, by blocks again.
+different tasks; a comparison yields one row a vector, never one a pair. Ids go first, in TURNS over the tables: vectors
+are only sent to cells whose members earlier turns have not all connected. Links found so give components; the links
+of a vector are then counted exactly within its component, by larger blocks.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from glimmer.llm.common import cut, table, without
+from glimmer.llm.common import cut, dropped, one_thread, table, without
 from glimmer.llm.graph import components
 
 TABLES, BLOCKS, SCALE, SEED = 10, 2, 0.7, 20240901
 COSINE = 0.95
-BLOCK = 1024
+#: Vectors of a block, of one where links are only counted, and rows of a product at once there.
+BLOCK, COUNTED, STRIP = 1024, 4096, 512
+#: The last table of each turn, as shares of the tables.
+TURNS = (0.1, 0.4, 1.0)
 
 
 def nearest(x: np.ndarray) -> np.ndarray:
@@ -36,7 +41,7 @@ def nearest(x: np.ndarray) -> np.ndarray:
 
 
 def cells(unit: np.ndarray, tables: int = TABLES, blocks: int = BLOCKS, scale: float = SCALE, seed: int = SEED) -> np.ndarray:
-    """Keys of the cells of each unit vector, in all tables."""
+    """Keys of the cells of each unit vector, in all tables, one table after the other."""
     n, d = unit.shape
     rng = np.random.default_rng([seed, d])
     out = []
@@ -71,6 +76,7 @@ def units(raw: list[bytes]) -> np.ndarray:
 
 def _keys(tables: int, blocks: int, scale: float, seed: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        one_thread()
         for batch in batches:
             for at in range(0, batch.num_rows, 2048):
                 part = batch.slice(at, 2048)
@@ -79,7 +85,8 @@ def _keys(tables: int, blocks: int, scale: float, seed: int):
                 for size in np.unique(sizes).tolist():
                     rows = np.flatnonzero(sizes == size)
                     keys = cells(units([raw[k] for k in rows]), tables, blocks, scale, seed)
-                    yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), pa.array(np.repeat(nodes[rows], keys.shape[1]))], names=["key", "node"])
+                    of = np.tile(np.repeat(np.arange(tables, dtype=np.int32), keys.shape[1] // tables), len(rows))
+                    yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), pa.array(np.repeat(nodes[rows], keys.shape[1])), pa.array(of)], names=["key", "node", "table"])
 
     return run
 
@@ -96,12 +103,13 @@ def in_blocks(rows: DataFrame, block: int = BLOCK) -> DataFrame:
     return dealt.select("key", F.least("part", "other").alias("low"), F.greatest("part", "other").alias("high"), "part", "node", "v", "n")
 
 
-def linked(u: np.ndarray, part: np.ndarray, across: bool, cosine: float) -> np.ndarray:
-    """Which vectors of a block pair link; of two different blocks only across, for pairs within a block have a comparison of their own."""
-    out = u @ u.T >= cosine
-    np.fill_diagonal(out, False)
+def linked(u: np.ndarray, part: np.ndarray, across: bool, cosine: float, low: int = 0, high: int | None = None) -> np.ndarray:
+    """Which vectors of a block pair link, of rows low to high; of two different blocks only across, for pairs within a block have a comparison of their own."""
+    rows = slice(low, len(u) if high is None else high)
+    out = u[rows] @ u.T >= cosine
+    out[np.arange(len(out)), np.arange(rows.start, rows.stop)] = False
     if across:
-        out &= part[:, None] != part[None, :]
+        out &= part[rows, None] != part[None, :]
     return out
 
 
@@ -116,14 +124,14 @@ def _roots(links: np.ndarray) -> np.ndarray:
         root = new
 
 
-def _star(nodes: np.ndarray, weights: np.ndarray, links: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    root = _roots(links)
+def _star(nodes: np.ndarray, weights: np.ndarray, u: np.ndarray, *how) -> tuple[np.ndarray, np.ndarray]:
+    root = _roots(linked(u, *how))
     at = np.flatnonzero(root != np.arange(len(root)))
     return nodes[root[at]], nodes[at]
 
 
-def _degrees(nodes: np.ndarray, weights: np.ndarray, links: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    return nodes, links @ weights
+def _degrees(nodes: np.ndarray, weights: np.ndarray, u: np.ndarray, *how) -> tuple[np.ndarray, np.ndarray]:
+    return nodes, np.concatenate([linked(u, *how, low, min(len(u), low + STRIP)) @ weights for low in range(0, len(u), STRIP)])
 
 
 def _compare(make: Callable, cosine: float):
@@ -136,9 +144,10 @@ def _compare(make: Callable, cosine: float):
         for rows in by_size.values():
             if len(rows) > 1:
                 part, node, v, n = zip(*rows, strict=True)
-                yield make(np.array(node), np.array(n), linked(units(list(v)), np.array(part), across, cosine))
+                yield make(np.array(node), np.array(n), units(list(v)), np.array(part), across, cosine)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        one_thread()
         last, group, out = None, [], []
 
         def flush() -> pa.RecordBatch:
@@ -160,8 +169,8 @@ def _compare(make: Callable, cosine: float):
     return run
 
 
-def compared(rows: DataFrame, make: Callable, cosine: float) -> DataFrame:
-    dealt = in_blocks(rows).repartition("key", "low", "high").sortWithinPartitions("key", "low", "high")
+def compared(rows: DataFrame, make: Callable, cosine: float, block: int = BLOCK) -> DataFrame:
+    dealt = in_blocks(rows, block).repartition("key", "low", "high").sortWithinPartitions("key", "low", "high")
     return dealt.mapInArrow(_compare(make, cosine), "a long, b long")
 
 
@@ -177,13 +186,28 @@ def near_vectors(vectors: DataFrame, cosine: float = COSINE, tables: int = TABLE
     known = cut(vectors.mapInArrow(_vectors, "vec_id long, v binary"))
     able = known.where("v is not null and vec_id is not null")
     classes = cut(able.groupBy("v").agg(F.min("vec_id").alias("node"), F.count(F.lit(1)).alias("n")))
-    keyed = cut(classes.select("node", "v").mapInArrow(_keys(tables, blocks, scale, seed), "key long, node long").distinct())
+    keyed = classes.select("node", "v").mapInArrow(_keys(tables, blocks, scale, seed), "key long, node long, table int").distinct()
     shared = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("many")).where("many > 1").select("key")
-    links = cut(compared(keyed.join(shared, "key").join(classes, "node").select("key", "node", "v", "n"), _star, cosine).distinct())
+    keyed = cut(keyed.join(shared, "key"))
+    found, labels, turn = [], None, 0
+    for share in TURNS:
+        low, turn = turn, max(turn + 1, round(share * tables))
+        rows = keyed.where(F.col("table").between(low, turn - 1)).select("key", "node")
+        if labels is not None:
+            # by ids alone: the cells whose members aren't all connected
+            placed = rows.join(labels.withColumnRenamed("id", "node"), "node", "left").select("key", "node", F.coalesce("label", "node").alias("label"))
+            apart = placed.groupBy("key").agg(F.min("label").alias("least"), F.max("label").alias("most")).where("least <> most").select("key")
+            rows = rows.join(apart, "key")
+        found.append(cut(compared(rows.join(classes, "node").select("key", "node", "v", "n"), _star, cosine).distinct()))
+        last, labels = labels, components(reduce(DataFrame.unionByName, found))
+        if last is not None:
+            dropped(last)
+    dropped(keyed)
+    links = reduce(DataFrame.unionByName, found)
     member = able.join(classes.select("v", F.col("node"), F.col("n").alias("same")), "v").select("vec_id", "node", "same")
     tied = member.select("vec_id", "node").distinct().join(member.groupBy("vec_id").agg(F.min("node").alias("first"), F.max("node").alias("last")).where("first <> last"), "vec_id").select(F.col("first").alias("a"), F.col("node").alias("b"))
     labels = components(links.unionByName(tied))
-    counted = compared(labels.join(classes, labels.id == classes.node).select(F.col("label").alias("key"), "node", "v", "n"), _degrees, cosine).groupBy("a").agg(F.sum("b").alias("near"))
+    counted = compared(labels.join(classes, labels.id == classes.node).select(F.col("label").alias("key"), "node", "v", "n"), _degrees, cosine, COUNTED).groupBy("a").agg(F.sum("b").alias("near"))
     of = cut(member.join(counted.withColumnRenamed("a", "node"), "node", "left").join(labels.withColumnRenamed("id", "node"), "node", "left").select("vec_id", "node", (F.col("same") - 1 + F.coalesce("near", F.lit(0))).alias("n_links"), F.coalesce("label", "node").alias("found")))
     rest = known.where("v is null or vec_id is null").select("vec_id", F.lit(0).cast("long").alias("n_links"))
     alone = rest.join(of.groupBy("vec_id").agg(F.min("found").alias("found")), "vec_id", "left")
