@@ -3,10 +3,12 @@
 A gear hash over the last 32 bytes sets the borders of chunks, with a strict mask before the normal length and a loose
 one after it (normalised chunking), so an edit moves only the borders near it. A fingerprint is the set of digests of a
 text's chunks, each with its length; the likeness of two texts is the length they share over the length of the shorter.
+Written as text it is that whole set, so the likeness of any two texts can be told from their fingerprints alone.
 """
 
 from __future__ import annotations
 
+import base64
 import hashlib
 from collections.abc import Iterator
 
@@ -15,13 +17,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from glimmer.llm.common import cut, mix, sliced, table, without
+from glimmer.llm.common import mix, sliced, table, without
 
 #: Normal, least and most bytes of a chunk. Masks have a bit more and a bit less than the normal length asks for.
 NORMAL, LEAST, MOST = 32, 8, 128
 _GEAR = (mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xA0761D6478BD642F)) >> np.uint64(32)).astype(np.uint32)
 _SCHEMA = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
-_EDGE = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, text string, head boolean, tail boolean, place long"
+#: Ranges of documents that a task has.
+PARTS = 4
+#: Bytes of a chunk's digest in a fingerprint; one more holds its length.
+DIGEST = 8
 
 
 def gear(data: np.ndarray) -> np.ndarray:
@@ -66,7 +71,7 @@ def fingerprint(text: str) -> dict[bytes, int]:
     """Digests of the distinct chunks of a text, and their lengths in bytes."""
     raw = text.encode()
     view, ends = memoryview(raw), borders(np.frombuffer(raw, np.uint8)).tolist()
-    return {hashlib.blake2b(view[a:b], digest_size=8).digest(): b - a for a, b in zip([0, *ends[:-1]], ends, strict=True)} if ends else {}
+    return {hashlib.blake2b(view[a:b], digest_size=DIGEST).digest(): b - a for a, b in zip([0, *ends[:-1]], ends, strict=True)} if ends else {}
 
 
 def likeness(a: dict[bytes, int], b: dict[bytes, int]) -> float:
@@ -78,8 +83,14 @@ def likeness(a: dict[bytes, int], b: dict[bytes, int]) -> float:
 
 
 def written(mark: dict[bytes, int]) -> str:
-    """A fingerprint as text: a digest of the set of chunk digests and lengths."""
-    return hashlib.blake2b(b"".join(k + mark[k].to_bytes(4, "little") for k in sorted(mark)), digest_size=16).hexdigest()
+    """A fingerprint as text: its digests in order, each with the chunk's length, in base 64."""
+    return base64.b64encode(b"".join(k + bytes([mark[k]]) for k in sorted(mark))).decode()
+
+
+def read(text: str) -> dict[bytes, int]:
+    """The fingerprint that ``written`` wrote."""
+    raw = base64.b64decode(text)
+    return {raw[k : k + DIGEST]: raw[k + DIGEST] for k in range(0, len(raw), DIGEST + 1)}
 
 
 def edited(text: str, after: str) -> str:
@@ -87,6 +98,9 @@ def edited(text: str, after: str) -> str:
     return text[: len(text) - half] + after[:half]
 
 
+_NAMES = ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]
+
+
 def _compare(doc: int | None, text: str, mark: dict, after: str, next_mark: dict) -> tuple:
     new = edited(text, after)
     new_mark = fingerprint(new)
@@ -94,31 +108,18 @@ def _compare(doc: int | None, text: str, mark: dict, after: str, next_mark: dict
 
 
 def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows in order; each is compared with the next. The first and the last of a partition also go on with their texts."""
-    schema = pa.schema([("doc_id", pa.int64()), ("n_chars", pa.int64()), ("edited_sha256", pa.string()), ("fingerprint", pa.string()), ("edited_fingerprint", pa.string()), ("near_edited", pa.float64()), ("near_next", pa.float64()), ("text", pa.string()), ("head", pa.bool_()), ("tail", pa.bool_()), ("place", pa.int64())])
-    before, place = None, 0
-    make = lambda rows: pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), schema.types, strict=True)], schema=schema)
+    """Rows (part, doc_id, text, guest) in order; each is compared with the next of its part. A part ends with a guest, the first row of the next one."""
+    types = [pa.int64(), pa.int64(), *[pa.string()] * 3, *[pa.float64()] * 2]
+    before, last = None, None
     for batch in sliced(batches, "text"):
         rows = []
-        for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            text = text or ""
+        for part, doc, text, guest in zip(*(c.to_pylist() for c in batch.columns), strict=True):
             mark = fingerprint(text)
-            if before is None:
-                rows.append((doc, *[None] * 6, text, True, False, 0))
-            else:
-                rows.append((*_compare(*before, text, mark), None, False, False, place))
-            before, place = (doc, text, mark), place + 1
-        if rows:
-            yield make(rows)
-    if before is not None:
-        yield make([(before[0], *[None] * 6, before[1], False, True, place)])
-
-
-def _seams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        rows = [_compare(d, t, m := fingerprint(t), a, fingerprint(a)) for d, t, a in zip(*(c.to_pylist() for c in batch.columns), strict=True)]
+            if before is not None and part == last:
+                rows.append(_compare(*before, text, mark))
+            before, last = None if guest else (doc, text, mark), part
         if rows:
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*[(r[0], *r[1:]) for r in rows], strict=True)], names=["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"])
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=_NAMES)
 
 
 def compare_with_next(docs: DataFrame, partitions: int | None = None) -> DataFrame:
@@ -126,20 +127,34 @@ def compare_with_next(docs: DataFrame, partitions: int | None = None) -> DataFra
 
     The next document is the one with the next lower doc_id; after the last comes the first; a lone document is its own
     next. Ties go by text, null ids come last; a null text is empty. Repeated rows each give a row; no rows give none;
-    extra columns are ignored. Texts are shuffled once, by ranges of doc_id; where a range ends, its last text meets
-    the first of the next range in a second, small pass over two rows a partition.
+    extra columns are ignored. Documents go to parts by ranges of doc_id, whose bounds (one number a part) are all that
+    reaches the driver, and texts are shuffled once; the first text of every part also goes to the part before it.
     """
     spark = docs.sparkSession
     docs = without(docs, "doc_id", "text").select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    order = [F.col("doc_id").desc_nulls_last(), F.col("text")]
     n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ranged = docs.repartitionByRange(n, order[0]).sortWithinPartitions(*order)
-    done = cut(ranged.mapInArrow(_neighbours, _EDGE).withColumn("part", F.spark_partition_id()))
-    inner = done.where("not head and not tail").drop("text", "head", "tail", "place", "part")
-    edges = done.where("head or tail").select("doc_id", "text", "head", "tail", "part", "place")
-    one = Window.partitionBy(F.lit(0))
-    seams = edges.withColumn("after", F.coalesce(F.lead("text").over(one.orderBy("part", "place")), F.first("text").over(one.orderBy("part", "place").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))).where("tail")
-    return inner.unionByName(seams.select("doc_id", "text", "after").mapInArrow(_seams, _SCHEMA))
+    # several parts a task even out how a hash deals them
+    parts = PARTS * n
+    found = docs.select(F.col("doc_id").cast("double")).approxQuantile("doc_id", [k / parts for k in range(1, parts)], 0.1 / parts) if n > 1 else []
+    bounds = np.array(sorted({int(b) for b in found}), np.int64)
+
+    @F.arrow_udf("long")
+    def part(ids: pa.Array) -> pa.Array:
+        """From the largest ids down; null ids are a part of their own."""
+        at = len(bounds) - np.searchsorted(bounds, ids.fill_null(0).to_numpy(zero_copy_only=False), "right")
+        return pa.array(np.where(ids.is_null().to_numpy(zero_copy_only=False), len(bounds) + 1, at))
+
+    placed = docs.select(part("doc_id").alias("part"), "doc_id", "text")
+    # the first row of each part: its largest doc_id, of the least text
+    firsts = docs.select("doc_id", part("doc_id").alias("part")).groupBy("part").agg(F.max("doc_id").alias("first_id"))
+    order = Window.orderBy("part")
+    # a row a part, without texts: the part before each one, and before the first the last
+    firsts = firsts.select(F.col("part").alias("own"), "first_id", F.coalesce(F.lag("part").over(order), F.max("part").over(Window.partitionBy())).alias("before"))
+    heads = placed.join(F.broadcast(firsts), (placed.part == firsts.own) & placed.doc_id.eqNullSafe(firsts.first_id))
+    guests = heads.groupBy("before").agg(F.min("text").alias("text")).select(F.col("before").alias("part"), F.lit(None).cast("long").alias("doc_id"), "text", F.lit(True).alias("guest"))
+    rows = placed.withColumn("guest", F.lit(False)).unionByName(guests)
+    dealt = rows.repartition(n, "part").sortWithinPartitions("part", "guest", F.col("doc_id").desc_nulls_last(), "text")
+    return dealt.mapInArrow(_neighbours, _SCHEMA)
 
 
 def op7_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
