@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import os
 import re
 import shutil
 import tempfile
@@ -107,6 +109,22 @@ def sliced(batches: Iterator[pa.RecordBatch], column: str | int, most: int = SLI
             at = end
 
 
+def one_thread() -> None:
+    """Let numpy's products run on one thread in this worker: the cores belong to Spark's tasks, and waiting threads cost as much as working ones.
+
+    By the library that is loaded, as its environment variable counts only before; where it isn't found nothing changes.
+    """
+    if not os.path.exists("/proc/self/maps"):
+        return
+    with open("/proc/self/maps") as maps:
+        paths = {line.split()[-1] for line in maps if "openblas" in line}
+    for path in paths:
+        library = ctypes.CDLL(path)
+        for name in ("scipy_openblas_set_num_threads64_", "scipy_openblas_set_num_threads", "openblas_set_num_threads64_", "openblas_set_num_threads"):
+            if hasattr(library, name):
+                getattr(library, name)(1)
+
+
 class Memo:
     """What ``make`` gave for strings. Keeps the first ``most`` and no long ones, the others are made anew: it bounds memory and changes no result."""
 

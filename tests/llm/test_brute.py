@@ -107,7 +107,7 @@ def test_lm_is_normalised():
 def test_quality_and_toxicity_held_out(spark):
     labels = {r["doc_id"]: r for r in table(spark, SMALL.replace("0.001", "0.01"), "labels").collect()}
     sf = SMALL.replace("0.001", "0.01")
-    for name, column, least in (("op4_quality", "quality", 0.97), ("op5_toxicity", "toxic", 0.7)):
+    for name, column, least in (("op4_quality", "quality", 0.97), ("op5_toxicity", "toxic", 0.9)):
         got = [r for r in queries.QUERIES[name](spark, sf).collect() if r["held_out"] and r["doc_id"] in labels]
         good, bad = ([r["score"] for r in got if labels[r["doc_id"]][column] == y] for y in (1, 0))
         auc = np.mean([(a > b) + 0.5 * (a == b) for a in good for b in bad])
@@ -190,6 +190,9 @@ def test_chunks_query(spark, texts):
         assert (r["n_chars"], r["edited_sha256"]) == (len(texts[i]), hashlib.sha256(new.encode()).hexdigest())
         assert r["fingerprint"] == chunks.written(chunks.fingerprint(texts[i])) and r["edited_fingerprint"] == chunks.written(chunks.fingerprint(new))
         assert 0 <= r["near_edited"] <= 1 and r["near_next"] == chunks.likeness(chunks.fingerprint(texts[i]), chunks.fingerprint(after))
+        # the strings alone tell both
+        assert r["near_edited"] == chunks.likeness(chunks.read(r["fingerprint"]), chunks.read(r["edited_fingerprint"]))
+        assert r["near_next"] == chunks.likeness(chunks.read(r["fingerprint"]), chunks.read(got[order[(k + 1) % len(order)]]["fingerprint"]))
     long = [r["near_edited"] for r in got.values() if r["n_chars"] > 1000]
     assert 0.4 < float(np.median(long)) < 0.7
 
@@ -198,6 +201,16 @@ def test_chunks_gear_and_shift():
     data = RNG.integers(0, 256, 500).astype(np.uint8)
     slow = [sum(int(chunks._GEAR[data[i - k]]) << k for k in range(min(32, i + 1))) & 0xFFFFFFFF for i in range(500)]
     assert chunks.gear(data).tolist() == slow
+    # borders by their definition, byte after byte
+    h, ends, at = chunks.gear(data), [], 0
+    while 500 - at > chunks.LEAST:
+        for end in range(at + chunks.LEAST, min(at + chunks.MOST, 500) + 1):
+            bits = 6 if end - at <= chunks.NORMAL else 4
+            if int(h[end - 1]) >> (32 - bits) == 0:
+                break
+        ends.append(end)
+        at = end
+    assert chunks.borders(data).tolist() == ends + ([500] if at < 500 else [])
     text = "".join(RNG.choice(list("abcdefgh "), 5000))
     moved = chunks.likeness(chunks.fingerprint(text), chunks.fingerprint("new start " + text))
     assert moved > 0.95 and chunks.likeness({}, {}) == 1 and chunks.likeness(chunks.fingerprint("a"), {}) == 0
@@ -208,6 +221,11 @@ def test_chunks_one_document_and_more_partitions(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string")
     several, single = (sorted(map(tuple, chunks.compare_with_next(df, n).collect())) for n in (7, 1))
     assert several == single and len(single) == 40
+    repeated = spark.createDataFrame([(1, "abc"), (1, "abc"), (1, "b"), (None, "x"), (None, "a"), (7, None)], "doc_id long, text string").repartition(3)
+    after = [(7, ""), (1, "abc"), (1, "abc"), (1, "b"), (None, "a"), (None, "x")]
+    for n in (1, 4):
+        got = collections.Counter((r["doc_id"], r["n_chars"], r["edited_sha256"]) for r in chunks.compare_with_next(repeated, n).collect())
+        assert got == collections.Counter((i, len(t), hashlib.sha256(chunks.edited(t, after[(k + 1) % 6][1]).encode()).hexdigest()) for k, (i, t) in enumerate(after))
     lone = chunks.compare_with_next(df.limit(1)).collect()
     assert len(lone) == 1 and lone[0]["near_next"] == 1
 
@@ -240,11 +258,12 @@ def test_packing_query(spark, texts):
 def test_windows_are_the_best(places, size, data):
     stops = sorted(places | set(range(size, 60, size)) | {60})
     fines = dict(zip(stops, data.draw(st.lists(st.sampled_from([0, 2, 9]), min_size=len(stops), max_size=len(stops))), strict=True))
-    pad = lambda n: 0 if n & (n - 1) == 0 else size - n
+    each = data.draw(st.sampled_from([0, 3]))
+    pad = lambda n: each + (0 if n & (n - 1) == 0 else size - n)
     best = {0: 0}
     for p in stops:
         best[p] = min(best[q] + pad(p - q) + fines[p] for q in best if p - q <= size)
-    ends = packing.windows(np.array(stops), np.array([fines[p] for p in stops]), size).tolist()
+    ends = packing.windows(np.array(stops), np.array([fines[p] for p in stops]), size, each).tolist()
     assert ends[-1] == 60 and sum(pad(b - a) + fines[b] for a, b in itertools.pairwise([0, *ends])) == best[60]
 
 
@@ -255,6 +274,23 @@ def test_special_tokens_in_texts():
         assert list(np.frombuffer(ids, "<u4")) == own.tokenizer.encode(text or "", add_special_tokens=False).ids
 
 
+def test_embeddings_of_a_larger_table(spark):
+    """Every link and component of the given vectors, against all pairs in double precision."""
+    sf = SMALL.replace("0.001", "0.1")
+    rows = {r["vec_id"]: r["embedding"] for r in table(spark, sf, "embeddings").collect()}
+    ids = np.array(sorted(rows))
+    x = np.array([rows[i] for i in ids], float)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    links = x @ x.T >= embed.COSINE
+    np.fill_diagonal(links, False)
+    want = dict(zip(ids.tolist(), links.sum(axis=1).tolist(), strict=True))
+    got = {r["vec_id"]: r for r in queries.QUERIES["op9_embedding_dedup"](spark, sf).collect()}
+    assert {i: r["n_links"] for i, r in got.items()} == want
+    a, b = np.nonzero(links)
+    check = classes(ids.tolist(), zip(ids[a].tolist(), ids[b].tolist(), strict=True))
+    assert {i: r["component_id"] for i, r in got.items()} == check
+
+
 def test_embedding_query(spark):
     rows = []
     for k in range(300):

@@ -42,6 +42,30 @@ def test_one_row_for_each_row(docs, labels, name):
     assert ONE_ROW_EACH[name](docs.limit(0), labels.limit(0)).count() == 0
 
 
+def test_texts_of_megabytes(spark):
+    """Whole, beyond any slice or step, beside short ones; three texts are one word, many words and few words over and over."""
+    words = [f"w{k * 7919 % 10007:x}" for k in range(400_000)]
+    texts = {1: "x" * 3_000_000, 2: " ".join(words), 3: "again and again. " * 150_000, 4: "short one.", 5: " ".join(words) + " end"}
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(2)
+    labels = spark.createDataFrame([(1, 1, 0), (2, 0, 1), (3, 1, 0), (4, 1, 1)], "doc_id long, quality int, toxic int")
+    for name, f in ONE_ROW_EACH.items():
+        got = {r["doc_id"]: r for r in f(df, labels).collect()}
+        assert sorted(got) == [1, 2, 3, 4, 5], name
+        if name == "bpe":
+            assert all(bytes(got[k]["decoded"]).decode() == t for k, t in texts.items())
+        if name == "lm":
+            assert [got[k]["n_tokens"] for k in (1, 2, 4)] == [2, 400_001, 3]
+        if name == "minhash":
+            assert got[5]["component_id"] == 2 and got[2]["n_shingles"] == 10_007
+        if name == "chunks":
+            assert [got[k]["n_chars"] for k in texts] == [len(t) for t in texts.values()]
+    pieces = packing.pack(df).collect()
+    for k in texts:
+        own = sorted((r["start"], r["length"], r["doc_tokens"]) for r in pieces if r["doc_id"] == k)
+        assert own[0][0] == 0 and all(a[0] + a[1] == b[0] for a, b in zip(own, own[1:], strict=False)) and own[-1][0] + own[-1][1] == own[0][2]
+    assert licenses.scan(df, licenses.notices(spark)).count() == 0
+
+
 def test_scores_are_shares(docs, labels):
     for f in ("quality", "toxicity"):
         for d, lab in ((docs, labels), (docs, labels.limit(0))):
