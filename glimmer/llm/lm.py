@@ -8,13 +8,14 @@ behind it cover the whole corpus.
 Model. The vectors of the last CONTEXT units, each weighted elementwise by its place, and the mean of the WINDOW before
 them, weighted likewise, predict a vector; its products with the units' vectors plus biases are logits. Units stand in classes of equal
 size, so the probability of a unit is that of its class times that within the class: two small softmaxes, worked out by
-batched matrix products. Both are trained with noise-contrastive estimation, noise drawn from the unigram counts. A bounded
-sample gives the start; then all training texts are learnt from, in TURNS parts: in each, tasks go on from the shared model
-over their own texts, and the means of their parameters, weighted by tokens, are the next shared model. The classes come
-from the company that units keep in all training texts.
-
-Counts of all words are too many to broadcast. Tasks hold the model and the counts of the COUNTED most frequent words,
-which also are the ones that a join would heap up; the counts of the others come by a join on the word.
+batched matrix products. Both are trained with noise-contrastive estimation, noise drawn from the unigram counts. All
+training texts are learnt from, each once, in TURNS parts: in each, tasks go on from the shared model over their own texts,
+and the means of their parameters, weighted by tokens, are the next shared model. The classes come from the company that
+units keep in all training texts.
+
+Texts are read twice: for the counts of words, and to be turned into units, from which the model learns and scores them.
+Counts of all words are too many to broadcast. Tasks hold the counts of the COUNTED most frequent words, which also are
+the ones that a join would heap up; the counts of the others come by a join on the word.
 """
 
 from __future__ import annotations
@@ -30,20 +31,20 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from glimmer.llm.common import crc_remainder, cut, mix, ragged, sliced, table, without
+from glimmer.llm.common import crc_remainder, cut, mix, one_thread, ragged, sliced, table, without
 
 #: Words that are units (a bound on what is broadcast), units of the other words, classes.
 HEAD, TAILS, CLASSES = 3000, 512, 60
 #: Words whose counts are broadcast, at most.
-COUNTED = 150_000
-#: Vector size, places of context, length of the older context, noise samples, epochs, tokens that are scored at once.
-SIZE, CONTEXT, WINDOW, NOISE, EPOCHS, CHUNK = 32, 2, 24, 24, 2, 16384
-#: Training texts, those of the least hashed ids, their tokens, and tokens of one text, at most: a bound on the sample that training starts with.
-SAMPLE, SAMPLE_TOKENS, SAMPLE_WINDOW = 4000, 500_000, 2000
-#: Parts that all training texts are learnt from in, the learning rate there, tokens of a step.
-TURNS, TURN_RATE, STEP_TOKENS = 2, 0.05, 6000
+COUNTED = 400_000
+#: Vector size, places of context, length of the older context, noise samples, tokens that are scored at once and those whose classes are: a block's logits stay in a core's cache.
+SIZE, CONTEXT, WINDOW, NOISE, CHUNK, BLOCK = 32, 2, 24, 24, 8192, 1024
+#: Parts that all training texts are learnt from in, the learning rate of the first (it falls by the root of their number), tokens of a step.
+TURNS, RATE, STEP_TOKENS = 4, 0.1, 5000
+#: Steps by which counts double, in the histogram that finds the frequent words.
+OCTAVE = 8
 #: Frequent units whose company tells classes apart; blocks and groups of tasks that tables of numbers are added up in.
-COMPANY, BLOCKS, GROUPS = 256, 64, 64
+COMPANY, BLOCKS, GROUPS = 64, 64, 64
 
 
 def tokens(column: pa.Array) -> tuple[pa.Array, np.ndarray]:
@@ -56,13 +57,20 @@ def tokens(column: pa.Array) -> tuple[pa.Array, np.ndarray]:
     return flat.filter(pa.array(full)), kept[first - first[0]]
 
 
-def tail_units(words: list[str]) -> np.ndarray:
-    """Which tail unit each word is: by its last three letters and first one, so that words of a language meet."""
-    ends = [(w.rstrip(".,;:!?") or w)[-2:] + "|" + w[:1] for w in words]
-    each = {e: 0 for e in ends}
+def tail_units(words: pa.Array | list[str]) -> np.ndarray:
+    """Which tail unit each word is: by its last two letters and first one, so that words of a language meet."""
+    words = pa.array(words, pa.string()) if isinstance(words, list) else words
+    bare = pc.utf8_rtrim(words, characters=".,;:!?")
+    bare = pc.if_else(pc.equal(pc.binary_length(bare), 0), words, bare)
+    ends = pc.binary_join_element_wise(pc.utf8_slice_codeunits(bare, -2), pc.utf8_slice_codeunits(words, 0, 1), "|").dictionary_encode()
+    each = ends.dictionary.to_pylist()
     keys = np.fromiter((int.from_bytes(e.encode()[:8].ljust(8, b"\0"), "little") for e in each), np.uint64, len(each))
-    units = dict(zip(each, (mix(keys + np.uint64(977)) % np.uint64(TAILS)).astype(np.int64).tolist(), strict=True))
-    return np.fromiter(map(units.__getitem__, ends), np.int64, len(ends))
+    return (mix(keys + np.uint64(977)) % np.uint64(TAILS)).astype(np.int64)[np.asarray(ends.indices)]
+
+
+def places(words: pa.Array, known: pa.Array) -> np.ndarray:
+    """Where each word stands among known ones; -1 if it doesn't."""
+    return np.asarray(pc.fill_null(pc.index_in(words, value_set=known), -1)).astype(np.int64)
 
 
 @dataclass
@@ -120,15 +128,24 @@ def log10_units(model: Model, units: np.ndarray, first: np.ndarray) -> np.ndarra
         own, inside = np.divmod(at[low:high], width)
         rows = np.arange(high - low)
         # logits are kept where their exponentials are finite, so the largest needn't be sought
-        logits = np.clip(h @ class_out + model.class_bias, -80, 80)
-        chunk = logits[rows, own] - np.log(np.exp(logits).sum(axis=1))
+        chunk = np.empty(high - low, np.float32)
+        for a in range(0, high - low, BLOCK):
+            b = min(a + BLOCK, high - low)
+            logits = h[a:b] @ class_out
+            logits += model.class_bias
+            np.clip(logits, -80, 80, out=logits)
+            chunk[a:b] = logits[rows[: b - a], own[a:b]]
+            chunk[a:b] -= np.log(np.exp(logits, out=logits).sum(axis=1))
         by = np.argsort(own, kind="stable")
         edges = np.searchsorted(own[by], np.arange(CLASSES + 1))
         h, inside, inner = h[by], inside[by], np.empty(high - low, np.float32)
         for c in np.flatnonzero(np.diff(edges)).tolist():
             a, b = edges[c], edges[c + 1]
-            logits = np.minimum(h[a:b] @ inner_out[c] + inner_bias[c], 80)
-            inner[a:b] = logits[rows[: b - a], inside[a:b]] - np.log(np.exp(logits).sum(axis=1))
+            logits = h[a:b] @ inner_out[c]
+            logits += inner_bias[c]
+            np.minimum(logits, 80, out=logits)
+            inner[a:b] = logits[rows[: b - a], inside[a:b]]
+            inner[a:b] -= np.log(np.exp(logits, out=logits).sum(axis=1))
         chunk[by] += inner
         out[low:high] = chunk
     return out / np.log(10)
@@ -147,42 +164,66 @@ class Fit:
     inner_p: np.ndarray
     inner_noise: np.ndarray  # cumulative, class c from c to c + 1
 
-    def step(self, name: str, at, gradient: np.ndarray, rate: float) -> None:
-        """AdaGrad on some rows (``at``: their numbers, repeated ones added up) or all."""
+    def step(self, name: str, rows, gradient: np.ndarray, rate: float) -> None:
+        """AdaGrad on some rows (``rows``: their numbers, each once) or all."""
         target, past = getattr(self.model, name), self.past[name]
-        if at is not None:
-            by = np.argsort(at, kind="stable")
-            starts = np.flatnonzero(np.diff(at[by], prepend=-1))
-            rows, summed = at[by][starts], np.add.reduceat(gradient[by], starts, axis=0)
-            past[rows] += summed**2
-            target[rows] += rate * summed / np.sqrt(past[rows])
-        else:
-            past += gradient**2
-            target += rate * gradient / np.sqrt(past)
+        rows = slice(None) if rows is None else rows
+        past[rows] += gradient**2
+        target[rows] += rate * gradient / np.sqrt(past[rows])
 
     def learn(self, units: np.ndarray, first: np.ndarray, rate: float, rng: np.random.Generator) -> None:
         """One step over texts (units, ``first`` their bounds)."""
-        model, class_p, width = self.model, self.class_p, self.model.width
+        model, width = self.model, self.model.width
         h = contexts(model, units, first)
+        # sorted by place, tokens of a class are neighbours, and so are those of a unit
         place = model.order[units]
-        own = place // width
-        # against noise: the logit of data is the model's minus log(NOISE * noise probability)
-        noise = np.searchsorted(np.cumsum(class_p), rng.random(NOISE) * class_p.sum()).clip(max=len(class_p) - 1)
-        back, rows, grads = _contrast(h, own, noise, model.class_out, model.class_bias, np.log(NOISE * class_p))
-        self.step("class_out", rows, grads[0], rate)
-        self.step("class_bias", rows, grads[1], rate)
-        # within classes the noise comes from the token's own class
-        drawn = np.searchsorted(self.inner_noise, own[:, None] + rng.random((len(own), NOISE // 4)), "right").clip(own[:, None] * width, own[:, None] * width + width - 1)
-        cells = np.concatenate([place[:, None], drawn], axis=1)
-        out = model.unit_out[cells]
-        s = np.einsum("nd,nkd->nk", h, out) + model.unit_bias[cells] - np.log(NOISE // 4 * np.maximum(self.inner_p[cells], 1e-12))
-        err = -1 / (1 + np.exp(-np.clip(s, -30, 30)))
-        err[:, 0] += 1
-        err = err.astype(np.float32)
-        back += np.einsum("nk,nkd->nd", err, out)
-        self.step("unit_out", cells.ravel(), (err[:, :, None] * h[:, None, :]).reshape(-1, SIZE), rate)
-        self.step("unit_bias", cells.ravel(), err.ravel(), rate)
-        _descend(model, self.step, units, first, back, rate)
+        by = np.argsort(place, kind="stable")
+        place, h = place[by], h[by]
+        starts = np.flatnonzero(np.diff(place, prepend=-1))
+        rows, classes = place[starts], place // width
+        # classes against noise: the logit of data is the model's minus log(NOISE * noise probability)
+        noise = np.searchsorted(np.cumsum(self.class_p), rng.random(NOISE) * self.class_p.sum()).clip(max=CLASSES - 1)
+        log_noise = np.log(NOISE * self.class_p)
+        out, bias = model.class_out, model.class_bias - log_noise.astype(np.float32)
+        back = out[classes]
+        good = _pull(np.einsum("nd,nd->n", h, back) + bias[classes])
+        bad = _push(h @ out[noise].T + bias[noise])
+        back *= good[:, None]
+        back += bad @ out[noise]
+        pulled = good[:, None] * h
+        edges = np.searchsorted(classes, np.arange(CLASSES + 1))
+        full = np.flatnonzero(np.diff(edges))
+        grads, biases = np.zeros_like(out), np.zeros(CLASSES, np.float32)
+        grads[full], biases[full] = np.add.reduceat(pulled, edges[full], axis=0), np.add.reduceat(good, edges[full])
+        np.add.at(grads, noise, bad.T @ h)
+        np.add.at(biases, noise, bad.sum(axis=0))
+        self.step("class_out", None, grads, rate)
+        self.step("class_bias", None, biases, rate)
+        # units within their class, whose noise all its tokens of a step share
+        drawn = np.searchsorted(self.inner_noise, full[:, None] + rng.random((len(full), NOISE)), "right").clip(full[:, None] * width, full[:, None] * width + width - 1)
+        out, bias = model.unit_out, model.unit_bias
+        log_noise = np.log(NOISE * np.maximum(self.inner_p, 1e-12)).astype(np.float32)
+        theirs = out[place]
+        good = _pull(np.einsum("nd,nd->n", h, theirs) + (bias - log_noise)[place])
+        theirs *= good[:, None]
+        back += theirs
+        grads, biases = [np.add.reduceat(np.multiply(h, good[:, None], out=pulled), starts, axis=0)], [np.add.reduceat(good, starts)]
+        for c, at in zip(full.tolist(), drawn, strict=True):
+            own, theirs = h[edges[c] : edges[c + 1]], out[at]
+            bad = _push(own @ theirs.T + (bias[at] - log_noise[at]))
+            back[edges[c] : edges[c + 1]] += bad @ theirs
+            grads.append(bad.T @ own)
+            biases.append(bad.sum(axis=0))
+        each, grads, biases = np.concatenate([rows, drawn.ravel()]), np.concatenate(grads), np.concatenate(biases)
+        mixed = np.argsort(each, kind="stable")
+        edge = np.flatnonzero(np.diff(each[mixed], prepend=-1))
+        self.step("unit_out", each[mixed][edge], np.add.reduceat(grads[mixed], edge, axis=0), rate)
+        self.step("unit_bias", each[mixed][edge], np.add.reduceat(biases[mixed], edge), rate)
+        turned = pulled  # its room is free by now
+        turned[by] = back
+        vectors, places = _descend(model, units, first, turned)
+        self.step("vectors", units[by][starts], np.add.reduceat(vectors[by], starts, axis=0), rate)
+        self.step("places", None, places, rate)
 
     def packed(self) -> np.ndarray:
         return np.concatenate([v.ravel() for k in _LEARNT for v in (getattr(self.model, k), self.past[k])])
@@ -199,14 +240,12 @@ def unit_counts(head: list[tuple[str, int]], tails: np.ndarray, end: int) -> np.
     return np.concatenate([[max(end, 1)], [c for _, c in head], tails + 0.5]).astype(float)
 
 
-def begin(head: list[tuple[str, int]], tails: np.ndarray, end: int, texts: list[np.ndarray], seen: np.ndarray | None = None, seed: int = 11) -> Fit:
-    """A fit to sample texts (arrays of units), from counts of head words, tail units and ends; ``seen``: the units' company, else that in the sample."""
+def begin(head: list[tuple[str, int]], tails: np.ndarray, end: int, seen: np.ndarray, seed: int = 11) -> Fit:
+    """A fit to no texts yet, from counts of head words, tail units and ends, and the units' company."""
     rng = np.random.default_rng(seed)
     counts = unit_counts(head, tails, end)
     n = len(counts)
     width = -(-n // CLASSES)
-    if seen is None:
-        seen = company(texts, counts)
     # classes of neighbours by frequency would make the classes useless; units of one class share their usual neighbours' language
     order = np.empty(n, np.int64)
     order[_grouped(seen, counts)] = np.arange(n)
@@ -225,20 +264,22 @@ def begin(head: list[tuple[str, int]], tails: np.ndarray, end: int, texts: list[
     model = Model({w: k + 1 for k, (w, _) in enumerate(head)}, order, rng.normal(0, 0.1, (n, SIZE)).astype(np.float32), np.ones((CONTEXT + 1, SIZE), np.float32), np.zeros((CLASSES, SIZE), np.float32), np.log(class_p).astype(np.float32), np.zeros((slots, SIZE), np.float32), unit_bias, alive)
     inner_noise = np.minimum(np.cumsum(inner_p, axis=1), 1.0)
     inner_noise[:, -1] = 1.0
-    fit = Fit(model, {k: np.full_like(getattr(model, k), 1e-6) for k in _LEARNT}, class_p, inner_p.ravel(), (inner_noise + np.arange(CLASSES)[:, None]).ravel())
-    if not texts:
-        return fit
-    batches = np.array_split(rng.permutation(len(texts)), max(1, sum(map(len, texts)) // STEP_TOKENS))
-    for epoch in range(EPOCHS):
-        for batch in batches:
-            first = np.concatenate([[0], np.cumsum([len(texts[k]) for k in batch])])
-            fit.learn(np.concatenate([texts[k] for k in batch]), first, 0.1 / (1 + epoch), rng)
-    return fit
+    return Fit(model, {k: np.full_like(getattr(model, k), 1e-6) for k in _LEARNT}, class_p, inner_p.ravel(), (inner_noise + np.arange(CLASSES)[:, None]).ravel())
+
+
+def rate(turn: int) -> float:
+    return RATE / (1 + turn) ** 0.5
 
 
 def train(head: list[tuple[str, int]], tails: np.ndarray, end: int, texts: list[np.ndarray], seed: int = 11) -> Model:
-    """From counts of head words, tail units and ends, and texts as arrays of units."""
-    return begin(head, tails, end, texts, seed=seed).model
+    """From counts of head words, tail units and ends, and texts as arrays of units, all in one place."""
+    fit, rng = begin(head, tails, end, company(texts, unit_counts(head, tails, end)), seed), np.random.default_rng(seed)
+    for turn in range(TURNS):
+        part = texts[turn::TURNS]
+        if part:
+            for units, first in pieces(np.concatenate(part), np.concatenate([[0], np.cumsum([len(t) for t in part])])):
+                fit.learn(units, first, rate(turn), rng)
+    return fit.model
 
 
 def company(texts: Iterator[np.ndarray] | list[np.ndarray], counts: np.ndarray) -> np.ndarray:
@@ -246,12 +287,12 @@ def company(texts: Iterator[np.ndarray] | list[np.ndarray], counts: np.ndarray)
     most = np.argsort(-counts, kind="stable")[:COMPANY]
     column = np.full(len(counts), -1)
     column[most] = np.arange(len(most))
-    seen = np.zeros((len(counts), len(most)))
+    seen = np.zeros((len(counts), len(most)), np.float32)
     for t in texts:
         c = column[t]
         profile = np.bincount(c[c >= 0], minlength=len(most))
         units, times = np.unique(t, return_counts=True)
-        seen[units] += times[:, None] * (profile / max(1.0, profile.sum()))
+        seen[units] += times[:, None].astype(np.float32) * (profile / max(1.0, profile.sum())).astype(np.float32)
     return seen
 
 
@@ -310,33 +351,39 @@ def summed(tables: DataFrame) -> tuple[float, np.ndarray]:
     return (got[0]["weight"], np.concatenate([np.frombuffer(r["v"], np.float32) for r in got])) if got else (0.0, np.zeros(0, np.float32))
 
 
-def _contrast(h, own, noise, out, bias, log_noise):
-    """Noise-contrastive gradients of the class softmax, the noise shared by a batch: of the vectors, and of rows of the table."""
-    s = np.einsum("nd,nd->n", h, out[own]) + bias[own] - log_noise[own]
-    good = (1 - 1 / (1 + np.exp(-np.clip(s, -30, 30)))).astype(np.float32)
-    t = h @ out[noise].T + bias[noise] - log_noise[noise]
-    bad = (-1 / (1 + np.exp(-np.clip(t, -30, 30)))).astype(np.float32)
-    back = good[:, None] * out[own] + bad @ out[noise]
-    rows = np.concatenate([own, noise])
-    return back, rows, (np.concatenate([good[:, None] * h, bad.T @ h]), np.concatenate([good, bad.sum(axis=0)]))
+def _pull(logits: np.ndarray) -> np.ndarray:
+    """By how much data's logits are to rise (in place)."""
+    np.clip(logits, -30, 30, out=logits)
+    np.exp(logits, out=logits)
+    logits += 1
+    return np.divide(1, logits, out=logits)
+
 
+def _push(logits: np.ndarray) -> np.ndarray:
+    """By how much noise's logits are to rise, all below 0 (in place)."""
+    np.clip(logits, -30, 30, out=logits)
+    np.exp(np.negative(logits, out=logits), out=logits)
+    logits += 1
+    return np.divide(-1, logits, out=logits)
 
-def _descend(model: Model, step, units: np.ndarray, first: np.ndarray, back: np.ndarray, rate: float) -> None:
-    """From the predicted vectors' gradients to those of the context vectors and place weights."""
+
+def _descend(model: Model, units: np.ndarray, first: np.ndarray, back: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """From the predicted vectors' gradients to those of each token's context vector and of the place weights."""
     n, at = len(units), np.arange(len(units))
     end = np.repeat(first[1:], np.diff(first))
     vectors, grads, weights = model.vectors[units], np.zeros((n, SIZE), np.float32), np.zeros_like(model.places)
     for k in range(CONTEXT):
-        ok = np.flatnonzero(at + k + 1 < end)
-        grads[ok] += back[ok + k + 1] * model.places[k]
-        weights[k] = (back[ok + k + 1] * vectors[ok]).sum(axis=0)
+        m = max(0, n - k - 1)
+        later = back[k + 1 :] * (at[:m] + k + 1 < end[:m])[:, None]
+        weights[k] = np.einsum("nd,nd->d", later, vectors[:m])
+        grads[:m] += np.multiply(later, model.places[k], out=later)
     # a token is in the windows of those CONTEXT + 1 to CONTEXT + WINDOW places on
     sums = np.zeros((n + 1, SIZE), np.float32)
     np.cumsum(back, axis=0, out=sums[1:])
     windows = (sums[np.minimum(at + CONTEXT + WINDOW + 1, end)] - sums[np.minimum(at + CONTEXT + 1, end)]) / WINDOW
-    weights[CONTEXT] = (windows * vectors).sum(axis=0)
-    step("vectors", units, grads + windows * model.places[CONTEXT], rate)
-    step("places", None, weights / 100, rate)
+    weights[CONTEXT] = np.einsum("nd,nd->d", windows, vectors)
+    grads += np.multiply(windows, model.places[CONTEXT], out=windows)
+    return grads, weights / 100
 
 
 def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -347,8 +394,8 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([got.field("values"), got.field("counts").cast(pa.int64())], names=["word", "c"])
 
 
-def fitted(encoded: DataFrame, head: list[tuple[str, int]], tails: np.ndarray, end: int, texts: list[np.ndarray], seed: int = 11) -> Fit:
-    """A fit to all texts of ``encoded`` (doc_id, units), started by ``texts``."""
+def fitted(encoded: DataFrame, head: list[tuple[str, int]], tails: np.ndarray, end: int, seed: int = 11) -> Fit:
+    """A fit to all texts of ``encoded`` (doc_id, units)."""
     counts = unit_counts(head, tails, end)
 
     def _company(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -358,16 +405,17 @@ def fitted(encoded: DataFrame, head: list[tuple[str, int]], tails: np.ndarray, e
             yield _blocks(1.0, seen.ravel())
 
     _, seen = summed(encoded.select("units").mapInArrow(_company, _SUMS))
-    fit = begin(head, tails, end, texts, seen.astype(float).reshape(len(counts), -1) if len(seen) else None, seed)
+    fit = begin(head, tails, end, seen.astype(float).reshape(len(counts), -1) if len(seen) else np.zeros((len(counts), 1)), seed)
     for turn in range(TURNS):
         shared = encoded.sparkSession.sparkContext.broadcast(fit)  # HEAD + TAILS vectors and outputs, and their past gradients
 
         def _learn(batches: Iterator[pa.RecordBatch], turn: int = turn, shared=shared) -> Iterator[pa.RecordBatch]:
+            one_thread()
             own, n = deepcopy(shared.value), 0
             rng = np.random.default_rng([seed, turn, TaskContext.get().partitionId()])
             for batch in batches:
                 for units, first in pieces(*_lists(batch)):
-                    own.learn(units, first, TURN_RATE / (1 + turn), rng)
+                    own.learn(units, first, rate(turn), rng)
                     n += len(units)
             if n:
                 yield _blocks(float(n), own.packed() * n)
@@ -379,6 +427,18 @@ def fitted(encoded: DataFrame, head: list[tuple[str, int]], tails: np.ndarray, e
     return fit
 
 
+def frequent_words(counts: DataFrame) -> dict[str, int]:
+    """Words (word, c) and their counts from some count on, COUNTED at most: a short histogram says from which, and only they are gathered."""
+    step = F.floor(F.log2(F.col("c").cast("double")) * OCTAVE).cast("int")
+    n, least = 0, None
+    for r in sorted(counts.groupBy(step.alias("step")).agg(F.count(F.lit(1)).alias("n")).collect(), key=lambda r: -r["step"]):  # OCTAVE * 64 rows at most
+        n += r["n"]
+        if n > COUNTED:
+            break
+        least = r["step"]
+    return {r["word"]: r["c"] for r in counts.where(step >= least).collect()} if least is not None else {}
+
+
 def lm_scores(docs: DataFrame, modulus: int = 5, held: int = 1) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, one row for each row.
 
@@ -394,17 +454,16 @@ def lm_scores(docs: DataFrame, modulus: int = 5, held: int = 1) -> DataFrame:
     ends = learnt.count()
     whole = counts.agg(F.sum("c"), F.count(F.lit(1))).collect()[0]
     total, distinct = (whole[0] or 0) + ends, whole[1] + (ends > 0)
-    counted = {r["word"]: r["c"] for r in counts.orderBy(F.desc("c"), "word").limit(COUNTED).collect()}
-    head = list(counted.items())[:HEAD]
-    known = {w for w, _ in head}
+    counted = frequent_words(counts)
+    head = sorted(counted.items(), key=lambda w: (-w[1], w[0]))[:HEAD]
+    heads, listed = pa.array([w for w, _ in head], pa.string()), (pa.array(list(counted), pa.string()), np.array([*counted.values(), -1], np.int64))
 
     def _tails(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Tokens and words of each tail unit, summed over a task."""
         sums = np.zeros((2, TAILS), np.int64)
         for batch in batches:
-            words, c = batch.column(0).to_pylist(), batch.column(1).to_numpy()
-            tail = np.fromiter((w not in known for w in words), bool, len(words))
-            units = tail_units(words)[tail]
+            tail, c = places(batch.column(0), heads) < 0, batch.column(1).to_numpy()
+            units = tail_units(batch.column(0))[tail]
             sums[0] += np.bincount(units, c[tail], TAILS).astype(np.int64)
             sums[1] += np.bincount(units, minlength=TAILS)
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(TAILS)), pa.array(sums[0]), pa.array(sums[1])], names=["unit", "n", "v"])
@@ -412,82 +471,67 @@ def lm_scores(docs: DataFrame, modulus: int = 5, held: int = 1) -> DataFrame:
     tails = np.zeros((2, TAILS), np.int64)
     for unit, n, v in counts.mapInArrow(_tails, "unit long, n long, v long").groupBy("unit").agg(F.sum("n"), F.sum("v")).collect():  # TAILS rows
         tails[:, unit] = n, v
-    units_of = {w: k + 1 for k, (w, _) in enumerate(head)}
-
-    def _encode(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[str], np.ndarray]:
-        """Units with ends, their bounds; codes, the distinct words, and which token each unit is (an end: -1)."""
-        words, first = tokens(column)
-        coded = words.dictionary_encode()
-        names = coded.dictionary.to_pylist()
-        codes = np.asarray(coded.indices).astype(np.int64)
-        unit = np.fromiter((units_of.get(w, -1) for w in names), np.int64, len(names))
-        tail = np.flatnonzero(unit < 0)
-        if len(tail):
-            unit[tail] = len(units_of) + 1 + tail_units([names[k] for k in tail])
-        bounds = first + np.arange(len(first))
-        units, code = np.zeros(bounds[-1], np.int64), np.full(bounds[-1], -1, np.int64)
-        to = ragged(bounds[:-1], np.diff(first))
-        units[to], code[to] = unit[codes], codes
-        return units, bounds, code, names, unit
-
-    def _units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in sliced(batches, "text"):
-            units, bounds, *_ = _encode(batch.column(1))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(units.astype(np.int32)))], names=["doc_id", "units"])
-
-    encoded = cut(learnt.select("doc_id", "text").mapInArrow(_units, "doc_id long, units array<int>"))
-    chosen = learnt.select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE)
-    # a window of a long text, wherever it falls
-    start = F.pmod(F.xxhash64("doc_id", F.size("units")), F.greatest(F.size("units") - SAMPLE_WINDOW, F.lit(0)) + 1).cast("int") + 1
-    rows = encoded.join(F.broadcast(cut(chosen).distinct()), "doc_id", "left_semi").select(F.slice("units", start, F.lit(SAMPLE_WINDOW)).alias("units"))
-    texts, n = [], 0
-    for (units,) in rows.orderBy(F.xxhash64("units")).limit(SAMPLE).toLocalIterator():
-        if n < SAMPLE_TOKENS:
-            texts.append(np.array(units[: SAMPLE_TOKENS - n], np.int64))
-            n += len(texts[-1])
-    model = fitted(encoded, head, tails[0], ends, texts).model
     spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast(model)  # HEAD + TAILS vectors
-    frequent = spark.sparkContext.broadcast(counted)  # COUNTED words
+    frequent = spark.sparkContext.broadcast(listed)  # COUNTED words and their counts
     all_log, end_log = np.log10(total + 0.5 * (distinct + 1)), np.log10(ends + 0.5)
-    # a tail word's share of its unit; head words and the end are units of their own
-    unit_log = np.concatenate([np.zeros(1 + len(head)), np.log10(tails[0] + 0.5 * (tails[1] + 1))])
 
-    def _score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """A row for each text, with all that needs no join; then a row for each of its words whose count isn't here."""
+    def _encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """A row for each text, its units and all that needs no join; then a row for each of its words whose count isn't here."""
         row = TaskContext.get().partitionId() << 40
-        for batch in sliced(batches, "text"):
-            units, bounds, code, names, unit = _encode(batch.column(2))
-            n, m = len(bounds) - 1, len(names)
-            of, words = np.repeat(np.arange(n), np.diff(bounds)), code >= 0
-            sums = np.bincount(of, log10_units(shared.value, units, bounds) - unit_log[units], n)
-            c = np.fromiter((frequent.value.get(w, -1) for w in names), np.int64, m)
+        for batch in sliced(batches, "text", 4 << 20):
+            words, first = tokens(batch.column(2))
+            coded = words.dictionary_encode()
+            names, codes = coded.dictionary, np.asarray(coded.indices).astype(np.int64)
+            unit = places(names, heads)
+            unit = np.where(unit >= 0, unit + 1, len(heads) + 1 + tail_units(names))
+            bounds, n, m = first + np.arange(len(first)), len(first) - 1, len(names)
+            units, code = np.zeros(bounds[-1], np.int64), np.full(bounds[-1], -1, np.int64)
+            to = ragged(bounds[:-1], np.diff(first))
+            units[to], code[to] = unit[codes], codes
+            of = np.repeat(np.arange(n), np.diff(bounds))
+            c = frequent.value[1][places(names, frequent.value[0])]
             here = np.append(c >= 0, True)[code]
             log = np.append(np.log10(np.maximum(c, 0) + 0.5), end_log)[code] * here
             logs = np.bincount(of, log, n)
             # the logs of the counts count for tail words alone in the score, as head words are whole units
-            tail = units > len(head)
-            tail_logs = np.bincount(of, log * tail, n)
+            tail_logs = np.bincount(of, log * (units > len(heads)), n)
             n_known = np.bincount(of, np.append(c > 0, ends > 0)[code], n).astype(np.int64)
             pairs, tf = np.unique(of[~here] * max(1, m) + code[~here], return_counts=True)
             doc, word = pairs // max(1, m), pairs % max(1, m)
             rows = row + np.arange(n)
             row += n
             size = np.diff(bounds)
-            yield pa.RecordBatch.from_arrays([pa.array(rows), batch.column(0), batch.column(1), pa.array(size), pa.array(n_known), pa.array(logs - size * all_log), pa.array(sums + tail_logs), pa.nulls(n, pa.string()), pa.nulls(n, pa.int64())], names=_NAMES)
+            lists = pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(units.astype(np.int32)))
+            yield pa.RecordBatch.from_arrays([pa.array(rows), batch.column(0), batch.column(1), pa.array(size), pa.array(n_known), pa.array(logs - size * all_log), pa.array(tail_logs), lists, pa.nulls(n, pa.string()), pa.nulls(n, pa.int64())], names=_NAMES)
             k = len(doc)
-            yield pa.RecordBatch.from_arrays([pa.array(rows[doc]), *(pa.nulls(k, t) for t in (pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64())), pa.array(names, pa.string()).take(pa.array(word)), pa.array(tf, pa.int64())], names=_NAMES)
+            yield pa.RecordBatch.from_arrays([pa.array(rows[doc]), *(pa.nulls(k, t) for t in (pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.list_(pa.int32()))), names.take(pa.array(word)), pa.array(tf, pa.int64())], names=_NAMES)
 
-    scored = cut(docs.select("doc_id", "held_out", "text").mapInArrow(_score, "row long, doc_id long, held_out boolean, n_tokens long, n_known long, base double, score double, word string, tf long"))
-    rare = scored.where("word is not null").select("row", "word", "tf").join(counts, "word", "left")
+    encoded = cut(docs.select("doc_id", "held_out", "text").mapInArrow(_encode, "row long, doc_id long, held_out boolean, n_tokens long, n_known long, base double, tail double, units array<int>, word string, tf long"))
+    whole = encoded.where("word is null")
+    model = fitted(whole.where("not held_out").select("doc_id", "units"), head, tails[0], ends).model
+    shared = spark.sparkContext.broadcast(model)  # HEAD + TAILS vectors
+    # a tail word's share of its unit; head words and the end are units of their own
+    unit_log = np.concatenate([np.zeros(1 + len(head)), np.log10(tails[0] + 0.5 * (tails[1] + 1))])
+
+    def _score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        one_thread()
+        for batch in batches:
+            for at in range(0, batch.num_rows, 1000):
+                part = batch.slice(at, 1000)
+                units, bounds = _lists(part.select(["units"]))
+                each = np.add.reduceat(log10_units(shared.value, units, bounds) - unit_log[units], bounds[:-1])  # a text has its end at least
+                yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(each)], names=[*_NAMES[:7], "score"])
+
+    scored = whole.select(*_NAMES[:7], "units").mapInArrow(_score, "row long, doc_id long, held_out boolean, n_tokens long, n_known long, base double, tail double, score double")
+    rare = encoded.where("word is not null").select("row", "word", "tf").join(counts, "word", "left")
     rare = rare.groupBy("row").agg(F.sum(F.col("tf") * F.log10(F.coalesce("c", F.lit(0)) + 0.5)).alias("more"), F.sum(F.when(F.col("c") > 0, F.col("tf")).otherwise(0)).alias("found"))
-    both = scored.where("word is null").join(rare, "row", "left")
+    both = scored.join(rare, "row", "left")
     more, found = F.coalesce("more", F.lit(0.0)), F.coalesce("found", F.lit(0))
-    return both.select("doc_id", "held_out", "n_tokens", (F.col("n_known") + found).alias("n_known"), F.lit(total).cast("long").alias("train_tokens"), (F.col("base") + more).alias("base_score"), (F.col("score") + more).alias("score"))
+    return both.select("doc_id", "held_out", "n_tokens", (F.col("n_known") + found).alias("n_known"), F.lit(total).cast("long").alias("train_tokens"), (F.col("base") + more).alias("base_score"), (F.col("score") + F.col("tail") + more).alias("score"))
 
 
 def op3_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm_scores(table(spark, sf_dir, "documents"))
 
 
-_NAMES = ["row", "doc_id", "held_out", "n_tokens", "n_known", "base", "score", "word", "tf"]
+_NAMES = ["row", "doc_id", "held_out", "n_tokens", "n_known", "base", "tail", "units", "word", "tf"]

@@ -1,26 +1,65 @@
-"""The language model learns from all training texts, beyond its first sample, and from all of a long one."""
+"""The language model learns from all training texts, from all of a long one, and scores as a slow twin does."""
 
 from __future__ import annotations
 
+import collections
+import re
+import zlib
+
 import numpy as np
 from pyspark.sql import functions as F
 
 from glimmer.llm import lm
 
 
-def test_learns_beyond_the_sample(spark, monkeypatch):
-    """Two words follow each other in texts that the sample lacks."""
+def test_learns_from_texts(spark, monkeypatch):
+    """Two words follow each other in texts."""
     rng = np.random.default_rng(5)
     words = np.array([f"w{k}" for k in range(40)], object)
     rows = [(k, " ".join(words[rng.integers(40, size=60)]) if k % 2 else " ".join(np.repeat(words[rng.permutation(20)], 2) + np.array(["", "x"] * 20, object))) for k in range(1200)]
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
-    monkeypatch.setattr(lm, "SAMPLE", 20)
     gain = lambda: lm.lm_scores(docs).where("held_out and doc_id % 2 = 0").agg(F.sum("score") / F.sum("n_tokens")).collect()[0][0]
     whole = gain()
     monkeypatch.setattr(lm, "TURNS", 0)
     assert whole > gain() + 0.1
 
 
+def test_scores_equal_a_slow_twin(spark, monkeypatch):
+    rng, kept = np.random.default_rng(2), []
+    monkeypatch.setattr(lm, "HEAD", 30)
+    monkeypatch.setattr(lm, "COUNTED", 50)
+    real = lm.fitted
+    monkeypatch.setattr(lm, "fitted", lambda *a: kept.append(real(*a)) or kept[-1])
+    names = np.array([f"{c}{k}" for k in range(120) for c in "abc"], object)
+    texts = {k: " ".join(names[(rng.pareto(1.0, size=rng.integers(0, 90)) * 8).astype(int) % len(names)]) for k in range(150)}
+    got = {r["doc_id"]: r for r in lm.lm_scores(spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(3)).collect()}
+    model = kept[0].model
+    tokens = {k: re.findall("[^\x20\x09-\x0d]+", t) for k, t in texts.items()}
+    counts = collections.Counter(w for k, ws in tokens.items() if zlib.crc32(str(k).encode()) % 5 != 1 for w in ws)
+    tail = {w: int(lm.tail_units([w])[0]) for w in names if w not in model.units}
+    mass, kinds = np.zeros(lm.TAILS), np.zeros(lm.TAILS)
+    for w, c in counts.items():
+        if w in tail:
+            mass[tail[w]] += c
+            kinds[tail[w]] += 1
+    for k, ws in tokens.items():
+        units = [model.units.get(w, 1 + len(model.units) + tail.get(w, 0)) for w in ws] + [0]
+        total = 0.0
+        for t, unit in enumerate(units):
+            h = np.zeros(lm.SIZE)
+            for back in range(1, min(t, lm.CONTEXT + lm.WINDOW) + 1):
+                far = back > lm.CONTEXT
+                h += model.vectors[units[t - back]] * model.places[lm.CONTEXT if far else back - 1] / (lm.WINDOW if far else 1)
+            own, inside = divmod(int(model.order[unit]), model.width)
+            at = slice(own * model.width, (own + 1) * model.width)
+            for x, chosen in ((model.class_out @ h + model.class_bias, own), (model.unit_out[at] @ h + model.unit_bias[at], inside)):
+                total += (x[chosen] - x.max() - np.log(np.exp(x - x.max()).sum())) / np.log(10)
+            if t < len(ws) and ws[t] in tail:
+                n = tail[ws[t]]
+                total += np.log10((counts[ws[t]] + 0.5) / (mass[n] + 0.5 * (kinds[n] + 1)))
+        assert np.isclose(got[k]["score"], total, rtol=1e-4, atol=1e-3), k
+
+
 def test_steps_hold_every_token():
     units, first = np.arange(20_000), np.array([0, 10, 15_000, 15_001, 20_000])
     got = list(lm.pieces(units, first))
