@@ -65,6 +65,22 @@ def without(df: DataFrame, *keep: str) -> DataFrame:
     return df.select(*[F.col(f"`{c}`") for c in keep])
 
 
+#: Keys that ``join_many`` joins by broadcast, at most.
+HOT = 1024
+
+
+def join_many(rows: DataFrame, by_key: DataFrame, key: str, count: str, total: int) -> DataFrame:
+    """``rows`` joined with a table of distinct keys that says in ``count`` how many of the ``total`` rows have each.
+
+    Keys that have more than the HOT-th part of all rows, fewer than HOT therefore, are broadcast, so no task gets a large
+    key's rows; the others are shuffled. Keys must not be null.
+    """
+    hot = F.broadcast(by_key.where(F.col(count) * HOT > total))
+    cold = by_key.where(F.col(count) * HOT <= total)
+    rest = rows.join(hot.select(key), key, "left_anti").join(cold, key)
+    return rows.join(hot, key).unionByName(rest)
+
+
 def free_name(df: DataFrame, name: str) -> str:
     """``name``, or with underscores before it where the table has a column of that name."""
     while name.lower() in [c.lower() for c in df.columns]:
