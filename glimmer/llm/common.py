@@ -185,11 +185,11 @@ def lowered(data: np.ndarray) -> np.ndarray:
     return _LOWER[data]
 
 
-def words(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Starts and ends of the words ``[^\\x20\\x09-\\x0D]+``, and for each text (and the end) the number of its first word."""
+def words(data: np.ndarray, offs: np.ndarray, white: np.ndarray = _WHITE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts and ends of the words ``[^\\x20\\x09-\\x0D]+`` (or runs of bytes that ``white`` doesn't mark), and for each text (and the end) the number of its first word."""
     if not len(data):
         return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(len(offs), np.int64)
-    white = _WHITE[data]
+    white = white[data]
     before = np.empty(len(data), bool)
     before[0], before[1:] = True, white[:-1]
     before[offs[:-1][offs[:-1] < len(data)]] = True
