@@ -219,16 +219,19 @@ def near_words(words: DataFrame, least: int = 1, part: int = PART, window: int =
     members = _windows(words, [w for s in (size, size - 1) for w in ((s, F.lit(0), F.floor(s / 2)), (s, F.floor(s / 2), s))]).where(F.col("s") >= least)
     ready, found = [], []
     while True:
-        sizes = members.groupBy(*_AT).agg(F.count(F.lit(1)).alias("words"))
-        large = cut(sizes.where(((F.col("words") * (F.col("high") - F.col("low") + 1) > part) | (F.col("high") - F.col("low") > window)) & (F.col("words") > 1) & (F.col("high") - F.col("low") > 1)).select(*_AT))
+        inside = F.xxhash64(F.substring("word", F.col("low") + 1, F.col("high") - F.col("low")))
+        # where all words agree on the window, and don't end in it, none first differ there
+        live = (F.min(inside) != F.max(inside)) | (F.max("high") == F.max("s"))
+        sizes = members.groupBy(*_AT).agg(F.count(F.lit(1)).alias("words"), live.alias("live"))
+        large = cut(sizes.where(((F.col("words") * (F.col("high") - F.col("low") + 1) > part) | (F.col("high") - F.col("low") > window)) & (F.col("words") > 1) & (F.col("high") - F.col("low") > 1)).select(*_AT, "live"))
         if large.isEmpty():
             dropped(large)
             ready.append(members)
             break
         ready.append(members.join(large, list(_AT), "left_anti"))
         middle = F.floor((F.col("low") + F.col("high")) / 2)
-        again = members.join(large, list(_AT), "left_semi")
-        members = cut(_windows_of(again, [(F.col("low"), middle), (middle, F.col("high"))]))
+        again = members.join(large.where("live"), list(_AT), "left_semi")
+        members = cut(_windows(again, [(F.col("s"), F.col("low"), middle), (F.col("s"), middle, F.col("high"))]))
     for rows in ready:
         dealt = rows.repartition(*_AT).sortWithinPartitions(*_AT)
         found.append(dealt.mapInArrow(_of_parts, "word string, near long, best_n long, best string"))
@@ -238,13 +241,6 @@ def near_words(words: DataFrame, least: int = 1, part: int = PART, window: int =
     return every.groupBy("word").agg(F.max("n").alias("n"), F.sum("near").alias("near"), foremost).select("word", "n", "near", (-F.col("f.less")).alias("best_n"), "f.best")
 
 
-def _windows_of(members: DataFrame, halves: list[tuple]) -> DataFrame:
-    each = F.explode(F.array(*[F.struct(a.cast("int").alias("a"), b.cast("int").alias("b")) for a, b in halves])).alias("at")
-    placed = members.select("s", "word", "n", each).select("s", F.col("at.a").alias("low"), F.col("at.b").alias("high"), "word", "n")
-    key = F.xxhash64(F.left("word", F.col("low")), F.right("word", F.col("s") - F.col("high")))
-    return placed.select("s", "low", "high", key.alias("key"), "word", "n")
-
-
 def roots(forms: DataFrame) -> DataFrame | None:
     """word and root of (word, form) without cycles; None where there are none.
 
