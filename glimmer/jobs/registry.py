@@ -154,6 +154,14 @@ def longest_even_run(spark: SparkSession, sf_dir: str) -> DataFrame:
     return events.longest_even_run(views.trajectories(spark, sf_dir)).select(*long("trajectory", "longest"))
 
 
+@query(f"""WITH {TRAJ}, marked AS (SELECT *, CASE WHEN lag(fit) OVER w IS NOT DISTINCT FROM fit THEN 0 ELSE 1 END AS changed FROM traj WINDOW w AS (ORDER BY trajectory, slice)),
+numbered AS (SELECT sum(changed) OVER (ORDER BY trajectory, slice) AS run_id FROM marked)
+SELECT CAST(greatest(1, coalesce(max(n), 1)) AS BIGINT) AS longest FROM (SELECT run_id, count(*) AS n FROM numbered GROUP BY 1 HAVING run_id % 2 = 0)""")
+def longest_even_run_legacy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Runs over all rows, as if the table were one trajectory."""
+    return events.longest_even_run(views.trajectories(spark, sf_dir), legacy=True).select(*long("longest"))
+
+
 @query(f"WITH {RUNS} {ROWS} FROM traj WHERE trajectory NOT IN (SELECT trajectory FROM runs WHERE state = 1 AND len > 6)")
 def filter_long_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows(events.filter_long_runs(views.trajectories(spark, sf_dir), 6))
@@ -461,7 +469,7 @@ SELECT CAST(image_id AS BIGINT) AS image_id, peak_id AS trajectory, CAST(t AS BI
 
 def integrate(spark: SparkSession, sf_dir: str, dx: int, dy: int, legacy: bool = False) -> DataFrame:
     place = lambda c: (F.col(c).cast("long") % 32).cast("double").alias(c)
-    peaks = channel(spark, sf_dir, "0").select((F.col("peak_id") % 3).cast("int").alias("image_id"), "peak_id", place("x"), place("y"))
+    peaks = channel(spark, sf_dir, "0").select((F.col("peak_id") % 3).cast("int").alias("image_id"), F.col("peak_id").alias("trajectory"), place("x"), place("y"))
     out = frames.roi_integrate(views.pixels(spark, sf_dir), peaks, 1, 2, dx, dy, legacy_axes=legacy).withColumnRenamed("Intensity", "intensity")
     return out.select(*long("image_id", "trajectory", "slice"), r("intensity", 5), r("bg", 5), *long("x", "y"))
 
@@ -520,10 +528,10 @@ def lse(a: str, b: str) -> str:
     return f"(greatest({a}, {b}) + ln(1 + exp(-abs(({a}) - ({b})))))"
 
 
-def hmm_sql(source: str) -> str:
-    """Recursive CTEs src, dens, fwd (forward sums and best paths), bwd (backward sums and the path) of MODEL over ``source`` (trajectory, slice, "Intensity")."""
-    (s0, s1), l = np.log(MODEL.start), np.log(MODEL.move)
-    b = [f"-0.5 * (ln(2 * pi() * {v}) + pow(x - {m}, 2) / {v})" for m, v in zip(MODEL.means, MODEL.variances, strict=True)]
+def hmm_sql(source: str, model: hmm.Hmm = MODEL) -> str:
+    """Recursive CTEs src, dens, fwd (forward sums and best paths), bwd (backward sums and the path) of a model over ``source`` (trajectory, slice, "Intensity")."""
+    (s0, s1), l = np.log(model.start), np.log(model.move)
+    b = [f"-0.5 * (ln(2 * pi() * {v}) + pow(x - {m}, 2) / {v})" for m, v in zip(model.means, model.variances, strict=True)]
     return f"""src AS (SELECT trajectory, slice AS t, "Intensity" AS x, count(*) OVER (PARTITION BY trajectory) AS n FROM {source}),
 dens AS (SELECT trajectory, t, n, x, {b[0]} AS b0, {b[1]} AS b1 FROM src),
 fwd AS (SELECT trajectory, t, n, x, b0, b1, {s0} + b0 AS f0, {s1} + b1 AS f1, {s0} + b0 AS v0, {s1} + b1 AS v1, 0 AS c0, 0 AS c1 FROM dens WHERE t = 0
@@ -582,6 +590,66 @@ def chain_kinetics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(*long("trajectory"), "state", *long("n"), r("dur"), r("mean", 4))
 
 
+#: From pixels to pulses: mean frames, spots, isolation, integration in both channels, decoding, clear trajectories, pulses.
+SPOTS = dict(roi=(4, 4, 27, 27), min_dist=3.0, min_sigma=1, max_sigma=1, num_sigma=1, threshold=1.0)
+MOVIE = hmm.Hmm(np.array([0.5, 0.5]), np.array([[0.8, 0.2], [0.2, 0.8]]), np.array([-60.0, 120.0]), np.array([6400.0, 8100.0]))
+
+
+def peaks_sql(px: str) -> str:
+    """CTEs to ``peaks`` (image_id, peak_c, peak_id, y, x) of SPOTS in the mean frames of ``px`` (image_id, t, c, y, x, value)."""
+    mirror = lambda a: f"(CASE WHEN {a} < 0 THEN -1 - ({a}) WHEN {a} > 31 THEN 63 - ({a}) ELSE {a} END)"
+    inside = " AND ".join(f"{c} > 4 AND {c} < 27" for c in ("y", "x"))
+    return f"""proj AS (SELECT image_id, c, y, x, CAST(CAST(avg(value) AS FLOAT) AS DOUBLE) AS v FROM {px} GROUP BY 1, 2, 3, 4),
+taps AS (SELECT k, exp(-0.5 * k * k) / (SELECT sum(exp(-0.5 * j * j)) FROM range(-4, 5) AS s(j)) AS w FROM range(-4, 5) AS r(k)),
+blur0 AS (SELECT p.image_id, p.c, o.y, p.x, sum(p.v * w) AS v FROM range(32) AS o(y), taps, proj AS p WHERE p.y = {mirror("o.y + k")} GROUP BY 1, 2, 3, 4),
+blur AS (SELECT p.image_id, p.c, p.y, o.x, sum(p.v * w) AS v FROM range(32) AS o(x), taps, blur0 AS p WHERE p.x = {mirror("o.x + k")} GROUP BY 1, 2, 3, 4),
+around AS (SELECT a.image_id, a.c, a.y, a.x, 4 * any_value(a.v) - sum(b.v) AS v FROM blur AS a, (VALUES (1, 0), (-1, 0), (0, 1), (0, -1)) AS d(dy, dx), blur AS b WHERE a.image_id = b.image_id AND a.c = b.c AND b.y = {mirror("a.y + dy")} AND b.x = {mirror("a.x + dx")} GROUP BY 1, 2, 3, 4),
+blobs AS (SELECT * FROM around AS a WHERE v > 1.0 AND NOT EXISTS (SELECT 1 FROM around AS b WHERE a.image_id = b.image_id AND a.c = b.c AND abs(a.y - b.y) <= 1 AND abs(a.x - b.x) <= 1 AND b.v > a.v)),
+named AS (SELECT image_id, c AS peak_c, row_number() OVER (PARTITION BY image_id, c ORDER BY y, x) - 1 AS peak_id, y, x FROM blobs),
+inner_ AS (SELECT * FROM named WHERE {inside}),
+peaks AS (SELECT * FROM inner_ AS a WHERE NOT EXISTS (SELECT 1 FROM inner_ AS b WHERE a.image_id = b.image_id AND a.peak_c = b.peak_c AND a.peak_id <> b.peak_id AND sqrt(pow(a.y - b.y, 2) + pow(a.x - b.x, 2)) < 3.0))"""
+
+
+CPX = PX.replace("SELECT l_suppkey // 50 AS image_id, l_orderkey // 1000 AS t,", "SELECT l_suppkey // 50 AS image_id, l_orderkey // 1000 AS t, l_linenumber % 2 AS c,").replace("GROUP BY 1, 2, 3, 4", "GROUP BY 1, 2, 3, 4, 5").replace("g.image_id, g.t, g.y", "g.image_id, g.t, g.c, g.y").replace("f.image_id, f.t, y.y", "f.image_id, f.t, f.c, y.y").replace("DISTINCT image_id, t FROM", "DISTINCT image_id, t, c FROM").replace("g.t = s.t AND", "g.t = s.t AND g.c = s.c AND")
+SPOT_SQL = f"""{CPX}, {peaks_sql("px")},
+spots AS (SELECT p.*, f.c, row_number() OVER (ORDER BY p.image_id, f.c, peak_c, peak_id) - 1 AS trajectory FROM peaks AS p JOIN (SELECT DISTINCT image_id, c FROM px) AS f ON p.image_id = f.image_id),
+boxes AS (SELECT trajectory, t, sum(CASE WHEN abs(px.y - s.y) <= 1 AND abs(px.x - s.x) <= 1 THEN value ELSE 0.0 END) AS own, sum(value) AS every FROM spots AS s JOIN px ON s.image_id = px.image_id AND s.c = px.c AND px.y BETWEEN s.y - 3 AND s.y + 3 AND px.x BETWEEN s.x - 3 AND s.x + 3 GROUP BY 1, 2),
+traj AS (SELECT trajectory, t AS slice, own - (every - own) / 40 * 9 AS "Intensity", (every - own) / 40 AS bg FROM boxes)"""
+
+
+def movie_spots(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """The pixels, written as both peaks and integration need them, and the spots of their mean frames."""
+    px = written(views.channel_pixels(spark, sf_dir))
+    means = frames.to_frames(frames.project(px), views.HEIGHT, views.WIDTH)
+    return px, frames.spot_table(px, frames.find_peaks(means, **SPOTS))
+
+
+@query(f"WITH {SPOT_SQL} SELECT CAST(image_id AS BIGINT) AS image_id, CAST(s.c AS BIGINT) AS c, CAST(peak_c AS BIGINT) AS peak_c, peak_id, s.trajectory, CAST(slice AS BIGINT) AS slice, round(\"Intensity\", 5) AS intensity, round(bg, 5) AS bg FROM spots AS s JOIN traj ON s.trajectory = traj.trajectory")
+def movie_trajectories(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Trajectories of all spots in both channels of each image; peak numbers start anew in every image and channel."""
+    px, spots = movie_spots(spark, sf_dir)
+    each = frames.roi_integrate(px, spots, 1, 2).withColumnRenamed("Intensity", "intensity")
+    named = each.join(spots.select("trajectory", "peak_c", "peak_id"), "trajectory")
+    return named.select(*long("image_id", "c", "peak_c", "peak_id", "trajectory", "slice"), r("intensity", 5), r("bg", 5))
+
+
+MOVIE_SQL = f"""WITH RECURSIVE {SPOT_SQL}, {hmm_sql('traj', MOVIE)}, fitted AS (SELECT trajectory, slice, "Intensity", fit, 0.0 AS seconds FROM decoded),
+""" + COHEN.removeprefix(TRAJ + ", ").replace("FROM traj", "FROM fitted") + """,
+clear AS (SELECT * FROM fitted WHERE trajectory IN (SELECT trajectory FROM cohen WHERE abs(d) > 1.5)),
+""" + PULSES.removeprefix(TRAJ + ", ").replace("FROM traj", "FROM clear") + """
+SELECT CAST(image_id AS BIGINT) AS image_id, CAST(s.c AS BIGINT) AS c, CAST(peak_c AS BIGINT) AS peak_c, peak_id, p.trajectory, state, count(*) AS n, round(avg(dur), 6) AS dur, round(avg(mean), 4) AS mean FROM pulses AS p JOIN spots AS s ON p.trajectory = s.trajectory GROUP BY ALL"""
+
+
+@query(MOVIE_SQL)
+def chain_movie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """From the pixels of all images and channels to the pulses of every spot."""
+    px, spots = movie_spots(spark, sf_dir)
+    clear = groups.filter_snr(hmm.decode(frames.roi_integrate(px, spots, 1, 2), MOVIE), 1.5, windowed=True)
+    each = events.pulses(clear).groupBy("trajectory", "state").agg(F.count(F.lit(1)).alias("n"), F.avg("dur").alias("dur"), F.avg("Intensity").alias("mean"))
+    out = each.join(spots.select("image_id", "c", "peak_c", "peak_id", "trajectory"), "trajectory")
+    return out.select(*long("image_id", "c", "peak_c", "peak_id", "trajectory"), "state", *long("n"), r("dur"), r("mean", 4))
+
+
 @query()
 def hmm_train(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The parameters after training from a first guess until it settles (1000 rounds at most), a row for each state."""

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from glimmer.operators.columns import in_order
 from glimmer.operators.groups import KEY, ORDER, STATE, VALUE
+from glimmer.operators.ordered import dealt, previous, running
 
 
 def half_change(key: str = KEY, state: str = STATE, order: str = ORDER) -> Column:
@@ -42,16 +43,15 @@ def longest_even_run(df: DataFrame, state: str = STATE, key: str = KEY, order: s
     """The longest even-numbered run of each group; ``legacy``: one number (1 at least) over all rows, as if one group.
 
     The runs of the whole table in legacy mode join those of neighbouring groups where their states are equal: last and
-    first runs are stitched over one row a group, so the rows themselves are never in one task.
+    first runs are stitched over one row a group, and these in two levels over ranges of groups: no task sees them all.
     """
     each = runs(df, key, state, state, order)
     if not legacy:
         return each.where("run_id % 2 = 0").groupBy(key).agg(F.max("len").alias("longest"))
-    every = Window.orderBy(key)
-    ends = each.groupBy(key).agg(F.max("run_id").alias("runs"), F.min_by("state", "run_id").alias("first"), F.max_by("state", "run_id").alias("last"))
-    joined = ends.withColumn("glued", F.lag("last").over(every).eqNullSafe(F.col("first")).cast("int"))
-    before = F.coalesce(F.sum("runs").over(every.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)) - F.sum("glued").over(every)
-    numbered = each.join(joined.withColumn("before", before).select(key, "before"), key)
+    ends = each.groupBy(key).agg(F.max("run_id").cast("long").alias("runs"), F.min_by("state", "run_id").alias("first"), F.max_by("state", "run_id").alias("last"))
+    joined = previous(dealt(ends, [key]), [key], "last", "_before").withColumn("glued", F.col("_before").eqNullSafe(F.col("first")).cast("long"))
+    counted = running(joined, [key], {"before": F.col("runs") - F.col("glued")})
+    numbered = each.join(counted.select(key, (F.col("before") - F.col("glued")).alias("before")), key)
     whole = numbered.groupBy((F.col("before") + F.col("run_id")).alias("number")).agg(F.sum("len").alias("len"))
     return whole.agg(F.greatest(F.lit(1), F.coalesce(F.max(F.when(F.col("number") % 2 == 0, F.col("len"))), F.lit(1))).alias("longest"))
 
@@ -82,11 +82,12 @@ def dwell_summary(dwells: DataFrame, method: str = "mean", key: str = KEY) -> Da
 def dwell_pairs_legacy(dwells: DataFrame, key: str = KEY) -> DataFrame:
     """On and off dwells side by side by their rank over the whole table, as many as the rarer kind has.
 
-    Ranks come from counts by key before each key, so only one row a key is ordered over all.
+    Ranks come from counts by key before each key, in two levels over ranges of keys, so no task orders them all.
     """
     w = Window.partitionBy("kind", key).orderBy("run_id")
     counts = dwells.groupBy("kind", key).agg(F.count(F.lit(1)).alias("n"))
-    before = counts.withColumn("before", F.coalesce(F.sum("n").over(Window.partitionBy("kind").orderBy(key).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    of = {kind: F.when(F.col("kind") == kind, F.col("n")).otherwise(0) for kind in ("on", "off")}
+    before = running(dealt(counts, ["kind", key]), ["kind", key], of).select("kind", key, F.when(F.col("kind") == "on", F.col("on")).otherwise(F.col("off")).alias("before"))
     ranked = dwells.withColumn("own", F.row_number().over(w)).join(before, ["kind", key]).withColumn("rank", F.col("before") + F.col("own"))
     on = ranked.where("kind = 'on'").select("rank", F.col("dwell").alias("on_dwells"), key)
     off = ranked.where("kind = 'off'").select("rank", F.col("dwell").alias("off_dwells"))

@@ -11,8 +11,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from glimmer.functions import kernels
-from glimmer.operators.spatial import IMAGE, shared
+from glimmer.operators.ordered import numbered
+from glimmer.operators.spatial import IMAGE, isolated, roi_filter, shared
 from glimmer.schemas import FRAMES
+from glimmer.sources.shared import written
 
 PROJECTIONS = {"mean": F.avg, "std": F.stddev_pop, "var": F.var_pop, "max": F.max, "min": F.min, "sum": F.sum, "prod": F.product, "argmax": lambda c: F.max_by("t", F.struct(F.col(c), -F.col("t")))}
 
@@ -22,6 +24,14 @@ def to_pixels(frames: DataFrame) -> DataFrame:
     return frames.select("image_id", "t", "c", "z", "width", F.posexplode("pixels").alias("at", "value")).select("image_id", "t", "c", "z", F.floor(F.col("at") / F.col("width")).cast("int").alias("y"), (F.col("at") % F.col("width")).cast("int").alias("x"), "value")
 
 
+def to_frames(pixels: DataFrame, height: int, width: int) -> DataFrame:
+    """Frames of pixels, the inverse of ``to_pixels``: t, c and z are 0 where the pixels have none, and so are places without a pixel (a place must not come twice)."""
+    own = [c for c in FRAME if c in pixels.columns]
+    held = pixels.groupBy(*own).agg(F.map_from_entries(F.collect_list(F.struct((F.col("y") * width + F.col("x")).cast("int").alias("at"), F.col("value").cast("float").alias("value")))).alias("held"))
+    every = F.transform(F.sequence(F.lit(0), F.lit(height * width - 1)), lambda k: F.coalesce(F.try_element_at("held", k), F.lit(0.0).cast("float")))
+    return held.select(*[(F.col(c) if c in own else F.lit(0)).cast("int").alias(c) for c in FRAME], F.lit(height).alias("height"), F.lit(width).alias("width"), every.alias("pixels"))
+
+
 def choose(frames: DataFrame, **at: int | list[int]) -> DataFrame:
     """The frames (or pixels) at some places of t, c or z, each a number or several."""
     for dimension, places in at.items():
@@ -53,22 +63,55 @@ def integer_shift(pixels: DataFrame, shifts: DataFrame, height: int, width: int)
     return grid.join(inside, [*rest, "y", "x"], "left").withColumn("value", F.coalesce("value", F.lit(0.0)))
 
 
-def roi_integrate(pixels: DataFrame, peaks: DataFrame, inner: int, outer: int, dx: int = 0, dy: int = 0, by: list[str] | None = None, legacy_axes: bool = False) -> DataFrame:
-    """The frame but for t, trajectory (peak_id), slice (t), Intensity, bg, x, y: the inner square's sum less the background of the frame around it.
+def spot_table(pixels: DataFrame, peaks: DataFrame, by: list[str] | None = None) -> DataFrame:
+    """The spots to integrate: image_id, c, z (those the pixels have), trajectory, peak_id, x, y and what else the peaks have.
 
-    Peaks (x is the row) become their offsets, at most (2 (inner + outer) + 1)**2 each, and meet the pixels by image and
-    place. ``by`` tells images apart, by default image_id where both tables have it: a peak is integrated in all
-    channels of its image. ``dx`` and ``dy`` move the squares, not the reported place; ``legacy_axes`` takes x for the
-    column instead. Squares over the border keep their nominal area.
+    ``trajectory`` numbers all spots of the table (0, 1, ...), in the order of image, channel and peak, so it is unique over
+    images, channels and frames and the same on every run, while peak numbers start anew in each frame. ``by`` tells what
+    peaks and pixels share, by default the image: each peak is then a spot in all channels and slices of its image, and where
+    the peaks have a t, c or z of their own, in which they were found, it stays as peak_t, peak_c, peak_z. Peaks of images
+    without pixels are left out. Peaks that agree in all these numbers are told apart by their place; equal rows are one spot.
     """
     by = shared(IMAGE, by, pixels, peaks)
+    rest = [c for c in FRAME if c in pixels.columns and c != "t" and c not in by]
+    own = peaks.withColumnsRenamed({c: f"peak_{c}" for c in FRAME if c in peaks.columns and c not in by}).distinct()
+    found = [c for c in ("peak_t", "peak_c", "peak_z", "channel") if c in own.columns]
+    places = pixels.select(*by, *rest).distinct()
+    spots = own.join(places, by) if by else own.join(F.broadcast(places))  # the channels and slices of one image
+    return numbered(spots, [*by, *rest, *found, "peak_id", "x", "y"], "trajectory")
+
+
+def channel_spots(matches: DataFrame, channels: dict[str, int], by: list[str] | None = None) -> DataFrame:
+    """image_id, c, peak_id, x, y from colocalised peaks (``spatial.coloc_n_channels``): each match in every channel, where its peak stood there before drift was undone.
+
+    ``channels``: the number c of each name, the first one's peak numbers being those of the match.
+    """
+    by = shared(IMAGE, by, matches)
+    first = f"{next(iter(channels))}_id"
+    each = F.array(*[F.struct(F.lit(c).alias("c"), F.col(f"{n}_x").alias("x"), F.col(f"{n}_y").alias("y")) for n, c in channels.items()])
+    return matches.select(*by, F.col(first).alias("peak_id"), F.inline(each)).select(*by, "c", "peak_id", "x", "y")
+
+
+def roi_integrate(pixels: DataFrame, spots: DataFrame, inner: int, outer: int, dx: int | str = 0, dy: int | str = 0, by: list[str] | None = None, legacy_axes: bool = False) -> DataFrame:
+    """The frame but for t, trajectory, slice (t), Intensity, bg, x, y: the inner square's sum less the background of the frame around it.
+
+    Spots (``spot_table``; x is the row) become their offsets, at most (2 (inner + outer) + 1)**2 each, and meet the pixels
+    by image, channel and place. Peaks without a ``trajectory`` are made spots first, by ``by``. ``dx`` and ``dy``, numbers
+    or columns of the spots (the drift of each image), move the squares, not the reported place; ``legacy_axes`` takes x
+    for the column instead. Squares over the border keep their nominal area.
+    """
+    if "trajectory" not in spots.columns:
+        spots = spot_table(pixels, spots, by)
+    by = shared(("image_id", "c", "z"), None, pixels, spots)
     reach = inner + outer
     inner_area = (2 * inner + 1) ** 2
     outer_area = (2 * reach + 1) ** 2 - inner_area
-    centre = peaks.select(*by, F.col("peak_id").alias("trajectory"), F.col("x").cast("long").alias("px"), F.col("y").cast("long").alias("py"))
+    drift = [F.col(d) if isinstance(d, str) else F.lit(d) for d in (dx, dy)]
+    centre = spots.select(*by, "trajectory", F.col("x").cast("long").alias("px"), F.col("y").cast("long").alias("py"), drift[0].cast("long").alias("_dx"), drift[1].cast("long").alias("_dy"))
     offsets = F.sequence(F.lit(-reach), F.lit(reach))
     spread = centre.withColumn("ox", F.explode(offsets)).withColumn("oy", F.explode(offsets))
-    row, column = (F.col("px") + dx + F.col("ox"), F.col("py") + dy + F.col("oy")) if not legacy_axes else (F.col("py") + dy + F.col("oy"), F.col("px") + dx + F.col("ox"))
+    of_x, of_y = F.col("px") + F.col("_dx") + F.col("ox"), F.col("py") + F.col("_dy") + F.col("oy")
+    row, column = (of_x, of_y) if not legacy_axes else (of_y, of_x)
     spread = spread.select(*by, "trajectory", "px", "py", row.alias("y"), column.alias("x"), ((F.abs("ox") <= inner) & (F.abs("oy") <= inner)).alias("inside"))
     rest = [c for c in FRAME if c in pixels.columns and c != "t" and c not in by]
     sums = pixels.join(spread, [*by, "y", "x"]).groupBy(*by, *rest, "trajectory", "px", "py", F.col("t").alias("slice")).agg(F.sum(F.when(F.col("inside"), F.col("value")).otherwise(0.0)).alias("own"), F.sum("value").alias("all"))
@@ -148,6 +191,14 @@ def find_blobs(frames: DataFrame, **how) -> DataFrame:
     return frames.mapInPandas(run, "image_id int, t int, c int, z int, peak_id int, x double, y double, sigma double")
 
 
+def find_peaks(frames: DataFrame, roi: tuple[float, float, float, float] | None = None, min_dist: float | None = None, **how) -> DataFrame:
+    """``find_blobs``, then only those within ``roi`` (low x, low y, high x, high y), then only those without another one nearer than ``min_dist``."""
+    peaks = find_blobs(frames, **how)
+    if roi is not None:
+        peaks = roi_filter(peaks, roi)
+    return peaks if min_dist is None else isolated(written(peaks), min_dist)  # a join with itself: blobs are sought once
+
+
 def fit_spots(frames: DataFrame, peaks: DataFrame, radius: int = 4, legacy_grid: bool = False) -> DataFrame:
     """A Gaussian fitted about each peak of each frame; the frame, peak_id, the parameters, status 'ok', 'clipped' or 'failed'.
 

@@ -10,9 +10,11 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from glimmer.operators.ordered import numbered
+
 IMAGE = ("image_id",)
 FRAME = ("image_id", "t", "c", "z", "channel")
 
@@ -145,9 +147,6 @@ def bbox_corners(boxes: DataFrame) -> DataFrame:
 
 
 def page_ids(keys: DataFrame, key: str, per_page: int) -> DataFrame:
-    """Keys in order, ``per_page`` on a page (0, 1, ...). Counts by range partition give each key's rank, so no task sorts all keys."""
-    ordered = keys.select(key).where(F.col(key).isNotNull()).distinct().repartitionByRange(key).sortWithinPartitions(key)
-    placed = ordered.withColumn("part", F.spark_partition_id()).withColumn("own", F.row_number().over(Window.partitionBy("part").orderBy(key)))
-    sizes = placed.groupBy("part").agg(F.count(F.lit(1)).alias("n"))
-    before = sizes.withColumn("before", F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).select("part", "before")
-    return placed.join(F.broadcast(before), "part").select(key, F.floor((F.col("before") + F.col("own") - 1) / per_page).cast("long").alias("page"))
+    """Keys in order, ``per_page`` on a page (0, 1, ...)."""
+    ranked = numbered(keys.select(key).where(F.col(key).isNotNull()).distinct(), [key], "rank")
+    return ranked.select(key, F.floor(F.col("rank") / per_page).cast("long").alias("page"))

@@ -23,14 +23,26 @@ def trajectories(spark: SparkSession, sf_dir: str) -> DataFrame:
     return events.select(F.col("user_id").alias("trajectory"), at.alias("slice"), F.col("value").alias("Intensity"), on.alias("fit")).withColumn("seconds", F.col("slice") * 0.5)
 
 
+def _dense(items: DataFrame, frame: list[str]) -> DataFrame:
+    """Summed quantities at y, x of each frame, 0 elsewhere. A frame is an array of all its places, so no grid has to be joined."""
+    cells = items.groupBy(*frame, "y", "x").agg(F.sum("l_quantity").alias("value"))
+    held = cells.groupBy(*frame).agg(F.map_from_entries(F.collect_list(F.struct((F.col("y") * WIDTH + F.col("x")).alias("at"), "value"))).alias("held"))
+    every = held.select(*frame, "held", F.explode(F.sequence(F.lit(0), F.lit(HEIGHT * WIDTH - 1))).alias("at"))
+    return every.select(*frame, F.floor(F.col("at") / WIDTH).cast("int").alias("y"), (F.col("at") % WIDTH).cast("int").alias("x"), F.coalesce(F.try_element_at("held", "at"), F.lit(0.0)).alias("value"))
+
+
+def _items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read(spark, sf_dir, "lineitem").select(F.floor(F.col("l_suppkey") / SUPPLIERS).cast("int").alias("image_id"), F.floor(F.col("l_orderkey") / ORDERS).cast("int").alias("t"), (F.col("l_linenumber") % 2).cast("int").alias("c"), (F.col("l_partkey") % HEIGHT).cast("int").alias("y"), ((F.col("l_suppkey") * 7 + F.col("l_linenumber")) % WIDTH).cast("int").alias("x"), "l_quantity")
+
+
 def pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
     """image_id, t, y, x, value: dense movies of frames of 32 by 32, summed quantities."""
-    items = read(spark, sf_dir, "lineitem").select(F.floor(F.col("l_suppkey") / SUPPLIERS).cast("int").alias("image_id"), F.floor(F.col("l_orderkey") / ORDERS).cast("int").alias("t"), (F.col("l_partkey") % HEIGHT).cast("int").alias("y"), ((F.col("l_suppkey") * 7 + F.col("l_linenumber")) % WIDTH).cast("int").alias("x"), "l_quantity")
-    cells = items.groupBy("image_id", "t", "y", "x").agg(F.sum("l_quantity").alias("value"))
-    # a frame is an array of all its places, so no grid has to be joined
-    held = cells.groupBy("image_id", "t").agg(F.map_from_entries(F.collect_list(F.struct((F.col("y") * WIDTH + F.col("x")).alias("at"), "value"))).alias("held"))
-    every = held.select("image_id", "t", "held", F.explode(F.sequence(F.lit(0), F.lit(HEIGHT * WIDTH - 1))).alias("at"))
-    return every.select("image_id", "t", F.floor(F.col("at") / WIDTH).cast("int").alias("y"), (F.col("at") % WIDTH).cast("int").alias("x"), F.coalesce(F.try_element_at("held", "at"), F.lit(0.0)).alias("value"))
+    return _dense(_items(spark, sf_dir), ["image_id", "t"])
+
+
+def channel_pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """image_id, t, c, y, x, value: the same movies in two channels."""
+    return _dense(_items(spark, sf_dir), ["image_id", "t", "c"])
 
 
 def frames(spark: SparkSession, sf_dir: str) -> DataFrame:
