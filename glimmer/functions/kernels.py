@@ -249,11 +249,26 @@ def _sums(x: np.ndarray) -> np.ndarray:
     return np.concatenate([[0.0], np.cumsum(x)])
 
 
-def segment_costs(x: np.ndarray, cost: str, cells: int = 1 << 20) -> Callable[[int, int], tuple[np.ndarray, np.ndarray]]:
+def gap_scale(x: np.ndarray) -> float:
+    """The median squared distance of two of the numbers, 1 where that is 0 or there are none."""
+    ordered, pairs = np.sort(x), len(x) * (len(x) - 1) // 2
+    middle = (kth_gap(ordered, (pairs - 1) // 2) ** 2 + kth_gap(ordered, pairs // 2) ** 2) / 2 if pairs else 1.0
+    return middle or 1.0
+
+
+def moment_cost(n: np.ndarray, s: np.ndarray, q: np.ndarray, cost: str) -> np.ndarray:
+    """The cost 'l2' or 'normal' of n numbers with the sum s and the sum of squares q."""
+    n = np.maximum(n, 1)
+    about = np.maximum(q - s**2 / n, 0.0)
+    return about if cost == "l2" else n * np.log(about / n + 1e-6)
+
+
+def segment_costs(x: np.ndarray, cost: str, cells: int = 1 << 20, scale: float | None = None) -> Callable[[int, int], tuple[np.ndarray, np.ndarray]]:
     """Of a segment [a, b): the costs of [a, k) and of [k, b) for k from a to b, those of nothing 0.
 
-    'l2' about the mean, 'l1' about the median, 'normal' likelihood, or 'rbf' kernel. The kernel's sums are added up by
-    rows of ``cells`` numbers at once, so memory grows with the segment, not with its square.
+    'l2' about the mean, 'l1' about the median, 'normal' likelihood, or 'rbf' kernel (``scale``: by default the median
+    squared distance). Up to ``cells`` kernel values are kept, as sums from which each segment's follow; of more, sums are
+    added up anew for each segment by rows of ``cells`` at once, so memory grows with the segment, not with its square.
     """
     if cost in ("l2", "normal"):
         s, q = _sums(x), _sums(x * x)
@@ -262,9 +277,7 @@ def segment_costs(x: np.ndarray, cost: str, cells: int = 1 << 20) -> Callable[[i
             k = np.arange(a, b + 1)
 
             def of(low, high):
-                n = np.maximum(high - low, 1)
-                about = np.maximum(q[high] - q[low] - (s[high] - s[low]) ** 2 / n, 0.0)
-                return about if cost == "l2" else np.where(high > low, n * np.log(about / n + 1e-6), 0.0)
+                return np.where(high > low, moment_cost(high - low, s[high] - s[low], q[high] - q[low], cost), 0.0)
 
             return of(a, k), of(k, b)
 
@@ -274,15 +287,25 @@ def segment_costs(x: np.ndarray, cost: str, cells: int = 1 << 20) -> Callable[[i
         return lambda a, b: (np.array([away(x[a:k]) for k in range(a, b + 1)]), np.array([away(x[k:b]) for k in range(a, b + 1)]))
     if cost != "rbf":
         raise ValueError(f"no cost {cost!r}: l1, l2, normal or rbf")
-    ordered, pairs = np.sort(x), len(x) * (len(x) - 1) // 2
-    middle = (kth_gap(ordered, (pairs - 1) // 2) ** 2 + kth_gap(ordered, pairs // 2) ** 2) / 2 if pairs else 1.0
+    scale = gap_scale(x) if scale is None else scale
+    if len(x) ** 2 <= cells:
+        sums = np.zeros((len(x) + 1, len(x) + 1))
+        sums[1:, 1:] = np.exp(-((x[:, None] - x[None, :]) ** 2) / scale).cumsum(axis=0).cumsum(axis=1)
+
+        def kept(a: int, b: int) -> tuple[np.ndarray, np.ndarray]:
+            k, diagonal = np.arange(b - a + 1), sums.diagonal()[a : b + 1]
+            left = diagonal - sums[a, a : b + 1] - sums[a : b + 1, a] + sums[a, a]
+            right = sums[b, b] - sums[a : b + 1, b] - sums[b, a : b + 1] + diagonal
+            return k - left / np.maximum(k, 1), k[::-1] - right / np.maximum(k[::-1], 1)
+
+        return kept
 
     def kernel(a: int, b: int) -> tuple[np.ndarray, np.ndarray]:
         own, n = x[a:b], b - a
         before, every = np.zeros(n), np.zeros(n)
         for low in range(0, n, max(1, cells // n)):
             rows = slice(low, min(n, low + max(1, cells // n)))
-            table = np.exp(-((own[rows, None] - own[None, :]) ** 2) / (middle or 1.0))
+            table = np.exp(-((own[rows, None] - own[None, :]) ** 2) / scale)
             every[rows] = table.sum(axis=1)
             before[rows] = np.where(np.arange(n)[None, :] < np.arange(n)[rows, None], table, 0.0).sum(axis=1)
         left, right = _sums(2 * before + 1), _sums((2 * (every - before - 1) + 1)[::-1])[::-1]
@@ -292,27 +315,23 @@ def segment_costs(x: np.ndarray, cost: str, cells: int = 1 << 20) -> Callable[[i
     return kernel
 
 
-def binary_segmentation(x: np.ndarray, penalty: float, cost: str = "rbf", jump: int = 5, least: int = 2) -> list[int]:
-    """Ends (exclusive) of the segments: the best split of any segment, again and again, while it gains more than the penalty."""
+def binary_segmentation(x: np.ndarray, penalty: float, cost: str = "rbf", jump: int = 5, least: int = 2, offset: int = 0, scale: float | None = None) -> list[int]:
+    """Ends (exclusive) of the segments: the best split of any segment, again and again, while it gains more than the penalty.
+
+    Splits are at multiples of ``jump``; ``offset`` is where the numbers begin in a longer series, whose places count.
+    """
     if not len(x):
         return []
-    of, ends = segment_costs(np.asarray(x, float), cost), [0, len(x)]
-
-    def best(a: int, b: int) -> tuple[float, int]:
-        places = np.arange(-(-(a + least) // jump) * jump, b - least + 1, jump)
+    of, ends, open_ = segment_costs(np.asarray(x, float), cost, scale=scale), [len(x)], [(0, len(x))]
+    while open_:
+        a, b = open_.pop()
+        places = np.arange(-(-(offset + a + least) // jump) * jump, offset + b - least + 1, jump) - offset
         if not len(places):
-            return 0.0, 0
+            continue
         left, right = of(a, b)
         gains = left[-1] - left[places - a] - right[places - a]
         k = int(gains.argmax())
-        return float(gains[k]), int(places[k])
-
-    splits = {(0, len(x)): best(0, len(x))}
-    while splits:
-        (a, b), (gain, k) = max(splits.items(), key=lambda s: (s[1][0], -s[0][0]))
-        if gain <= penalty:
-            break
-        del splits[a, b]
-        ends.append(k)
-        splits[a, k], splits[k, b] = best(a, k), best(k, b)
-    return sorted(ends)[1:]
+        if gains[k] > penalty:  # of one segment; what is split elsewhere doesn't matter to it
+            ends.append(int(places[k]))
+            open_ += [(a, int(places[k])), (int(places[k]), b)]
+    return [offset + e for e in sorted(ends)]

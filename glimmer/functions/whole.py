@@ -16,7 +16,7 @@ ROWS = 100_000
 POSITION = "_position"
 
 
-def placed(df: DataFrame, key: str, order: str) -> DataFrame:
+def placed(df: DataFrame, key: str, order: str | list[str]) -> DataFrame:
     """Rows with their place (1, 2, ...) in their trajectory. The window deals and sorts them, unless they already are."""
     return df.withColumn(POSITION, F.row_number().over(in_order(key, order)))
 

@@ -511,6 +511,30 @@ def changepoints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return segments.change_points(views.trajectories(spark, sf_dir), penalty=1.0)
 
 
+#: What a level of splits adds to the segments of l2, from sums carried along each trajectory.
+L2_SQL = f"""WITH RECURSIVE {TRAJ}, p AS (SELECT trajectory, slice + 1 AS k, sum("Intensity") OVER w AS s, sum("Intensity" * "Intensity") OVER w AS q FROM traj WINDOW w AS (PARTITION BY trajectory ORDER BY slice)
+UNION ALL SELECT DISTINCT trajectory, 0, 0.0, 0.0 FROM traj),
+seg AS (SELECT trajectory, CAST(0 AS BIGINT) AS a, max(k) AS b FROM p GROUP BY 1
+UNION ALL SELECT trajectory, unnest([a, k]) AS a, unnest([k, b]) AS b FROM (SELECT s.trajectory, s.a, s.b, m.k, (e.q - o.q - pow(e.s - o.s, 2) / (s.b - s.a)) - (m.q - o.q - pow(m.s - o.s, 2) / (m.k - s.a)) - (e.q - m.q - pow(e.s - m.s, 2) / (s.b - m.k)) AS gain,
+row_number() OVER (PARTITION BY s.trajectory, s.a, s.b ORDER BY gain DESC, m.k) AS nth
+FROM seg AS s JOIN p AS o ON o.trajectory = s.trajectory AND o.k = s.a JOIN p AS e ON e.trajectory = s.trajectory AND e.k = s.b JOIN p AS m ON m.trajectory = s.trajectory AND m.k % 5 = 0 AND m.k BETWEEN s.a + 2 AND s.b - 2) WHERE nth = 1 AND gain > 12000.0)
+SELECT DISTINCT trajectory, CAST(b AS BIGINT) AS ends FROM seg"""
+
+
+@query(L2_SQL)
+def changepoints_l2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ends of the segments found by the cost about the mean, a row each."""
+    found = segments.change_points(views.trajectories(spark, sf_dir), penalty=12_000.0, cost="l2")
+    return found.select(*long("trajectory"), F.explode("bkps").cast("long").alias("ends"))
+
+
+@query(L2_SQL)
+def changepoints_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same, with trajectories of more than 40 rows searched by blocks."""
+    found = segments.change_points(views.trajectories(spark, sf_dir), penalty=12_000.0, cost="l2", block=40)
+    return found.select(*long("trajectory"), F.explode("bkps").cast("long").alias("ends"))
+
+
 @query()
 def piecewise_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Means of the segments between change points that the search finds."""

@@ -10,8 +10,8 @@ from glimmer.functions.kernels import savgol_coefficients, savgol_edges
 from glimmer.operators.groups import KEY, ORDER, VALUE
 
 
-def in_order(key: str = KEY, order: str = ORDER):
-    return Window.partitionBy(key).orderBy(order)
+def in_order(key: str = KEY, order: str | list[str] = ORDER):
+    return Window.partitionBy(key).orderBy(*([order] if isinstance(order, str) else order))
 
 
 def add_time(df: DataFrame, key: str = "aperture_index", order: str = ORDER) -> DataFrame:

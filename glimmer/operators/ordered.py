@@ -35,6 +35,17 @@ def running(placed: DataFrame, by: list[str], sums: dict[str, Column]) -> DataFr
     return carried.select(*placed.columns, *[(F.coalesce(F.sum(c).over(before), none) + F.col(f"_carried_{n}")).alias(n) for n, c in sums.items()])
 
 
+def running_within(placed: DataFrame, key: str, by: list[str], sums: dict[str, Column]) -> DataFrame:
+    """The same within each key, which is what ``placed`` is dealt by first: a key may reach over many parts. What a part's first key brings along is broadcast, a row a part."""
+    before = Window.partitionBy(PART, key).orderBy(*by).rowsBetween(Window.unboundedPreceding, -1)
+    parts = Window.partitionBy(key).orderBy(PART)
+    none = F.lit(0)
+    each = placed.groupBy(PART, key).agg(*[F.sum(c).alias(f"_carried_{n}") for n, c in sums.items()])
+    over = each.select(PART, key, F.row_number().over(parts).alias("_nth"), *[F.sum(f"_carried_{n}").over(parts.rowsBetween(Window.unboundedPreceding, -1)).alias(f"_carried_{n}") for n in sums])
+    carried = placed.join(F.broadcast(over.where("_nth > 1").drop("_nth")), [PART, key], "left")
+    return carried.select(*placed.columns, *[(F.coalesce(F.sum(c).over(before), none) + F.coalesce(f"_carried_{n}", none)).alias(n) for n, c in sums.items()])
+
+
 def previous(placed: DataFrame, by: list[str], column: str, name: str) -> DataFrame:
     """``name``: the column's value in the row before, over the borders of parts too; null for the first row."""
     within = Window.partitionBy(PART).orderBy(*by)

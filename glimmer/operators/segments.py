@@ -2,29 +2,14 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from glimmer.functions.kernels import binary_segmentation
+from glimmer.operators.changes import change_points as change_points
 from glimmer.operators.columns import in_order
 from glimmer.operators.groups import KEY, ORDER, VALUE
 
 
-def change_points(df: DataFrame, penalty: float = 1.0, cost: str = "rbf", key: str = KEY, value: str = VALUE, order: str = ORDER) -> DataFrame:
-    """key and bkps: the ends (exclusive, the last is the length) of the segments of each trajectory.
-
-    The search looks at a whole trajectory at once, in memory that grows with its rows; the rbf cost takes time by their square.
-    """
-
-    def run(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values(order)
-        return pd.DataFrame({key: [part[key].iloc[0]], "bkps": [binary_segmentation(part[value].to_numpy(float), penalty, cost)]})
-
-    kind = dict(df.dtypes)[key]
-    return df.where(F.col(key).isNotNull()).select(key, order, value).groupBy(key).applyInPandas(run, f"{key} {kind}, bkps array<int>")
-
-
 def build_segments(df: DataFrame, bkps: DataFrame, method: str = "piecew_c", key: str = KEY, value: str = VALUE, order: str = ORDER) -> DataFrame:
     """``segment`` and ``seg``: each row's segment and its model, the mean ('piecew_c') or the least-squares line ('piecew_l').
 
