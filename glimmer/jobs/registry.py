@@ -525,14 +525,14 @@ SELECT DISTINCT trajectory, CAST(b AS BIGINT) AS ends FROM seg"""
 def changepoints_l2(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The ends of the segments found by the cost about the mean, a row each."""
     found = segments.change_points(views.trajectories(spark, sf_dir), penalty=12_000.0, cost="l2")
-    return found.select(*long("trajectory"), F.explode("bkps").cast("long").alias("ends"))
+    return found.select(*long("trajectory"), F.explode(F.col("bkps").cast("array<long>")).alias("ends"))
 
 
 @query(L2_SQL)
 def changepoints_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same, with trajectories of more than 40 rows searched by blocks."""
     found = segments.change_points(views.trajectories(spark, sf_dir), penalty=12_000.0, cost="l2", block=40)
-    return found.select(*long("trajectory"), F.explode("bkps").cast("long").alias("ends"))
+    return found.select(*long("trajectory"), F.explode(F.col("bkps").cast("array<long>")).alias("ends"))
 
 
 @query()
