@@ -142,10 +142,11 @@ def savgol_edges(width: int, polyorder: int) -> np.ndarray:
 
 
 def log_normal(x: np.ndarray, means: np.ndarray, variances: np.ndarray) -> np.ndarray:
-    return -0.5 * (np.log(2 * np.pi * variances) + (x[:, None] - means) ** 2 / variances)
+    return -0.5 * (np.log(2 * np.pi * variances) + (x[..., None] - means) ** 2 / variances)
 
 
-def _logsum(x: np.ndarray, axis: int) -> np.ndarray:
+def log_sum(x: np.ndarray, axis: int) -> np.ndarray:
+    """The log of a sum of exponentials."""
     top = x.max(axis=axis, keepdims=True)
     top = np.where(np.isfinite(top), top, 0.0)
     return np.log(np.exp(x - top).sum(axis=axis)) + np.squeeze(top, axis)
@@ -172,52 +173,80 @@ def by_length(first: np.ndarray, cells: int = 500_000) -> list[np.ndarray]:
     return out
 
 
-def forward_backward(x: np.ndarray, first: np.ndarray, start: np.ndarray, move: np.ndarray, means: np.ndarray, variances: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _each(chosen: np.ndarray, start: np.ndarray, move: np.ndarray, means: np.ndarray, variances: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Parameters of some sequences, with an axis for them: one model for all, or one for each; log of starts and moves."""
+    own = lambda p, dims: p[chosen] if p.ndim > dims else p[None]
+    with np.errstate(divide="ignore"):
+        ls, lm = np.log(own(np.asarray(start, float), 1)), np.log(own(np.asarray(move, float), 2))
+    return ls, lm, own(np.asarray(means, float), 1)[:, None, :], own(np.asarray(variances, float), 1)[:, None, :]
+
+
+def _entered(ls: np.ndarray, lm: np.ndarray, before: np.ndarray | None, joined: Callable[..., np.ndarray]) -> np.ndarray:
+    """Of sequences, the log-weight of each state on entering: a start's, or what the row ``before`` moves on (NaN: there is none)."""
+    if before is None:
+        return ls
+    return np.where(np.isnan(before[:, :1]), ls, joined(np.nan_to_num(before, nan=0.0, neginf=-np.inf)[:, :, None] + lm, 1))
+
+
+def forward_backward(x: np.ndarray, first: np.ndarray, start: np.ndarray, move: np.ndarray, means: np.ndarray, variances: np.ndarray, before: np.ndarray | None = None, behind: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Of sequences one after the other: the posterior of each state at each row, expected moves and log-likelihood of each sequence.
 
-    Time is the only loop: sequences of like lengths take each step together.
+    Time is the only loop: sequences of like lengths take each step together. Parameters are one model's, or have a first
+    axis with one for each sequence. A sequence can be a block of a longer one: ``before`` holds the forward sums at the row
+    before it (NaN: it is the first), ``behind`` the backward sums at its last row; moves include the one into it.
     """
-    k = len(means)
-    with np.errstate(divide="ignore"):
-        ls, lm = np.log(start), np.log(move)
+    k = np.shape(means)[-1]
     posterior, moves, totals = np.zeros((len(x), k)), np.zeros((len(first) - 1, k, k)), np.zeros(len(first) - 1)
     for chosen in by_length(first):
         sizes, rows, sub = _chosen(first, chosen)
+        ls, lm, m, v2 = _each(chosen, start, move, means, variances)
+        earlier = None if before is None else before[chosen]
         v, (row, column) = padded(x[rows], sub)
-        b = log_normal(v.ravel(), means, variances).reshape(*v.shape, k)
+        b = log_normal(v, m, v2)
         f, r, last = np.empty_like(b), np.zeros_like(b), v.shape[1]
-        f[:, 0] = ls + b[:, 0]
+        if behind is not None:
+            r[:] = behind[chosen][:, None, :]
+        f[:, 0] = _entered(ls, lm, earlier, log_sum) + b[:, 0]
         for t in range(1, last):
-            f[:, t] = _logsum(f[:, t - 1, :, None] + lm, 1) + b[:, t]
+            f[:, t] = log_sum(f[:, t - 1, :, None] + lm, 1) + b[:, t]
         for t in range(last - 2, -1, -1):
-            step = _logsum(lm + (b[:, t + 1] + r[:, t + 1])[:, None, :], 2)
-            r[:, t] = np.where((t + 1 < sizes)[:, None], step, 0.0)
-        totals[chosen] = _logsum(f[np.arange(len(sizes)), sizes - 1], 1)
-        posterior[rows] = np.exp(f[row, column] + r[row, column] - totals[chosen][row][:, None])
+            step = log_sum(lm + (b[:, t + 1] + r[:, t + 1])[:, None, :], 2)
+            r[:, t] = np.where((t + 1 < sizes)[:, None], step, r[:, t])
+        ends = np.arange(len(sizes)), sizes - 1
+        total = log_sum(f[ends] + r[ends], 1)
+        totals[chosen] = total
+        posterior[rows] = np.exp(f[row, column] + r[row, column] - total[row][:, None])
         follows = np.flatnonzero(column > 0)
         i, t = row[follows], column[follows]
-        each = np.exp(f[i, t - 1][:, :, None] + lm + (b[i, t] + r[i, t])[:, None, :] - totals[chosen][i][:, None, None])
+        each = np.exp(f[i, t - 1][:, :, None] + np.broadcast_to(lm, (len(sizes), k, k))[i] + (b[i, t] + r[i, t])[:, None, :] - total[i][:, None, None])
         np.add.at(moves, chosen[i], each)
+        if earlier is not None:
+            into = np.exp(np.nan_to_num(earlier, nan=-np.inf, neginf=-np.inf)[:, :, None] + lm + (b[:, 0] + r[:, 0])[:, None, :] - total[:, None, None])
+            moves[chosen] += into
     return posterior, moves, totals
 
 
-def viterbi(x: np.ndarray, first: np.ndarray, start: np.ndarray, move: np.ndarray, means: np.ndarray, variances: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Of sequences one after the other: the likeliest states (ties: the lower state), and each sequence's log-probability."""
-    with np.errstate(divide="ignore"):
-        ls, lm = np.log(start), np.log(move)
+def viterbi(x: np.ndarray, first: np.ndarray, start: np.ndarray, move: np.ndarray, means: np.ndarray, variances: np.ndarray, before: np.ndarray | None = None, ends: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Of sequences one after the other: the likeliest states (ties: the lower state), and each sequence's log-probability.
+
+    Of a block of a longer sequence, ``before`` holds the best paths' log-probabilities at the row before it (NaN: it is the
+    first) and ``ends`` the state in which it has to end.
+    """
+    k = np.shape(means)[-1]
     path, totals = np.zeros(len(x), int), np.zeros(len(first) - 1)
     for chosen in by_length(first):
         sizes, rows, sub = _chosen(first, chosen)
+        ls, lm, m, v2 = _each(chosen, start, move, means, variances)
         v, (row, column) = padded(x[rows], sub)
-        b = log_normal(v.ravel(), means, variances).reshape(*v.shape, len(means))
-        best, came = ls + b[:, 0], np.zeros(b.shape, np.int8)
+        b = log_normal(v, m, v2)
+        best, came = _entered(ls, lm, None if before is None else before[chosen], np.max) + b[:, 0], np.zeros(b.shape, np.int8)
         for t in range(1, v.shape[1]):
             each = best[:, :, None] + lm
             came[:, t] = each.argmax(axis=1)
             best = np.where((t < sizes)[:, None], each.max(axis=1) + b[:, t], best)
         states, at = np.zeros(v.shape, int), np.arange(len(sizes))
-        now = best.argmax(axis=1)
-        totals[chosen] = best.max(axis=1)
+        now = best.argmax(axis=1) if ends is None else ends[chosen]
+        totals[chosen] = best[at, now]
         for t in range(v.shape[1] - 1, -1, -1):
             states[:, t] = now
             now = np.where((0 < t) & (t < sizes), came[at, t, now], now)
@@ -225,6 +254,63 @@ def viterbi(x: np.ndarray, first: np.ndarray, start: np.ndarray, move: np.ndarra
     return path, totals
 
 
+def transfers(x: np.ndarray, first: np.ndarray, begins: np.ndarray, start: np.ndarray, move: np.ndarray, means: np.ndarray, variances: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of blocks one after the other, from each state at the row before to each state at the last row: the log of the sum over all paths, and of the best path.
+
+    Where a sequence ``begins`` with a block, its start is in place of the first move, from whatever state.
+    """
+    k = len(means)
+    sums, bests = np.zeros((len(first) - 1, k, k)), np.zeros((len(first) - 1, k, k))
+    with np.errstate(divide="ignore"):
+        ls, lm = np.log(start), np.log(move)
+    for chosen in by_length(first):
+        sizes, rows, sub = _chosen(first, chosen)
+        v, _ = padded(x[rows], sub)
+        b = log_normal(v, means, variances)
+        total = np.where(begins[chosen][:, None, None], ls, lm) + b[:, 0][:, None, :]
+        best = total.copy()
+        for t in range(1, v.shape[1]):
+            here, inside = b[:, t][:, None, :], (t < sizes)[:, None, None]
+            total = np.where(inside, log_sum(total[:, :, :, None] + lm, 2) + here, total)
+            best = np.where(inside, (best[:, :, :, None] + lm).max(axis=2) + here, best)
+        sums[chosen], bests[chosen] = total, best
+    return sums, bests
+
+
+def fit_each(x: np.ndarray, first: np.ndarray, start: np.ndarray, move: np.ndarray, means: np.ndarray, variances: np.ndarray, rounds: int, tolerance: float, update: str, least: float) -> tuple[np.ndarray, ...]:
+    """A model for each sequence by expectation maximisation from the given one: starts, moves, means, variances, log-likelihoods, rounds, settled or not.
+
+    Sequences step together, each until its own gain is below the tolerance; the log-likelihood is that of the model returned.
+    """
+    n, k = len(first) - 1, np.shape(means)[-1]
+    p = [np.broadcast_to(np.asarray(v, float), (n, *np.shape(v)[-d:])).copy() for v, d in ((start, 1), (move, 2), (means, 1), (variances, 1))]
+    logl, took, settled = np.full(n, -np.inf), np.zeros(n, int), np.zeros(n, bool)
+    open_ = np.arange(n)
+    for step in range(rounds + 1):
+        sizes, rows, sub = _chosen(first, open_)
+        own = x[rows]
+        gamma, moves, total = forward_backward(own, sub, *(v[open_] for v in p))
+        gain = total - logl[open_]
+        logl[open_] = total
+        done = ~np.isfinite(total) | (gain < tolerance)
+        settled[open_] = done
+        if step == rounds or done.all():
+            break
+        w = np.maximum(np.add.reduceat(gamma, sub[:-1]), 1e-12)
+        mean = np.add.reduceat(gamma * own[:, None], sub[:-1]) / w
+        used = mean if "m" in update else p[2][open_]
+        spread = np.add.reduceat(gamma * (own[:, None] - np.repeat(used, sizes, axis=0)) ** 2, sub[:-1]) / w
+        out = moves.sum(axis=2, keepdims=True)
+        new = (gamma[sub[:-1]], np.where(out > 0, moves / np.maximum(out, 1e-12), p[1][open_]), used, np.maximum(spread, least))
+        go = open_[~done]
+        for v, value, letter in zip(p, new, "stmc", strict=True):
+            if letter in update:
+                v[go] = value[~done]
+        took[go] += 1
+        open_ = go
+    return (*p, logl, took, settled)
+
+
 def _chosen(first: np.ndarray, chosen: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Of some of the sequences: sizes, the numbers of their rows, and their bounds among these."""
     sizes = np.diff(first)[chosen]

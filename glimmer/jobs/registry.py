@@ -570,6 +570,12 @@ def hmm_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hmm.decode(views.trajectories(spark, sf_dir), MODEL).select(*long("trajectory", "slice", "fit"), r("fit_score", 5), r("fit_posterior", 5).alias("posterior"))
 
 
+@query(f"WITH RECURSIVE {TRAJ}, {hmm_sql('traj')} SELECT trajectory, CAST(slice AS BIGINT) AS slice, CAST(fit AS BIGINT) AS fit, round(score, 5) AS fit_score, round(g1, 5) AS posterior FROM decoded")
+def hmm_decode_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same by blocks of 25 rows, as trajectories that are too long for a task are decoded."""
+    return hmm.decode(views.trajectories(spark, sf_dir), MODEL, block=25).select(*long("trajectory", "slice", "fit"), r("fit_score", 5), r("fit_posterior", 5).alias("posterior"))
+
+
 def moves_sql() -> str:
     l = np.log(MODEL.move)
     each = ", ".join(f"sum(exp(p.f{i} + {l[i, j]} + d.b{j} + d.r{j} - d.total)) AS m{i}{j}" for i in (0, 1) for j in (0, 1))
@@ -586,6 +592,43 @@ def hmm_expectations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hmm.expectations(views.trajectories(spark, sf_dir), MODEL).select("name", *long("i", "j"), r("v", 2))
 
 
+def each_sql() -> str:
+    """One step of expectation maximisation for each trajectory, from MODEL."""
+    l = np.log(MODEL.move)
+    moves = ", ".join(f"sum(exp(p.f{i} + {l[i, j]} + d.b{j} + d.r{j} - d.total)) AS m{i}{j}" for i in (0, 1) for j in (0, 1))
+    means = ", ".join(f'sum(g{i} * "Intensity") / sum(g{i}) AS mean{i}, sum(g{i} * "Intensity" * "Intensity") / sum(g{i}) - pow(sum(g{i} * "Intensity") / sum(g{i}), 2) AS var{i}, max(CASE WHEN slice = 0 THEN g{i} END) AS start{i}' for i in (0, 1))
+    state = lambda i: f"start{i} AS start, mean{i} AS mean, greatest(var{i}, 1e-6) AS variance, CASE WHEN m{i}0 + m{i}1 > 0 THEN m{i}{i} / (m{i}0 + m{i}1) ELSE {MODEL.move[i, i]} END AS stay"
+    return f"""WITH RECURSIVE {TRAJ}, {hmm_sql('traj')}, moves AS (SELECT d.trajectory, {moves} FROM decoded AS p JOIN decoded AS d ON p.trajectory = d.trajectory AND d.slice = p.slice + 1 GROUP BY 1),
+means AS (SELECT trajectory, {means} FROM decoded GROUP BY 1), joint AS (SELECT means.*, coalesce(m00, 0) AS m00, coalesce(m01, 0) AS m01, coalesce(m10, 0) AS m10, coalesce(m11, 0) AS m11 FROM means LEFT JOIN moves USING (trajectory)),
+states AS (SELECT trajectory, {state(0)} FROM joint UNION ALL SELECT trajectory, {state(1)} FROM joint)
+SELECT trajectory, row_number() OVER (PARTITION BY trajectory ORDER BY mean) - 1 AS state, round(start, 5) AS start, round(mean, 5) AS mean, round(variance, 4) AS variance, round(stay, 5) AS stay FROM states"""
+
+
+@query(each_sql())
+def hmm_each(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A model for each trajectory, after one round from MODEL."""
+    fitted = hmm.fit_models(views.trajectories(spark, sf_dir), MODEL, rounds=1)
+    return fitted.withColumn("stay", F.get("moves", F.col("state"))).select(*long("trajectory", "state"), r("start", 5), r("mean", 5), r("variance", 4), r("stay", 5))
+
+
+@query()
+def hmm_each_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A model for each trajectory, fitted until it settles, and the states it tells in its own trajectory."""
+    df = views.trajectories(spark, sf_dir)
+    fitted = written(hmm.fit_models(df, MODEL, rounds=1000, tolerance=0.1))
+    return hmm.decode(df, fitted).select(*long("trajectory", "slice", "fit"), r("fit_score", 5))
+
+
+@query(moves_sql().removesuffix(moves_sql()[moves_sql().index(" SELECT name, CAST"):]) + """, w AS (SELECT i, sum(v) FILTER (name = 'x') / sum(v) FILTER (name = 'w') AS mean, sum(v) FILTER (name = 'xx') / sum(v) FILTER (name = 'w') AS square FROM sums WHERE name IN ('w', 'x', 'xx') GROUP BY 1)
+SELECT CAST(i AS BIGINT) AS state, round(mean, 5) AS mean, round(square - mean * mean, 3) AS variance FROM w""")
+def hmm_retrain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Means and variances of MODEL learnt anew over all trajectories in one round, its moves and start kept."""
+    df = views.trajectories(spark, sf_dir)
+    m, _ = hmm.train_hmm(df, MODEL, rounds=1, update="mc")
+    each = F.array(*[F.struct(F.lit(i).alias("state"), F.lit(float(m.means[i])).alias("mean"), F.lit(float(m.variances[i])).alias("variance")) for i in range(2)])
+    return df.agg(F.count(F.lit(1)).alias("rows")).select(F.inline(each)).select(*long("state"), r("mean", 5), r("variance", 3))
+
+
 #: Garbage out, decode, keep clear and active trajectories, cut into pulses, drop overlong ones, mean durations.
 CHAIN_SQL = f"""WITH RECURSIVE {TRAJ}, tops AS (SELECT trajectory, max("Intensity") AS top, avg("Intensity") AS mean FROM traj GROUP BY 1),
 clean AS (SELECT * FROM traj WHERE trajectory IN (SELECT trajectory FROM tops WHERE top < (SELECT 1.0 * stddev_samp(top) + avg(top) FROM tops) AND mean > 0)),
