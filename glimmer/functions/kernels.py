@@ -47,38 +47,88 @@ def shifted(frame: np.ndarray, dr: int, dc: int) -> np.ndarray:
     return out
 
 
-def log_blobs(frame: np.ndarray, min_sigma: float = 1, max_sigma: float = 50, num_sigma: int = 10, threshold: float = 0.2, overlap: float = 0.5) -> np.ndarray:
-    """Bright blobs (row, column, sigma): maxima over place and scale of the scaled negative Laplacian of Gaussian."""
-    sigmas = np.linspace(min_sigma, max_sigma, num_sigma)
+def _largest_around(cube: np.ndarray) -> np.ndarray:
+    """The largest value among each one's neighbours in all three dimensions, itself included."""
+    for axis in range(3):
+        pad = [(0, 0)] * 3
+        pad[axis] = (1, 1)
+        wide = np.moveaxis(np.pad(cube, pad, constant_values=-np.inf), axis, 0)
+        cube = np.moveaxis(np.maximum(np.maximum(wide[:-2], wide[1:-1]), wide[2:]), 0, axis)
+    return cube
+
+
+def _log_maxima(frame: np.ndarray, sigmas: np.ndarray, threshold: float, rows: tuple[int, int], columns: tuple[int, int]) -> tuple[np.ndarray, np.ndarray]:
+    """Blobs (row, column, sigma) and their strengths within some rows and columns, from no more of the frame than these depend on."""
+    halo = int(4 * sigmas.max() + 0.5) + 2
+    r0, c0 = max(0, rows[0] - halo), max(0, columns[0] - halo)
+    part = frame[r0 : rows[1] + halo, c0 : columns[1] + halo]
     cube = []
     for s in sigmas:
-        g = np.pad(gaussian_blur(frame, s), 1, mode="symmetric")
+        g = np.pad(gaussian_blur(part, s), 1, mode="symmetric")
         cube.append(-(s**2) * (g[2:, 1:-1] + g[:-2, 1:-1] + g[1:-1, 2:] + g[1:-1, :-2] - 4 * g[1:-1, 1:-1]))
     cube = np.stack(cube)
-    padded = np.pad(cube, 1, constant_values=-np.inf)
-    around = np.max([padded[i : i + cube.shape[0], j : j + cube.shape[1], k : k + cube.shape[2]] for i in range(3) for j in range(3) for k in range(3)], axis=0)
-    s, r, c = np.nonzero((cube == around) & (cube > threshold))
-    blobs = np.column_stack([r, c, sigmas[s]])[np.argsort(-cube[s, r, c], kind="stable")]
+    s, r, c = np.nonzero((cube == _largest_around(cube)) & (cube > threshold))
+    r, c, strength = r + r0, c + c0, cube[s, r, c]
+    own = (r >= rows[0]) & (r < rows[1]) & (c >= columns[0]) & (c < columns[1])
+    return np.column_stack([r, c, sigmas[s]])[own], strength[own]
+
+
+def log_blobs(frame: np.ndarray, min_sigma: float = 1, max_sigma: float = 50, num_sigma: int = 10, threshold: float = 0.2, overlap: float = 0.5, tile: int = 512) -> np.ndarray:
+    """Bright blobs (row, column, sigma): maxima over place and scale of the scaled negative Laplacian of Gaussian.
+
+    Frames are looked at by tiles with a halo that the widest blur reaches over, so that memory is a tile's and borders of
+    tiles change nothing. Of two blobs that overlap by more than ``overlap`` the smaller one goes (equal: the weaker), from
+    the strongest blob on; only those near enough to overlap are compared.
+    """
+    sigmas = np.linspace(min_sigma, max_sigma, num_sigma)
+    parts = [_log_maxima(frame, sigmas, threshold, (r, min(r + tile, frame.shape[0])), (c, min(c + tile, frame.shape[1]))) for r in range(0, frame.shape[0], tile) for c in range(0, frame.shape[1], tile)]
+    blobs, strength = np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
+    scale = np.searchsorted(sigmas, blobs[:, 2])
+    blobs = blobs[np.lexsort((blobs[:, 1], blobs[:, 0], scale, -strength))]
     keep = np.ones(len(blobs), bool)
-    for i in range(len(blobs)):
-        for j in range(i + 1, len(blobs)):
-            if keep[i] and keep[j] and _overlap(blobs[i], blobs[j]) > overlap:
-                keep[i if blobs[i, 2] < blobs[j, 2] else j] = False
+    i, j = near_blobs(blobs)
+    over = overlaps(blobs[i], blobs[j]) > overlap
+    i, j = i[over], j[over]
+    for a, b in zip(*(v[np.lexsort((j, i))].tolist() for v in (i, j)), strict=True):
+        if keep[a] and keep[b]:
+            keep[a if blobs[a, 2] < blobs[b, 2] else b] = False
     return blobs[keep]
 
 
-def _overlap(a: np.ndarray, b: np.ndarray) -> float:
-    """The shared area of two discs of radius sigma * sqrt(2) over the smaller disc's."""
-    ra, rb = a[2] * 2**0.5, b[2] * 2**0.5
-    d = float(np.hypot(a[0] - b[0], a[1] - b[1]))
-    if d >= ra + rb:
-        return 0.0
-    if d <= abs(ra - rb):
-        return 1.0
-    alpha = np.arccos(np.clip((d * d + ra * ra - rb * rb) / (2 * d * ra), -1, 1))
-    beta = np.arccos(np.clip((d * d + rb * rb - ra * ra) / (2 * d * rb), -1, 1))
+def near_blobs(blobs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs (first, later) of blobs whose discs of radius sigma * sqrt(2) touch, found by cells as wide as two sizes' discs reach together."""
+    found = [np.zeros((2, 0), int)]
+    sizes = np.unique(blobs[:, 2])
+    of = [np.flatnonzero(blobs[:, 2] == s) for s in sizes]
+    for p, s in enumerate(sizes):
+        for q in range(p, len(sizes)):
+            reach = (s + sizes[q]) * 2**0.5
+            a, b = (np.floor(blobs[g, :2] / reach).astype(np.int64) for g in (of[p], of[q]))
+            width = int(max(a[:, 1].max(), b[:, 1].max())) + 3
+            cell = np.sort((b[:, 0] + 1) * width + b[:, 1] + 1)
+            order = np.argsort((b[:, 0] + 1) * width + b[:, 1] + 1, kind="stable")
+            for dr in (-1, 0, 1):  # three cells of a row are neighbours in the order
+                low = (a[:, 0] + 1 + dr) * width + a[:, 1]
+                first, last = np.searchsorted(cell, low, "left"), np.searchsorted(cell, low + 2, "right")
+                n = last - first
+                i = np.repeat(of[p], n)
+                j = of[q][order[np.repeat(first - (np.cumsum(n) - n), n) + np.arange(n.sum())]]
+                near = (i != j) & (((blobs[i, :2] - blobs[j, :2]) ** 2).sum(axis=1) < reach**2)
+                found.append(np.stack([np.minimum(i, j)[near], np.maximum(i, j)[near]]))
+    pairs = np.unique(np.concatenate(found, axis=1), axis=1)
+    return pairs[0], pairs[1]
+
+
+def overlaps(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Of pairs of blobs, the shared area of their discs of radius sigma * sqrt(2) over the smaller disc's."""
+    ra, rb = a[:, 2] * 2**0.5, b[:, 2] * 2**0.5
+    d = np.hypot(a[:, 0] - b[:, 0], a[:, 1] - b[:, 1])
+    within = d <= np.abs(ra - rb)
+    safe = np.where(within | (d == 0), 1.0, d)
+    alpha = np.arccos(np.clip((safe**2 + ra * ra - rb * rb) / (2 * safe * ra), -1, 1))
+    beta = np.arccos(np.clip((safe**2 + rb * rb - ra * ra) / (2 * safe * rb), -1, 1))
     area = ra * ra * (alpha - np.sin(2 * alpha) / 2) + rb * rb * (beta - np.sin(2 * beta) / 2)
-    return float(area / (np.pi * min(ra, rb) ** 2))
+    return np.where(d >= ra + rb, 0.0, np.where(within, 1.0, area / (np.pi * np.minimum(ra, rb) ** 2)))
 
 
 def least_squares(f: Callable[[np.ndarray], np.ndarray], start: np.ndarray, steps: int = 200, tolerance: float = 1e-8) -> tuple[np.ndarray, bool]:
@@ -108,25 +158,93 @@ def least_squares(f: Callable[[np.ndarray], np.ndarray], start: np.ndarray, step
 
 
 def gaussian_2d(x: np.ndarray, y: np.ndarray, p: np.ndarray) -> np.ndarray:
-    amplitude, xo, yo, sx, sy, theta, offset = p
+    """A rotated Gaussian at places; parameters along the last axis, for one or for many."""
+    amplitude, xo, yo, sx, sy, theta, offset = (v[..., None] for v in np.moveaxis(p, -1, 0)) if p.ndim > 1 else p
     c, s = np.cos(theta), np.sin(theta)
     u, v = x - xo, y - yo
     a, b, d = c * c / (2 * sx * sx) + s * s / (2 * sy * sy), np.sin(2 * theta) * (1 / (4 * sy * sy) - 1 / (4 * sx * sx)), s * s / (2 * sx * sx) + c * c / (2 * sy * sy)
     return offset + amplitude * np.exp(-(a * u * u + 2 * b * u * v + d * v * v))
 
 
+def least_squares_each(f: Callable[[np.ndarray, np.ndarray], np.ndarray], start: np.ndarray, steps: int = 200, tolerance: float = 1e-8) -> tuple[np.ndarray, np.ndarray]:
+    """``least_squares`` of many problems that step together, each by its own damping until it settles: f(parameters, numbers of the problems)."""
+    p, damping, settled = np.array(start, float), np.full(len(start), 1e-3), np.zeros(len(start), bool)
+    open_ = np.arange(len(p))
+    r = f(p, open_)
+    eye = np.eye(p.shape[1])
+    with np.errstate(all="ignore"):
+        for _ in range(steps):
+            if not len(open_):
+                break
+            now, own = p[open_], r[open_]
+            h = 1e-6 * np.maximum(np.abs(now), 1e-3)
+            jac = np.stack([(f(now + eye[k] * h[:, k : k + 1], open_) - own) / h[:, k : k + 1] for k in range(p.shape[1])], axis=2)
+            a, g, cost = jac.transpose(0, 2, 1) @ jac, np.einsum("nmk,nm->nk", jac, own), (own * own).sum(axis=1)
+            diagonal = np.maximum(np.einsum("nkk->nk", a), 1e-12)
+            gain, move, left = np.zeros(len(open_)), np.zeros_like(now), np.arange(len(open_))
+            for _ in range(20):
+                damped = a[left] + damping[open_[left], None, None] * diagonal[left, :, None] * eye
+                step, solved = _solved(damped, -g[left])
+                new = f(now[left] + step, open_[left])
+                after = (new * new).sum(axis=1)
+                better = solved & np.isfinite(new).all(axis=1) & (after < cost[left])
+                took, which = left[better], open_[left[better]]
+                gain[took], move[took] = (cost[took] - after[better]) / np.maximum(cost[took], 1e-300), step[better]
+                p[which], r[which] = now[took] + step[better], new[better]
+                damping[which] /= 5
+                left = left[~better]
+                damping[open_[left]] *= 10
+                if not len(left):
+                    break
+            done = (gain < tolerance) | (np.linalg.norm(move, axis=1) < tolerance * (np.linalg.norm(p[open_], axis=1) + tolerance))
+            settled[open_[done]] = True
+            open_ = open_[~done]
+    return p, settled
+
+
+def _solved(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Solutions of many systems, and which have one."""
+    try:
+        return np.linalg.solve(a, b[..., None])[..., 0], np.ones(len(a), bool)
+    except np.linalg.LinAlgError:
+        out, ok = np.zeros_like(b), np.zeros(len(a), bool)
+        for k in range(len(a)):
+            try:
+                out[k], ok[k] = np.linalg.solve(a[k], b[k]), True
+            except np.linalg.LinAlgError:
+                continue
+        return out, ok
+
+
+def patches(frame: np.ndarray, rows: np.ndarray, columns: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
+    """Windows of 2 * radius pixels about places, and which places have a whole one."""
+    whole = (rows >= radius) & (columns >= radius) & (rows + radius <= frame.shape[0]) & (columns + radius <= frame.shape[1])
+    at = np.arange(-radius, radius)
+    r, c = rows[whole], columns[whole]
+    return frame[r[:, None, None] + at[:, None], c[:, None, None] + at], whole
+
+
+def fit_patches(windows: np.ndarray, rows: np.ndarray, columns: np.ndarray, guess: tuple = (2, 2, 0, 0), legacy_grid: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """A Gaussian fitted to each window about its place, all stepping together; parameters, and which fits settled on finite ones."""
+    n, size = len(windows), windows.shape[1]
+    radius = size // 2
+    at = np.linspace(-radius, radius, size) if legacy_grid else np.arange(-radius, radius)
+    one, two = np.repeat(at, size), np.tile(at, size)
+    # x is the row, but with the legacy grid it runs along the columns, as numpy's default order of axes has it
+    x, y = (rows[:, None] + (two if legacy_grid else one), columns[:, None] + (one if legacy_grid else two))
+    data = windows.reshape(n, -1).astype(float)
+    start = np.column_stack([data.max(axis=1), rows, columns, np.tile(np.asarray(guess, float), (n, 1))]) if n else np.zeros((0, 7))
+    p, settled = least_squares_each(lambda q, which: gaussian_2d(x[which], y[which], q) - data[which], start)
+    return p, settled & np.isfinite(p).all(axis=1)
+
+
 def fit_spot(frame: np.ndarray, row: int, column: int, radius: int, guess: tuple = (2, 2, 0, 0), legacy_grid: bool = False) -> tuple[np.ndarray | None, str]:
     """A Gaussian fitted to the window of 2 * radius pixels about a peak; parameters and 'ok', 'clipped' or 'failed'."""
-    r0, r1, c0, c1 = row - radius, row + radius, column - radius, column + radius
-    if r0 < 0 or c0 < 0 or r1 > frame.shape[0] or c1 > frame.shape[1]:
+    windows, whole = patches(frame, np.array([row]), np.array([column]), radius)
+    if not whole[0]:
         return None, "clipped"
-    window = frame[r0:r1, c0:c1].astype(float)
-    if legacy_grid:
-        x, y = np.meshgrid(np.linspace(r0, r1, 2 * radius), np.linspace(c0, c1, 2 * radius))
-    else:
-        x, y = np.meshgrid(np.arange(r0, r1), np.arange(c0, c1), indexing="ij")
-    p, settled = least_squares(lambda q: (gaussian_2d(x, y, q) - window).ravel(), np.array([window.max(), row, column, *guess], float))
-    return (p, "ok") if settled and np.isfinite(p).all() else (None, "failed")
+    p, ok = fit_patches(windows, np.array([row]), np.array([column]), guess, legacy_grid)
+    return (p[0], "ok") if ok[0] else (None, "failed")
 
 
 def savgol_coefficients(width: int, polyorder: int) -> np.ndarray:

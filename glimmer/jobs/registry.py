@@ -457,7 +457,7 @@ for _method, _sql in (("mean", "avg(value)"), ("std", "stddev_pop(value)"), ("va
 def integer_shift(spark: SparkSession, sf_dir: str) -> DataFrame:
     px = views.pixels(spark, sf_dir)
     shifts = px.select("image_id", "t").distinct().select("image_id", "t", ((F.col("t") + F.col("image_id")) % 4 - 1).alias("dr"), (F.col("t") % 3 - 1).alias("dc"))
-    return frames.integer_shift(px, shifts, views.HEIGHT, views.WIDTH).select(*long("image_id", "t", "y", "x"), r("value"))
+    return frames.integer_shift(px, shifts, views.HEIGHT, views.WIDTH, dense=True).select(*long("image_id", "t", "y", "x"), r("value"))
 
 
 def integrate_sql(dx: int, dy: int, legacy: bool = False) -> str:
@@ -750,12 +750,39 @@ def hmm_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # --- images
 
+#: Frames, and their circular correlation with the first one of their movie, smoothed by what the Hann disc is over frequencies.
+FRAMES_SQL = f"""{PX}, fr AS (SELECT image_id, t, y, x, CAST(CAST(value AS FLOAT) AS DOUBLE) AS v FROM px)"""
+SHIFT_SQL = f"""{FRAMES_SQL}, ref AS (SELECT fr.* FROM fr JOIN (SELECT image_id, min(t) AS t FROM fr GROUP BY 1) USING (image_id, t)),
+corr AS (SELECT f.image_id, f.t, (f.y - r.y + 32) % 32 AS dy, (f.x - r.x + 32) % 32 AS dx, sum(f.v * r.v) AS v FROM fr AS f JOIN ref AS r ON f.image_id = r.image_id GROUP BY 1, 2, 3, 4),
+disc AS (SELECT (y + 16) % 32 AS fy, (x + 16) % 32 AS fx, sqrt(pow((y - 16) / 16.0, 2) + pow((x - 16) / 16.0, 2)) AS far FROM range(32) AS a(y), range(32) AS b(x)),
+smooth AS (SELECT y, x, sum(0.5 * (1 + cos(pi() * far)) * cos(2 * pi() * (fy * y + fx * x) / 32.0)) / 1024 AS w FROM range(32) AS a(y), range(32) AS b(x), disc WHERE far <= 1 GROUP BY 1, 2),
+smoothed AS (SELECT image_id, t, (dy + y) % 32 AS ey, (dx + x) % 32 AS ex, sum(v * w) AS v FROM corr, smooth GROUP BY 1, 2, 3, 4),
+top AS (SELECT *, row_number() OVER (PARTITION BY image_id, t ORDER BY v DESC, ey, ex) AS nth FROM smoothed),
+shift AS (SELECT CAST(image_id AS INTEGER) AS image_id, CAST(t AS INTEGER) AS t, CAST(CASE WHEN ey > 16 THEN ey - 32 ELSE ey END AS INTEGER) AS dr, CAST(CASE WHEN ex > 16 THEN ex - 32 ELSE ex END AS INTEGER) AS dc FROM top WHERE nth = 1)"""
+
+
 @query()
 def flat_field(spark: SparkSession, sf_dir: str) -> DataFrame:
     return frames.flat_field(views.frames(spark, sf_dir), sigma=4.0)
 
 
-@query()
+def flat_sql() -> str:
+    mirror = lambda a: f"(CASE WHEN {a} < 0 THEN -1 - ({a}) WHEN {a} > 31 THEN 63 - ({a}) ELSE {a} END)"
+    return f"""WITH {FRAMES_SQL}, taps AS (SELECT k, exp(-0.5 * k * k / 16.0) / (SELECT sum(exp(-0.5 * j * j / 16.0)) FROM range(-16, 17) AS s(j)) AS w FROM range(-16, 17) AS r(k)),
+blur0 AS (SELECT image_id, t, o.y, fr.x, sum(v * w) AS v FROM range(32) AS o(y), taps, fr WHERE fr.y = {mirror("o.y + k")} GROUP BY 1, 2, 3, 4),
+blur AS (SELECT image_id, t, blur0.y, o.x, CAST(sum(v * w) AS FLOAT)::DOUBLE AS b FROM range(32) AS o(x), taps, blur0 WHERE blur0.x = {mirror("o.x + k")} GROUP BY 1, 2, 3, 4),
+tops AS (SELECT image_id, max(b) AS top FROM blur GROUP BY 1)
+SELECT CAST(image_id AS BIGINT) AS image_id, t, y, x, round(CAST(v * top / b AS FLOAT)::DOUBLE, 3) AS value FROM fr JOIN blur USING (image_id, t, y, x) JOIN tops USING (image_id)"""
+
+
+@query(flat_sql())
+def flat_field_pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same movie pixel by pixel."""
+    flat = frames.to_pixels(frames.flat_field(views.frames(spark, sf_dir), sigma=4.0))
+    return flat.select(*long("image_id", "t", "y", "x"), r("value", 3))
+
+
+@query(f"WITH {SHIFT_SQL} SELECT * FROM shift")
 def xcorr_shift(spark: SparkSession, sf_dir: str) -> DataFrame:
     return frames.frame_shifts(views.frames(spark, sf_dir))
 
@@ -765,6 +792,13 @@ def drift_correct(spark: SparkSession, sf_dir: str) -> DataFrame:
     return frames.drift_correct(views.frames(spark, sf_dir))
 
 
+@query(f"WITH {SHIFT_SQL} SELECT CAST(a.image_id AS BIGINT) AS image_id, a.t, a.y, a.x, round(coalesce(b.v, 0.0), 6) AS value FROM fr AS a JOIN shift AS s ON a.image_id = s.image_id AND a.t = s.t LEFT JOIN fr AS b ON a.image_id = b.image_id AND a.t = b.t AND b.y = a.y + dr AND b.x = a.x + dc")
+def drift_correct_pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same movie pixel by pixel."""
+    moved = frames.to_pixels(frames.drift_correct(views.frames(spark, sf_dir)))
+    return moved.select(*long("image_id", "t", "y", "x"), r("value"))
+
+
 @query()
 def blob_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     return frames.find_blobs(views.frames(spark, sf_dir), max_sigma=5, num_sigma=5, threshold=5.0)

@@ -6,7 +6,7 @@ from collections.abc import Iterator
 from functools import reduce
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -50,14 +50,22 @@ def project(pixels: DataFrame, method: str = "mean", over: str = "t", value: str
 FRAME = ("image_id", "t", "c", "z")
 
 
-def integer_shift(pixels: DataFrame, shifts: DataFrame, height: int, width: int) -> DataFrame:
+def integer_shift(pixels: DataFrame, shifts: DataFrame, height: int, width: int, dense: bool = False) -> DataFrame:
     """Every frame moved by its (dr, dc), with 0 where nothing comes from; frames without a shift stay.
 
-    Shifts belong to frames by those of FRAME's columns that both tables have.
+    Shifts belong to frames by those of FRAME's columns that both tables have. ``dense``: the frames have all their pixels;
+    then each pixel goes to its target, and one from whose place none comes leaves a 0 there: no pixel is shuffled for it.
     """
     own = shared(FRAME, None, pixels, shifts)
-    moved = pixels.join(shifts.select(*own, "dr", "dc"), own, "left").withColumn("y", F.col("y") - F.coalesce("dr", F.lit(0))).withColumn("x", F.col("x") - F.coalesce("dc", F.lit(0))).drop("dr", "dc")
+    shifted = pixels.join(shifts.select(*own, "dr", "dc"), own, "left").withColumn("dr", F.coalesce("dr", F.lit(0))).withColumn("dc", F.coalesce("dc", F.lit(0)))
     rest = [c for c in pixels.columns if c not in ("y", "x", "value")]
+    if dense:
+        y, x = F.col("y") - F.col("dr"), F.col("x") - F.col("dc")
+        goes = F.when(y.between(0, height - 1) & x.between(0, width - 1), F.struct(y.alias("y"), x.alias("x"), F.col("value").cast("double").alias("value")))
+        comes = (F.col("y") + F.col("dr")).between(0, height - 1) & (F.col("x") + F.col("dc")).between(0, width - 1)
+        left = F.when(~comes, F.struct(F.col("y"), F.col("x"), F.lit(0.0).alias("value")))
+        return shifted.select(*rest, F.explode(F.filter(F.array(goes, left), lambda p: p.isNotNull())).alias("p")).select(*rest, "p.y", "p.x", "p.value")
+    moved = shifted.withColumn("y", F.col("y") - F.col("dr")).withColumn("x", F.col("x") - F.col("dc")).drop("dr", "dc")
     inside = moved.where(F.col("y").between(0, height - 1) & F.col("x").between(0, width - 1))
     grid = pixels.select(*rest).distinct().withColumn("y", F.explode(F.sequence(F.lit(0), F.lit(height - 1)))).withColumn("x", F.explode(F.sequence(F.lit(0), F.lit(width - 1))))
     return grid.join(inside, [*rest, "y", "x"], "left").withColumn("value", F.coalesce("value", F.lit(0.0)))
@@ -77,7 +85,10 @@ def spot_table(pixels: DataFrame, peaks: DataFrame, by: list[str] | None = None)
     own = peaks.withColumnsRenamed({c: f"peak_{c}" for c in FRAME if c in peaks.columns and c not in by}).distinct()
     found = [c for c in ("peak_t", "peak_c", "peak_z", "channel") if c in own.columns]
     places = pixels.select(*by, *rest).distinct()
-    spots = own.join(places, by) if by else own.join(F.broadcast(places))  # the channels and slices of one image
+    if by:
+        spots = own.join(places, by)
+    else:
+        spots = own.join(F.broadcast(places)) if rest else own  # the channels and slices of one image
     return numbered(spots, [*by, *rest, *found, "peak_id", "x", "y"], "trajectory")
 
 
@@ -129,66 +140,105 @@ def gaussian_2d(x: str, y: str, amplitude, xo, yo, sx, sy, theta, offset):
     return offset + amplitude * F.exp(-(a * u * u + 2 * b * u * v + d * v * v))
 
 
-def _image(row) -> np.ndarray:
-    return np.asarray(row.pixels, float).reshape(row.height, row.width)
+def _images(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
+    """The images of a batch of frames, null values as NaN."""
+    at = batch.schema.get_field_index
+    heights, widths = batch.column(at("height")).to_pylist(), batch.column(at("width")).to_pylist()
+    for pixels, h, w in zip(batch.column(at("pixels")), heights, widths, strict=True):
+        yield pixels.values.to_numpy(zero_copy_only=False).astype(float).reshape(h, w)
 
 
-def _per_frame(frames: DataFrame, f, schema: str = FRAMES) -> DataFrame:
-    """``f`` of each frame's image, a frame at a time."""
+def _with_pixels(batch: pa.RecordBatch, images: list[np.ndarray]) -> pa.RecordBatch:
+    """The columns of FRAMES of a batch, with other pixels."""
+    own = [batch.column(batch.schema.get_field_index(c)) for c in (*FRAME, "height", "width")]
+    lists = [pa.array(i.ravel().astype(np.float32)) for i in images]
+    offsets = pa.array(np.cumsum([0, *map(len, lists)]).astype(np.int32))
+    pixels = pa.ListArray.from_arrays(offsets, pa.concat_arrays(lists) if lists else pa.array([], pa.float32()))
+    return pa.RecordBatch.from_arrays([*own, pixels], names=[*FRAME, "height", "width", "pixels"])
 
-    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for part in parts:
-            yield part.assign(pixels=[f(_image(r), r).ravel().astype(np.float32) for r in part.itertuples()])
 
-    return frames.mapInPandas(run, schema)
+def flat_field(frames: DataFrame, sigma: float = 20.0, offset: float = 0.0) -> DataFrame:
+    """Each frame less ``offset``, over its blur scaled to a largest value of 1 in the whole movie; 0/0 gives 0.
 
+    A first pass blurs for one number, the largest of a frame; a second blurs and divides in the same task, so no frame is
+    ever shuffled. The numbers, one an image, are written first: Spark broadcasts them while that table is small, and joins
+    by image where it is not. Null or NaN pixels make NaN of what their blur reaches, and don't count for the largest.
+    """
+
+    def tops(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            top = [float(np.nanmax(b, initial=-np.inf)) for b in (kernels.gaussian_blur(i - offset, sigma).astype(np.float32) for i in _images(batch))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(top, pa.float64())], names=["image_id", "top"])
+
+    def divided(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        largest = np.finfo(np.float32).max
+        for batch in batches:
+            out = []
+            for image, top in zip(_images(batch), batch.column(batch.schema.get_field_index("top")).to_pylist(), strict=True):
+                blur = kernels.gaussian_blur(image - offset, sigma).astype(np.float32).astype(float)
+                with np.errstate(divide="ignore", invalid="ignore"):
+                    ratio = (image - offset) * top / blur
+                out.append(np.where(blur == 0, np.sign(image - offset) * largest, ratio))
+            yield _with_pixels(batch, out)
+
+    largest = written(frames.select("image_id", "height", "width", "pixels").mapInArrow(tops, "image_id int, top double").groupBy("image_id").agg(F.max("top").alias("top")))
+    return frames.select(*FRAME, "height", "width", "pixels").join(largest, "image_id").mapInArrow(divided, FRAMES)
 
-def flat_field(frames: DataFrame, sigma: float = 20.0, offset: float = 0.0) -> DataFrame:
-    """Each frame less ``offset``, over its blur scaled to a largest value of 1 in the whole movie; 0/0 gives 0."""
-    blurred = _per_frame(frames, lambda i, r: kernels.gaussian_blur(i - offset, sigma)).select("image_id", "t", "c", "z", F.col("pixels").alias("blur"))
-    top = blurred.groupBy("image_id").agg(F.max(F.array_max("blur")).alias("top"))
-    both = frames.join(blurred, ["image_id", "t", "c", "z"]).join(top, "image_id")
-    largest = 3.4028234663852886e38
-    ratio = F.zip_with("pixels", "blur", lambda p, b: F.when((b == 0) & (p != offset), F.signum(p - offset) * F.lit(largest)).otherwise(F.coalesce(F.try_divide((p - offset) * F.col("top"), b), F.lit(0.0))).cast("float"))
-    return both.select("image_id", "t", "c", "z", "height", "width", ratio.alias("pixels"))
+
+#: Frames of a movie that are compared with one copy of their reference.
+BESIDE = 64
 
 
 def frame_shifts(frames: DataFrame, channel: int = 0) -> DataFrame:
-    """image_id, t, dr, dc: how far each frame of a channel lies beyond its movie's first one. The references are joined by image."""
-    own = frames.where(f"c = {int(channel)} and z = 0")
-    first = own.groupBy("image_id").agg(F.min_by("pixels", "t").alias("reference"))
+    """image_id, t, dr, dc: how far each frame of a channel lies beyond its movie's first one.
+
+    The references, one an image, are written first; Spark broadcasts them while that table is small. Where it is not,
+    frames meet them by image and stretches of BESIDE frames, a copy a stretch, so a long movie is spread over tasks.
+    """
+    own = frames.where(f"c = {int(channel)} and z = 0").select("image_id", "t", "height", "width", "pixels")
+    spans = own.groupBy("image_id").agg(F.min_by("pixels", "t").alias("reference"), F.min("t").alias("first"), F.max("t").alias("last"))
+    stretch = lambda t: F.floor(F.col(t) / BESIDE)
+    references = written(spans.select("image_id", "reference", F.explode(F.sequence(stretch("first"), stretch("last"))).alias("_stretch")))
 
-    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for part in parts:
-            found = [kernels.shift_between(i := _image(r), np.asarray(r.reference, float).reshape(r.height, r.width), kernels.hann_disc(i.shape)) for r in part.itertuples()]
-            yield pd.DataFrame({"image_id": part.image_id, "t": part.t, "dr": [f[0] for f in found], "dc": [f[1] for f in found]})
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            known, found = {}, []
+            for image, reference in zip(_images(batch), batch.column(batch.schema.get_field_index("reference")), strict=True):
+                if image.shape not in known:
+                    known[image.shape] = kernels.hann_disc(image.shape)
+                found.append(kernels.shift_between(image, reference.values.to_numpy(zero_copy_only=False).astype(float).reshape(image.shape), known[image.shape]))
+            columns = [batch.column(batch.schema.get_field_index(c)) for c in ("image_id", "t")]
+            yield pa.RecordBatch.from_arrays([*columns, *(pa.array([f[k] for f in found], pa.int32()) for k in (0, 1))], names=["image_id", "t", "dr", "dc"])
 
-    return own.join(first, "image_id").mapInPandas(run, "image_id int, t int, dr int, dc int")
+    return own.withColumn("_stretch", stretch("t")).join(references, ["image_id", "_stretch"]).mapInArrow(run, "image_id int, t int, dr int, dc int")
 
 
 def drift_correct(frames: DataFrame, channel: int = 0) -> DataFrame:
-    """All channels moved back by the shifts of one."""
-    both = frames.join(frame_shifts(frames, channel), ["image_id", "t"])
+    """All channels moved back by the shifts of one, which are written first, so frames are not shuffled for them while they are few."""
 
-    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for part in parts:
-            moved = [kernels.shifted(_image(r), r.dr, r.dc).ravel().astype(np.float32) for r in part.itertuples()]
-            yield part.drop(columns=["dr", "dc"]).assign(pixels=moved)[["image_id", "t", "c", "z", "height", "width", "pixels"]]
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            dr, dc = (batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("dr", "dc"))
+            yield _with_pixels(batch, [kernels.shifted(i, a, b) for i, a, b in zip(_images(batch), dr, dc, strict=True)])
 
-    return both.mapInPandas(run, FRAMES)
+    shifts = written(frame_shifts(frames, channel))
+    return frames.select(*FRAME, "height", "width", "pixels").join(shifts, ["image_id", "t"]).mapInArrow(run, FRAMES)
 
 
 def find_blobs(frames: DataFrame, **how) -> DataFrame:
-    """image_id, t, c, z, peak_id, x (row), y (column), sigma of the bright blobs of each frame."""
+    """image_id, t, c, z, peak_id, x (row), y (column), sigma of the bright blobs of each frame. Null pixels count as 0, NaN ones too."""
 
-    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for part in parts:
-            for r in part.itertuples():
-                b = kernels.log_blobs(_image(r), **how)
-                b = b[np.lexsort((b[:, 1], b[:, 0]))]
-                yield pd.DataFrame({"image_id": r.image_id, "t": r.t, "c": r.c, "z": r.z, "peak_id": np.arange(len(b)), "x": b[:, 0], "y": b[:, 1], "sigma": b[:, 2]})
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [kernels.log_blobs(np.nan_to_num(i), **how) for i in _images(batch)]
+            found = [b[np.lexsort((b[:, 1], b[:, 0]))] for b in found]
+            row = pa.array(np.repeat(np.arange(len(found)), [len(b) for b in found]))
+            number = np.concatenate([np.arange(len(b), dtype=np.int32) for b in found]) if found else np.zeros(0, np.int32)
+            every = np.concatenate(found) if found else np.zeros((0, 3))
+            own = [batch.column(batch.schema.get_field_index(c)).take(row) for c in FRAME]
+            yield pa.RecordBatch.from_arrays([*own, pa.array(number), *(pa.array(np.ascontiguousarray(c)) for c in every.T)], names=[*FRAME, "peak_id", "x", "y", "sigma"])
 
-    return frames.mapInPandas(run, "image_id int, t int, c int, z int, peak_id int, x double, y double, sigma double")
+    return frames.select(*FRAME, "height", "width", "pixels").mapInArrow(run, "image_id int, t int, c int, z int, peak_id int, x double, y double, sigma double")
 
 
 def find_peaks(frames: DataFrame, roi: tuple[float, float, float, float] | None = None, min_dist: float | None = None, **how) -> DataFrame:
@@ -203,21 +253,42 @@ def fit_spots(frames: DataFrame, peaks: DataFrame, radius: int = 4, legacy_grid:
     """A Gaussian fitted about each peak of each frame; the frame, peak_id, the parameters, status 'ok', 'clipped' or 'failed'.
 
     Peaks belong to frames by those of FRAME's columns that both tables have: peaks of an image without t are fitted in
-    each of its frames.
+    each of its frames. The peaks of a frame are one row before they meet it, so a frame goes along once; its patches of
+    (2 radius)**2 pixels are cut out, and all patches of a batch are fitted together. Peaks with a null place, and fits over
+    null or NaN pixels, fail.
     """
     names = ["amplitude", "xo", "yo", "sigma_x", "sigma_y", "theta", "offset"]
     own = shared(FRAME, None, frames, peaks)
-
-    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for part in parts:
-            rows = []
-            for r in part.itertuples():
-                p, status = kernels.fit_spot(_image(r), int(r.x), int(r.y), radius, legacy_grid=legacy_grid)
-                rows.append([r.image_id, r.t, r.c, r.z, r.peak_id, *(p if p is not None else [None] * 7), status])
-            yield pd.DataFrame(rows, columns=[*FRAME, "peak_id", *names, "status"])
-
-    both = peaks.select(*own, "peak_id", "x", "y").join(frames, own)
-    return both.mapInPandas(run, ", ".join(f"{n} int" for n in (*FRAME, "peak_id")) + ", " + ", ".join(f"{n} double" for n in names) + ", status string")
+    told = peaks.select(*own, F.struct(F.col("peak_id").cast("int").alias("peak_id"), F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y")).alias("p")).groupBy(*own).agg(F.collect_list("p").alias("peaks"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            row, number, status, at, windows = [], [], [], [], []
+            for k, (image, own_peaks) in enumerate(zip(_images(batch), batch.column(batch.schema.get_field_index("peaks")), strict=True)):
+                ids, x, y = (own_peaks.values.field(c).to_numpy(zero_copy_only=False) for c in ("peak_id", "x", "y"))
+                x, y = x.astype(float), y.astype(float)
+                there = np.isfinite(x) & np.isfinite(y)
+                r, c = (np.where(there, v, -1).astype(np.int64) for v in (x, y))
+                cut, whole = kernels.patches(image, r, c, radius)
+                row += [k] * len(ids)
+                number += own_peaks.values.field("peak_id").to_pylist()
+                status.append(np.where(~there, "failed", np.where(whole, "ok", "clipped")))
+                at.append(np.column_stack([r, c]))
+                windows.append(cut)
+            state = np.concatenate(status) if status else np.zeros(0, "<U7")
+            fits = np.flatnonzero(state == "ok")
+            fitted = np.full((len(state), 7), np.nan)
+            if len(fits):
+                place = np.concatenate(at)[fits]
+                p, ok = kernels.fit_patches(np.concatenate(windows), place[:, 0], place[:, 1], legacy_grid=legacy_grid)
+                fitted[fits[ok]] = p[ok]
+                state[fits[~ok]] = "failed"
+            of = [batch.column(batch.schema.get_field_index(c)).take(pa.array(row, pa.int64())) for c in FRAME]
+            values = [pa.array(np.ascontiguousarray(v), mask=state != "ok") for v in fitted.T]
+            yield pa.RecordBatch.from_arrays([*of, pa.array(number, pa.int32()), *values, pa.array(state.tolist(), pa.string())], names=[*FRAME, "peak_id", *names, "status"])
+
+    both = frames.select(*FRAME, "height", "width", "pixels").join(told, own)
+    return both.mapInArrow(run, ", ".join(f"{n} int" for n in (*FRAME, "peak_id")) + ", " + ", ".join(f"{n} double" for n in names) + ", status string")
 
 
 def count_channels(frames: DataFrame) -> DataFrame:
