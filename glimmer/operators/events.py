@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from glimmer.operators.columns import in_order
 from glimmer.operators.groups import KEY, ORDER, STATE, VALUE
 from glimmer.operators.ordered import dealt, previous, running
+from glimmer.sources.shared import dropped, written
 
 
 def half_change(key: str = KEY, state: str = STATE, order: str = ORDER) -> Column:
@@ -116,47 +117,85 @@ def dwell_sem(pulses_: DataFrame, key: str = KEY) -> DataFrame:
     return pulses_.groupBy("state", key).agg(F.avg("dur").alias("m")).groupBy("state").agg(F.avg("m").alias("mean"), (F.stddev_samp("m") / F.sqrt(F.count("m"))).alias("sem"))
 
 
-def _quartiles(value: str, n: str) -> list[Column]:
-    """Quartiles from counts by value, so equal values are added up before they meet."""
-    return [F.percentile(value, q, F.col(n)) for q in (0.25, 0.75)]
+#: Bins into which a round of the search for a quantile parts what is left.
+PARTED = 4096
+
+
+def quantiles(df: DataFrame, value: str, shares: dict[str, float], by: list[str] | None = None) -> DataFrame:
+    """Exact quantiles by name, of all rows or by group, between neighbouring values in proportion; null, NaN and infinite values are left out.
+
+    Rounds of bin counts find each of the two neighbours: what lies in the bin that holds it, from its least to its largest
+    value, is the range of the next round, until that is one value. So values are never sorted, shuffled or gathered; the
+    table is read once a round, of which few are needed, so it should be one that is written. Without rows there are none.
+    """
+    by = by or []
+    rows = df.select(*by, F.col(value).cast("double").alias("_v")).where(F.abs("_v") < float("inf"))
+    sizes = rows.groupBy(*by).agg(F.min("_v").alias("low"), F.max("_v").alias("high"), F.count(F.lit(1)).alias("n")).where("n > 0")
+    place = lambda q: (F.col("n") - 1) * F.lit(float(q))
+    wanted = F.explode(F.array_distinct(F.array(*[f(place(q)).cast("long") for q in shares.values() for f in (F.floor, F.ceil)]))).alias("rank")
+    state = written(sizes.select(*by, "n", wanted, F.lit(0).cast("long").alias("below"), "low", "high"))
+    own = [*by, "rank"]
+    while not state.where("low < high").isEmpty():
+        open_ = state.where("low < high")
+        met = rows.join(open_, by) if by else rows.join(F.broadcast(open_))  # without groups it is a row for each rank
+        reach = F.col("high") - F.col("low")
+        # by halves where the range itself is beyond the largest double
+        share = F.when(reach < float("inf"), F.try_divide(F.col("_v") - F.col("low"), reach)).otherwise(F.try_divide(F.col("_v") / 2 - F.col("low") / 2, F.col("high") / 2 - F.col("low") / 2))
+        bin_ = F.least(F.floor(share * PARTED), F.lit(PARTED - 1))
+        bins = met.where(F.col("_v").between(F.col("low"), F.col("high"))).groupBy(*own, "below", bin_.alias("bin")).agg(F.count(F.lit(1)).alias("k"), F.min("_v").alias("lo"), F.max("_v").alias("hi"))
+        upto = F.col("below") + F.coalesce(F.sum("k").over(Window.partitionBy(*own).orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # PARTED rows at most
+        holds = bins.withColumn("upto", upto).where((F.col("upto") <= F.col("rank")) & (F.col("rank") < F.col("upto") + F.col("k"))).select(*own, "upto", "lo", "hi")
+        new = written(state.join(holds, own, "left").select(*by, "n", "rank", F.coalesce("upto", "below").alias("below"), F.coalesce("lo", "low").alias("low"), F.coalesce("hi", "high").alias("high")))
+        dropped(state)
+        state = new
+    at = lambda f, q: F.max(F.when(F.col("rank") == f(place(q)), F.col("low")))
+    ends = {n: (at(F.floor, q), at(F.ceil, q), F.max(place(q) - F.floor(place(q)))) for n, q in shares.items()}
+    return state.groupBy(*by).agg(*[(lo + (hi - lo) * part).alias(n) for n, (lo, hi, part) in ends.items()]) if by else state.groupBy("n").agg(*[(lo + (hi - lo) * part).alias(n) for n, (lo, hi, part) in ends.items()]).drop("n")
+
+
+_QUARTILES = {"_q1": 0.25, "_q3": 0.75}
 
 
 def fd_bin_width(pulses_: DataFrame, key: str = KEY) -> DataFrame:
-    """state and the Freedman-Diaconis bin width of the groups' mean durations."""
-    each = pulses_.groupBy("state", key).agg(F.avg("dur").alias("m")).groupBy("state", "m").agg(F.count(F.lit(1)).alias("n"))
-    low, high = _quartiles("m", "n")
-    return each.groupBy("state").agg((F.lit(2.0) * (high - low) / F.pow(F.sum("n").cast("double"), F.lit(1.0 / 3))).alias("width"))
+    """state and the Freedman-Diaconis bin width of the groups' mean durations, which are written as quartiles read them in rounds."""
+    each = written(pulses_.groupBy("state", key).agg(F.avg("dur").alias("m")))
+    sizes = each.groupBy("state").agg(F.count("m").alias("n"))
+    width = F.lit(2.0) * (F.col("_q3") - F.col("_q1")) / F.pow(F.col("n").cast("double"), F.lit(1.0 / 3))
+    return sizes.join(quantiles(each, "m", _QUARTILES, ["state"]), "state", "left").select("state", width.alias("width"))
 
 
 def histogram(df: DataFrame, value: str = VALUE, bins: int | str = 100, by: list[str] | None = None) -> DataFrame:
     """bin (0, 1, ...), left (its lower end), n, density over equal bins from least to largest, of all rows or by group; the last bin is closed.
 
     ``bins``: a number, 'sqrt' (the root of the number of values) or 'fd' (as many as reach over the range at the
-    Freedman-Diaconis width); one where that is none. Null values are left out.
+    Freedman-Diaconis width); one where that is none. Null values are left out. A first pass finds the ranges, a second
+    counts, with counts by bin added up before they are shuffled: the table is read twice ('fd': more often), so it should
+    be one that is written where it is dear. The ranges, a row a group, are written; Spark broadcasts them while they are few.
     """
     by = by or []
-    counts = df.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count(F.lit(1)).alias("_n"))
-    span = [F.min(value).alias("low"), F.max(value).alias("high"), F.sum("_n").alias("total")]
+    rows = df.where(F.col(value).isNotNull()).select(*by, F.col(value).alias("_v"))
+    spans = rows.groupBy(*by).agg(F.min("_v").alias("low"), F.max("_v").alias("high"), F.count(F.lit(1)).alias("total")).where("total > 0")
     reach = F.col("high") - F.col("low")
     if bins == "fd":
-        span += [q.alias(a) for q, a in zip(_quartiles(value, "_n"), ("_q1", "_q3"), strict=True)]
+        quarters = quantiles(rows, "_v", _QUARTILES, by)
+        spans = spans.join(quarters, by, "left") if by else spans.join(F.broadcast(quarters), how="left")  # without groups it is one row
         wanted = F.ceil(F.try_divide(reach, F.lit(2.0) * (F.col("_q3") - F.col("_q1")) / F.pow(F.col("total").cast("double"), F.lit(1.0 / 3))))
     else:
         wanted = F.floor(F.sqrt("total")) if bins == "sqrt" else F.lit(int(bins))
-    spans = counts.groupBy(*by).agg(*span).select(*by, "low", "high", "total", F.greatest(F.coalesce(wanted, F.lit(1)), F.lit(1)).cast("long").alias("bins"))
-    placed = counts.join(spans, by) if by else counts.join(F.broadcast(spans))  # without groups it is one row
+    spans = written(spans.select(*by, "low", "high", "total", F.greatest(F.coalesce(wanted, F.lit(1)), F.lit(1)).cast("long").alias("bins")))
+    placed = rows.join(spans, by) if by else rows.join(F.broadcast(spans))  # without groups it is one row
     width = reach / F.col("bins")
-    bin_ = F.coalesce(F.least(F.floor(F.try_divide(F.col(value) - F.col("low"), width)), F.col("bins") - 1), F.lit(0)).cast("long")
-    counted = placed.groupBy(*by, bin_.alias("bin"), "low", "high", "total", "bins").agg(F.sum("_n").alias("n"))
+    bin_ = F.coalesce(F.least(F.floor(F.try_divide(F.col("_v") - F.col("low"), width)), F.col("bins") - 1), F.lit(0)).cast("long")
+    counted = placed.groupBy(*by, bin_.alias("bin"), "low", "high", "total", "bins").agg(F.count(F.lit(1)).alias("n"))
     return counted.select(*by, "bin", (F.col("low") + F.col("bin") * width).alias("left"), "n", F.try_divide("n", F.col("total") * width).alias("density"))
 
 
 def dwell_histogram(pulses_: DataFrame, bins: int | str = "fd", key: str = KEY) -> DataFrame:
     """state, bin, left, n, density of the groups' mean durations."""
-    return histogram(pulses_.groupBy("state", key).agg(F.avg("dur").alias("m")), "m", bins, ["state"])
+    return histogram(written(pulses_.groupBy("state", key).agg(F.avg("dur").alias("m"))), "m", bins, ["state"])
 
 
 def tops_before_and_after(before: DataFrame, after: DataFrame, key: str = KEY, value: str = VALUE) -> DataFrame:
     """side ('before', 'after'), bin, left, n, density of the groups' largest values on either side of a filter, by the root rule."""
     tops = lambda df, side: df.where(F.col(key).isNotNull()).groupBy(key).agg(F.max(value).alias("top")).select(F.lit(side).alias("side"), "top")
-    return histogram(tops(before, "before").unionByName(tops(after, "after")), "top", "sqrt", ["side"])
+    return histogram(written(tops(before, "before").unionByName(tops(after, "after"))), "top", "sqrt", ["side"])

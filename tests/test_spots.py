@@ -98,3 +98,22 @@ def test_no_window_over_the_whole_table(spark):
         plan = out._jdf.queryExecution().optimizedPlan().toString()
         whole = [w for w in re.findall(r"windowspecdefinition\(([^,]*)", plan) if " ASC" in w or " DESC" in w]  # no column before the order
         assert all(w.startswith("_part#") for w in whole)
+
+
+@pytest.mark.parametrize("values", [[1.0], [3.0] * 50, list(range(101)), [-1e308, 1e308, 0.0, 5e-324], [1.0 + k * 2**-52 for k in range(40)] + [1e9], "random"])
+def test_exact_quantiles_without_sorting(spark, values):
+    import numpy as np
+
+    values = np.random.default_rng(3).normal(size=999).tolist() if values == "random" else [float(v) for v in values]
+    rows = [("a", v) for v in values] + [("b", 2.0 * v) for v in values[:3] if abs(v) < 1e300] + [("c", None), ("a", None), ("a", float("nan"))]
+    df = spark.createDataFrame(rows, "g string, v double").repartition(3)
+    shares = {"low": 0.25, "half": 0.5, "high": 0.75, "top": 1.0}
+    got = {r["g"]: [r[n] for n in shares] for r in events.quantiles(df, "v", shares, ["g"]).collect()}
+    for g in ("a", "b"):
+        own = np.sort([v for n, v in rows if n == g and v is not None and not np.isnan(v)])
+        at = [(len(own) - 1) * q for q in shares.values()]
+        want = [own[int(np.floor(p))] + (own[int(np.ceil(p))] - own[int(np.floor(p))]) * (p - np.floor(p)) for p in at] if len(own) else None
+        assert got.get(g) == want
+    assert "c" not in got and events.quantiles(df.where("g = 'c'"), "v", shares).count() == 0
+    whole = events.quantiles(df.where("g = 'a'"), "v", shares).collect()
+    assert [whole[0][n] for n in shares] == got["a"]
