@@ -10,7 +10,9 @@ window (at first by how much more often sentences of toxic documents have it, th
 machine is fitted to those, each as often as it is named, against windows of other documents, among them those it
 scored highest before. Landmarks (some of these windows) map a window to a few hundred numbers. As the decision is linear
 in a window's subsequences, the landmarks' weights fold into one table of a weight per subsequence, so every window of a
-whole text is scored by table look-ups. A document's score is the logistic of its highest window, fitted to the labels.
+whole text is scored by table look-ups. A document's score is a logistic, fitted to the labels, of its second highest
+window and of how far the highest lies beyond what nearly all other documents reach: a single window that only resembles
+an insult is common, two in a text are not.
 """
 
 from __future__ import annotations
@@ -38,8 +40,8 @@ REACH, DECAY, COST = 7, 0.5, 4.0
 #: Letters alone side by side, from so many on, are one window.
 ALONE = 4
 THRESHOLD = 0.5
-#: Steps that window scores are counted in to fit the logistic.
-STEPS, SPAN = 50, 40
+#: Steps a unit that window scores are counted in to fit the logistic, and their bounds; the share of other documents that the highest window of one has to surpass to count.
+STEPS, SPAN, REACHED = 10, 20, 0.99
 #: Symbols: white space and marks (0), letters, digits (27), and letters of two bytes by their second byte (28 to 31); other bytes are left out.
 _SYMBOLS = 32
 _FOLD = np.zeros(256, np.int32)
@@ -159,15 +161,17 @@ def inserted(word: bytes) -> list[bytes]:
     return [b".".join(letters), b" ".join(letters), b"".join(letters[:half]) + b"*" + b"".join(letters[half:]), b"".join(letters[:half]) + b"-x" + b"".join(letters[half:])]
 
 
-def learn(named: dict[str, float], good: list[str], hard: list[list[str]]) -> tuple[np.ndarray, float]:
-    """A weight for each subsequence, and the bias, from named windows and how often they are; ``hard`` has, for each earlier round, the good windows that scored highest."""
+def learn(named: dict[str, float], good: list[str], hard: list[dict[str, float]]) -> tuple[np.ndarray, float]:
+    """A weight for each subsequence, and the bias, from named windows and how often they are; ``hard`` has, for each earlier round, the good windows that scored highest and in how many sentences of other documents they are."""
     often = sorted(named, key=lambda w: (-named[w], w))
     varied = [(v, named[s] / 4) for s in often[:INSERTED] for v in inserted(s.encode())]
     bad = [s.encode() for s in often] + [v for v, _ in varied]
-    marks = [s.encode() for s in [*often[: LANDMARKS // 2], *(w for words in hard for w in words[: LANDMARKS // 8]), *good]]
+    marks = [s.encode() for s in [*often[: LANDMARKS // 2], *(w for words in hard for w in list(words)[: LANDMARKS // 8]), *good]]
     known, phi, root = landmarks_map(list(dict.fromkeys(marks))[:LANDMARKS])
-    clean = [g.encode() for g in dict.fromkeys([*good, *(w for words in hard for w in words)])]
-    times = np.array([named[s] for s in often] + [t for _, t in varied] + [1.0] * len(clean))
+    # a window that many other documents have would be wrong in as many, so it counts as often
+    others = dict.fromkeys(good, 1.0) | {w: n for words in hard for w, n in words.items()}
+    clean = [g.encode() for g in others]
+    times = np.array([named[s] for s in often] + [t for _, t in varied] + list(others.values()))
     w = svm(mapped(bad + clean, known, phi, root), np.array([1.0] * len(bad) + [-1.0] * len(clean)), times)
     weights = np.zeros(_SYMBOLS**4, np.float32)
     weights[known] = (root @ w[:-1]) @ phi
@@ -178,42 +182,53 @@ _EDGES = " .,;:!?\"'()[]{}|#*%&$-_/"
 
 
 def highest(column: pa.Array, weights: np.ndarray, bias: float) -> np.ndarray:
-    """The decision on the highest window of each text of a column."""
+    """The decisions on the two highest windows of each text of a column, each place in a text for itself; that on white space where there are fewer."""
     parts = pc.ascii_split_whitespace(pc.fill_null(column, ""))
     first = np.asarray(parts.offsets).astype(np.int64)
     coded, first = parts.flatten().dictionary_encode(), first - first[0]
     codes = np.asarray(coded.indices).astype(np.int64)
     windows = pc.utf8_trim(coded.dictionary, characters=_EDGES).cast(pa.binary()).to_pylist()
     score = np.where([len(w) > 0 for w in windows], decisions(windows, weights, bias), -np.inf)
-    top = np.maximum.reduceat(np.append(score[codes], -np.inf), first[:-1])
-    top[np.diff(first) == 0] = -np.inf
+    of = np.repeat(np.arange(len(first) - 1), np.diff(first))
+    each, out = score[codes], np.full((len(first) - 1, 2), -np.inf)
+    for rank in (0, 1):
+        np.maximum.at(out[:, rank], of, each)
+        top = np.flatnonzero(each == out[of, rank])
+        each[top[np.unique(of[top], return_index=True)[1]]] = -np.inf
     # letters that stand alone, of any number of bytes; marks between them are passed over, and a run ends with its text
     letters = np.fromiter((len(w.decode()) for w in windows), np.int64, len(windows))[codes]
     told = np.flatnonzero(letters > 0)
-    text = np.repeat(np.arange(len(first) - 1), np.diff(first))[told]
+    text = of[told]
     run = np.where(letters[told] == 1, text, -1)
     edges = np.concatenate([[0], np.flatnonzero(np.diff(run)) + 1, [len(run)]])
     runs = [(a, b) for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True) if b - a >= ALONE and run[a] >= 0]
     if runs:
         extra = decisions([b"".join(windows[k] for k in codes[told[a:b]]) for a, b in runs], weights, bias)
-        np.maximum.at(top, run[[a for a, _ in runs]], extra)
-    return np.where(np.isfinite(top), top, decisions([b""], weights, bias)[0])
-
-
-def logistic(x: np.ndarray, y: np.ndarray, n: np.ndarray) -> tuple[float, float]:
-    """Slope (not falling) and intercept of the share of y at x, n counted rows each, by Newton steps with a small ridge."""
-    a, b = 1.0, 0.0
-    for _ in range(100):
-        p = 1 / (1 + np.exp(-np.clip(a * x + b, -30, 30)))
-        g = np.array([((p - y) * n * x).sum() + 0.02 * a, ((p - y) * n).sum() + 0.002 * b])
-        v = p * (1 - p) * n
-        h = np.array([[(v * x * x).sum() + 0.02, (v * x).sum()], [(v * x).sum(), v.sum() + 0.002]])
-        step = np.linalg.solve(h, g)
-        step *= min(1.0, 2.0 / max(1e-9, np.abs(step).max()))
-        a, b = a - step[0], b - step[1]
-        if np.abs(step).max() < 1e-8:
-            break
-    return max(a, 0.0), b
+        for k, v in zip([run[a] for a, _ in runs], extra.tolist(), strict=True):
+            out[k] = sorted([*out[k], v], reverse=True)[:2]
+    return np.where(np.isfinite(out), out, decisions([b""], weights, bias)[0])
+
+
+def logistic(x: np.ndarray, y: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, float]:
+    """Slopes (none falling) and intercept of the share of y at the rows of x, n counted rows each, by Newton steps with a small ridge."""
+    x = np.column_stack([x, np.ones(len(x))])
+    k = x.shape[1] - 1
+    ridge = np.append(np.full(k, 0.02), 0.002)
+    w, used = np.append(np.ones(k), 0.0), np.ones(k + 1, bool)
+    while True:
+        for _ in range(100):
+            p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
+            g = x.T @ ((p - y) * n) + ridge * w
+            h = (x * (p * (1 - p) * n)[:, None]).T @ x + np.diag(ridge)
+            step = np.linalg.solve(h[np.ix_(used, used)], g[used])
+            step *= min(1.0, 2.0 / max(1e-9, np.abs(step).max()))
+            w[used] -= step
+            if np.abs(step).max() < 1e-8:
+                break
+        falling = used & np.append(w[:k] < 0, False)
+        if not falling.any():
+            return w[:k], float(w[k])
+        w[falling], used[falling] = 0.0, False  # without these
 
 
 def sentence_windows(text: str) -> list[set[str]]:
@@ -284,7 +299,7 @@ def train(docs: DataFrame, labels: DataFrame) -> tuple[np.ndarray, float] | None
             if turn:
                 dropped(scored)
             scored = now
-            hard.append([r["word"] for r in scored.where("good > 0 and score > -1").orderBy(F.desc("score"), "word").limit(OTHERS).collect()])
+            hard.append({r["word"]: float(r["good"]) for r in scored.where("good > 0 and score > -1").orderBy(F.desc("score"), "word").limit(OTHERS).collect()})
     dropped(ids, windows, counts, words, scored, bags)
     return weights, bias
 
@@ -298,47 +313,73 @@ def _scored(weights: np.ndarray, bias: float):
 
 
 def _tops(docs: DataFrame, weights, bias: float) -> DataFrame:
-    """doc_id and the decision on the highest window of each row's text."""
+    """doc_id and the decisions on the two highest windows of each row's text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sliced(batches, "text"):
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(highest(batch.column(1), weights.value, bias))], names=["doc_id", "top"])
+            top = highest(batch.column(1), weights.value, bias)
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(np.ascontiguousarray(t)) for t in top.T)], names=["doc_id", "top", "second"])
+
+    return cut(docs.mapInArrow(run, "doc_id long, top double, second double"))
+
+
+class Score:
+    """The logistic of the two highest windows."""
+
+    def __init__(self, reached: float, slopes: np.ndarray, intercept: float) -> None:
+        self.reached, self.slopes, self.intercept = reached, slopes, intercept
+
+    def of(self, tops: np.ndarray) -> np.ndarray:
+        beyond = np.maximum(tops[:, 0] - self.reached, 0.0)
+        return 1 / (1 + np.exp(-np.clip(self.slopes[0] * tops[:, 1] + self.slopes[1] * beyond + self.intercept, -700, 700)))
+
+    def column(self):
+        beyond = F.greatest(F.col("top") - F.lit(self.reached), F.lit(0.0))
+        return F.lit(1.0) / (F.lit(1.0) + F.exp(-(F.lit(float(self.slopes[0])) * F.col("second") + F.lit(float(self.slopes[1])) * beyond + F.lit(self.intercept))))
+
 
-    return cut(docs.mapInArrow(run, "doc_id long, top double"))
+def fitted(counts: list[tuple[float, float, float, float]], model: bool) -> Score:
+    """The score fitted to counts: steps of the highest and the second window, rows and toxic ones there. Where nothing was learnt, or a class is missing, it is the labels' smoothed share."""
+    top, second, n, bad = np.array(counts, float).reshape(-1, 4).T
+    if not model or not bad.sum() or bad.sum() == n.sum():
+        return Score(0.0, np.zeros(2), float(np.log((bad.sum() + 1) / (n.sum() - bad.sum() + 1))))
+    order = np.argsort(top, kind="stable")
+    good = np.cumsum((n - bad)[order])
+    reached = top[order][np.searchsorted(good, REACHED * good[-1])] / STEPS
+    slopes, intercept = logistic(np.column_stack([second / STEPS, np.maximum(top / STEPS - reached, 0.0)]), bad / n, n)
+    return Score(float(reached), slopes, intercept)
 
 
 def _learnt(docs: DataFrame, labels: DataFrame, modulus: int, held: int):
-    """The shared weights and the bias, the logistic's slope and intercept, and all rows' highest windows."""
+    """The shared weights and the bias, the score, and all rows' highest windows."""
     docs = without(docs, "doc_id", "text").withColumn("doc_id", F.col("doc_id").cast("long"))
     labels = labels_of(labels, "toxic").where(crc_remainder(F.col("doc_id"), modulus) != held)
     model = train(docs, labels)
     weights, bias = model if model else (np.zeros(_SYMBOLS**4, np.float32), 0.0)
     shared = docs.sparkSession.sparkContext.broadcast(weights)  # one number for each subsequence, 4 MB
     tops = _tops(docs, shared, bias)
-    step = F.round(F.least(F.greatest("top", F.lit(-float(SPAN))), F.lit(float(SPAN))) * STEPS).cast("long")
-    counted = tops.join(labels, "doc_id").groupBy(step.alias("step")).agg(F.count(F.lit(1)).alias("n"), F.sum("y").alias("bad")).collect()  # 2 * SPAN * STEPS + 1 rows at most
-    x, n, bad = (np.array([r[k] for r in counted], float) for k in ("step", "n", "bad"))
-    a, b = logistic(x / STEPS, bad / n, n) if len(counted) and model else (0.0, float(np.log((bad.sum() + 1) / (n.sum() - bad.sum() + 1))))
-    return shared, bias, a, b, tops
+    step = lambda c: F.round(F.least(F.greatest(c, F.lit(-float(SPAN))), F.lit(float(SPAN))) * STEPS).cast("long")
+    counted = tops.join(labels, "doc_id").groupBy(step("top").alias("top"), step("second").alias("second")).agg(F.count(F.lit(1)).alias("n"), F.sum("y").alias("bad")).collect()  # (2 * SPAN * STEPS + 1) ** 2 / 2 rows at most
+    return shared, bias, fitted([tuple(r) for r in counted], model is not None), tops
 
 
 def clean_documents(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, modulus: int = 5, held: int = 0) -> DataFrame:
     """The rows of ``docs`` that score below ``threshold``, with all columns; each row is judged by its own text, a null one as empty."""
-    weights, bias, a, b, tops = _learnt(docs, labels, modulus, held)
+    weights, bias, score, tops = _learnt(docs, labels, modulus, held)
     dropped(tops)
-    return rows_where(docs, lambda text: 1 / (1 + np.exp(-np.clip(a * highest(text, weights.value, bias) + b, -700, 700))) < threshold)
+    return rows_where(docs, lambda text: score.of(highest(text, weights.value, bias)) < threshold)
 
 
 def toxicity_scores(docs: DataFrame, labels: DataFrame, modulus: int = 5, held: int = 0) -> DataFrame:
     """doc_id, held_out, score (0 to 1, that the toxic label is 1), one row for each row.
 
-    Labels of ids whose crc32 modulo ``modulus`` is ``held`` are not learnt from. Null and empty texts are scored as a
-    window of white space; repeated rows get equal scores; a null doc_id is scored and never held out. Where the
+    Labels of ids whose crc32 modulo ``modulus`` is ``held`` are not learnt from. Null and empty texts are scored as
+    windows of white space; repeated rows get equal scores; a null doc_id is scored and never held out. Where the
     labelled rows lack a class, or a class has no word, every score is the labels' smoothed share. Extra columns are ignored.
     """
-    _, _, a, b, tops = _learnt(docs, labels, modulus, held)
+    _, _, score, tops = _learnt(docs, labels, modulus, held)
     held_out = F.coalesce(crc_remainder(F.col("doc_id"), modulus) == held, F.lit(False))
-    return tops.select("doc_id", held_out.alias("held_out"), (F.lit(1.0) / (F.lit(1.0) + F.exp(-(F.lit(a) * F.col("top") + F.lit(b))))).alias("score"))
+    return tops.select("doc_id", held_out.alias("held_out"), score.column().alias("score"))
 
 
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
