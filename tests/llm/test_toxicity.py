@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
+import itertools
+import math
+import re
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pytest
 
 from glimmer.llm import toxicity
+from glimmer.llm.common import table
+from tests.conftest import SMALL
 
 INSULTS = ["idiot", "moron", "stupid", "pathetic"]
 PARTS = ["er", "an", "th", "in", "ou", "es"]
