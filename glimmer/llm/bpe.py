@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+from array import array
 from collections.abc import Iterator
 
 import ahocorasick
@@ -28,6 +29,8 @@ VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 
 #: Slots of the table of known neighbours, and pairs that are remembered beside it.
 _SLOTS, _PAIRS = 1 << 19, 200_000
+#: Pieces that are left to go on one by one, once the others that they went beside have ended.
+_ALONE = 8
 _SPACE = regex.compile(r"\s")
 
 
@@ -71,6 +74,7 @@ class Encoder(Vocabulary):
         self.shorter = np.full(width, -1, np.int64)
         for t, r in reached.items():
             self.shorter[r] = next((reached[t[:k]] for k in range(len(t) - 1, 0, -1) if t[:k] in reached), -1)
+        self.size_list, self.shorter_list = array("i", self.sizes.astype(np.int32).tobytes()), array("i", self.shorter.astype(np.int32).tobytes())
 
     def _last_merge(self, token: bytes) -> tuple[int, int] | None:
         """The two tokens that merging joins last to make ``token``; None for a byte, (-1, -1) if merging never makes it."""
@@ -123,6 +127,30 @@ class Encoder(Vocabulary):
             self.slot_keys[taken], self.slot_fits[taken] = keys[rest[one]], out[rest[one]]
         return out
 
+    def _walk(self, longest: np.ndarray, is_open: np.ndarray, stack: list[int], at: int, token: int) -> list[int]:
+        """The tokens of one piece from where it stands on, by the same steps as :meth:`pieces` takes: for the few that are much longer than all others, where steps side by side would cost more than they share."""
+        longest, is_open, end = array("i", longest.astype(np.int32).tobytes()), bytearray(is_open.astype(np.uint8).tobytes()), len(longest) - 1
+        sizes, shorter, beside = self.size_list, self.shorter_list, self.beside
+        while at < end:
+            to = at + sizes[token]
+            fits = is_open[to]
+            if fits and stack:
+                key = stack[-1] << 32 | token
+                if (fits := beside.get(key)) is None:
+                    fits = beside[key] = self.compatible(stack[-1], token)
+            if fits:
+                stack.append(token)
+                at, token = to, longest[to]
+            elif shorter[token] >= 0:
+                token = shorter[token]
+            else:
+                is_open[at] = False
+                token = stack.pop()
+                at -= sizes[token]
+        if len(beside) > _PAIRS:
+            beside.clear()
+        return stack
+
     def pieces(self, raws: list[bytes]) -> list[bytes]:
         """The ids of each of many pieces, as bytes. They go side by side, a step of backtracking at a time."""
         out: list[bytes] = [b""] * len(raws)
@@ -145,7 +173,7 @@ class Encoder(Vocabulary):
         is_open, stack = np.ones(len(text), bool), np.zeros(len(text), np.int64)
         at, depth, token, stop = base.copy(), np.zeros(len(todo), np.int64), longest[base], base + sizes
         live = np.arange(len(todo))
-        while len(live):
+        while len(live) > _ALONE:
             here, tok, deep, low = at[live], token[live], depth[live], base[live]
             end = here + self.sizes[tok]
             fits = is_open[end]
@@ -166,6 +194,10 @@ class Encoder(Vocabulary):
             token[go] = stack[low[back] + deep[back] - 1]
             at[go] = here[back] - self.sizes[token[go]]
             live = live[at[live] < stop[live]]
+        for k in live.tolist():
+            low = int(base[k])
+            held = self._walk(longest[low : stop[k] + 1], is_open[low : stop[k] + 1], stack[low : low + depth[k]].tolist(), int(at[k]) - low, int(token[k]))
+            stack[low : low + len(held)], depth[k] = held, len(held)
         ids = stack[ragged(base, depth)].astype("<u4").tobytes()
         ends = (np.cumsum(depth) * 4).tolist()
         for k, a, b in zip(todo, [0, *ends[:-1]], ends, strict=True):
