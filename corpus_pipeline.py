@@ -43,7 +43,11 @@ def dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of all documents, packed into sequences; each row is a document, whatever its doc_id, a null text an empty one."""
+    """The pieces of all documents, packed into sequences; each row is a document, whatever its doc_id, a null text an empty one.
+
+    Repeated rows are documents of their own and packed as often as they come; of equally good cuts the first found is
+    taken. Extra columns are dropped; an empty table gives no rows.
+    """
     return pack(docs).drop("ids")
 
 

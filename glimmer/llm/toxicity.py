@@ -339,10 +339,10 @@ class Score:
 
 
 def fitted(counts: list[tuple[float, float, float, float]], model: bool) -> Score:
-    """The score fitted to counts: steps of the highest and the second window, rows and toxic ones there. Where nothing was learnt, or a class is missing, it is the labels' smoothed share."""
+    """The score fitted to counts: steps of the highest and the second window, rows and toxic ones there. Where nothing was learnt, or a class is missing, it is the labels' smoothed share, a third without labels."""
     top, second, n, bad = np.array(counts, float).reshape(-1, 4).T
     if not model or not bad.sum() or bad.sum() == n.sum():
-        return Score(0.0, np.zeros(2), float(np.log((bad.sum() + 1) / (n.sum() - bad.sum() + 1))))
+        return Score(0.0, np.zeros(2), float(np.log((bad.sum() + 1) / (n.sum() - bad.sum() + 2))))
     order = np.argsort(top, kind="stable")
     good = np.cumsum((n - bad)[order])
     reached = top[order][np.searchsorted(good, REACHED * good[-1])] / STEPS
@@ -375,7 +375,7 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, modulus: int = 5, held:
 
     Labels of ids whose crc32 modulo ``modulus`` is ``held`` are not learnt from. Null and empty texts are scored as
     windows of white space; repeated rows get equal scores; a null doc_id is scored and never held out. Where the
-    labelled rows lack a class, or a class has no word, every score is the labels' smoothed share. Extra columns are ignored.
+    labelled rows lack a class, or a class has no word, every score is the labels' smoothed share (a third without labels, so nothing is rejected). Extra columns are ignored.
     """
     _, _, score, tops = _learnt(docs, labels, modulus, held)
     held_out = F.coalesce(crc_remainder(F.col("doc_id"), modulus) == held, F.lit(False))

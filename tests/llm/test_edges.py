@@ -114,3 +114,21 @@ def test_vector_edges(spark):
     assert all(got[k]["n_links"] == 0 and got[k]["kept"] for k in (4, 5, 6, 7, 8, 9, 10, 12, None))
     assert [got[k]["component_id"] for k in (1, 2, 3, 11, 10)] == [1, 1, 1, 1, 10]
     assert embed.near_vectors(df.limit(0)).count() == 0
+
+
+def test_a_conversation_of_megabytes(spark):
+    long = "word <turn> \\### " * 200_000
+    rows = [(1, k, "user" if k % 2 else "assistant", "again and again") for k in range(5000)] + [(2, 0, "user", long), (2, 1, "assistant", long), (3, 0, "assistant", "short")]
+    got = {r["conv_id"]: r for r in chat.format_conversations(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(3)).collect()}
+    assert chat.read_back(got[2]["formatted"]) == [("user", long), ("assistant", long)]
+    assert len(chat.read_back(got[1]["formatted"])) == got[1]["n_turns"] == 5000 and got[3]["n_turns"] == 1
+
+
+def test_vectors_of_thousands_of_numbers(spark):
+    import numpy as np
+
+    x = np.random.default_rng(6).normal(size=(6, 20_000))
+    x[3] = 3 * x[0] + 0.01
+    rows = [(k, v.tolist()) for k, v in enumerate(x)] + [(9, [1.0, 2.0])]
+    got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in embed.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()}
+    assert got == {0: (1, 0), 3: (1, 0), **{k: (0, k) for k in (1, 2, 4, 5, 9)}}

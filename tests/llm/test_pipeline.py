@@ -86,3 +86,14 @@ def test_run_equals_its_stages(spark):
         docs = corpus_pipeline.cut(stage(spark, docs, SMALL))
     sizes = lambda df: {r["doc_id"]: r["n"] for r in df.groupBy("doc_id").agg(F.sum("length").alias("n")).collect()}
     assert sizes(corpus_pipeline.run(spark, SMALL)) == sizes(docs)
+
+
+def test_run_on_empty_tables(spark, tmp_path):
+    docs, labels = table(spark, SMALL, "documents"), table(spark, SMALL, "labels")
+    for name, d, lab in (("nothing", docs.limit(0), labels.limit(0)), ("unlabelled", docs, labels.limit(0)), ("unwritten", docs.limit(0), labels)):
+        d.write.parquet(f"{tmp_path}/{name}/documents.parquet")
+        lab.write.parquet(f"{tmp_path}/{name}/labels.parquet")
+    assert corpus_pipeline.run(spark, f"{tmp_path}/nothing").count() == corpus_pipeline.run(spark, f"{tmp_path}/unwritten").count() == 0
+    # without labels nothing is known to be bad: what is left are all documents but near-duplicates
+    kept = {r[0] for r in corpus_pipeline.dedup_stage(spark, docs, SMALL).select("doc_id").collect()}
+    assert {r[0] for r in corpus_pipeline.run(spark, f"{tmp_path}/unlabelled").select("doc_id").distinct().collect()} == kept
