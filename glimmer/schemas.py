@@ -8,9 +8,7 @@ from pyspark.sql import functions as F
 IMAGES = "image_id int, filename string, folder string, scene string, dim_order string, meta string"
 FRAMES = "image_id int, t int, c int, z int, height int, width int, pixels array<float>"
 PEAKS = "channel string, peak_id int, x double, y double"
-SPOTS = "peak_id int, amplitude double, xo double, yo double, sigma_x double, sigma_y double, theta double, offset double, status string"
 TRAJECTORIES = "trajectory int, Intensity float, bg float, x bigint, y bigint, slice int"
-BREAKPOINTS = "trajectory int, bkps array<int>"
 
 
 def nulls_for_nans(df: DataFrame) -> DataFrame:

@@ -1,30 +1,41 @@
 """Movies in ``.npy`` and ``.tif`` files, read and written a range of frames at a time.
 
-A Python data source plans a partition for each file and range of frames, so a task reads only its frames' bytes and no
-file has to fit in memory. TIFF files are uncompressed ones of one sample a pixel, of any byte order, classic or BigTIFF,
-in strips; those written here say in their description which frames they hold. Files are opened by Arrow's file systems.
+A Python data source plans a partition for each file and range of frames, which carries where these frames' bytes are: a
+task reads no more than them and no directory again, and no file has to fit in memory. TIFF files have one sample a pixel,
+in any byte order, classic or BigTIFF, in strips or tiles, plain or compressed (deflate, PackBits). Their description can
+tell which image, time, channel and slice a page is: that of files written here, a hyperstack's, or an OME-XML header's,
+whose images (scenes) each become an image. Files are opened by Arrow's file systems, many at once.
 """
 
 from __future__ import annotations
 
+import itertools
 import json
 import os
+import re
 import struct
 import uuid
+import zlib
 from collections.abc import Iterator
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
+from xml.etree import ElementTree
 
 import numpy as np
 import pyarrow as pa
 from pyarrow import fs
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, InputPartition, WriterCommitMessage
 
-from glimmer.schemas import FRAMES
+from glimmer.schemas import FRAMES, IMAGES
 
 #: Frames that a task reads, and that a file written here holds.
 FRAMES_A_TASK, FRAMES_A_FILE = 64, 256
+#: Files whose headers are read at once.
+AT_ONCE = 32
+#: Compressions of TIFF: none, deflate (two numbers for the same), PackBits.
+PLAIN, DEFLATE, PACKBITS = 1, (8, 32946), 32773
 _WIDTHS = {1: "B", 2: "c", 3: "H", 4: "I", 16: "Q"}
 
 
@@ -63,14 +74,52 @@ def five(shape: tuple[int, ...]) -> tuple[int, ...]:
 
 @dataclass(frozen=True)
 class Page:
-    """A page of a TIFF file: its size, type, strips (offset, bytes) and description."""
+    """A page of a TIFF file: its size, type, parts (offset, bytes), their size, compression, whether rows are differences, and description."""
 
     height: int
     width: int
     dtype: str
-    strips: tuple[tuple[int, int], ...]
+    parts: tuple[tuple[int, int], ...]
+    part_height: int
+    part_width: int
+    compression: int
+    differences: bool
     description: str
 
+    def read(self, file) -> np.ndarray:
+        """The page's pixels. Parts lie in rows over the page; those at its right and lower border may reach beyond it (tiles) or end with it (strips)."""
+        out = np.zeros((self.height, self.width), np.dtype(self.dtype).newbyteorder("="))
+        across = -(-self.width // self.part_width)
+        for k, (offset, size) in enumerate(self.parts):
+            row, column = k // across * self.part_height, k % across * self.part_width
+            high = self.part_height if self.part_width != self.width else min(self.part_height, self.height - row)
+            file.seek(offset)
+            data = np.frombuffer(unpacked(file.read(size), self.compression), self.dtype)
+            block = data[: high * self.part_width].reshape(-1, self.part_width)
+            if self.differences:
+                block = np.cumsum(block, axis=1, dtype=out.dtype)
+            end = out[row : row + high, column : column + self.part_width]
+            end[:] = block[: end.shape[0], : end.shape[1]]
+        return out
+
+
+def unpacked(raw: bytes, compression: int) -> bytes:
+    """The bytes of a part of a page."""
+    if compression == PLAIN:
+        return raw
+    if compression in DEFLATE:
+        return zlib.decompress(raw)
+    out, at = bytearray(), 0
+    while at < len(raw):  # a length below 128 and one byte more than that, or the times a byte is repeated
+        n = raw[at]
+        if n < 128:
+            out += raw[at + 1 : at + 2 + n]
+            at += 2 + n
+        else:
+            out += raw[at + 1 : at + 2] * (257 - n if n > 128 else 0)
+            at += 2 if n > 128 else 1
+    return bytes(out)
+
 
 def tiff_pages(file) -> list[Page]:
     """All pages of a TIFF file, from its directories alone."""
@@ -103,12 +152,18 @@ def tiff_pages(file) -> list[Page]:
                 inline = file.read(size)
             tags[tag] = inline[:size] if kind_ == 2 else unpack(f"{many}{_WIDTHS[kind_]}", inline[:size])
         one = lambda tag, usual: tags.get(tag, (usual,))[0]
-        if one(259, 1) != 1 or one(277, 1) != 1 or 273 not in tags:
-            raise ValueError("only uncompressed TIFF strips of one sample a pixel can be read")
+        if one(259, 1) not in (PLAIN, *DEFLATE, PACKBITS) or one(277, 1) != 1 or not {273, 324} & set(tags) or one(317, 1) not in (1, 2):
+            raise ValueError("only TIFF pages of one sample a pixel can be read, plain or compressed by deflate or PackBits")
         code = {1: "u", 2: "i", 3: "f"}[one(339, 1)]
         height, width, bits = one(257, 0), one(256, 0), one(258, 1)
-        strips = tuple(zip(tags[273], tags.get(279, (height * width * bits // 8,)), strict=True))
-        pages.append(Page(height, width, f"{order}{code}{bits // 8}", strips, bytes(tags.get(270, b"")).rstrip(b"\0").decode("utf-8", "replace")))
+        if 324 in tags:
+            parts, part_height, part_width = tuple(zip(tags[324], tags[325], strict=True)), one(323, 0), one(322, 0)
+        else:
+            parts, part_height, part_width = tuple(zip(tags[273], tags.get(279, (height * width * bits // 8,)), strict=True)), min(height, one(278, height)), width
+            if 278 not in tags and len(parts) > 1:
+                part_height = -(-height // len(parts))
+        text = bytes(tags.get(270, b"")).rstrip(b"\0").decode("utf-8", "replace")
+        pages.append(Page(height, width, f"{order}{code}{bits // 8}", parts, part_height, part_width, one(259, 1), one(317, 1) == 2, text))
     return pages
 
 
@@ -135,12 +190,77 @@ def tiff_bytes(frames: list[np.ndarray], description: str) -> bytes:
 
 @dataclass
 class Range(InputPartition):
-    """Some frames of a file: image, first number, and either the array's layout or the pages."""
+    """Some frames of a file: the places (image, t, c, z) of each, and its page, or the first one's number in an array."""
 
     path: str
-    image: int
     start: int
-    stop: int
+    places: list[tuple[int, int, int, int]]
+    pages: list[Page] | None
+
+
+@dataclass(frozen=True)
+class Scene:
+    """An image of a file: its name, order of dimensions and sizes of t, c and z, and what its file tells of it."""
+
+    name: str
+    order: str
+    sizes: tuple[int, int, int]
+    meta: str
+
+    def places(self) -> list[tuple[int, int, int]]:
+        """t, c, z of its pages, the first letter of the order running fastest."""
+        size = dict(zip("TCZ", self.sizes, strict=True))
+        letters = [x for x in self.order if x in size][::-1]
+        every = itertools.product(*(range(size[x]) for x in letters))
+        return [tuple(dict(zip(letters, p, strict=True)).get(x, 0) for x in "TCZ") for p in every]
+
+
+def scenes(pages: list[Page]) -> list[Scene]:
+    """The images of a TIFF file, by its first page's description: a hyperstack's or an OME-XML header's, else one of all pages in time.
+
+    A header that speaks of another number of pages than there are isn't followed.
+    """
+    text = pages[0].description if pages else ""
+    found = []
+    if text.startswith("ImageJ"):
+        told = {k: int(v) for k, v in re.findall(r"^(channels|slices|frames)=(\d+)\s*$", text, re.MULTILINE)}
+        found = [Scene("0", "XYCZT", tuple(told.get(k, 1) for k in ("frames", "channels", "slices")), text)]
+    elif "<OME" in text:
+        try:
+            for k, image in enumerate(e for e in ElementTree.fromstring(text).iter() if e.tag.endswith("}Image") or e.tag == "Image"):
+                p = next(e for e in image if e.tag.endswith("Pixels"))
+                found.append(Scene(image.get("Name") or image.get("ID") or str(k), p.get("DimensionOrder", "XYCZT"), tuple(int(p.get(f"Size{x}", 1)) for x in "TCZ"), ElementTree.tostring(image, encoding="unicode")))
+        except (ElementTree.ParseError, StopIteration, ValueError):
+            found = []
+    if found and sum(int(np.prod(s.sizes)) for s in found) == len(pages):
+        return found
+    return [Scene("0", "XYT", (len(pages), 1, 1), text)]
+
+
+@dataclass(frozen=True)
+class Header:
+    """What is known of a file before its pixels are read: its scenes, and the pages or none for an array; frames that it was written with."""
+
+    path: str
+    scenes: list[Scene]
+    pages: list[Page] | None
+    own: list[list[int]] | None
+
+
+def header(path: str) -> Header:
+    system, own = _open(path)
+    with system.open_input_file(own) as file:
+        if path.lower().endswith(".npy"):
+            shape, dtype, _ = npy_header(file)
+            t, c, z, *_ = five(shape)
+            return Header(path, [Scene("0", "XYZCT", (t, c, z), json.dumps({"shape": shape, "dtype": str(dtype)}))], None, None)
+        pages = tiff_pages(file)
+        return Header(path, scenes(pages), pages, _places(pages))
+
+
+def headers(files: list[str]) -> list[Header]:
+    with ThreadPoolExecutor(AT_ONCE) as pool:
+        return list(pool.map(header, files))
 
 
 class Reader(DataSourceReader):
@@ -149,34 +269,25 @@ class Reader(DataSourceReader):
 
     def partitions(self) -> list[Range]:
         """Ranges of frames of each file; only headers are read here, and of TIFF files their directories."""
-        out = []
-        for image, path in enumerate(self.files):
-            system, own = _open(path)
-            with system.open_input_file(own) as file:
-                n = int(np.prod(five(npy_header(file)[0])[:3])) if path.lower().endswith(".npy") else len(tiff_pages(file))
-            out += [Range(path, image, k, min(n, k + self.step)) for k in range(0, n, self.step)]
+        out, image = [], 0
+        for h in headers(self.files):
+            places = [tuple(p) for p in h.own] if h.own else [(image + k, *p) for k, s in enumerate(h.scenes) for p in s.places()]
+            image += len(h.scenes)
+            out += [Range(h.path, k, places[k : k + self.step], h.pages[k : k + self.step] if h.pages else None) for k in range(0, len(places), self.step)]
         return out
 
     def read(self, part: Range) -> Iterator[pa.RecordBatch]:
         system, own = _open(part.path)
         with system.open_input_file(own) as file:
-            if part.path.lower().endswith(".npy"):
+            if part.pages is None:
                 shape, dtype, begin = npy_header(file)
-                t, c, z, height, width = five(shape)
+                height, width = shape[-2:]
                 file.seek(begin + part.start * height * width * dtype.itemsize)
-                for k in range(part.start, part.stop):
-                    pixels = np.frombuffer(file.read(height * width * dtype.itemsize), dtype)
-                    yield _row(part.image, k // (c * z), k // z % c, k % z, height, width, pixels)
+                for place in part.places:
+                    yield _row(*place, height, width, np.frombuffer(file.read(height * width * dtype.itemsize), dtype))
             else:
-                pages = tiff_pages(file)
-                places = _places(pages)
-                for k in range(part.start, part.stop):
-                    page, raw = pages[k], b""
-                    for offset, size in page.strips:
-                        file.seek(offset)
-                        raw += file.read(size)
-                    image, t, c, z = places[k] if places else (part.image, k, 0, 0)
-                    yield _row(image, t, c, z, page.height, page.width, np.frombuffer(raw, page.dtype))
+                for place, page in zip(part.places, part.pages, strict=True):
+                    yield _row(*place, page.height, page.width, page.read(file).ravel())
 
 
 def _places(pages: list[Page]) -> list[list[int]] | None:
@@ -260,15 +371,61 @@ class Movies(DataSource):
 
 
 def movie_frames(spark: SparkSession, paths: str | list[str], frames_a_task: int = FRAMES_A_TASK) -> DataFrame:
-    """Frames of ``.npy`` and TIFF files, or of all in a folder; image_id numbers the files by path, unless a file tells its frames.
+    """Frames of ``.npy`` and TIFF files, or of all in a folder; image_id numbers the images of the files by path, unless a file tells its frames.
 
-    Arrays are (Y, X), (T, Y, X), (T, C, Y, X) or (T, C, Z, Y, X); the pages of other TIFF files are taken for t.
+    Arrays are (Y, X), (T, Y, X), (T, C, Y, X) or (T, C, Z, Y, X); the pages of a TIFF file that doesn't tell are taken for
+    t. A file that can't be read raises as the frames are planned, before any is read.
     """
     spark.dataSource.register(Movies)
     files = _files([paths] if isinstance(paths, str) else list(paths))
     return spark.read.format("glimmer_movies").option("files", json.dumps(files)).option("step", str(frames_a_task)).load()
 
 
+def movie_images(spark: SparkSession, paths: str | list[str]) -> DataFrame:
+    """image_id, filename, folder, scene, dim_order, meta: a row for each image that ``movie_frames`` makes of the files.
+
+    Files' headers are read in tasks, a file a row; the numbers go on from file to file by a sum over their counts. Images of
+    a file that tells its frames have the numbers it tells.
+    """
+    files = _files([paths] if isinstance(paths, str) else list(paths))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k, path in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                h = header(path)
+                folder, _, name = path.rpartition("/")
+                own = sorted({p[0] for p in h.own}) if h.own else [None] * len(h.scenes)
+                each = [(k, i, len(h.scenes), number, name, folder, *((str(number), "XYZCT", h.pages[0].description) if h.own else (h.scenes[i].name, h.scenes[i].order, h.scenes[i].meta))) for i, number in enumerate(own)]
+                kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), *(pa.string(),) * 5)
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*each, strict=True), kinds, strict=True)], names=["file", "nth", "scenes", "told", "filename", "folder", "scene", "dim_order", "meta"])
+
+    listed = spark.createDataFrame(list(enumerate(files)), "file long, path string").repartition(max(1, min(len(files), 1000)), "file")
+    found = listed.mapInArrow(run, "file long, nth long, scenes long, told long, filename string, folder string, scene string, dim_order string, meta string")
+    # a row a file, whose names the driver has listed
+    before = found.groupBy("file").agg(F.max("scenes").alias("scenes")).select("file", F.coalesce(F.sum("scenes").over(Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
+    columns = [c.split()[0] for c in IMAGES.split(", ")]
+    return found.join(before, "file").withColumn("image_id", F.coalesce("told", F.col("before") + F.col("nth")).cast("int")).select(*columns)
+
+
+def check_paths(paths: str | list[str], write: bool = False) -> list[str]:
+    """Those of the paths that can't be read, or with ``write`` be written to: files and folders that are missing or that this machine may not use.
+
+    Places in a store are only asked whether they are there: what a store allows shows when it is used.
+    """
+    out = []
+    for path in [paths] if isinstance(paths, str) else paths:
+        system, own = _open(path)
+        missing = system.get_file_info(own).type == fs.FileType.NotFound
+        local = isinstance(system, fs.LocalFileSystem)
+        if write and missing and local:  # then the folder it would lie in counts
+            own = os.path.dirname(own)
+            missing = not os.path.isdir(own)
+        need = os.R_OK | (os.W_OK if write else 0) | (os.X_OK if os.path.isdir(own) else 0) if local else 0
+        if missing and not (write and not local) or local and not missing and not os.access(own, need):
+            out.append(path)
+    return out
+
+
 def save_tiff(frames: DataFrame, folder: str, frames_a_file: int = FRAMES_A_FILE) -> None:
     """Frames as BigTIFF files of 32-bit floats in a shared folder, each of ``frames_a_file`` steps of t of an image at most.
 
