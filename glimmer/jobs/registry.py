@@ -704,15 +704,15 @@ MOVIE_SQL = f"""WITH RECURSIVE {SPOT_SQL}, {hmm_sql('traj', MOVIE)}, fitted AS (
 """ + COHEN.removeprefix(TRAJ + ", ").replace("FROM traj", "FROM fitted") + """,
 clear AS (SELECT * FROM fitted WHERE trajectory IN (SELECT trajectory FROM cohen WHERE abs(d) > 1.5)),
 """ + PULSES.removeprefix(TRAJ + ", ").replace("FROM traj", "FROM clear") + """
-SELECT CAST(image_id AS BIGINT) AS image_id, CAST(s.c AS BIGINT) AS c, CAST(peak_c AS BIGINT) AS peak_c, peak_id, p.trajectory, state, count(*) AS n, round(avg(dur), 6) AS dur, round(avg(mean), 4) AS mean FROM pulses AS p JOIN spots AS s ON p.trajectory = s.trajectory GROUP BY ALL"""
+SELECT CAST(image_id AS BIGINT) AS image_id, CAST(s.c AS BIGINT) AS c, CAST(peak_c AS BIGINT) AS peak_c, peak_id, p.trajectory, state, count(*) AS n, round(avg(dur), 6) AS dur, round(avg(mean) + 1e-7, 4) AS mean FROM pulses AS p JOIN spots AS s ON p.trajectory = s.trajectory GROUP BY ALL"""
 
 
 @query(MOVIE_SQL)
 def chain_movie(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """From the pixels of all images and channels to the pulses of every spot."""
+    """From the pixels of all images and channels to the pulses of every spot; means fall on halves, so they are lifted a little before they are rounded."""
     px, spots = movie_spots(spark, sf_dir)
     clear = groups.filter_snr(hmm.decode(frames.roi_integrate(px, spots, 1, 2), MOVIE), 1.5, windowed=True)
-    each = events.pulses(clear).groupBy("trajectory", "state").agg(F.count(F.lit(1)).alias("n"), F.avg("dur").alias("dur"), F.avg("Intensity").alias("mean"))
+    each = events.pulses(clear).groupBy("trajectory", "state").agg(F.count(F.lit(1)).alias("n"), F.avg("dur").alias("dur"), (F.avg("Intensity") + F.lit(1e-7)).alias("mean"))
     out = each.join(spots.select("image_id", "c", "peak_c", "peak_id", "trajectory"), "trajectory")
     return out.select(*long("image_id", "c", "peak_c", "peak_id", "trajectory"), "state", *long("n"), r("dur"), r("mean", 4))
 
