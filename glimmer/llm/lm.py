@@ -428,15 +428,23 @@ def fitted(encoded: DataFrame, head: list[tuple[str, int]], tails: np.ndarray, e
 
 
 def frequent_words(counts: DataFrame) -> dict[str, int]:
-    """Words (word, c) and their counts from some count on, COUNTED at most: a short histogram says from which, and only they are gathered."""
+    """Words (word, c) and their counts from some count on, COUNTED at most: a short histogram says from which, and only they are gathered.
+
+    Where fewer than HEAD words lie above a step of counts that too many share, the first of that step, by count and then
+    by name, make them HEAD.
+    """
     step = F.floor(F.log2(F.col("c").cast("double")) * OCTAVE).cast("int")
-    n, least = 0, None
+    n, least, more = 0, None, False
     for r in sorted(counts.groupBy(step.alias("step")).agg(F.count(F.lit(1)).alias("n")).collect(), key=lambda r: -r["step"]):  # OCTAVE * 64 rows at most
-        n += r["n"]
-        if n > COUNTED:
+        if n + r["n"] > COUNTED:
+            more = True
             break
-        least = r["step"]
-    return {r["word"]: r["c"] for r in counts.where(step >= least).collect()} if least is not None else {}
+        n, least = n + r["n"], r["step"]
+    rows = counts.where(step >= least).collect() if least is not None else []
+    if more and n < HEAD:
+        rest = counts if least is None else counts.where(step < least)
+        rows += rest.orderBy(F.desc("c"), "word").limit(min(HEAD, COUNTED) - n).collect()
+    return {r["word"]: r["c"] for r in rows}
 
 
 def lm_scores(docs: DataFrame, modulus: int = 5, held: int = 1) -> DataFrame:

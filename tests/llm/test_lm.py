@@ -66,3 +66,14 @@ def test_steps_hold_every_token():
     assert np.array_equal(np.concatenate([u for u, _ in got]), units)
     assert max(len(u) for u, _ in got) <= lm.STEP_TOKENS
     assert {0, 10, 15_000, 15_001} <= {int(u[b]) for u, f in got for b in f[:-1]}
+
+
+def test_frequent_words_where_too_many_share_a_count(spark, monkeypatch):
+    monkeypatch.setattr(lm, "HEAD", 3)
+    monkeypatch.setattr(lm, "COUNTED", 5)
+    found = lambda rows: lm.frequent_words(spark.createDataFrame(rows, "word string, c long"))
+    even = [(f"w{k}", 7) for k in range(9)]
+    assert found(even) == {"w0": 7, "w1": 7, "w2": 7}  # the highest step has more than fit: the first by name
+    assert found([*even, ("top", 90)]) == {"top": 90, "w0": 7, "w1": 7}
+    assert found([(f"v{k}", 90) for k in range(4)] + even) == {f"v{k}": 90 for k in range(4)}
+    assert found(even[:4]) == dict(even[:4]) and found([]) == {}
