@@ -66,6 +66,35 @@ def band_keys(shingles: Column, bands: int, rows: int) -> Column:
     return F.array(*[F.xxhash64(F.lit(b), *[least(b * rows + r) for r in range(rows)]) for b in range(bands)])
 
 
+def _windows(own: dict[int, set[int]]) -> Column:
+    """t, low, window, stretch for each window of a text that holds a shingle of a template of t shingles, each window once.
+
+    ``own``: the shingles of the templates of each size; ``hits``: the places of all of them. All is worked out within the text's row, in room that grows with
+    its length, so no shingles are copied for each place or shuffled.
+    """
+    def of_size(t: int, places: Column) -> Column:
+        step, slack = max(1, t // 8), -(-t // 4)
+        # starts of the windows of t shingles that hold the place: multiples of the step
+        lowest = lambda p: F.greatest(F.lit(0), F.ceil((p - t + 1) / step).cast("int"))
+        starts = F.flatten(F.transform(places, lambda p: F.sequence(lowest(p), F.greatest(lowest(p), F.floor(p / step).cast("int")))))
+
+        def window(k: Column) -> Column:
+            start = k * step
+            low = F.greatest(F.lit(0), start - slack)
+            return F.struct(F.lit(t).alias("t"), low.alias("low"), F.slice("shingles", start + 1, t).alias("window"), F.slice("shingles", low + 1, start + t + slack - low).alias("stretch"))
+
+        return F.transform(F.array_distinct(starts), window)
+
+    if not own:
+        return F.array().cast("array<struct<t: int, low: int, window: array<bigint>, stretch: array<bigint>>>")
+    return F.concat(*[of_size(t, _held(own[t], "hits")) for t in sorted(own)])
+
+
+def _held(shingles: set[int], places: str) -> Column:
+    """Those of some places whose shingle is among ``shingles``: one look-up in a hash set for each place."""
+    return F.expr(f"filter({places}, i -> get(shingles, i) in ({', '.join(map(str, sorted(shingles))) or 'null'}))")
+
+
 def scan(docs: DataFrame, templates: DataFrame, words: int = WORDS, percent: int = PERCENT, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """doc_id, license, matched, shingles, first_word: each template that a text holds, with the shingles of the best place.
 
@@ -80,20 +109,13 @@ def scan(docs: DataFrame, templates: DataFrame, words: int = WORDS, percent: int
     total = known.agg(F.sum("t")).collect()[0][0] or 0
     if total > MOST:
         raise ValueError(f"{total} shingles of templates; at most {MOST} go in one call")
-    sizes = F.broadcast(known.select("t", F.explode("own").alias("shingle")).distinct())
+    own: dict[int, set[int]] = {}
+    for r in known.select("t", "own").collect():  # MOST shingles at most
+        own.setdefault(r["t"], set()).update(r["own"])
     keyed = F.broadcast(known.select("license", "t", "own", F.explode(band_keys(F.col("own"), bands, rows)).alias("key")))
     texts = _shingled(without(docs, "doc_id", "text").withColumn("doc_id", F.col("doc_id").cast("long")), words, "doc_id")
-    # of several texts of one doc_id, or of none, each has windows of its own
-    texts = texts.withColumn("row", F.xxhash64("shingles"))
-    hits = texts.select("doc_id", "row", "shingles", F.posexplode("shingles").alias("place", "shingle")).join(sizes, "shingle").select("doc_id", "row", "shingles", "place", "t")
-    step = F.greatest(F.lit(1), F.floor(F.col("t") / 8).cast("int"))
-    # starts of the windows of t shingles that hold the place: multiples of the step, and the last one a text has room for
-    lowest = F.greatest(F.lit(0), F.ceil((F.col("place") - F.col("t") + 1) / step).cast("int"))
-    starts = F.transform(F.sequence(lowest, F.greatest(lowest, F.floor(F.col("place") / step).cast("int"))), lambda k: k * step)
-    at = hits.select("*", F.explode(starts).alias("start")).withColumn("slack", F.ceil(F.col("t") / 4).cast("int"))
-    low = F.greatest(F.lit(0), F.col("start") - F.col("slack"))
-    near = at.select("doc_id", "row", "t", "start", low.alias("low"), F.slice("shingles", F.col("start") + 1, F.col("t")).alias("window"), F.slice("shingles", low + 1, F.col("start") + F.col("t") + F.col("slack") - low).alias("stretch"))
-    near = near.groupBy("doc_id", "row", "t", "start", "low").agg(F.first("window").alias("window"), F.first("stretch").alias("stretch"))
+    texts = texts.withColumn("hits", _held(set().union(*own.values()), "sequence(0, size(shingles) - 1)"))
+    near = texts.select("doc_id", F.explode(_windows(own)).alias("w")).select("doc_id", "w.*")
     found = near.select("doc_id", "t", "low", "stretch", F.explode(band_keys(F.col("window"), bands, rows)).alias("key")).join(keyed, ["t", "key"])
     places = F.filter(F.transform("own", lambda s: F.array_position("stretch", s)), lambda p: p > 0)
     sure = found.select("doc_id", "license", F.size("own").alias("shingles"), "low", places.alias("places")).withColumn("matched", F.size("places"))

@@ -339,6 +339,17 @@ def test_license_places(spark):
     assert got[1, "MIT"]["first_word"] == 500 and got[1, "MIT"]["matched"] == got[1, "MIT"]["shingles"] > got[2, "MIT"]["matched"]
 
 
+def test_license_many_times_in_a_long_text(spark):
+    notice = dict(licenses.NOTICES)["MIT"].split()
+    many = " ".join(["w0 w1 w2 w3 w4 w5", *notice] * 150)
+    df = spark.createDataFrame([(1, many), (1, "MIT alone"), (2, " ".join(notice)), (None, " ".join(notice))], "doc_id long, text string")
+    plan = licenses.scan(df, licenses.notices(spark))
+    got = {(r["doc_id"], r["license"]): (r["first_word"], r["matched"] == r["shingles"]) for r in plan.collect()}
+    assert got == {(1, "MIT"): (6, True), (2, "MIT"): (0, True), (None, "MIT"): (0, True)}
+    text = licenses.scan(df, licenses.notices(spark))._jdf.queryExecution().executedPlan().toString()
+    assert text.count("Exchange hashpartitioning") == 1 and "Python" not in text  # only what matched is shuffled
+
+
 def test_quality_statistics_of_nothing():
     from glimmer.llm.common import flat
 
