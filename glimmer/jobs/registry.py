@@ -576,14 +576,19 @@ def hmm_decode_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hmm.decode(views.trajectories(spark, sf_dir), MODEL, block=25).select(*long("trajectory", "slice", "fit"), r("fit_score", 5), r("fit_posterior", 5).alias("posterior"))
 
 
-def moves_sql() -> str:
+def sums_sql(source: str = "traj", more: str = "") -> str:
+    """CTEs to ``sums`` (name, i, j, v) of a training round over ``source``, which ``more`` may define from traj."""
     l = np.log(MODEL.move)
     each = ", ".join(f"sum(exp(p.f{i} + {l[i, j]} + d.b{j} + d.r{j} - d.total)) AS m{i}{j}" for i in (0, 1) for j in (0, 1))
     names = [f"SELECT 'move' AS name, {i} AS i, {j} AS j, m{i}{j} AS v FROM moves" for i in (0, 1) for j in (0, 1)]
     for name, v in (("w", "g{i}"), ("x", 'g{i} * "Intensity"'), ("xx", 'g{i} * "Intensity" * "Intensity"'), ("start", "CASE WHEN slice = 0 THEN g{i} ELSE 0 END")):
         names += [f"SELECT '{name}', {i}, 0, sum({v.format(i=i)}) FROM decoded" for i in (0, 1)]
     names.append("SELECT 'logl', 0, 0, sum(total) FROM decoded WHERE slice = 0")
-    return f"WITH RECURSIVE {TRAJ}, {hmm_sql('traj')}, moves AS (SELECT {each} FROM decoded AS p JOIN decoded AS d ON p.trajectory = d.trajectory AND d.slice = p.slice + 1), sums AS ({' UNION ALL '.join(names)}) SELECT name, CAST(i AS BIGINT) AS i, CAST(j AS BIGINT) AS j, round(v, 2) AS v FROM sums"
+    return f"WITH RECURSIVE {TRAJ}, {more}{hmm_sql(source)}, moves AS (SELECT {each} FROM decoded AS p JOIN decoded AS d ON p.trajectory = d.trajectory AND d.slice = p.slice + 1), sums AS ({' UNION ALL '.join(names)})"
+
+
+def moves_sql() -> str:
+    return f"{sums_sql()} SELECT name, CAST(i AS BIGINT) AS i, CAST(j AS BIGINT) AS j, round(v, 2) AS v FROM sums"
 
 
 @query(moves_sql())
@@ -619,7 +624,7 @@ def hmm_each_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hmm.decode(df, fitted).select(*long("trajectory", "slice", "fit"), r("fit_score", 5))
 
 
-@query(moves_sql().removesuffix(moves_sql()[moves_sql().index(" SELECT name, CAST"):]) + """, w AS (SELECT i, sum(v) FILTER (name = 'x') / sum(v) FILTER (name = 'w') AS mean, sum(v) FILTER (name = 'xx') / sum(v) FILTER (name = 'w') AS square FROM sums WHERE name IN ('w', 'x', 'xx') GROUP BY 1)
+@query(sums_sql() + """, w AS (SELECT i, sum(v) FILTER (name = 'x') / sum(v) FILTER (name = 'w') AS mean, sum(v) FILTER (name = 'xx') / sum(v) FILTER (name = 'w') AS square FROM sums WHERE name IN ('w', 'x', 'xx') GROUP BY 1)
 SELECT CAST(i AS BIGINT) AS state, round(mean, 5) AS mean, round(square - mean * mean, 3) AS variance FROM w""")
 def hmm_retrain(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Means and variances of MODEL learnt anew over all trajectories in one round, its moves and start kept."""
@@ -629,6 +634,29 @@ def hmm_retrain(spark: SparkSession, sf_dir: str) -> DataFrame:
     return df.agg(F.count(F.lit(1)).alias("rows")).select(F.inline(each)).select(*long("state"), r("mean", 5), r("variance", 3))
 
 
+def states_table(df: DataFrame, m: hmm.Hmm) -> DataFrame:
+    """A model's states on the row of a count over ``df``."""
+    each = F.array(*[F.struct(F.lit(i).alias("state"), F.lit(float(m.start[i])).alias("start"), F.lit(float(m.means[i])).alias("mean"), F.lit(float(m.variances[i])).alias("variance"), F.lit(float(m.move[i, i])).alias("stay")) for i in range(len(m.means))])
+    return df.agg(F.count(F.lit(1)).alias("rows")).select(*long("rows"), F.inline(each)).select("rows", *long("state"), r("start", 5), r("mean", 5), r("variance", 3), r("stay", 5))
+
+
+@query(sums_sql("half", "half AS (SELECT * FROM traj WHERE substr(md5(CAST(trajectory AS VARCHAR) || ':7'), 1, 8) < '80000000'), ") + """, w AS (SELECT i, sum(v) FILTER (name = 'w') AS w, sum(v) FILTER (name = 'x') / sum(v) FILTER (name = 'w') AS mean, sum(v) FILTER (name = 'xx') / sum(v) FILTER (name = 'w') AS square, sum(v) FILTER (name = 'start') AS start, sum(v) FILTER (name = 'move' AND j = i) / sum(v) FILTER (name = 'move') AS stay FROM sums WHERE name <> 'logl' GROUP BY 1)
+SELECT (SELECT count(*) FROM half) AS rows, CAST(i AS BIGINT) AS state, round(start / (SELECT sum(start) FROM w), 5) AS start, round(mean, 5) AS mean, round(square - mean * mean, 3) AS variance, round(stay, 5) AS stay FROM w""")
+def hmm_train_sampled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """MODEL after a round over half of the trajectories."""
+    df = views.trajectories(spark, sf_dir)
+    m, _ = hmm.train_hmm(df, MODEL, rounds=1, fraction=0.5, seed=7)
+    return states_table(hmm.sample_groups(df, 0.5, 7), m)
+
+
+@query()
+def hmm_train_legacy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """MODEL after three rounds over all trajectories as one sequence, in blocks."""
+    df = views.trajectories(spark, sf_dir)
+    m, _ = hmm.train_hmm(df, MODEL, rounds=3, legacy=True)
+    return states_table(df, m)
+
+
 #: Garbage out, decode, keep clear and active trajectories, cut into pulses, drop overlong ones, mean durations.
 CHAIN_SQL = f"""WITH RECURSIVE {TRAJ}, tops AS (SELECT trajectory, max("Intensity") AS top, avg("Intensity") AS mean FROM traj GROUP BY 1),
 clean AS (SELECT * FROM traj WHERE trajectory IN (SELECT trajectory FROM tops WHERE top < (SELECT 1.0 * stddev_samp(top) + avg(top) FROM tops) AND mean > 0)),

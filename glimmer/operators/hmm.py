@@ -16,7 +16,7 @@ from glimmer.functions.kernels import fit_each, forward_backward, least_squares,
 from glimmer.functions.whole import POSITION, placed, trajectories
 from glimmer.operators.events import histogram
 from glimmer.operators.groups import KEY, ORDER, VALUE
-from glimmer.operators.ordered import PART, dealt, running_within
+from glimmer.operators.ordered import PART, dealt, numbered, running_within
 from glimmer.sources.shared import written
 
 
@@ -64,8 +64,9 @@ def init_hmm(guess: np.ndarray, stay: float = 0.9) -> Hmm:
 
 
 def sample_groups(df: DataFrame, fraction: float, seed: int = 0, key: str = KEY) -> DataFrame:
-    """The rows of a share of the trajectories, chosen by a hash of the key: the same ones at any partitioning."""
-    return df.where(F.pmod(F.xxhash64(key, F.lit(seed)), F.lit(1_000_000)) < int(fraction * 1_000_000))
+    """The rows of a share of the trajectories, chosen by md5 of key:seed: the same ones at any partitioning, and in other engines. Rows without a key are left out."""
+    below, hashed = int(fraction * 2**32), F.md5(F.concat(F.col(key).cast("string"), F.lit(f":{seed}")))
+    return df.where(F.col(key).isNotNull() if below >= 2**32 else F.substring(hashed, 1, 8) < f"{max(below, 0):08x}")
 
 
 def sample_n_groups(df: DataFrame, n: int, seed: int = 42, key: str = KEY) -> DataFrame:
@@ -91,18 +92,34 @@ def _numbers(batch: pa.RecordBatch | pa.Table, name: str, *shape: int) -> np.nda
     return np.asarray((column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column).flatten(), float).reshape(-1, *shape)
 
 
+#: Rows of a block where none are said and a sequence must not go through one task.
+BLOCK = 8192
+
+
+def concatenated(df: DataFrame, key: str = KEY, value: str = VALUE, order: str = ORDER) -> DataFrame:
+    """All trajectories one after the other, by key and order, as one sequence: its key is 0, its order the row's number over the whole table."""
+    fine = df.select(key, order, value).where(F.col(key).isNotNull() & F.col(value).isNotNull())
+    return numbered(fine, [key, order], "_number").select(F.lit(0).alias(key), F.col("_number").alias(order), value)
+
+
+def blocked(df: DataFrame, block: int, key: str = KEY, value: str = VALUE, order: str = ORDER) -> DataFrame:
+    """The rows of trajectories with a key and a value, each with the number of its block and its position there; written once, for any number of models."""
+    fine = df.where(F.col(key).isNotNull() & F.col(value).isNotNull())
+    counted = running_within(dealt(fine, [key, order]), key, [key, order], {POSITION: F.lit(1).cast("long")}).drop(PART)
+    return written(counted.withColumn("_block", F.floor(F.col(POSITION) / block)).withColumn(POSITION, (F.col(POSITION) % block + 1).cast("int")))
+
+
 def in_blocks(df: DataFrame, model: Hmm, block: int, key: str = KEY, value: str = VALUE, order: str = ORDER) -> DataFrame:
     """The rows of trajectories with a key and a value in blocks of ``block`` rows, with what each has to know of the others (TOLD).
 
     A block is a matrix of log-weights from every state before it to every state at its end, once summed over all paths and
     once for the best path. A scan over a trajectory's matrices, a row a block, forwards and then backwards, tells how each
-    block is entered and left; blocks are then independent, and no task holds more than some of them.
+    block is entered and left; blocks are then independent, and no task holds more than some of them. Rows that come from
+    ``blocked`` are taken as they are.
     """
     k = len(model.means)
     kind = next(f.dataType.simpleString() for f in df.schema if f.name == key)
-    fine = df.where(F.col(key).isNotNull() & F.col(value).isNotNull())
-    counted = running_within(dealt(fine, [key, order]), key, [key, order], {POSITION: F.lit(1).cast("long")}).drop(PART)
-    rows = written(counted.withColumn("_block", F.floor(F.col(POSITION) / block)).withColumn(POSITION, (F.col(POSITION) % block + 1).cast("int")))
+    rows = df if {"_block", POSITION} <= set(df.columns) else blocked(df, block, key, value, order)
     own = [key, "_block"]
 
     def matrices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -175,7 +192,7 @@ def expectations(df: DataFrame, model: Hmm, key: str = KEY, value: str = VALUE,
             name, i, j = zip(*sums, strict=True)
             yield pa.RecordBatch.from_arrays([pa.array(name), pa.array(i, pa.int32()), pa.array(j, pa.int32()), pa.array([float(v) for v in sums.values()])], names=["name", "i", "j", "v"])
 
-    rows = prepared(df, key, value, order) if block is None else in_blocks(df.select(key, order, value), model, block, key, value, order)
+    rows = prepared(df, key, value, order) if block is None else in_blocks(df, model, block, key, value, order)
     return rows.mapInArrow(run, "name string, i int, j int, v double").groupBy("name", "i", "j").agg(F.sum("v").alias("v"))
 
 
@@ -184,13 +201,21 @@ def prepared(df: DataFrame, key: str = KEY, value: str = VALUE, order: str = ORD
     return df if POSITION in df.columns else placed(df.where(F.col(key).isNotNull() & F.col(value).isNotNull()), key, order)
 
 
-def train_hmm(df: DataFrame, model: Hmm, rounds: int = 50, tolerance: float = 1e-2, update: str = "stmc", least: float = 1e-6, key: str = KEY, value: str = VALUE, order: str = ORDER, block: int | None = None) -> tuple[Hmm, float]:
+def train_hmm(df: DataFrame, model: Hmm, rounds: int = 50, tolerance: float = 1e-2, update: str = "stmc", least: float = 1e-6, key: str = KEY, value: str = VALUE, order: str = ORDER, block: int | None = None, fraction: float = 1.0, seed: int = 0, reach: float | None = None, legacy: bool = False) -> tuple[Hmm, float]:
     """Expectation maximisation: the sums of a round reach the driver, never the rows. ``update``: of start, moves (t), means, covariances.
 
     Trajectories are sequences of their own. Ends when the log-likelihood gains less than ``tolerance``. To train anew from a
-    model, give it with the letters that may change. ``block``: long trajectories by blocks of so many rows.
+    model, give it with the letters that may change. ``block``: long trajectories by blocks of so many rows, cut once for
+    all rounds. ``fraction``: of that share of the trajectories alone (``sample_groups``, ``seed``). ``reach``: ends as soon
+    as the log-likelihood is so high, too. ``legacy``: on all trajectories as one sequence (``concatenated``), in blocks, so
+    that the end of one leads into the start of the next. Without any rows the model is returned as it came.
     """
-    df = (prepared(df.select(key, order, value), key, value, order) if block is None else df.select(key, order, value)).cache()
+    df = df.select(key, order, value)
+    if fraction < 1:
+        df = sample_groups(df, fraction, seed, key)
+    if legacy:
+        df, block = concatenated(df, key, value, order), block or BLOCK
+    df = prepared(df, key, value, order).cache() if block is None else blocked(df, block, key, value, order)
     k, last = len(model.means), -np.inf
     try:
         for _ in range(rounds):
@@ -198,7 +223,9 @@ def train_hmm(df: DataFrame, model: Hmm, rounds: int = 50, tolerance: float = 1e
             for name, i, j, v in expectations(df, model, key, value, order, block).collect():
                 got[name][i, j] = v
             total, w = got["logl"][0, 0], np.maximum(got["w"][:, 0], 1e-12)
-            if not np.isfinite(total) or total - last < tolerance:
+            if not got["w"].any():
+                return model, 0.0
+            if not np.isfinite(total) or total - last < tolerance or (reach is not None and total >= reach):
                 return model.by_mean(), float(total)
             last, means = total, got["x"][:, 0] / w
             used = means if "m" in update else model.means

@@ -93,3 +93,59 @@ def test_samples_are_the_same_at_any_partitioning(spark):
     assert some == {r[0] for r in hmm.sample_groups(df.repartition(7), 0.5, 3).select("trajectory").distinct().collect()}
     every = {r[0] for r in df.select("trajectory").distinct().collect()}
     assert set() < some < every and hmm.sample_groups(df, 0.0).count() == 0 and hmm.sample_groups(df, 1.0).count() == df.count()
+
+
+def slow_round(series, model):
+    """One round of training by plain loops over states and time; the new model and the log-likelihood before it."""
+    n = len(model.means)
+    start, w, wx, wxx, move, total = np.zeros(n), np.zeros(n), np.zeros(n), np.zeros(n), np.zeros((n, n)), 0.0
+    for x in series:
+        density = np.exp(-0.5 * (x[:, None] - model.means) ** 2 / model.variances) / np.sqrt(2 * np.pi * model.variances)
+        forward, back, scale = np.zeros((len(x), n)), np.ones((len(x), n)), np.zeros(len(x))
+        for t in range(len(x)):
+            row = (model.start if t == 0 else forward[t - 1] @ model.move) * density[t]
+            scale[t], forward[t] = row.sum(), row / row.sum()
+        for t in range(len(x) - 2, -1, -1):
+            back[t] = model.move @ (density[t + 1] * back[t + 1]) / scale[t + 1]
+            move += forward[t][:, None] * model.move * (density[t + 1] * back[t + 1])[None, :] / scale[t + 1]
+        g = forward * back
+        start, w, wx, wxx, total = start + g[0], w + g.sum(0), wx + g.T @ x, wxx + g.T @ x**2, total + np.log(scale).sum()
+    return hmm.Hmm(start / start.sum(), move / move.sum(1, keepdims=True), wx / w, wxx / w - (wx / w) ** 2), total
+
+
+def same(a, b):
+    return all(np.allclose(getattr(a, n), getattr(b, n), rtol=1e-6) for n in ("start", "move", "means", "variances"))
+
+
+def series_of(df):
+    out: dict = {}
+    for r in df.orderBy("trajectory", "slice").collect():
+        out.setdefault(r["trajectory"], []).append(r["Intensity"])
+    return [np.array(x, float) for x in out.values()]
+
+
+def test_training_on_all_trajectories_as_one_sequence(spark):
+    df = views.trajectories(spark, SMALL).where("trajectory < 6").repartition(5)
+    whole = [np.concatenate(series_of(df))]
+    want, last = MODEL, None
+    for _ in range(3):
+        want, last = slow_round(whole, want)
+    for block in (None, 16):
+        got, total = hmm.train_hmm(df, MODEL, rounds=3, legacy=True, block=block, tolerance=-np.inf)
+        assert same(got, want) and np.isclose(total, last)
+    alone, _ = hmm.train_hmm(df, MODEL, rounds=3, tolerance=-np.inf)
+    assert not np.allclose(alone.move, want.move)  # ends lead into starts
+
+
+def test_training_on_a_share_and_to_a_height(spark):
+    df = views.trajectories(spark, SMALL)
+    some = hmm.sample_groups(df, 0.4, 3)
+    want, first = slow_round(series_of(some), MODEL)
+    got, total = hmm.train_hmm(df, MODEL, rounds=1, fraction=0.4, seed=3)
+    assert same(got, want) and np.isclose(total, first) and 0 < some.count() < df.count()
+    again, second = slow_round(series_of(some), want)
+    reached, total = hmm.train_hmm(df, MODEL, rounds=50, fraction=0.4, seed=3, reach=(first + second) / 2)
+    assert same(reached, want) and np.isclose(total, second)  # the model that reaches it is returned
+    for how in ({}, {"block": 5}, {"legacy": True}):
+        kept, total = hmm.train_hmm(df.limit(0), MODEL, **how)
+        assert same(kept, MODEL) and total == 0.0
