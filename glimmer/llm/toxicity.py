@@ -37,6 +37,8 @@ ODDS, USUAL = 4.0, 5.0
 #: Named windows that are learnt from with characters inserted too, other windows a round, landmarks, rounds, at most.
 INSERTED, OTHERS, LANDMARKS, ROUNDS = 100, 2000, 400, 4
 REACH, DECAY, COST = 7, 0.5, 4.0
+#: Subsequences that tables are dense over at once, and bytes of windows that are mapped at once: they bound the driver's memory.
+WIDE, PART = 2048, 8192
 #: Letters alone side by side, from so many on, are one window.
 ALONE = 4
 THRESHOLD = 0.5
@@ -116,42 +118,71 @@ def decisions(windows: list[bytes], weights: np.ndarray, bias: float) -> np.ndar
     return np.add.reduceat(each, first[:-1], dtype=np.float64) / norms(np.diff(first)) + bias
 
 
-def landmarks_map(marks: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The landmarks' subsequences, their weights by landmark, and the inverse root of their kernel."""
+#: A sparse table's rows, columns and numbers, by rising column.
+_Triples = tuple[np.ndarray, np.ndarray, np.ndarray]
+
+
+def _slice(triples: _Triples, low: int, high: int, n: int) -> np.ndarray | None:
+    """Columns low to high of a table of n rows, dense; None if they are empty."""
+    rows, at, weights = triples
+    a, b = np.searchsorted(at, [low, high])
+    return np.bincount(rows[a:b] * (high - low) + at[a:b] - low, weights[a:b], n * (high - low)).reshape(n, high - low) if b > a else None
+
+
+def _kernel(left: _Triples, right: _Triples, n: int, m: int, wide: int) -> np.ndarray:
+    """The products of two tables of n and m rows and ``wide`` columns, of which WIDE are dense at once."""
+    out = np.zeros((n, m))
+    for low in range(0, wide, WIDE):
+        high = min(low + WIDE, wide)
+        if (own := _slice(left, low, high, n)) is not None:
+            out += own @ (own if left is right else _slice(right, low, high, m)).T
+    return out
+
+
+def landmarks_map(marks: list[bytes]) -> tuple[np.ndarray, _Triples, np.ndarray]:
+    """The landmarks' subsequences, their weights by landmark (not as a dense table, which long landmarks would make huge), and the inverse root of their kernel."""
     rows, codes, weights = subsequences(marks)
-    known, at = np.unique(codes, return_inverse=True)
-    phi = np.zeros((len(marks), len(known)))
-    np.add.at(phi, (rows, at), weights)
-    values, vectors = np.linalg.eigh(phi @ phi.T)
+    by = np.argsort(codes, kind="stable")
+    known, at = np.unique(codes[by], return_inverse=True)
+    phi = rows[by], at, weights[by]
+    values, vectors = np.linalg.eigh(_kernel(phi, phi, len(marks), len(marks), len(known)))
     keep = values > 1e-2
     return known, phi, vectors[:, keep] / np.sqrt(values[keep])
 
 
-def mapped(windows: list[bytes], known: np.ndarray, phi: np.ndarray, root: np.ndarray) -> np.ndarray:
-    out, turn = np.zeros((len(windows), root.shape[1])), phi.T @ root
-    for k in range(0, len(windows), 500):
-        part = windows[k : k + 500]
-        rows, codes, weights = subsequences(part)
+def mapped(windows: list[bytes], known: np.ndarray, phi: _Triples, root: np.ndarray) -> np.ndarray:
+    out, ends, low = np.zeros((len(windows), root.shape[1])), np.cumsum([len(w) for w in windows]), 0
+    while low < len(windows):
+        # PART bytes of windows at once, a longer one alone
+        high = max(low + 1, int(np.searchsorted(ends, (ends[low - 1] if low else 0) + PART, "right")))
+        rows, codes, weights = subsequences(windows[low:high])
         at = np.minimum(np.searchsorted(known, codes), len(known) - 1)
-        ok = known[at] == codes
-        dense = np.bincount(rows[ok] * len(known) + at[ok], weights[ok], len(part) * len(known)).reshape(len(part), len(known))
-        out[k : k + 500] = dense @ turn
+        ok = np.flatnonzero(known[at] == codes)
+        ok = ok[np.argsort(at[ok], kind="stable")]
+        out[low:high] = _kernel((rows[ok], at[ok], weights[ok]), phi, high - low, len(root), len(known)) @ root
+        low = high
     return out
 
 
+def folded(known: np.ndarray, phi: _Triples, w: np.ndarray) -> np.ndarray:
+    """A weight for each of the landmarks' subsequences, from one for each landmark."""
+    rows, at, weights = phi
+    return np.bincount(at, weights * w[rows], len(known))
+
+
 def svm(x: np.ndarray, y: np.ndarray, times: np.ndarray, cost: float = COST, rounds: int = 20) -> np.ndarray:
     """Weights and bias of a linear support vector machine (hinge loss), by coordinate descent on the dual; row k counts ``times[k]``, the classes alike."""
-    x = np.column_stack([x, np.ones(len(x))])
-    w, alpha, norms = np.zeros(x.shape[1]), np.zeros(len(x)), (x * x).sum(axis=1)
+    w, bias, alpha, norms = np.zeros(x.shape[1]), 0.0, np.zeros(len(x)), np.einsum("nd,nd->n", x, x) + 1
     top = cost * len(y) / 2 * times / np.where(y > 0, times[y > 0].sum(), times[y < 0].sum())
     order = np.random.default_rng(7)
     for _ in range(rounds):
         for k in order.permutation(len(x)).tolist():
-            new = min(max(alpha[k] - (y[k] * (x[k] @ w) - 1) / norms[k], 0.0), top[k])
+            new = min(max(alpha[k] - (y[k] * (x[k] @ w + bias) - 1) / norms[k], 0.0), top[k])
             if new != alpha[k]:
                 w += (new - alpha[k]) * y[k] * x[k]
+                bias += (new - alpha[k]) * y[k]
                 alpha[k] = new
-    return w
+    return np.append(w, bias)
 
 
 def inserted(word: bytes) -> list[bytes]:
@@ -174,7 +205,7 @@ def learn(named: dict[str, float], good: list[str], hard: list[dict[str, float]]
     times = np.array([named[s] for s in often] + [t for _, t in varied] + list(others.values()))
     w = svm(mapped(bad + clean, known, phi, root), np.array([1.0] * len(bad) + [-1.0] * len(clean)), times)
     weights = np.zeros(_SYMBOLS**4, np.float32)
-    weights[known] = (root @ w[:-1]) @ phi
+    weights[known] = folded(known, phi, root @ w[:-1])
     return weights, float(w[-1])
 
 

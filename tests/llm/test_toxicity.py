@@ -5,6 +5,7 @@ from __future__ import annotations
 import itertools
 import math
 import re
+import tracemalloc
 
 import numpy as np
 import pandas as pd
@@ -110,3 +111,23 @@ def test_slopes_never_fall():
     assert slopes[0] > 0 and slopes[1] == 0 and 1 / (1 + np.exp(-(x @ slopes + b)))[0] < 0.1
     assert np.allclose(toxicity.fitted([], False).of(np.zeros((2, 2))), 1 / 3)
     assert len(set(toxicity.fitted([(5.0, 1.0, 10.0, 0.0), (9.0, 2.0, 10.0, 0.0)], True).of(np.array([[1.0, 2.0], [8.0, 0.0]])))) == 1
+
+
+def test_landmarks_are_never_a_dense_table():
+    """Landmarks times their subsequences would be 170 MB of the driver's memory here, and windows times those as much again."""
+    rng = np.random.default_rng(4)
+    words = ["".join(w).encode() for w in rng.choice(list("abcdefghijklmnopqrstuvwxyz"), (1400, 12))]
+    tracemalloc.start()
+    known, phi, root = toxicity.landmarks_map(words[:400])
+    z = toxicity.mapped(words, known, phi, root)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(known) * 400 * 8 > 100e6 > 4 * z.nbytes
+    assert most < 60e6
+    # and it is the same map
+    rows, codes, weights = toxicity.subsequences(words[:400])
+    dense = np.zeros((400, len(known)))
+    np.add.at(dense, (rows, np.searchsorted(known, codes)), weights)
+    assert np.allclose(z[:400], dense @ dense.T @ root)
+    w = rng.normal(size=400)
+    assert np.allclose(toxicity.folded(known, phi, w), w @ dense)
