@@ -95,27 +95,44 @@ def tokens_of(path: str) -> WordTokens:
     return _LOADED[path]
 
 
+def _exact(places: np.ndarray, size: int) -> tuple[list[int], list[int]]:
+    """The places that lie a power of two below ``size`` before each place, nearest first: where each one's begin (and end), and their numbers."""
+    index = np.full(int(places[-1]) + 1, -1, np.int32)
+    index[places] = np.arange(len(places))
+    to, of = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for step in (1 << k for k in range(size.bit_length()) if 1 << k < size):
+        far = int(np.searchsorted(places, step))
+        found = index[places[far:] - step]
+        hit = np.flatnonzero(found >= 0)
+        to.append(hit + far)
+        of.append(found[hit])
+    to, of = np.concatenate(to), np.concatenate(of)
+    by = np.argsort(to, kind="stable")
+    return np.searchsorted(to[by], np.arange(len(places) + 1)).tolist(), of[by].tolist()
+
+
 def windows(stops: np.ndarray, penalty: np.ndarray, size: int = SIZE, each: int = EACH) -> np.ndarray:
     """The best ends of windows over a stream: ``stops`` are the places where it may be cut (rising, the last is its end, no two over ``size`` apart), with the penalty of each; a window costs ``each`` besides."""
+    first, earlier = _exact(np.concatenate([[0], stops]).astype(np.int64), size)
     places, fines = [0, *stops.tolist()], [0, *penalty.tolist()]
-    free = [1 << k for k in range(size.bit_length()) if 1 << k < size]
-    index = dict(zip(places, range(len(places)), strict=True))
-    cost, came = [0] * len(places), [0] * len(places)
+    # ``ahead`` is a place's cost and the place itself: with size - p more, what a window from there to p makes
+    cost, ahead, came = [0] * len(places), [0] * len(places), [0] * len(places)
     queue: deque[int] = deque()
     for k in range(1, len(places)):
         p = places[k]
-        entering = cost[k - 1] + places[k - 1]
-        while queue and cost[queue[-1]] + places[queue[-1]] >= entering:
+        entering = ahead[k - 1]
+        while queue and ahead[queue[-1]] >= entering:
             queue.pop()
         queue.append(k - 1)
         while places[queue[0]] < p - size:
             queue.popleft()
         best = queue[0]
-        least = cost[best] + places[best] + size - p
-        for step in free:
-            if (j := index.get(p - step)) is not None and cost[j] < least:
+        least = ahead[best] + size - p
+        for j in earlier[first[k] : first[k + 1]]:
+            if cost[j] < least:
                 best, least = j, cost[j]
-        cost[k], came[k] = least + fines[k] + each, best
+        cost[k] = c = least + fines[k] + each
+        ahead[k], came[k] = c + p, best
     out, k = [], len(places) - 1
     while k:
         out.append(places[k])

@@ -267,6 +267,14 @@ def test_windows_are_the_best(places, size, data):
     assert ends[-1] == 60 and sum(pad(b - a) + fines[b] for a, b in itertools.pairwise([0, *ends])) == best[60]
 
 
+@given(st.sets(st.integers(1, 70), min_size=1), st.sampled_from([1, 8, 16, 64]))
+def test_places_a_power_of_two_apart(stops, size):
+    places = [0, *sorted(stops)]
+    first, earlier = packing._exact(np.array(places), size)
+    steps = [1 << k for k in range(7) if 1 << k < size]
+    assert [earlier[a:b] for a, b in itertools.pairwise(first)] == [[places.index(p - s) for s in steps if p - s in places] for p in places]
+
+
 def test_special_tokens_in_texts():
     own = packing.tokens_of(public_tokenizers.path(packing.VOCABULARY))
     odd = [None, "", "<|endoftext|> a", "x<|endoftext|>y", "a<|x b|>", "́ é \x1c y \x85 z", "it's I'M '' 's"]
