@@ -92,22 +92,46 @@ class Model:
         return len(self.unit_out) // len(self.class_out)
 
 
-def contexts(model: Model, units: np.ndarray, first: np.ndarray) -> np.ndarray:
-    """The predicted vector at each token of texts (units with an end each, ``first`` their bounds)."""
-    n, at = len(units), np.arange(len(units))
-    start = np.repeat(first[:-1], np.diff(first))
-    vectors = np.concatenate([model.vectors, np.zeros((1, SIZE), np.float32)])
-    none = len(model.vectors)
-    out = np.zeros((n, SIZE), np.float32)
+def window_sums(rows: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """For each token of texts (``first`` their bounds) the sum of the rows CONTEXT + 1 to CONTEXT + WINDOW before it in its text."""
+    n, run, width, total, covered = len(rows), rows, 1, None, 0
+    while True:  # sums of 1, 2, 4 ... rows make up the window, wherever texts begin
+        if WINDOW & width:
+            if total is None:
+                total = run.copy()
+            else:
+                total[covered:] += run[: max(0, n - covered)]
+            covered += width
+        if 2 * width > WINDOW:
+            break
+        twice = run.copy()
+        twice[width:] += run[: max(0, n - width)]
+        run, width = twice, 2 * width
+    out = np.zeros_like(total)
+    out[CONTEXT + 1 :] = total[: max(0, n - CONTEXT - 1)]
+    # the first tokens of a text have what there is of it
+    start, size = first[:-1, None], np.diff(first)[:, None]
+    ahead = np.cumsum(rows[np.minimum(start + np.arange(WINDOW - 1), n - 1)], axis=1)
+    place = np.arange(CONTEXT + WINDOW)
+    inside = place < size
+    fixed = np.zeros((len(size), len(place), rows.shape[1]), rows.dtype)
+    fixed[:, CONTEXT + 1 :] = ahead
+    out[(start + place)[inside]] = fixed[inside]
+    return out
+
+
+def contexts(model: Model, units: np.ndarray, first: np.ndarray, vectors: np.ndarray | None = None) -> np.ndarray:
+    """The predicted vector at each token of texts (units with an end each, ``first`` their bounds); ``vectors``: those of the units, where they are known."""
+    n, vectors = len(units), model.vectors[units] if vectors is None else vectors
+    out = window_sums(vectors, first)
+    out *= model.places[CONTEXT] / WINDOW
+    starts = first[:-1]
     for k in range(CONTEXT):
-        before = np.full(n, none)
-        before[k + 1 :] = units[: n - k - 1]
-        before[at - k - 1 < start] = none
-        out += (vectors * model.places[k])[before]
-    sums = np.zeros((n + 1, SIZE), np.float32)
-    np.cumsum(vectors[units] * (model.places[CONTEXT] / WINDOW), axis=0, out=sums[1:])
-    high = np.maximum(at - CONTEXT, start)
-    out += sums[high] - sums[np.maximum(at - CONTEXT - WINDOW, start)]
+        before = vectors[: max(0, n - k - 1)] * model.places[k]
+        # what stands before a text isn't its own
+        other = (starts[:, None] + np.arange(-k - 1, 0)).ravel()
+        before[other[(other >= 0) & (other < len(before))]] = 0
+        out[k + 1 :] += before
     return out
 
 
@@ -119,6 +143,7 @@ def log10_units(model: Model, units: np.ndarray, first: np.ndarray) -> np.ndarra
     class_out = np.ascontiguousarray(model.class_out.T)
     inner_out = np.ascontiguousarray(model.unit_out.reshape(-1, width, SIZE).transpose(0, 2, 1))
     inner_bias = model.unit_bias.reshape(-1, width)
+    ones, inner_ones = np.ones(CLASSES, np.float32), np.ones(width, np.float32)
     for low in range(0, n, CHUNK):
         # a chunk takes along what precedes it in its first text
         high = min(n, low + CHUNK)
@@ -135,8 +160,8 @@ def log10_units(model: Model, units: np.ndarray, first: np.ndarray) -> np.ndarra
             logits += model.class_bias
             np.clip(logits, -80, 80, out=logits)
             chunk[a:b] = logits[rows[: b - a], own[a:b]]
-            chunk[a:b] -= np.log(np.exp(logits, out=logits).sum(axis=1))
-        by = np.argsort(own, kind="stable")
+            chunk[a:b] -= np.log(np.exp(logits, out=logits) @ ones)
+        by = np.argsort(own.astype(np.uint16), kind="stable")  # sorting by 16 bits takes a few passes
         edges = np.searchsorted(own[by], np.arange(CLASSES + 1))
         h, inside, inner = h[by], inside[by], np.empty(high - low, np.float32)
         for c in np.flatnonzero(np.diff(edges)).tolist():
@@ -145,7 +170,7 @@ def log10_units(model: Model, units: np.ndarray, first: np.ndarray) -> np.ndarra
             logits += inner_bias[c]
             np.minimum(logits, 80, out=logits)
             inner[a:b] = logits[rows[: b - a], inside[a:b]]
-            inner[a:b] -= np.log(np.exp(logits, out=logits).sum(axis=1))
+            inner[a:b] -= np.log(np.exp(logits, out=logits) @ inner_ones)
         chunk[by] += inner
         out[low:high] = chunk
     return out / np.log(10)
@@ -174,10 +199,11 @@ class Fit:
     def learn(self, units: np.ndarray, first: np.ndarray, rate: float, rng: np.random.Generator) -> None:
         """One step over texts (units, ``first`` their bounds)."""
         model, width = self.model, self.model.width
-        h = contexts(model, units, first)
+        vectors = model.vectors[units]
+        h = contexts(model, units, first, vectors)
         # sorted by place, tokens of a class are neighbours, and so are those of a unit
         place = model.order[units]
-        by = np.argsort(place, kind="stable")
+        by = np.argsort(place.astype(np.uint16), kind="stable")  # HEAD + TAILS fit
         place, h = place[by], h[by]
         starts = np.flatnonzero(np.diff(place, prepend=-1))
         rows, classes = place[starts], place // width
@@ -221,7 +247,7 @@ class Fit:
         self.step("unit_bias", each[mixed][edge], np.add.reduceat(biases[mixed], edge), rate)
         turned = pulled  # its room is free by now
         turned[by] = back
-        vectors, places = _descend(model, units, first, turned)
+        vectors, places = _descend(model, first, vectors, turned)
         self.step("vectors", units[by][starts], np.add.reduceat(vectors[by], starts, axis=0), rate)
         self.step("places", None, places, rate)
 
@@ -367,22 +393,20 @@ def _push(logits: np.ndarray) -> np.ndarray:
     return np.divide(-1, logits, out=logits)
 
 
-def _descend(model: Model, units: np.ndarray, first: np.ndarray, back: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """From the predicted vectors' gradients to those of each token's context vector and of the place weights."""
-    n, at = len(units), np.arange(len(units))
-    end = np.repeat(first[1:], np.diff(first))
-    vectors, grads, weights = model.vectors[units], np.zeros((n, SIZE), np.float32), np.zeros_like(model.places)
-    for k in range(CONTEXT):
-        m = max(0, n - k - 1)
-        later = back[k + 1 :] * (at[:m] + k + 1 < end[:m])[:, None]
-        weights[k] = np.einsum("nd,nd->d", later, vectors[:m])
-        grads[:m] += np.multiply(later, model.places[k], out=later)
+def _descend(model: Model, first: np.ndarray, vectors: np.ndarray, back: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """From the predicted vectors' gradients and the tokens' context vectors to the gradients of these and of the place weights."""
+    n, weights, starts = len(back), np.zeros_like(model.places), first[:-1]
     # a token is in the windows of those CONTEXT + 1 to CONTEXT + WINDOW places on
-    sums = np.zeros((n + 1, SIZE), np.float32)
-    np.cumsum(back, axis=0, out=sums[1:])
-    windows = (sums[np.minimum(at + CONTEXT + WINDOW + 1, end)] - sums[np.minimum(at + CONTEXT + 1, end)]) / WINDOW
-    weights[CONTEXT] = np.einsum("nd,nd->d", windows, vectors)
-    grads += np.multiply(windows, model.places[CONTEXT], out=windows)
+    grads = window_sums(back[::-1], n - first[::-1])[::-1]
+    grads /= WINDOW
+    weights[CONTEXT] = np.einsum("nd,nd->d", grads, vectors)
+    grads *= model.places[CONTEXT]
+    for k in range(CONTEXT):
+        later = back[k + 1 :].copy()
+        other = (starts[:, None] + np.arange(-k - 1, 0)).ravel()
+        later[other[(other >= 0) & (other < len(later))]] = 0
+        weights[k] = np.einsum("nd,nd->d", later, vectors[: len(later)])
+        grads[: len(later)] += np.multiply(later, model.places[k], out=later)
     return grads, weights / 100
 
 

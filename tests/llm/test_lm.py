@@ -77,3 +77,16 @@ def test_frequent_words_where_too_many_share_a_count(spark, monkeypatch):
     assert found([*even, ("top", 90)]) == {"top": 90, "w0": 7, "w1": 7}
     assert found([(f"v{k}", 90) for k in range(4)] + even) == {f"v{k}": 90 for k in range(4)}
     assert found(even[:4]) == dict(even[:4]) and found([]) == {}
+
+
+def test_sums_of_the_older_context():
+    """Against sums row by row, over texts shorter and longer than the window, and steps of a few rows."""
+    rng = np.random.default_rng(8)
+    for sizes in ([1], [3], [1, 2, 1], [400], [lm.CONTEXT + lm.WINDOW, 1, lm.CONTEXT + lm.WINDOW + 1, 60], rng.integers(1, 50, 40).tolist()):
+        first = np.concatenate([[0], np.cumsum(sizes)])
+        rows = rng.normal(size=(first[-1], 4))
+        want = np.zeros_like(rows)
+        for a, b in zip(first[:-1], first[1:], strict=True):
+            for k in range(a, b):
+                want[k] = rows[max(a, k - lm.CONTEXT - lm.WINDOW) : max(a, k - lm.CONTEXT)].sum(axis=0)
+        assert np.allclose(lm.window_sums(rows, first), want)
