@@ -96,7 +96,7 @@ def rows_where(docs: DataFrame, keep: Callable[[pa.Array], np.ndarray]) -> DataF
         for batch in sliced(batches, at, SLICE_BYTES // 2):
             yield batch.filter(pa.array(keep(batch.column(at))))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(tidy(run), docs.schema)
 
 
 def flat(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
@@ -125,6 +125,24 @@ def sliced(batches: Iterator[pa.RecordBatch], column: str | int, most: int = SLI
             at = end
 
 
+def give_back() -> None:
+    """Give freed memory back to the system: a worker outlives its task, and what it keeps counts against its executor while others work."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc alone has it
+    if trim is not None:
+        trim(0)
+
+
+def tidy(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """A task's work on batches, after which its worker gives memory back."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        give_back()
+
+    return work
+
+
 def one_thread() -> None:
     """Let numpy's products run on one thread in this worker: the cores belong to Spark's tasks, and waiting threads cost as much as working ones.
 

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import MapType
 
-from glimmer.llm.common import cut, dropped, flat, free_name, lists, mix, shingle_sets, sliced, table, without
+from glimmer.llm.common import cut, dropped, flat, free_name, lists, mix, shingle_sets, sliced, table, tidy, without
 from glimmer.llm.graph import components
 
 #: A pair at the least similarity shares no bucket with probability (1 - 0.75**5)**40, about 2 in 100,000.
@@ -168,7 +168,7 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT,
     are kept. Rows with one doc_id count as one document, linked where any of its texts is. Extra columns are ignored.
     """
     docs = without(docs, "doc_id", "text").withColumn("doc_id", F.col("doc_id").cast("long"))
-    known = cut(docs.mapInArrow(_describe(words, bands, rows), "doc_id long, n_shingles long, set_hash binary, keys array<long>"))
+    known = cut(docs.mapInArrow(tidy(_describe(words, bands, rows)), "doc_id long, n_shingles long, set_hash binary, keys array<long>"))
     sized = known.where("n_shingles > 0 and doc_id is not null")
     classes = sized.groupBy("set_hash").agg(F.min("doc_id").alias("node"))
     members = cut(sized.select("doc_id", "set_hash").join(classes, "set_hash").select("doc_id", "node").distinct())
@@ -180,7 +180,7 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT,
     # sets whose sizes differ by more can't reach the similarity; the pivot is the smallest
     pairs = _distinct(met.where((F.col("p_n") * 100 >= F.col("n") * percent) & (F.col("node") != F.col("p_node"))))
     wanted = met.select(F.col("node").alias("doc_id")).union(pairs.select("a")).distinct()
-    sets = cut(docs.join(wanted, "doc_id", "left_semi").mapInArrow(_sets(words), "id long, members array<long>"))
+    sets = cut(docs.join(wanted, "doc_id", "left_semi").mapInArrow(tidy(_sets(words)), "id long, members array<long>"))
     links = cut(_confirmed(pairs, sets, percent))
     # a doc_id with several texts ties their nodes
     several = members.groupBy("doc_id").agg(F.min("node").alias("a"), F.max("node").alias("z")).where("a <> z")

@@ -23,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from glimmer.llm.common import Memo, flat, joined, sliced, table, without
+from glimmer.llm.common import Memo, flat, joined, sliced, table, tidy, without
 
 VOCABULARY = "word_bpe_49k.json"
 SIZE, END = 2048, 1
@@ -33,6 +33,8 @@ SENTENCE, INSIDE = 4, 64
 EACH = 8
 #: Tokens that are cut into windows at once in a task; only the last window of such a run can be short for want of text.
 RUN = 1 << 21
+#: Words whose ids a task keeps, at most; the others are encoded anew.
+WORDS = 100_000
 _MARK = "<|endoftext|>"
 _OUT = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("doc_tokens", pa.int64()), ("sequence_id", pa.int64()), ("offset", pa.int64()), ("ids", pa.binary())])
 
@@ -49,7 +51,7 @@ class WordTokens:
         vocabulary = self.tokenizer.get_vocab()
         self.closes = np.zeros(max(vocabulary.values()) + 1, bool)
         self.closes[[i for t, i in vocabulary.items() if t.removesuffix("</w>")[-1:] in (".", "!", "?") and t.endswith("</w>")]] = True
-        self.known = Memo(self._words)
+        self.known = Memo(self._words, WORDS)
 
     def _words(self, words: list[str]) -> list[bytes]:
         """Many words go as a few texts, with a special token between any two."""
@@ -197,8 +199,9 @@ def pack(docs: DataFrame, path: str | None = None, size: int = SIZE, end: int =
                 yield out
         if wait:
             yield _run(wait, sequence, tokens.closes, size)[0]
+        tokens.known.kept.clear()  # the worker stays, for other work too
 
-    return without(docs, "doc_id", "text").withColumn("doc_id", F.col("doc_id").cast("long")).mapInArrow(work, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, ids binary")
+    return without(docs, "doc_id", "text").withColumn("doc_id", F.col("doc_id").cast("long")).mapInArrow(tidy(work), "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, ids binary")
 
 
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -132,3 +133,15 @@ def test_vectors_of_thousands_of_numbers(spark):
     rows = [(k, v.tolist()) for k, v in enumerate(x)] + [(9, [1.0, 2.0])]
     got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in embed.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()}
     assert got == {0: (1, 0), 3: (1, 0), **{k: (0, k) for k in (1, 2, 4, 5, 9)}}
+
+
+def test_packing_leaves_no_words_in_its_worker(spark):
+    """A worker stays for other stages: what packing remembers would count against its executor's memory there."""
+    docs = spark.createDataFrame([(k, f"word{k} other{k}. again") for k in range(400)], "doc_id long, text string").repartition(1)
+    assert packing.pack(docs).count() >= 400
+
+    def kept(batches):
+        for _ in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([sum(len(t.known.kept) for t in packing._LOADED.values())], pa.int64())], names=["n"])
+
+    assert spark.range(4, numPartitions=4).mapInArrow(kept, "n long").agg({"n": "max"}).collect()[0][0] == 0
