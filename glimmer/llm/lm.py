@@ -104,8 +104,9 @@ def window_sums(rows: np.ndarray, first: np.ndarray) -> np.ndarray:
             covered += width
         if 2 * width > WINDOW:
             break
-        twice = run.copy()
-        twice[width:] += run[: max(0, n - width)]
+        twice = np.empty_like(run)
+        twice[:width] = run[:width]
+        np.add(run[width:], run[: max(0, n - width)], out=twice[width:])
         run, width = twice, 2 * width
     out = np.zeros_like(total)
     out[CONTEXT + 1 :] = total[: max(0, n - CONTEXT - 1)]
@@ -193,8 +194,11 @@ class Fit:
         """AdaGrad on some rows (``rows``: their numbers, each once) or all."""
         target, past = getattr(self.model, name), self.past[name]
         rows = slice(None) if rows is None else rows
-        past[rows] += gradient**2
-        target[rows] += rate * gradient / np.sqrt(past[rows])
+        now = past[rows] + np.square(gradient)
+        past[rows] = now
+        gradient = gradient * np.float32(rate)
+        gradient /= np.sqrt(now, out=now)
+        target[rows] += gradient
 
     def learn(self, units: np.ndarray, first: np.ndarray, rate: float, rng: np.random.Generator) -> None:
         """One step over texts (units, ``first`` their bounds)."""
@@ -207,39 +211,42 @@ class Fit:
         place, h = place[by], h[by]
         starts = np.flatnonzero(np.diff(place, prepend=-1))
         rows, classes = place[starts], place // width
-        # classes against noise: the logit of data is the model's minus log(NOISE * noise probability)
+        # classes against noise, units against noise that all tokens of their class share: the logit of data is the model's minus log(NOISE * noise probability)
         noise = np.searchsorted(np.cumsum(self.class_p), rng.random(NOISE) * self.class_p.sum()).clip(max=CLASSES - 1)
-        log_noise = np.log(NOISE * self.class_p)
-        out, bias = model.class_out, model.class_bias - log_noise.astype(np.float32)
-        back = out[classes]
-        good = _pull(np.einsum("nd,nd->n", h, back) + bias[classes])
-        bad = _push(h @ out[noise].T + bias[noise])
-        back *= good[:, None]
-        back += bad @ out[noise]
-        pulled = good[:, None] * h
         edges = np.searchsorted(classes, np.arange(CLASSES + 1))
         full = np.flatnonzero(np.diff(edges))
-        grads, biases = np.zeros_like(out), np.zeros(CLASSES, np.float32)
-        grads[full], biases[full] = np.add.reduceat(pulled, edges[full], axis=0), np.add.reduceat(good, edges[full])
-        np.add.at(grads, noise, bad.T @ h)
-        np.add.at(biases, noise, bad.sum(axis=0))
-        self.step("class_out", None, grads, rate)
-        self.step("class_bias", None, biases, rate)
-        # units within their class, whose noise all its tokens of a step share
         drawn = np.searchsorted(self.inner_noise, full[:, None] + rng.random((len(full), NOISE)), "right").clip(full[:, None] * width, full[:, None] * width + width - 1)
-        out, bias = model.unit_out, model.unit_bias
-        log_noise = np.log(NOISE * np.maximum(self.inner_p, 1e-12)).astype(np.float32)
+        class_bias = model.class_bias - np.log(NOISE * self.class_p).astype(np.float32)
+        out, bias = model.unit_out, model.unit_bias - np.log(NOISE * np.maximum(self.inner_p, 1e-12)).astype(np.float32)
+        # what a class's tokens are compared with: units drawn, classes drawn, the class; noise stands negated, so that its logits are to rise as data's are
+        against, levels = np.empty((len(full), 2 * NOISE + 1, SIZE), np.float32), np.empty((len(full), 2 * NOISE + 1), np.float32)
+        for at, vector, level in ((slice(NOISE), out[drawn], bias[drawn]), (slice(NOISE, -1), model.class_out[noise], class_bias[noise])):
+            np.negative(vector, out=against[:, at])
+            np.negative(level, out=levels[:, at])
+        against[:, -1], levels[:, -1] = model.class_out[full], class_bias[full]
+        back, grads, biases, ones = np.empty_like(h), np.empty_like(against), np.empty_like(levels), np.ones(len(h), np.float32)
+        for k, (a, b) in enumerate(zip(edges[full].tolist(), edges[full + 1].tolist(), strict=True)):
+            own, theirs = h[a:b], against[k]
+            logits = own @ theirs.T
+            logits += levels[k]
+            pulls = _pull(logits)
+            np.matmul(pulls, theirs, out=back[a:b])
+            np.matmul(pulls.T, own, out=grads[k])
+            np.matmul(ones[: b - a], pulls, out=biases[k])
+        np.negative(grads[:, :-1], out=grads[:, :-1])
+        np.negative(biases[:, :-1], out=biases[:, :-1])
+        class_grads, class_biases = np.zeros_like(model.class_out), np.zeros(CLASSES, np.float32)
+        class_grads[full], class_biases[full] = grads[:, -1], biases[:, -1]
+        np.add.at(class_grads, noise, grads[:, NOISE:-1].sum(axis=0))
+        np.add.at(class_biases, noise, biases[:, NOISE:-1].sum(axis=0))
+        self.step("class_out", None, class_grads, rate)
+        self.step("class_bias", None, class_biases, rate)
         theirs = out[place]
-        good = _pull(np.einsum("nd,nd->n", h, theirs) + (bias - log_noise)[place])
+        good = _pull(np.einsum("nd,nd->n", h, theirs) + bias[place])
         theirs *= good[:, None]
         back += theirs
-        grads, biases = [np.add.reduceat(np.multiply(h, good[:, None], out=pulled), starts, axis=0)], [np.add.reduceat(good, starts)]
-        for c, at in zip(full.tolist(), drawn, strict=True):
-            own, theirs = h[edges[c] : edges[c + 1]], out[at]
-            bad = _push(own @ theirs.T + (bias[at] - log_noise[at]))
-            back[edges[c] : edges[c + 1]] += bad @ theirs
-            grads.append(bad.T @ own)
-            biases.append(bad.sum(axis=0))
+        pulled = np.multiply(h, good[:, None], out=theirs)
+        grads, biases = [np.add.reduceat(pulled, starts, axis=0), grads[:, :NOISE].reshape(-1, SIZE)], [np.add.reduceat(good, starts), biases[:, :NOISE].ravel()]
         each, grads, biases = np.concatenate([rows, drawn.ravel()]), np.concatenate(grads), np.concatenate(biases)
         mixed = np.argsort(each, kind="stable")
         edge = np.flatnonzero(np.diff(each[mixed], prepend=-1))
@@ -379,18 +386,10 @@ def summed(tables: DataFrame) -> tuple[float, np.ndarray]:
 
 def _pull(logits: np.ndarray) -> np.ndarray:
     """By how much data's logits are to rise (in place)."""
-    np.clip(logits, -30, 30, out=logits)
+    np.minimum(logits, 80, out=logits)  # exponentials stay finite
     np.exp(logits, out=logits)
     logits += 1
-    return np.divide(1, logits, out=logits)
-
-
-def _push(logits: np.ndarray) -> np.ndarray:
-    """By how much noise's logits are to rise, all below 0 (in place)."""
-    np.clip(logits, -30, 30, out=logits)
-    np.exp(np.negative(logits, out=logits), out=logits)
-    logits += 1
-    return np.divide(-1, logits, out=logits)
+    return np.reciprocal(logits, out=logits)
 
 
 def _descend(model: Model, first: np.ndarray, vectors: np.ndarray, back: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

@@ -90,3 +90,34 @@ def test_sums_of_the_older_context():
             for k in range(a, b):
                 want[k] = rows[max(a, k - lm.CONTEXT - lm.WINDOW) : max(a, k - lm.CONTEXT)].sum(axis=0)
         assert np.allclose(lm.window_sums(rows, first), want)
+
+
+def test_a_step_equals_a_slow_twin(monkeypatch):
+    """The outputs' gradients of one step, by AdaGrad from nothing, against sums token by token with the same noise."""
+    rng = np.random.default_rng(4)
+    head, tails = [(f"w{k}", 900 - k) for k in range(300)], rng.integers(1, 50, lm.TAILS)
+    fit = lm.begin(head, tails, 40, np.zeros((1 + len(head) + lm.TAILS, 1)))
+    model, got = fit.model, {}
+    model.class_out[:], model.unit_out[:] = rng.normal(0, 0.3, model.class_out.shape), rng.normal(0, 0.3, model.unit_out.shape)
+    units, first = rng.integers(0, 1 + len(head) + lm.TAILS, 90), np.array([0, 1, 50, 90])
+    h = lm.contexts(model, units, first).astype(float)
+    monkeypatch.setattr(fit, "step", lambda name, rows, gradient, rate: got.update({name: (rows, gradient)}))
+    fit.learn(units, first, 0.1, np.random.default_rng(6))
+    draw, width = np.random.default_rng(6), model.width
+    noise = np.searchsorted(np.cumsum(fit.class_p), draw.random(lm.NOISE) * fit.class_p.sum())
+    place = model.order[units]
+    full = np.unique(place // width)
+    drawn = dict(zip(full.tolist(), np.searchsorted(fit.inner_noise, full[:, None] + draw.random((len(full), lm.NOISE)), "right"), strict=True))
+    pull = lambda x: 1 / (1 + np.exp(x))
+    classes, inner = np.zeros(model.class_out.shape), np.zeros(model.unit_out.shape)
+    for t, p in enumerate(place.tolist()):
+        for out, bias, share, own, others, total in ((model.class_out, model.class_bias, fit.class_p, p // width, noise, classes), (model.unit_out, model.unit_bias, fit.inner_p, p, drawn[p // width], inner)):
+            logit = lambda k: out[k] @ h[t] + bias[k] - np.log(lm.NOISE * max(share[k], 1e-12))  # noqa: B023, E731
+            total[own] += pull(logit(own)) * h[t]
+            for k in others.tolist():
+                total[k] -= pull(-logit(k)) * h[t]
+    assert np.allclose(got["class_out"][1], classes, rtol=1e-3, atol=1e-4)
+    rows, gradient = got["unit_out"]
+    dense = np.zeros(inner.shape)
+    dense[rows] = gradient
+    assert np.allclose(dense, inner, rtol=1e-3, atol=1e-4)
