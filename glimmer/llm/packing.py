@@ -34,7 +34,7 @@ EACH = 8
 #: Tokens that are cut into windows at once in a task; only the last window of such a run can be short for want of text.
 RUN = 1 << 21
 #: Words whose ids a task keeps, at most; the others are encoded anew.
-WORDS = 100_000
+WORDS = 500_000
 _MARK = "<|endoftext|>"
 _OUT = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("doc_tokens", pa.int64()), ("sequence_id", pa.int64()), ("offset", pa.int64()), ("ids", pa.binary())])
 
