@@ -180,17 +180,24 @@ class Memo:
 def ragged(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     """Indices of spans that begin at ``starts`` and have ``sizes`` elements, one span after the other."""
     ends = np.cumsum(sizes)
-    return np.repeat(starts - (ends - sizes), sizes) + np.arange(int(ends[-1]) if len(ends) else 0)
+    out = np.repeat(starts - (ends - sizes), sizes)
+    out += np.arange(len(out))
+    return out
+
+
+def gathered(pool: np.ndarray, starts: np.ndarray, sizes: np.ndarray, codes: np.ndarray, first: np.ndarray) -> pa.Array:
+    """Binary rows of 32-bit numbers: row k joins the spans of ``pool`` with codes[first[k] : first[k + 1]]."""
+    each = sizes[codes]
+    out = pool[ragged(starts[codes], each)]
+    offs = np.concatenate([[0], np.cumsum(each)])[first] * 4
+    return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(first) - 1, [None, pa.py_buffer(offs.astype(np.int64)), pa.py_buffer(out)])
 
 
 def joined(values: list[bytes], codes: np.ndarray, first: np.ndarray) -> pa.Array:
     """Binary rows of 32-bit numbers: row k joins the values with codes[first[k] : first[k + 1]]."""
     sizes = np.fromiter(map(len, values), np.int64, len(values)) // 4
     pool, starts = np.frombuffer(b"".join(values), "<u4"), np.cumsum(sizes) - sizes
-    each = sizes[codes]
-    out = pool[ragged(starts[codes], each)]
-    offs = np.concatenate([[0], np.cumsum(each)])[first] * 4
-    return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(first) - 1, [None, pa.py_buffer(offs.astype(np.int64)), pa.py_buffer(out)]).cast(pa.binary())
+    return gathered(pool, starts, sizes, codes, first).cast(pa.binary())
 
 
 _WHITE = np.zeros(256, bool)
