@@ -1,4 +1,7 @@
-"""Corpus pipeline: the stages of a training corpus, each over all its predecessor kept."""
+"""Corpus pipeline: the stages of a training corpus, each over all its predecessor kept.
+
+The stages leave the session with a lower limit of what Spark sends Python at once (``small_batches``).
+"""
 
 from __future__ import annotations
 
@@ -6,7 +9,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from glimmer.llm.common import cut, dropped, table
+from glimmer.llm.common import cut, dropped, small_batches, table
 from glimmer.llm.minhash import one_of_each
 from glimmer.llm.packing import pack
 from glimmer.llm.quality import good_documents
@@ -21,6 +24,7 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     Each row is judged by its own text, in the pass that scores it: rows with a null or repeated doc_id too. Null and
     empty texts are scored as texts of no words. Extra columns stay; an empty table gives none.
     """
+    small_batches(spark)
     return good_documents(docs, table(spark, sf_dir, "labels"))
 
 
@@ -30,6 +34,7 @@ def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     Each row is judged by its own text, in the pass that scores it: rows with a null or repeated doc_id too. Null and
     empty texts are scored as white space. Extra columns stay; an empty table gives none.
     """
+    small_batches(spark)
     return clean_documents(docs, table(spark, sf_dir, "labels"))
 
 
@@ -39,6 +44,7 @@ def dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Rows with a null doc_id, and texts that are null or without words, link with nothing and stay; repeated rows of one
     doc_id become one. Extra columns stay; an empty table gives none.
     """
+    small_batches(spark)
     return one_of_each(docs)
 
 
@@ -48,6 +54,7 @@ def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     Repeated rows are documents of their own and packed as often as they come; of equally good cuts the first found is
     taken. Extra columns are dropped; an empty table gives no rows.
     """
+    small_batches(spark)
     return pack(docs).drop("ids")
 
 

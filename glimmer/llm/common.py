@@ -19,6 +19,8 @@ from pyspark.sql import functions as F
 
 #: Bytes of text that a Python worker handles at once; a longer text is handled alone.
 SLICE_BYTES = 2 << 20
+#: Bytes of rows that Spark sends a Python worker at once under ``small_batches``: a batch then is one slice.
+BATCH_BYTES = SLICE_BYTES // 16 * 15
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -125,8 +127,19 @@ def sliced(batches: Iterator[pa.RecordBatch], column: str | int, most: int = SLI
             at = end
 
 
+def small_batches(spark: SparkSession) -> None:
+    """From now on the session sends Python rows by BATCH_BYTES at most (and a row), unless it has a lower limit already.
+
+    By Spark's default a batch has 10,000 rows, some 35 MB of texts, which the JVM holds twice beside what Python holds.
+    """
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get(name)) > BATCH_BYTES:
+        spark.conf.set(name, str(BATCH_BYTES))
+
+
 def give_back() -> None:
     """Give freed memory back to the system: a worker outlives its task, and what it keeps counts against its executor while others work."""
+    _POWERS.clear()  # 32 MB
     pa.default_memory_pool().release_unused()
     trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc alone has it
     if trim is not None:

@@ -35,7 +35,7 @@ SENTENCE, INSIDE = 4, 64
 #: Padding tokens that a sequence more is worth.
 EACH = 8
 #: Tokens that are cut into windows at once in a task; only the last window of such a run can be short for want of text.
-RUN = 1 << 21
+RUN = 1 << 20
 #: Words whose ids a task keeps, at most, and a kept word's bytes; the others are encoded anew.
 WORDS, LONG = 500_000, 64
 #: Bytes of text that are encoded at once, and pieces that are handed on at once.

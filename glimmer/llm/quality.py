@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from glimmer.llm.common import crc_remainder, cut, dropped, flat, rows_where, sliced, span_hashes, table, without, words
+from glimmer.llm.common import crc_remainder, cut, dropped, flat, rows_where, sliced, span_hashes, table, tidy, without, words
 
 #: Score from which a document counts as good, shrinkage of the covariances, least variance.
 THRESHOLD, SHRINKAGE, FLOOR = 0.3, 0.1, 0.1
@@ -152,7 +152,7 @@ def labels_of(labels: DataFrame, column: str) -> DataFrame:
 def train(described: DataFrame, labels: DataFrame) -> Discriminant:
     """Learns from the described rows (doc_id, x) that have a label (doc_id, y)."""
     d = len(STATISTICS)
-    rows = described.join(labels, "doc_id").select("y", "x").mapInArrow(_moments, "k long, at long, v double").groupBy("k", "at").agg(F.sum("v").alias("v")).collect()
+    rows = described.join(labels, "doc_id").select("y", "x").mapInArrow(tidy(_moments), "k long, at long, v double").groupBy("k", "at").agg(F.sum("v").alias("v")).collect()
     sums = np.zeros((2, 1 + d + d * d))
     for k, at, v in rows:  # two rows of fixed width
         sums[k, at] = v
@@ -171,7 +171,7 @@ def score(described: DataFrame, model: Discriminant) -> DataFrame:
 
 
 def _described(docs: DataFrame) -> DataFrame:
-    return cut(without(docs, "doc_id", "text").withColumn("doc_id", F.col("doc_id").cast("long")).mapInArrow(_describe, "doc_id long, x array<double>"))
+    return cut(without(docs, "doc_id", "text").withColumn("doc_id", F.col("doc_id").cast("long")).mapInArrow(tidy(_describe), "doc_id long, x array<double>"))
 
 
 def _learnt(described: DataFrame, labels: DataFrame, modulus: int, held: int) -> Discriminant:

@@ -27,7 +27,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from glimmer.llm.common import crc_remainder, cut, dropped, rows_where, sliced, table, without
+from glimmer.llm.common import crc_remainder, cut, dropped, rows_where, sliced, table, tidy, without
 from glimmer.llm.quality import labels_of
 
 #: Labelled documents, toxic and other, that are learnt from, at most: those of the least hashed ids.
@@ -305,7 +305,7 @@ def train(docs: DataFrame, labels: DataFrame) -> tuple[np.ndarray, float] | None
     ids = labels.where("y = 1").orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE[0]).unionByName(labels.where("y = 0").orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE[1]))
     ids = cut(ids)  # sum(SAMPLE) ids at most
     sample = docs.join(F.broadcast(ids), "doc_id").select("y", F.col("doc_id").alias("bag"), "text")
-    windows = cut(sample.mapInArrow(_windows, "y long, bag long, word string, n long"))
+    windows = cut(sample.mapInArrow(tidy(_windows), "y long, bag long, word string, n long"))
     counts = cut(windows.groupBy("word").agg(F.sum(F.when(F.col("y") == 1, F.col("n")).otherwise(0)).alias("bad"), F.sum(F.when(F.col("y") == 0, F.col("n")).otherwise(0)).alias("good")))
     sizes = {k: v for r in counts.where("word = ''").collect() for k, v in r.asDict().items()}
     words, others = counts.where("word <> ''"), counts.where("word <> '' and good > 0")
@@ -326,7 +326,7 @@ def train(docs: DataFrame, labels: DataFrame) -> tuple[np.ndarray, float] | None
         named = {r["word"]: float(r["count"]) for r in own.groupBy("word").count().collect()}  # a window a toxic document of the sample at most
         weights, bias = learn(named, good, hard)
         if turn + 1 < ROUNDS:
-            now = cut(words.select("word", "good").mapInArrow(_scored(weights, bias), "word string, good long, score double"))
+            now = cut(words.select("word", "good").mapInArrow(tidy(_scored(weights, bias)), "word string, good long, score double"))
             if turn:
                 dropped(scored)
             scored = now
@@ -351,7 +351,7 @@ def _tops(docs: DataFrame, weights, bias: float) -> DataFrame:
             top = highest(batch.column(1), weights.value, bias)
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(np.ascontiguousarray(t)) for t in top.T)], names=["doc_id", "top", "second"])
 
-    return cut(docs.mapInArrow(run, "doc_id long, top double, second double"))
+    return cut(docs.mapInArrow(tidy(run), "doc_id long, top double, second double"))
 
 
 class Score:

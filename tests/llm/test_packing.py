@@ -73,3 +73,15 @@ def test_pieces_are_handed_on_some_at_a_time(monkeypatch):
     rows = [r for b in batches for r in b.to_pylist()]
     whole = {k: b"".join(r["ids"] for r in rows if r["doc_id"] == k) for k, _ in docs}
     assert whole == {k: t.tobytes() for k, t in docs} and {r["sequence_id"] for r in rows} == set(range(7, free))
+
+
+def test_a_runs_tables_take_little_memory():
+    rng, closes = np.random.default_rng(0), np.zeros(50_000, bool)
+    ids = rng.integers(8, 40_000, packing.RUN).astype(np.uint32)
+    ids[::13], closes[7] = 7, True
+    docs = [(k, d) for k, d in enumerate(np.array_split(ids, packing.RUN // 800))]
+    tracemalloc.start()
+    pieces = sum(b.num_rows for b in packing._run(docs, 0, closes, packing.SIZE)[0])
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert pieces > len(docs) and most < 30e6

@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from glimmer.llm import quality
+from glimmer.llm import common, quality
 from glimmer.llm.common import table
 from tests.conftest import SMALL
 
@@ -97,3 +98,37 @@ def test_run_on_empty_tables(spark, tmp_path):
     # without labels nothing is known to be bad: what is left are all documents but near-duplicates
     kept = {r[0] for r in corpus_pipeline.dedup_stage(spark, docs, SMALL).select("doc_id").collect()}
     assert {r[0] for r in corpus_pipeline.run(spark, f"{tmp_path}/unlabelled").select("doc_id").distinct().collect()} == kept
+
+
+def _sizes(batches):
+    for batch in batches:
+        yield pa.RecordBatch.from_arrays([pa.array([batch.nbytes])], names=["n"])
+
+
+def test_stages_send_python_little_at_once(spark):
+    """Batches go by bytes, so long texts take an executor no more memory than short ones; a lower limit of the user's stays."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    default = spark.conf.get(name)
+    docs = corpus_pipeline.cut(table(spark, SMALL, "documents").limit(20).withColumn("text", F.repeat(F.lit("words of a text. "), 20_000)).coalesce(1))
+    most = lambda: max(r["n"] for r in docs.select("doc_id", "text").mapInArrow(_sizes, "n long").collect())
+    try:
+        for _, stage in corpus_pipeline.STAGES:
+            spark.conf.set(name, "64m")
+            assert most() > 6_000_000
+            stage(spark, docs, SMALL)
+            assert most() < 2_400_000
+        spark.conf.set(name, "1k")
+        corpus_pipeline.packing_stage(spark, docs, SMALL)
+        assert spark.conf.get(name) == "1k"
+    finally:
+        spark.conf.set(name, default)
+
+
+def test_what_a_worker_keeps():
+    """A task leaves no table of powers behind, and hashes are the same without."""
+    data = np.frombuffer(b"one two three four five six", np.uint8)
+    before = common.shingle_sets(data, np.array([0, len(data)]))
+    assert sum(p.nbytes for p in common._POWERS) > 30e6
+    list(common.tidy(lambda batches: batches)(iter([])))
+    assert not common._POWERS
+    assert all(np.array_equal(a, b) for a, b in zip(before, common.shingle_sets(data, np.array([0, len(data)])), strict=True))
