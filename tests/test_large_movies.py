@@ -76,3 +76,16 @@ def test_few_blobs_are_compared_as_many(monkeypatch):
     few = kernels.near_blobs(blobs)
     monkeypatch.setattr(kernels, "FEW_BLOBS", 0)
     assert np.array_equal(few, kernels.near_blobs(blobs)) and len(few[0]) > 50
+
+
+@pytest.mark.parametrize("shift", [(0, 0), (2, -1), (-3, 4), (9, 0), (0, -20)])
+def test_frames_are_moved_as_their_pixels(spark, small_batches, shift):
+    df = spark.createDataFrame([(0, t, 6, 9, [None if k == 11 else float(v) for k, v in enumerate(RNG.random(54))]) for t in range(20)], "image_id int, t int, height int, width int, pixels array<double>")
+    shifts = spark.createDataFrame([(t, *shift) for t in range(1, 20)], "t int, dr int, dc int")
+    rows = lambda d: sorted(((r["t"], r["y"], r["x"], r["value"]) for r in frames.integer_shift(d, shifts, 6, 9, dense=True).collect()), key=repr)
+    assert rows(df) == rows(frames.to_pixels(df)) and len(rows(df)) == 1080
+
+
+def test_moved_movies_shuffle_no_pixel(spark):
+    told = plan(registry.QUERIES["integer_shift"](spark, SMALL))
+    assert told.count("Generate") == 1 and told.index("Generate") < told.index("Join") and told.count("Exchange hash") == 1, told
