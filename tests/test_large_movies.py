@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import time
+
 import duckdb
 import numpy as np
 import pyarrow as pa
@@ -11,7 +13,7 @@ from pyspark.sql import functions as F
 
 from glimmer.functions import kernels
 from glimmer.jobs import registry
-from glimmer.operators import frames
+from glimmer.operators import frames, spatial
 from glimmer.sources import views
 from tests.conftest import SMALL
 
@@ -89,3 +91,33 @@ def test_frames_are_moved_as_their_pixels(spark, small_batches, shift):
 def test_moved_movies_shuffle_no_pixel(spark):
     told = plan(registry.QUERIES["integer_shift"](spark, SMALL))
     assert told.count("Generate") == 1 and told.index("Generate") < told.index("Join") and told.count("Exchange hash") == 1, told
+
+
+def test_drift_goes_by_places(spark):
+    """Copies of a peak are compared once, equal the definition, and odd places match nothing."""
+    rows = [(k, float(x), float(y)) for k, (x, y) in enumerate(np.repeat(RNG.integers(0, 60, (40, 2)), 3, axis=0) / 2)]
+    first = spark.createDataFrame([(k, x, y) for k, x, y in rows] + [(900, float("nan"), 1.0), (901, None, 1.0), (902, float("inf"), 1.0)], "peak_id int, x double, y double")
+    second = spark.createDataFrame([(k + 500, x + 3.7, y - 2.4) for k, x, y in rows[:90]] + [(990, float("nan"), 1.0), (991, None, 1.0), (992, float("inf"), 1.0)], "peak_id int, x double, y double")
+    grid = {(r["gx"], r["gy"]): r["n"] for r in spatial.drift_grid(first, second, threshold=0.8, precision=1.0, max_x=5, max_y=5).collect()}
+    want = {}
+    for gx in range(-5, 6):
+        for gy in range(-5, 6):
+            n = sum(any(np.hypot(ax - (bx + 3.7 + gx), ay - (by - 2.4 + gy)) < 0.8 for _, ax, ay in rows) for _, bx, by in rows[:90])
+            if n:
+                want[gx, gy] = n
+    assert grid == want
+    got = sorted(tuple(r) for r in spatial.drift_matches(first, second, threshold=0.8, max_x=5, max_y=5).select("a_id", "b_id").collect())
+    (gx, gy), _ = min(want.items(), key=lambda w: (-w[1], w[0]))
+    near = lambda p, others, sx, sy: min(((np.hypot(p[1] - q[1] + sx, p[2] - q[2] + sy), q[0]) for q in others if np.hypot(p[1] - q[1] + sx, p[2] - q[2] + sy) < 0.8), default=(0, None))[1]
+    moved = [(k + 500, x + 3.7 + gx, y - 2.4 + gy) for k, x, y in rows[:90]]
+    backs = [near(b, rows, 0.0, 0.0) for b in moved]
+    assert got == sorted((a, near(rows[a], moved, 0.0, 0.0)) for a in backs if a is not None) and len(got) == 90
+
+
+def test_crowded_peaks_are_matched_in_seconds(spark):
+    """30,000 peaks in each of two channels stand at one place: their pairs, a billion, are never made."""
+    peaks = spark.range(30_000).select(F.col("id").alias("peak_id"), F.lit(5.0).alias("x"), F.lit(6.0).alias("y"))
+    began = time.time()
+    found = spatial.drift_matches(peaks, peaks, threshold=1.0, max_x=2, max_y=2)
+    assert found.agg(F.count("*"), F.sum("a_id"), F.sum("b_id")).first() == (30_000, 0, 0)
+    assert time.time() - began < 60
