@@ -121,3 +121,10 @@ def test_crowded_peaks_are_matched_in_seconds(spark):
     found = spatial.drift_matches(peaks, peaks, threshold=1.0, max_x=2, max_y=2)
     assert found.agg(F.count("*"), F.sum("a_id"), F.sum("b_id")).first() == (30_000, 0, 0)
     assert time.time() - began < 60
+
+
+def test_crowded_channels_are_joined_in_seconds(spark):
+    peaks = spark.range(30_000).select(F.col("id").alias("peak_id"), F.lit(5.0).alias("x"), F.lit(6.0).alias("y"))
+    began = time.time()
+    assert spatial.coloc_n_channels([peaks, peaks, peaks.where("peak_id < 3")], threshold=1.0, max_x=2, max_y=2).count() == 90_000
+    assert time.time() - began < 60
