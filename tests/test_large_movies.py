@@ -128,3 +128,14 @@ def test_crowded_channels_are_joined_in_seconds(spark):
     began = time.time()
     assert spatial.coloc_n_channels([peaks, peaks, peaks.where("peak_id < 3")], threshold=1.0, max_x=2, max_y=2).count() == 90_000
     assert time.time() - began < 60
+
+
+#: Scans of lineitem in the last plan of a query, and its rows of pixels: what it needs more than once is written as frames.
+LAST_PLANS = {"drift_correct_pixels": (0, 1)}
+
+
+@pytest.mark.parametrize("name", sorted(LAST_PLANS))
+def test_movies_are_read_once(spark, name):
+    told = plan(registry.QUERIES[name](spark, SMALL))
+    scans, pixels = LAST_PLANS[name]
+    assert told.count("l_orderkey") >= scans and told.count("lineitem.parquet") == scans and told.count("posexplode") == pixels, told
