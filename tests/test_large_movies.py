@@ -131,7 +131,7 @@ def test_crowded_channels_are_joined_in_seconds(spark):
 
 
 #: Scans of lineitem in the last plan of a query, and its rows of pixels: what it needs more than once is written as frames.
-LAST_PLANS = {"drift_correct_pixels": (0, 1)}
+LAST_PLANS = {"drift_correct_pixels": (0, 1), "drift_correct": (0, 0)}
 
 
 @pytest.mark.parametrize("name", sorted(LAST_PLANS))
