@@ -139,3 +139,11 @@ def test_movies_are_read_once(spark, name):
     told = plan(registry.QUERIES[name](spark, SMALL))
     scans, pixels = LAST_PLANS[name]
     assert told.count("l_orderkey") >= scans and told.count("lineitem.parquet") == scans and told.count("posexplode") == pixels, told
+
+
+def test_highest_times_of_frames_are_those_of_pixels(spark, small_batches):
+    nan = float("nan")
+    df = spark.createDataFrame([(i, t, 2, 3, [float(v) for v in RNG.integers(-1, 2, 4)] + [RNG.choice([nan, 1.0]).item(), None if (t + i) % 3 else 1.0]) for i in range(3) for t in range(20)], "image_id int, t int, height int, width int, pixels array<double>").repartition(5)
+    assert sorted(frames.project(df, "argmax").collect()) == sorted(frames.project(frames.to_pixels(df), "argmax").collect())
+    told = plan(registry.QUERIES["project_argmax"](spark, SMALL))
+    assert told.count("MapInArrow") == 2 and told.index("Generate") < told.rindex("MapInArrow"), told
