@@ -131,7 +131,7 @@ def test_crowded_channels_are_joined_in_seconds(spark):
 
 
 #: Scans of lineitem in the last plan of a query, and its rows of pixels: what it needs more than once is written as frames.
-LAST_PLANS = {"drift_correct_pixels": (0, 1), "drift_correct": (0, 0), "flat_field": (0, 0), "flat_field_pixels": (0, 1), "peak_fit": (0, 0)}
+LAST_PLANS = {"drift_correct_pixels": (0, 1), "drift_correct": (0, 0), "flat_field": (0, 0), "flat_field_pixels": (0, 1), "peak_fit": (0, 0), "roi_integrate": (1, 0)}
 
 
 @pytest.mark.parametrize("name", sorted(LAST_PLANS))
@@ -141,6 +141,20 @@ def test_movies_are_read_once(spark, name):
     assert told.count("l_orderkey") >= scans and told.count("lineitem.parquet") == scans and told.count("posexplode") == pixels, told
 
 
+def test_integration_reads_the_images_of_peaks_alone(spark):
+    told = plan(registry.QUERIES["roi_integrate"](spark, SMALL))
+    assert told.index("LeftSemi") > told.index("Exchange hash"), told  # before items are shuffled
+
+
+def test_frames_are_integrated_as_their_pixels(spark, small_batches):
+    df = spark.createDataFrame([(i, t, c, 9, 12, [float(v) for v in RNG.integers(0, 50, 108)]) for i in range(2) for t in range(9) for c in range(2)], "image_id int, t int, c int, height int, width int, pixels array<double>")
+    peaks = spark.createDataFrame([(i, k, float(x), float(y)) for i in range(3) for k, (x, y) in enumerate([(4, 4), (0, 0), (8, 11), (-2, 5), (-9, 5), (11, 14), (3, 40), (5, 6)])], "image_id int, peak_id int, x double, y double")
+    for how in ({}, {"dx": 2, "dy": -1}, {"legacy_axes": True}):
+        spots = frames.spot_table(df, peaks)
+        got, want = (sorted(tuple(r) for r in frames.roi_integrate(d, spots, 1, 2, **how).select("image_id", "c", "trajectory", "slice", "Intensity", "bg", "x", "y").collect()) for d in (df, frames.to_pixels(df)))
+        assert len(got) == len(want) > 100 and all(a[:4] == b[:4] and a[6:] == b[6:] and np.allclose(a[4:6], b[4:6], atol=1e-9) for a, b in zip(got, want, strict=True))
+
+
 def test_highest_times_of_frames_are_those_of_pixels(spark, small_batches):
     nan = float("nan")
     df = spark.createDataFrame([(i, t, 2, 3, [float(v) for v in RNG.integers(-1, 2, 4)] + [RNG.choice([nan, 1.0]).item(), None if (t + i) % 3 else 1.0]) for i in range(3) for t in range(20)], "image_id int, t int, height int, width int, pixels array<double>").repartition(5)
