@@ -131,7 +131,7 @@ def test_crowded_channels_are_joined_in_seconds(spark):
 
 
 #: Scans of lineitem in the last plan of a query, and its rows of pixels: what it needs more than once is written as frames.
-LAST_PLANS = {"drift_correct_pixels": (0, 1), "drift_correct": (0, 0), "flat_field": (0, 0), "flat_field_pixels": (0, 1), "peak_fit": (0, 0), "roi_integrate": (1, 0), "roi_integrate_drift": (1, 0), "roi_integrate_legacy_axes": (1, 0), "xcorr_shift": (0, 0), "gauss2d_eval": (1, 0), "movie_trajectories": (0, 0)}
+LAST_PLANS = {"drift_correct_pixels": (0, 1), "drift_correct": (0, 0), "flat_field": (0, 0), "flat_field_pixels": (0, 1), "peak_fit": (0, 0), "roi_integrate": (1, 0), "roi_integrate_drift": (1, 0), "roi_integrate_legacy_axes": (1, 0), "xcorr_shift": (0, 0), "gauss2d_eval": (1, 0), "movie_trajectories": (0, 0), "chain_movie": (0, 0)}
 
 
 @pytest.mark.parametrize("name", sorted(LAST_PLANS))
