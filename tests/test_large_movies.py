@@ -161,3 +161,10 @@ def test_highest_times_of_frames_are_those_of_pixels(spark, small_batches):
     assert sorted(frames.project(df, "argmax").collect()) == sorted(frames.project(frames.to_pixels(df), "argmax").collect())
     told = plan(registry.QUERIES["project_argmax"](spark, SMALL))
     assert told.count("MapInArrow") == 2 and told.index("Generate") < told.rindex("MapInArrow"), told
+
+
+@pytest.mark.parametrize("name", ["project_std", "project_max"])
+def test_projections_add_up_a_stretch_in_its_task(spark, name):
+    """Items are dealt by image and stretches of t, so what tasks leave is a row a pixel and stretch."""
+    told = plan(registry.QUERIES[name](spark, SMALL))
+    assert told.count("Exchange hash") == 2 and "FLOOR" in told[told.rindex("Exchange hash") :][:200], told
